@@ -111,7 +111,7 @@ def run_stats(runs: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
         F.round(F.avg("total_processing_seconds"), 3).alias("avg_total_processing_seconds"),
         F.coalesce(F.round(F.avg("input_reduction_pct"), 3), F.lit(0.0)).alias("avg_input_reduction_pct"),
     )
-    medians = exact_percentiles(runs, keys, c("total_processing_seconds"), {"_median": 0.5}, hot_rows)
+    medians = exact_percentiles(runs, keys, {"_median": (c("total_processing_seconds"), 0.5)}, hot_rows)
     out = (
         counted.join(medians, keys, "left")
         .join(top_key(runs, keys, "failed_stage", "top_failed_stage"), keys, "left")
@@ -356,8 +356,11 @@ def phase_timings(rows: DataFrame, keys: Sequence[str], converter_prefix: str =
     )
 
 
-def grade_runs(runs: DataFrame) -> DataFrame:
-    """Quality class, geometry source, scores and recommendations per run."""
+def grade_runs(runs: DataFrame, keep: Sequence[str] = ("run_id", "project_id", "status")) -> DataFrame:
+    """Quality class, geometry source, scores and recommendations per run.
+
+    ``keep`` names the input columns to carry along.
+    """
     c = F.col
     zero = F.lit(0).cast("bigint")
     flag = {n: F.coalesce(c(n), F.lit(False)) for n in
@@ -394,7 +397,7 @@ def grade_runs(runs: DataFrame) -> DataFrame:
     score = c("texture_quality_score")
     real = source.isin(*G.REAL_SFM_SOURCES)
     return base.select(
-        "run_id", "project_id", "status", "geometry_source",
+        *keep, "geometry_source",
         c("shown_as").alias("visualization_type"), "quality_classification",
         G.success_level(grade).alias("final_success_level"),
         "cameras_reconstructed", "points_3d_count",

@@ -1,15 +1,18 @@
 """Building blocks that stay distributed when one group holds most of the rows.
 
 A plain ``Window.partitionBy(key)`` or ``percentile`` puts a whole group into
-one task. These helpers first check the group sizes (a count that reads only
-the key columns); ordinary groups take the plain form, and where a group is
-larger than ``hot_rows`` the same exact result comes from a range-partitioned
-form whose pieces are bounded.
+one task. These helpers first measure the groups (a count that reads only the
+key columns); ordinary groups take the plain form, and where a group is larger
+than ``hot_rows`` the same exact result comes from a range-partitioned form
+whose pieces are bounded. The same measurement says whether one row per group
+is small enough to be broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,14 +20,34 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 HOT_ROWS = 5_000_000
+FEW_GROUPS = 50_000
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Number of groups and rows of the largest one."""
+
+    groups: int
+    largest: int
+
+    def hot(self, hot_rows: int) -> bool:
+        return self.largest > hot_rows
+
+    @property
+    def few(self) -> bool:
+        return self.groups <= FEW_GROUPS
+
+
+ALL_HOT = Shape(FEW_GROUPS + 1, 1 << 62)
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    return not group_sizes(df, keys).filter(F.col("_rows") > hot_rows).isEmpty()
+def measure(df: DataFrame, keys: Sequence[str]) -> Shape:
+    row = group_sizes(df, keys).agg(F.count(F.lit(1)), F.max("_rows")).first()
+    return Shape(row[0], row[1] or 0)
 
 
 def running_total(
@@ -34,6 +57,7 @@ def running_total(
     col: str = "idx",
     weight: Column | None = None,
     hot_rows: int = HOT_ROWS,
+    shape: Shape | None = None,
 ) -> DataFrame:
     """Add the sum of the weights of all earlier rows of the group.
 
@@ -47,7 +71,7 @@ def running_total(
         earlier = F.sum(weight).over(window.rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(earlier, F.lit(0)).cast("bigint")
 
-    if not has_hot_group(df, keys, hot_rows):
+    if not (shape or measure(df, keys)).hot(hot_rows):
         return df.withColumn(col, before(Window.partitionBy(*keys).orderBy(*order)))
 
     # Range partitions split a hot group; the checkpoint fixes which row lies
@@ -84,6 +108,7 @@ def neighbours(
     order: Sequence[Column],
     outputs: dict[str, tuple[Column, int]],
     hot_rows: int = HOT_ROWS,
+    shape: Shape | None = None,
 ) -> DataFrame:
     """Add values of the row before (-1) or after (+1) in the group's order."""
 
@@ -93,11 +118,11 @@ def neighbours(
             for name, (value, step) in outputs.items()
         ]
 
-    if not has_hot_group(df, keys, hot_rows):
+    if not (shape or measure(df, keys)).hot(hot_rows):
         return df.select("*", *shifted(Window.partitionBy(*keys).orderBy(*order)))
 
     # Chunks of the order, each with a copy of the row on either side.
-    placed = running_total(df, keys, order, "_idx", hot_rows=hot_rows)
+    placed = running_total(df, keys, order, "_idx", hot_rows=hot_rows, shape=ALL_HOT)
     size = max(2, hot_rows)
     chunk = F.floor(F.col("_idx") / size)
     at = F.col("_idx") % size
@@ -117,65 +142,74 @@ def neighbours(
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
-    value: Column,
-    outputs: dict[str, float],
+    outputs: dict[str, tuple[Column, float]],
     hot_rows: int = HOT_ROWS,
+    shape: Shape | None = None,
 ) -> DataFrame:
-    """Linear-interpolated percentiles per group, one row per group with values."""
-    named = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if not has_hot_group(named, keys, hot_rows):
-        return named.groupBy(*keys).agg(
-            *[F.percentile("_v", p).alias(name) for name, p in outputs.items()]
-        )
-
-    # Equal values are merged first, so that no single value can be hot.
-    counted = named.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_total(counted, keys, [F.col("_v")], "_start", F.col("_c"), hot_rows)
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    joined = attach(ranked, totals, keys, rows=F.col("_n"))
-
-    def at(rank: Column) -> Column:
-        inside = (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_c"))
+    """Linear-interpolated percentiles per group: name -> (value, share)."""
+    if not (shape or measure(df, keys)).hot(hot_rows):
+        return df.groupBy(*keys).agg(
+            *[F.percentile(value.cast("double"), p).alias(name) for name, (value, p) in outputs.items()])
+    parts = [_spread_percentile(df, keys, name, value, p, hot_rows) for name, (value, p) in outputs.items()]
+    groups = group_sizes(df, keys).drop("_rows")
+    return reduce(lambda left, right: left.join(right, list(keys), "left"), parts, groups)
+
+
+def _spread_percentile(df: DataFrame, keys: Sequence[str], name: str, value: Column, p: float,
+                       hot_rows: int) -> DataFrame:
+    """One percentile from the global order, without gathering a group.
+
+    Equal values are merged first, so that no single value can be hot.
+    """
+    counted = (
+        df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    )
+    ranked = running_total(counted, keys, [F.col("_v")], "_start", F.col("_c"), hot_rows, shape=ALL_HOT)
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_distinct"))
+    joined = attach(ranked, totals, keys, F.col("_distinct"), hot_rows)
+    rank = F.lit(float(p)) * (F.col("_n") - 1)
+
+    def at(place: Column) -> Column:
+        inside = (F.col("_start") <= place) & (place < F.col("_start") + F.col("_c"))
         return F.max(F.when(inside, F.col("_v")))
 
-    picks = []
-    for i, p in enumerate(outputs.values()):
-        rank = F.lit(float(p)) * (F.col("_n") - 1)
-        picks += [at(F.floor(rank)).alias(f"_lo{i}"), at(F.ceil(rank)).alias(f"_hi{i}"),
-                  F.max(rank - F.floor(rank)).alias(f"_f{i}")]
-    bounds = joined.groupBy(*keys).agg(*picks)
-    return bounds.select(*keys, *[
-        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(name)
-        for i, name in enumerate(outputs)
-    ])
+    bounds = joined.groupBy(*keys).agg(
+        at(F.floor(rank)).alias("_lo"), at(F.ceil(rank)).alias("_hi"), F.max(rank - F.floor(rank)).alias("_f"))
+    return bounds.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
 
 
 def attach(
     df: DataFrame,
     stats: DataFrame,
     keys: Sequence[str],
-    rows: Column | None = None,
+    rows: Column,
     hot_rows: int = HOT_ROWS,
+    shape: Shape | None = None,
 ) -> DataFrame:
     """Left-join one row of per-group values back onto the rows of the group.
 
+    A measured ``shape`` with few groups lets all values be broadcast, so the
+    rows are not shuffled at all.
     ``rows`` is the group's row count within ``stats``. There are at most
     total / hot_rows groups above ``hot_rows``; their values are broadcast and
     their rows are spread over the shuffle by a salt, so a hot group never
     lands in one task. The other groups join as usual.
     """
-    if rows is None:
+    if shape is not None and shape.few:
+        return df.join(F.broadcast(stats), list(keys), "left")
+    if shape is not None and not shape.hot(hot_rows):
         return df.join(stats, list(keys), "left")
     values = [c for c in stats.columns if c not in keys]
     counted = stats.withColumn("_size", rows)
-    hot = counted.filter(F.col("_size") > hot_rows).select(
+    large = counted.filter(F.col("_size") > hot_rows).select(
         *keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot")
     )
     plain = counted.filter(F.col("_size") <= hot_rows).select(
         *keys, *values, F.lit(0).cast("bigint").alias("_salt")
     )
     names = df.columns
-    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn(
+    marked = df.join(F.broadcast(large), list(keys), "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.xxhash64(*[F.col(c) for c in names]).bitwiseOR(F.lit(1)))
         .otherwise(F.lit(0).cast("bigint")),

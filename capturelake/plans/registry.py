@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import run_history
+from . import point_clouds, run_history
 
-FAMILIES = (run_history,)
+FAMILIES = (run_history, point_clouds)
 
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

@@ -87,12 +87,12 @@ def report_rows(spark, sf):
 
 
 def history(spark, sf):
-    runs = T.graded_inputs(spark, sf)
-    graded = R.grade_runs(runs).select(
-        F.col("run_id").alias("_id"), "quality_classification", "final_success_level")
+    graded = R.grade_runs(T.graded_inputs(spark, sf), keep=(
+        "run_id", "project_id", "variant", "selected_images", "accepted_images", "total_images_loaded", "max_line",
+        "max_discount", "qty"))
     c = F.col
     n = F.greatest(c("total_images_loaded"), F.lit(1))
-    return runs.join(graded, c("run_id") == c("_id")).select(
+    return graded.select(
         "run_id", "project_id", F.concat(F.lit("dataset_"), (c("project_id") % 50).cast("string")).alias("dataset_path"),
         c("variant").alias("profile"), "quality_classification", "final_success_level",
         F.round(c("selected_images") / n, 4).alias("mesh_readiness_score"),
@@ -201,8 +201,8 @@ def artifact_consistent(spark, sf):
 def result_warnings(spark, sf):
     c = F.col
     given = F.array(F.when(c("max_line") > 4, "muchas_imagenes"), F.when(c("max_line") > 2, "brillo"), F.lit(""))
-    graded = R.grade_runs(T.graded_inputs(spark, sf)).select(c("run_id").alias("_id"), "quality_classification")
-    return T.runs(spark, sf).join(graded, c("run_id") == c("_id")).select("run_id", F.concat_ws("|", J.collect_warnings(
+    graded = R.grade_runs(T.graded_inputs(spark, sf), keep=("run_id", "max_line", "fallback_used", "warning_images"))
+    return graded.select("run_id", F.concat_ws("|", J.collect_warnings(
         F.array_compact(given), c("fallback_used"), c("warning_images"), c("quality_classification"))).alias("warnings"))
 
 
@@ -478,11 +478,11 @@ SELECT run_id, project_id, status, source AS geometry_source, shown AS visualiza
     ELSE 'failed' END AS final_success_level,
   cameras AS cameras_reconstructed, points AS points_3d_count,
   CASE WHEN points < 1500 THEN 'low' WHEN points <= 5000 THEN 'medium' ELSE 'high' END AS sparse_density_level,
-  round(least(0.75::DOUBLE, points / 8000.0::DOUBLE * 0.75::DOUBLE)
-    + least(0.25::DOUBLE, cameras / 24.0::DOUBLE * 0.25::DOUBLE), 3) AS sparse_quality_score,
+  {T.half_up("""least(0.75::DOUBLE, points / 8000.0::DOUBLE * 0.75::DOUBLE)
+    + least(0.25::DOUBLE, cameras / 24.0::DOUBLE * 0.25::DOUBLE)""", 3)} AS sparse_quality_score,
   mscore AS mesh_quality_score, texture AS texture_source, tscore AS texture_quality_score,
-  round(least(1.0::DOUBLE, mscore * 0.65::DOUBLE + tscore * 0.35::DOUBLE
-    + CASE grade WHEN 'success_real' THEN 0.1::DOUBLE WHEN 'success_approx_surface' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END), 3)
+  {T.half_up("""least(1.0::DOUBLE, mscore * 0.65::DOUBLE + tscore * 0.35::DOUBLE + CASE grade
+    WHEN 'success_real' THEN 0.1::DOUBLE WHEN 'success_approx_surface' THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END)""", 3)}
     AS final_model_visual_score,
   CASE WHEN texture IN ('best_image_projection', 'real_projection') AND tscore >= 0.45::DOUBLE THEN 'good'
     WHEN texture IN ('vertex_colors_from_colmap', 'average_image_color') AND tscore >= 0.25::DOUBLE THEN 'acceptable'
@@ -661,10 +661,10 @@ SELECT run_id, (['best_image_projection', 'vertex_colors_from_colmap', 'average_
   CASE WHEN k <= 2 THEN faces ELSE 0 END AS textured_faces_count,
   CASE WHEN k <= 2 THEN 0 ELSE faces END AS untextured_faces_count,
   least(selected_images, ([6, 3, 2, 0])[k]) AS selected_image_count, k > 2 AS fallback_texture_used,
-  round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * least(1.0::DOUBLE,
+  {T.half_up("""greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * least(1.0::DOUBLE,
     (pts - rejected_images * 20) / greatest(1.0::DOUBLE, pts::DOUBLE))
     + 0.55::DOUBLE * least(1.0::DOUBLE, faces / 5000.0::DOUBLE)
     + CASE WHEN method = 'ball_pivoting' THEN 0.1::DOUBLE WHEN method = 'convex_hull' THEN 0.05::DOUBLE
-      ELSE 0.0::DOUBLE END)), 3) AS surface_confidence
+      ELSE 0.0::DOUBLE END))""", 3)} AS surface_confidence
 FROM t""",
 }

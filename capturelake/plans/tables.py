@@ -183,10 +183,21 @@ RECONSTRUCTION_KINDS = (
 MESH_METHODS = ("delaunay_mesher_sparse", "convex_hull", "bounding_box", "ball_pivoting")
 
 
+def half_up(expr: str, digits: int) -> str:
+    """SQL for rounding the decimal rendering of a double, as Spark's round does."""
+    return f"round(({expr})::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE"
+
+
 def sql_list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+_MESH_SCORE = """least(1.0::DOUBLE, CASE WHEN source = 'colmap_dense' AND dense_exists THEN 0.85
+      WHEN source = 'colmap_sparse' THEN 0.55 WHEN source = 'colmap_sparse_point_cloud' THEN 0.5
+      WHEN source = 'geometric_prior' THEN 0.45 WHEN source IN ('primitive_box', 'fallback') THEN 0.25
+      ELSE 0.15 END::DOUBLE + least(0.15::DOUBLE, (points / 5000.0::DOUBLE) * 0.1::DOUBLE
+      + (cameras / 40.0::DOUBLE) * 0.05::DOUBLE))"""
+
 GRADED_SQL = RUNS_SQL + f""",
 graded AS (
   SELECT *, ({sql_list(RECONSTRUCTION_KINDS)})[project_id % 6 + 1] AS kind,
@@ -245,11 +256,7 @@ graded4 AS (
   SELECT *,
     CASE texture WHEN 'real_projection' THEN 0.8 WHEN 'best_image_projection' THEN 0.45
       WHEN 'vertex_colors_from_colmap' THEN 0.55 ELSE CASE WHEN dense_exists THEN 0.3 ELSE 0.0 END END::DOUBLE AS tscore,
-    round(least(1.0::DOUBLE, CASE WHEN source = 'colmap_dense' AND dense_exists THEN 0.85
-      WHEN source = 'colmap_sparse' THEN 0.55 WHEN source = 'colmap_sparse_point_cloud' THEN 0.5
-      WHEN source = 'geometric_prior' THEN 0.45 WHEN source IN ('primitive_box', 'fallback') THEN 0.25
-      ELSE 0.15 END::DOUBLE + least(0.15::DOUBLE, (points / 5000.0::DOUBLE) * 0.1::DOUBLE
-      + (cameras / 40.0::DOUBLE) * 0.05::DOUBLE)), 3) AS mscore
+    {half_up(_MESH_SCORE, 3)} AS mscore
   FROM graded3)"""
 
 
