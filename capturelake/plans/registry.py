@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import point_clouds, run_history
+from . import image_batches, point_clouds, run_history
 
-FAMILIES = (run_history, point_clouds)
+FAMILIES = (run_history, point_clouds, image_batches)
 
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
