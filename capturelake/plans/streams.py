@@ -101,7 +101,7 @@ def report_csv(spark, sf):
 
 def report_json(spark, sf):
     path = scratch_path(spark, "json")
-    writers.write_report_json(RH._stats(spark, sf), path)
+    writers.write_report_json(RH._stats(spark, sf).withColumn("name", c("scope")), path, "name")
     docs = readers.read_documents(spark, path)
     return docs.select(F.variant_get("document", "$.scope", "string").alias("scope"),
                        F.variant_get("document", "$.run_count", "bigint").alias("run_count"))

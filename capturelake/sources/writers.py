@@ -13,12 +13,10 @@ def append_runs(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def write_report_json(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """One JSON document per row, as text."""
-    body = F.to_json(F.struct(*[c for c in df.columns if c != partition]), {"pretty": "true"})
-    out = df.select(*([partition] if partition else []), body.alias("value"))
-    writer = out.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).text(path)
+def write_report_json(df: DataFrame, path: str, key: str) -> None:
+    """One readable JSON document per key, each in the folder of its key."""
+    body = F.to_json(F.struct(*[c for c in df.columns if c != key]), {"pretty": "true"})
+    df.select(key, body.alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def write_report_csv(df: DataFrame, path: str, columns: Sequence[str], single_file: bool = False) -> None:
