@@ -160,10 +160,13 @@ def patch_descriptor(gray: np.ndarray, x: int, y: int, radius: int = 2) -> np.nd
 def to_gray(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
     """Luma of decoded BGR rows, or the grey levels themselves."""
     a = np.frombuffer(data, dtype=np.uint8)[: width * height * channels].reshape(height, width, channels)
-    if channels == 1:
-        return a[:, :, 0]
-    b, g, r = (a[:, :, i].astype(np.int64) for i in range(3))
-    return ((19595 * r + 38470 * g + 7471 * b + 32768) >> 16).astype(np.uint8)
+    return a[:, :, 0] if channels == 1 else luma(a).astype(np.uint8)
+
+
+def luma(bgr: np.ndarray) -> np.ndarray:
+    """Grey level of BGR pixels in 16-bit fixed point."""
+    b, g, r = (bgr[:, :, i].astype(np.int64) for i in range(3))
+    return (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
 
 
 IMAGE_METRICS = (
@@ -270,7 +273,7 @@ def object_mask(bgr: np.ndarray) -> np.ndarray:
     diff = np.abs(a - background).max(axis=2)
     top, bottom = a.max(axis=2), a.min(axis=2)
     saturation = np.where(top > 0, (top - bottom) * 255 // np.maximum(top, 1), 0)
-    gray = (19595 * a[:, :, 2] + 38470 * a[:, :, 1] + 7471 * a[:, :, 0] + 32768) >> 16
+    gray = luma(a)
     edges = edge_response(gray)
     differs = diff >= _level(diff, 18, 128, 0.8)
     mask = differs | (saturation >= _level(saturation, 26, 150, 0.75)) | (differs & (edges >= _level(edges, 18, 150, 0.8)))
@@ -340,13 +343,44 @@ def primary_component(mask: np.ndarray, p: dict = SEGMENTATION) -> dict | None:
     return best
 
 
+def largest_component(mask: np.ndarray) -> dict | None:
+    """Component with the most pixels; the last one in reading order wins a tie."""
+    labels = label_components(mask)
+    ys, xs = np.nonzero(labels)
+    if len(ys) == 0:
+        return None
+    names, counts = np.unique(labels[ys, xs], return_counts=True)
+    chosen = names[np.nonzero(counts == counts.max())[0][-1]]
+    py, px = np.nonzero(labels == chosen)
+    h, w = mask.shape
+    box = (int(px.min()), int(py.min()), int(px.max()) + 1, int(py.max()) + 1)
+    area = (box[2] - box[0]) * (box[3] - box[1]) / (w * h)
+    return {"box": box, "pixels": len(px), "area": area, "score": 1.0}
+
+
+def silhouette_mask(gray: np.ndarray) -> np.ndarray:
+    """Pixels that differ from the median border level."""
+    g = gray.astype(np.int64)
+    h, w = g.shape
+    my, mx = max(1, h // 20), max(1, w // 20)
+    level = round(float(np.median([g[:my].mean(), g[-my:].mean(), g[:, :mx].mean(), g[:, -mx:].mean()])))
+    diff = np.abs(g - level)
+    limit = int(max(18, min(105, round(float(diff.mean()) * 1.1 + float(diff.std()) * 0.4))))
+    return _window3(diff >= limit, 3, np.median) > 0.5
+
+
 SEGMENTS = (
     "status string, reason string, `left` int, `top` int, `right` int, bottom int, object_pixels int, "
     "foreground_ratio double, score double")
 
 
-def segment_objects(df: DataFrame, keys: tuple[str, ...] = ("project_id", "image_id"), **overrides) -> DataFrame:
-    """Main object per decoded image: box, pixels, share and score, or the reason for none."""
+def segment_objects(df: DataFrame, keys: tuple[str, ...] = ("project_id", "image_id"), method: str = "scored",
+                    **overrides) -> DataFrame:
+    """Main object per decoded image: box, pixels, share and score, or the reason for none.
+
+    ``scored`` weighs colour components by place and shape; ``silhouette``
+    takes the largest region that differs from the border level.
+    """
     p = {**SEGMENTATION, **overrides}
 
     @F.pandas_udf(SEGMENTS)
@@ -362,7 +396,10 @@ def segment_objects(df: DataFrame, keys: tuple[str, ...] = ("project_id", "image
             if w > p["max_width"]:
                 tall = max(64, round(h * p["max_width"] / w))
                 bgr = np.stack([resample(bgr[:, :, i], p["max_width"], tall, "bilinear") for i in range(3)], axis=2)
-            found = primary_component(object_mask(bgr), p)
+            if method == "silhouette":
+                found = largest_component(silhouette_mask(luma(bgr)))
+            else:
+                found = primary_component(object_mask(bgr), p)
             if found is None:
                 rows.append(("fallback_original", "object_not_isolated", *(None,) * 7))
                 continue

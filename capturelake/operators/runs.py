@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grading as G
 from ..functions.scores import first_text, first_truthy, group_key, lower_key, pct, to_bool, to_float, to_int
-from .scale import HOT_ROWS, exact_percentiles
+from ..session import durable
+from .scale import HOT_ROWS, Shape, exact_percentiles
 
 # Column order of the exported run table.
 RUN_COLUMNS = (
@@ -88,34 +89,47 @@ def by_scope(runs: DataFrame, scopes: dict[str, Column]) -> DataFrame:
     return runs.select("*", F.explode(F.array(*entries)).alias("_s")).select("*", "_s.*").drop("_s")
 
 
+def _top(counts: DataFrame, keys: Sequence[str], value: str, n: str, out: str) -> DataFrame:
+    """Most frequent text per group out of partial counts; the smaller text wins ties."""
+    totals = counts.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(n).alias("_n"))
+    return totals.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(out))
+
+
 def top_key(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Most frequent non-blank text per group; the smaller text wins ties."""
-    text = first_text(F.col(value).cast("string"))
-    counts = (
-        df.select(*keys, text.alias("_k")).filter(F.col("_k").isNotNull())
-        .groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return counts.groupBy(*keys).agg(F.min_by("_k", F.struct(-F.col("_n"), F.col("_k"))).alias(out))
+    """Most frequent non-blank text per group."""
+    counts = df.groupBy(*keys, first_text(F.col(value).cast("string")).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    return _top(counts, keys, "_k", "_c", out)
 
 
 def run_stats(runs: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Counts, rates, mean and median time, top failed stage and reason per group."""
+    """Counts, rates, mean and median time, top failed stage and reason per group.
+
+    One pass counts per group, failed stage and reason code. That small table
+    yields the counts, the means and the top keys, and says how large the
+    groups are; a second pass finds the medians.
+    """
     keys = list(keys)
     c = F.col
-    counted = runs.groupBy(*keys).agg(
+    fine = durable(runs.groupBy(
+        *keys, first_text(c("failed_stage")).alias("_stage"), first_text(c("reason_code")).alias("_code")
+    ).agg(
         F.count(F.lit(1)).alias("run_count"),
         F.count_if(c("status") == "completed").alias("completed_count"),
         F.count_if(c("status") == "failed").alias("failed_count"),
         F.count_if("blocked_by_input_deficiency").alias("input_blocked_count"),
         F.count_if("fallback_used").alias("fallback_count"),
-        F.round(F.avg("total_processing_seconds"), 3).alias("avg_total_processing_seconds"),
-        F.coalesce(F.round(F.avg("input_reduction_pct"), 3), F.lit(0.0)).alias("avg_input_reduction_pct"),
-    )
-    medians = exact_percentiles(runs, keys, {"_median": (c("total_processing_seconds"), 0.5)}, hot_rows)
+        F.sum("total_processing_seconds").alias("_seconds"), F.count("total_processing_seconds").alias("_timed"),
+        F.sum("input_reduction_pct").alias("_reduction"), F.count("input_reduction_pct").alias("_reduced"),
+    ))
+    sums = [n for n in fine.columns if n not in (*keys, "_stage", "_code")]
+    counted = fine.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums])
+    size = counted.agg(F.count(F.lit(1)), F.max("run_count")).first()
+    medians = exact_percentiles(runs, keys, {"_median": (c("total_processing_seconds"), 0.5)}, hot_rows,
+                                Shape(size[0], size[1] or 0))
     out = (
         counted.join(medians, keys, "left")
-        .join(top_key(runs, keys, "failed_stage", "top_failed_stage"), keys, "left")
-        .join(top_key(runs, keys, "reason_code", "top_reason_code"), keys, "left")
+        .join(_top(fine, keys, "_stage", "run_count", "top_failed_stage"), keys, "left")
+        .join(_top(fine, keys, "_code", "run_count", "top_reason_code"), keys, "left")
     )
 
     def rate(count: str) -> Column:
@@ -126,9 +140,10 @@ def run_stats(runs: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) ->
         rate("completed_count").alias("success_rate"), rate("failed_count").alias("failure_rate"),
         "input_blocked_count", rate("input_blocked_count").alias("input_blocked_rate"),
         "fallback_count", rate("fallback_count").alias("fallback_rate"),
-        "avg_total_processing_seconds",
+        F.round(c("_seconds") / F.nullif("_timed", F.lit(0)), 3).alias("avg_total_processing_seconds"),
         F.round("_median", 3).alias("median_total_processing_seconds"),
-        "avg_input_reduction_pct", "top_failed_stage", "top_reason_code",
+        F.coalesce(F.round(c("_reduction") / F.nullif("_reduced", F.lit(0)), 3), F.lit(0.0)).alias("avg_input_reduction_pct"),
+        "top_failed_stage", "top_reason_code",
     )
 
 

@@ -8,6 +8,7 @@ from ..functions import grading as G
 from ..functions.scores import first_text
 from ..operators import predict as P
 from ..operators import projects as J
+from ..operators import records as B
 from ..operators import runs as R
 from . import tables as T
 
@@ -307,6 +308,52 @@ def texture_strategy(spark, sf):
         c("final_mesh_method")).alias("surface_confidence")).select("run_id", "_p.*", "surface_confidence")
 
 
+def _failing(spark, sf):
+    """Runs with the error facts that the record builders read."""
+    c = F.col
+    return T.graded_inputs(spark, sf).withColumns({
+        "profile": F.when(c("max_line") > 4, " Quality ").when(c("max_line") > 2, "odd"),
+        "gpu_requested": c("max_line") > 3, "gpu_used": c("max_discount") > 0.06,
+        "warnings": F.lit(None).cast("array<string>"), "engine": F.lit("colmap"),
+        "stage_timings_seconds": F.create_map(
+            F.lit("mapper"), c("qty"), F.lit("stereo_fusion"), c("max_discount") - 0.05,
+            F.lit("poisson_mesher"), c("qty") / 4.0, F.lit("model_converter_txt"), c("max_discount")),
+        "cameras_reconstructed": c("camera_count"), "points3D_count": c("point_3d_count"),
+        "failure_reason": F.when(c("status") == "failed", F.concat(F.lit("Tiempo de espera en "), c("failed_stage"))),
+        "error_stage": F.when(c("run_id") % 3 == 0, c("failed_stage")).when(c("run_id") % 3 == 1, " "),
+        "error_reason_code": F.when(c("run_id") % 4 == 0, "colmap_unavailable"),
+        "error_retryable": F.when(c("run_id") % 5 == 0, c("run_id") % 2 == 0),
+        "progress": F.when(c("run_id") % 2 == 0, c("max_discount")), "status_message": F.lit("msg"),
+        "images_dir": F.concat(F.lit("in/"), c("project_id").cast("string")), "failed_command": F.lit(""),
+        "model_path": F.when(c("max_line") > 5, "out/box.glb"),
+    })
+
+
+def engine_report(spark, sf):
+    out = B.engine_report(_failing(spark, sf))
+    return out.select(*[n for n in out.columns if n not in ("stage_timings_by_phase", "warnings")],
+                      "stage_timings_by_phase.mapper", "stage_timings_by_phase.dense", "stage_timings_by_phase.matcher",
+                      F.size("warnings").alias("warning_count"))
+
+
+def failure_record(spark, sf):
+    out = B.failure_record(_failing(spark, sf).filter(F.col("status") == "failed"))
+    return out.select(*[n for n in out.columns if n != "error"], F.col("error.code").alias("error_code"), F.concat_ws(
+        ",", F.array_sort(F.map_keys("error.resources"))).alias("resources"))
+
+
+def fallback_record(spark, sf):
+    return B.fallback_record(_failing(spark, sf).filter("fallback_used")).withColumn("limitations", F.size("limitations"))
+
+
+def project_events(spark, sf):
+    c = F.col
+    return B.apply_event(_named(T.runs(spark, sf)).withColumns({
+        "event": F.element_at(F.array(*[F.lit(e) for e in ("start", "update", "complete", "fail")]), (c("run_id") % 4 + 1).cast("int")),
+        "image_count": c("selected_images"), "requested_format": F.lit("obj"), "new_model": F.lit("new.obj"),
+        "reason": F.lit("sin memoria")}))
+
+
 QUERIES = {
     "run_stats_by_scope": _stats,
     "run_stats_by_key": stats_by_key,
@@ -341,6 +388,10 @@ QUERIES = {
     "evidence_manifest": evidence_manifest,
     "latest_project": latest_project,
     "texture_strategy": texture_strategy,
+    "engine_report": engine_report,
+    "failure_record": failure_record,
+    "fallback_record": fallback_record,
+    "project_events": project_events,
 }
 
 
@@ -650,6 +701,38 @@ FROM expected e LEFT JOIN found f ON e.project_id = f.project_id AND e.label = f
     "latest_project": f"""WITH {T.RUNS_SQL}
 SELECT project_id, coalesce(CASE WHEN max_line > 1 THEN generated_at END, TIMESTAMP '1990-01-01') AS seen_at
 FROM runs ORDER BY seen_at DESC, project_id LIMIT 1""",
+    "engine_report": f"""WITH {T.GRADED_SQL}
+SELECT run_id, project_id, CASE WHEN max_line > 4 THEN 'quality' ELSE 'balanced' END AS profile, max_line > 3 AS gpu_requested,
+  status <> 'failed' AND max_discount > 0.06 AS gpu_used, status <> 'failed' AND sparse_exists AS sparse_created,
+  CASE WHEN status = 'failed' THEN 0 ELSE total_images_loaded END AS cameras_reconstructed,
+  CASE WHEN status = 'failed' THEN 0 ELSE q * 10 END AS points3D_count, coalesce(registered, 0) AS images_registered,
+  fallback_used, 'Tiempo de espera en ' || failed_stage AS failure_reason, qty AS mapper,
+  {T.half_up('greatest(0.0::DOUBLE, max_discount - 0.05::DOUBLE) + qty / 4.0::DOUBLE', 3)} AS dense, 0.0::DOUBLE AS matcher,
+  CASE WHEN status = 'failed' THEN 2 ELSE 0 END AS warning_count FROM graded4""",
+    "failure_record": f"""WITH {T.RUNS_SQL}, f AS (SELECT *, CASE WHEN run_id % 3 = 0 THEN failed_stage END AS ex,
+    CASE WHEN run_id % 4 = 0 THEN 'colmap_unavailable' ELSE reason_code END AS code FROM runs WHERE status = 'failed'),
+r AS (SELECT *, CASE WHEN run_id % 5 = 0 THEN run_id % 2 = 0 ELSE code NOT IN ('input_validation_failed',
+    'input_selection_failed', 'colmap_unavailable') END AS re FROM f)
+SELECT run_id, project_id, code AS reason_code, coalesce(ex, current_stage) AS failed_stage, coalesce(ex, 'failed') AS current_stage,
+  'failed' AS stage_status, CASE WHEN run_id % 2 = 0 THEN max_discount ELSE 0.0::DOUBLE END AS progress,
+  CASE WHEN ex IS NOT NULL THEN 'msg' ELSE 'Procesamiento fallido.' END AS status_message,
+  'Tiempo de espera en ' || failed_stage AS failure_reason, re AS retryable, re AS can_retry, code AS error_code,
+  'images_dir' || CASE WHEN max_line > 5 THEN ',model_path' ELSE '' END AS resources FROM r""",
+    "fallback_record": f"""WITH {T.RUNS_SQL}
+SELECT run_id, project_id, CASE WHEN run_id % 4 = 0 THEN 'colmap_unavailable' ELSE 'processing_failed' END AS reason_code,
+  NULL::VARCHAR AS reason_message, CASE WHEN max_line > 4 THEN 'quality' WHEN max_line > 2 THEN 'odd' ELSE 'balanced' END AS profile,
+  'colmap' AS engine_attempted, 'primitive_box_academic_fallback' AS fallback_type, selected_images AS images_used,
+  3 AS limitations, CASE WHEN max_line > 5 THEN 'out/box.glb' END AS generated_model_path FROM runs WHERE fallback_used""",
+    "project_events": f"""WITH {NAMED_SQL}, e AS (SELECT *, (['start', 'update', 'complete', 'fail'])[run_id % 4 + 1] AS event FROM named),
+r AS (SELECT *, CASE WHEN event = 'start' THEN CASE WHEN status = 'processing' THEN 'El proyecto ya se encuentra en procesamiento.'
+    WHEN selected_images = 0 THEN 'Primero debes cargar imagenes antes de procesar.' END END AS refused FROM e),
+m AS (SELECT *, refused IS NULL AND event <> 'update' AS moved FROM r)
+SELECT run_id, project_id, event, CASE WHEN NOT moved THEN status ELSE CASE event WHEN 'start' THEN 'processing'
+    WHEN 'complete' THEN 'completed' ELSE 'failed' END END AS status, refused,
+  CASE WHEN moved AND event <> 'fail' THEN 'obj' ELSE output_format END AS output_format,
+  CASE WHEN moved THEN CASE WHEN event = 'complete' THEN 'new.obj' END ELSE model_filename END AS model_filename,
+  CASE WHEN moved THEN CASE WHEN event = 'fail' THEN 'sin memoria' END ELSE error_message END AS error_message,
+  moved OR (event = 'update' AND status = 'processing') AS touched FROM m""",
     "texture_strategy": f"""WITH {T.GRADED_SQL}, t AS (
   SELECT *, CASE WHEN max_line > 5 AND selected_images > 0 AND faces > 0 THEN 1 WHEN rejected_images > 0 THEN 2
     WHEN warning_images > 0 THEN 3 ELSE 4 END AS k, q * 10 AS pts FROM graded)

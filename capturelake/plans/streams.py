@@ -148,6 +148,7 @@ QUERIES = {
     "detect_keypoints": lambda s, d: K.image_keypoints(pages_as_images(s, d)).withColumn(
         "descriptor", F.round(F.aggregate("descriptor", F.lit(0.0), lambda a, v: a + F.abs(v)), 6)),
     "segment_objects": lambda s, d: K.segment_objects(pages_as_images(s, d)),
+    "segment_silhouettes": lambda s, d: K.segment_objects(pages_as_images(s, d), method="silhouette"),
     "reconstruct": lambda s, d: MP.M.reconstruct(
         MP.pairs(s, d), MP.keypoints(s, d), MP.images(MP.keypoints(s, d))),
 }

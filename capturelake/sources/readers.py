@@ -115,7 +115,7 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Report documents as VARIANT; files that hold no JSON object are dropped."""
-    rows = spark.read.option("wholetext", True).text(path).select(
+    rows = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value"))
     return rows.filter(F.trim("value").startswith("{")).select(
         "path", F.try_parse_json("value").alias("document")).filter(F.col("document").isNotNull())
