@@ -74,7 +74,7 @@ def nearest_hamming(df: DataFrame, keys: Sequence[str], hash_col: str = "dhash",
     distance 0 from each other, a lone hash has NULL.
     """
     keys = list(keys)
-    nodes = distinct_hashes(df, keys, hash_col)
+    nodes = durable(distinct_hashes(df, keys, hash_col))
 
     @F.pandas_udf("array<int>")
     def closest(hs: pd.Series, others: pd.Series, same: pd.Series) -> pd.Series:
@@ -149,8 +149,14 @@ def hamming_join(df: DataFrame, keys: Sequence[str], hash_col: str, radius: int,
     reported only for the first two bands it shares, so nothing is found
     twice. Buckets above ``bucket_rows`` go through tiles instead of the join.
     """
+    return _radius_pairs(durable(distinct_hashes(df, keys, hash_col).select(*keys, "hash")), keys, radius, bits,
+                         tile_rows, bucket_rows)
+
+
+def _radius_pairs(nodes: DataFrame, keys: Sequence[str], radius: int, bits: int, tile_rows: int = TILE_ROWS,
+                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The radius join over distinct hashes that are already stored."""
     keys = list(keys)
-    nodes = distinct_hashes(df, keys, hash_col).select(*keys, "hash")
     if radius > BAND_RADIUS:
         return _tile_join(nodes, keys, radius, tile_rows)
     layout = _band_layout(bits, radius + 2)
@@ -289,7 +295,7 @@ def dedupe_images(df: DataFrame, keys: Sequence[str], order: Sequence[Column], h
     ).select(*keys, "_h", c("_rep._ord").alias("_first"), c("_rep.id").alias("_rep_id"),
              c("_rep.digest").alias("_rep_digest"))
     nodes = durable(running_total(nodes, keys, [c("_first")], "_pos", hot_rows=hot_rows))
-    pairs = durable(hamming_join(nodes, keys, "_h", radius, bits))
+    pairs = durable(_radius_pairs(nodes.select(*keys, c("_h").alias("hash")), keys, radius, bits))
     side = nodes.select(*keys, "_h", "_pos")
     located = pairs.join(side.select(*keys, c("_h").alias("a"), c("_pos").alias("_pa")), [*keys, "a"]).join(
         side.select(*keys, c("_h").alias("b"), c("_pos").alias("_pb")), [*keys, "b"])
@@ -332,7 +338,7 @@ def dedupe_images(df: DataFrame, keys: Sequence[str], order: Sequence[Column], h
 def _similar_views(kept: DataFrame, keys: Sequence[str], radius: int, bits: int) -> DataFrame:
     """Closest earlier kept hash within the radius, for every kept hash that has one."""
     keys = list(keys)
-    pairs = hamming_join(kept, keys, "_h", radius, bits)
+    pairs = _radius_pairs(kept.select(*keys, F.col("_h").alias("hash")), keys, radius, bits)
     side = kept.select(*keys, "_h", "_pos", "_rep_id")
     at = pairs.join(side.select(*keys, F.col("_h").alias("a"), F.col("_pos").alias("_pa"), F.col("_rep_id").alias("_ia")),
                     [*keys, "a"]).join(

@@ -207,13 +207,13 @@ seg AS (SELECT image_id, project_id, name AS filename,
 def attach_validation(spark, sf):
     val = gated(spark, sf).withColumn("path", F.concat(F.lit("in/"), "name"))
     cand = T.images(spark, sf).select("image_id", F.concat(F.lit("in/"), "name").alias("path"))
-    known = val.filter(c("image_id") % 4 > 0)
+    known = val.filter(c("brightness") >= 0.495)
     return I.attach_validation(cand, known).withColumn("warning_reasons", F.concat_ws("|", "warning_reasons"))
 
 
 def attach_segmentation(spark, sf):
     seg = segmentation(spark, sf)
-    again = seg.filter(c("image_id") % 3 == 0).withColumns({
+    again = seg.filter(c("foreground_ratio") > 0.3).withColumns({
         "filename": F.upper("filename"), "foreground_ratio": F.lit(0.5), "image_id": c("image_id") + 100_000_000})
     records = seg.unionByName(again).select("filename", "image_id", "status", "foreground_ratio")
     return I.attach_segmentation(T.images(spark, sf).select("image_id", "name").withColumnRenamed("image_id", "id"),
@@ -358,7 +358,7 @@ QUERIES = {
     "attach_validation": attach_validation,
     "attach_segmentation": attach_segmentation,
     "attach_foreground": lambda s, d: I.attach_foreground(
-        T.images(s, d).select("image_id", "name"), segmentation(s, d).filter(c("image_id") % 2 == 1)),
+        T.images(s, d).select("image_id", "name"), segmentation(s, d).filter(c("status") == "segmented")),
     "quality_score": lambda s, d: rounded(scored(s, d).select("image_id", "project_id", "quality_score")),
     "rank_by_quality": lambda s, d: I.rank_by_quality(
         rounded(scored(s, d).select("image_id", "project_id", "name", "quality_score"))),
@@ -428,13 +428,13 @@ SELECT i.image_id, 'in/' || i.name AS path, coalesce(j.status, 'apta') AS status
   coalesce(array_to_string(warning_reasons, '|'), '') AS warning_reasons, coalesce(j.width, 0) AS width,
   coalesce(j.height, 0) AS height, coalesce(j.pixel_count, 0) AS pixel_count, coalesce(brightness, 0) AS brightness,
   coalesce(sharpness, 0) AS sharpness
-FROM images i LEFT JOIN judged j ON i.image_id = j.image_id AND j.image_id % 4 > 0""",
+FROM images i LEFT JOIN judged j ON i.image_id = j.image_id AND j.brightness >= 0.495::DOUBLE""",
     "attach_segmentation": f"""WITH {SEG_SQL}
-SELECT i.image_id AS id, i.name, status, CASE WHEN s.image_id % 3 = 0 THEN 0.5::DOUBLE ELSE foreground_ratio END
+SELECT i.image_id AS id, i.name, status, CASE WHEN foreground_ratio > 0.3::DOUBLE THEN 0.5::DOUBLE ELSE foreground_ratio END
   AS foreground_ratio FROM images i LEFT JOIN seg s ON i.image_id = s.image_id""",
     "attach_foreground": f"""WITH {SEG_SQL}
 SELECT i.image_id, i.name, coalesce(foreground_ratio, 0.25::DOUBLE) AS foreground_ratio
-FROM images i LEFT JOIN seg s ON i.image_id = s.image_id AND s.image_id % 2 = 1""",
+FROM images i LEFT JOIN seg s ON i.image_id = s.image_id AND s.status = 'segmented'""",
     "quality_score": f"WITH {SCORED_SQL} SELECT image_id, project_id, round(quality_score, 6) AS quality_score FROM scored",
     "rank_by_quality": f"""WITH {SCORED_SQL}, r AS (SELECT image_id, project_id, name, round(quality_score, 6) AS quality_score
   FROM scored)
@@ -601,6 +601,25 @@ SELECT project_id, greatest(0, 45 - n) AS missing_for_45, greatest(0, 60 - n) AS
   CASE WHEN pd >= 0.3 OR pa >= 0.45 THEN 'quality' ELSE 'balanced' END AS recommended_profile FROM q3""",
 }
 
+# The greedy order is walked image by image with the kept hashes as state.
+ORACLES["dedupe_images"] = f"""WITH RECURSIVE {METRICS_SQL},
+o AS (SELECT image_id, project_id, name, phash,
+    row_number() OVER (PARTITION BY project_id ORDER BY {_NAMEORD}) AS pos FROM metrics),
+walk AS (
+  SELECT DISTINCT project_id, 0::BIGINT AS pos, []::STRUCT(h BIGINT, id BIGINT)[] AS held, NULL::STRUCT(d BIGINT, i BIGINT) AS near
+    FROM o
+  UNION ALL
+  SELECT project_id, pos, CASE WHEN coalesce(near.d <= 2, false) THEN held
+    ELSE list_append(held, {{'h': phash, 'id': image_id}}) END, near
+  FROM (SELECT w.project_id, o.pos, o.phash, o.image_id, w.held, list_sort(list_transform(range(1, len(w.held) + 1),
+      lambda i: {{'d': bit_count(xor(w.held[i].h, o.phash))::BIGINT, 'i': i}}))[1] AS near
+    FROM walk w JOIN o ON o.project_id = w.project_id AND o.pos = w.pos + 1))
+SELECT o.image_id, o.project_id, o.name, o.phash, NOT coalesce(near.d <= 2, false) AS kept,
+  CASE WHEN near.d <= 3 THEN held[near.i].id END AS duplicate_of,
+  CASE WHEN near.d <= 3 THEN near.d::INT END AS duplicate_distance,
+  CASE WHEN near.d <= 2 THEN 'duplicate_near' WHEN near.d <= 3 THEN 'similar_view' END AS duplicate_kind
+FROM walk JOIN o USING (project_id, pos)"""
+
 _COVERAGE = ORACLES["coverage_summary"].split("WITH ", 1)[1]
 ORACLES["batch_gate"] = f"""WITH cover AS (WITH {_COVERAGE}), {GATED_SQL},
 s AS (SELECT project_id, count(*) AS total_images, count(*) FILTER (status = 'apta') AS valid_images,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clouds as C
 from ..operators import meshes as M
+from ..operators.scale import neighbours, running_total
 from ..session import durable
 from ..sources import readers
 from . import tables as T
@@ -104,19 +104,20 @@ grouped AS (SELECT cloud_id, f_idx, a, b, c, CASE
 
 
 def _colors(spark, sf):
-    """Colour lists: every third point of a cloud."""
-    pts = points(spark, sf)
-    return pts.filter(c("idx") % 3 == 0).select("cloud_id", (c("idx") / 3).cast("bigint").alias("c_idx"), "r", "g", "b")
+    """Colour lists: the points of a cloud that are not too red, in cloud order."""
+    pts = points(spark, sf).filter(c("r") <= 120)
+    return running_total(pts, ["cloud_id"], [c("idx")], "c_idx").select("cloud_id", "c_idx", "r", "g", "b")
 
 
 COLORS_SQL = MESH_SQL + """,
-colors AS (SELECT cloud_id, idx // 3 AS c_idx, r, g, b FROM points WHERE idx % 3 = 0),
+colors AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY idx) - 1 AS c_idx, r, g, b FROM points
+  WHERE r <= 120),
 n_colors AS (SELECT cloud_id, count(*) AS k FROM colors GROUP BY cloud_id)"""
 
 
 def nearest(spark, sf):
     v = durable(vertices(spark, sf)).withColumns({"x": c("x") + 0.25, "y": c("y") - 0.5, "z": c("z") + 0.1})
-    pts = points(spark, sf).filter(c("idx") % 2 == 0)
+    pts = points(spark, sf).filter(c("b") < 200)
     return rounded(C.nearest_attribute(v, pts, ["r", "g", "b"]).select(
         "cloud_id", "v_idx", "distance", "idx", "r", "g", "b"))
 
@@ -126,8 +127,8 @@ def densified(spark, sf):
 
 
 def palette(spark, sf):
-    """Six colours per cloud from its first points."""
-    return points(spark, sf).filter(c("idx") < 4).select("cloud_id", c("idx").alias("slot"), "r", "g", "b")
+    """Six colours per cloud: those of its first points."""
+    return C.cap_rows(points(spark, sf), 6).select("cloud_id", c("idx").alias("slot"), "r", "g", "b")
 
 
 def sizes_of_boxes(spark, sf):
@@ -140,8 +141,6 @@ def sizes_of_boxes(spark, sf):
 
 def neighbourhood(spark, sf):
     """Positions of the points before and after in cloud order."""
-    from ..operators.scale import neighbours
-
     near = neighbours(points(spark, sf).select("cloud_id", "idx", "x"), ["cloud_id"], [c("idx")],
                       {"before_x": (c("x"), -1), "after_x": (c("x"), 1)})
     return near
@@ -193,7 +192,7 @@ QUERIES = {
     "sparse_points": sparse_text,
 }
 
-_PAL = "(SELECT cloud_id, idx AS slot, r, g, b FROM points WHERE idx < 4)"
+_PAL = "(SELECT cloud_id, idx AS slot, r, g, b FROM points WHERE idx < 6)"
 
 ORACLES = {
     "cap_rows": f"WITH {T.POINTS_SQL} SELECT * FROM points WHERE idx < 40",
@@ -325,7 +324,7 @@ JOIN colors q ON q.cloud_id = v.cloud_id AND q.c_idx = floor(v.v_idx * (k - 1) /
     "nearest_attribute": f"""WITH {MESH_SQL}, moved AS (
   SELECT cloud_id, v_idx, x + 0.25::DOUBLE AS x, y - 0.5::DOUBLE AS y, z + 0.1::DOUBLE AS z FROM vertices),
 pairs AS (SELECT v.cloud_id, v.v_idx, (v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y) + (v.z - p.z) * (v.z - p.z)
-    AS d2, p.idx, p.r, p.g, p.b FROM moved v JOIN points p ON p.cloud_id = v.cloud_id AND p.idx % 2 = 0)
+    AS d2, p.idx, p.r, p.g, p.b FROM moved v JOIN points p ON p.cloud_id = v.cloud_id AND p.b < 200)
 SELECT cloud_id, v_idx, round(sqrt(m.d2), 6) AS distance, m.idx AS idx, m.r AS r, m.g AS g, m.b AS b FROM (
   SELECT cloud_id, v_idx, min({{'d2': d2, 'idx': idx, 'r': r, 'g': g, 'b': b}}) AS m FROM pairs GROUP BY ALL)""",
     "point_neighbours": f"""WITH {T.POINTS_SQL}

@@ -19,14 +19,17 @@ LOG_PATTERNS = {
 
 
 def uploads(spark, sf):
+    """Documents with a label count as stored, the others as incoming."""
     docs = T.load(spark, sf, "documents").select(
         c("source").alias("project_id"), c("doc_id").alias("upload_id"), c("text").alias("content"), "lang")
-    return docs.filter(c("upload_id") % 3 > 0), docs.filter(c("upload_id") % 3 == 0)
+    labelled = T.load(spark, sf, "labels").select(c("doc_id").alias("upload_id"))
+    return docs.join(labelled, "upload_id", "left_anti"), docs.join(labelled, "upload_id", "left_semi")
 
 
 UPLOADS_SQL = """
 up AS (SELECT source AS project_id, doc_id AS upload_id, sha256(text) AS sha256, lang FROM documents),
-incoming AS (SELECT * FROM up WHERE upload_id % 3 > 0), stored AS (SELECT * FROM up WHERE upload_id % 3 = 0),
+incoming AS (SELECT * FROM up WHERE upload_id NOT IN (SELECT doc_id FROM labels)),
+stored AS (SELECT * FROM up WHERE upload_id IN (SELECT doc_id FROM labels)),
 added AS (SELECT * FROM incoming i WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.project_id = i.project_id AND s.sha256 = i.sha256)
   QUALIFY row_number() OVER (PARTITION BY project_id, sha256 ORDER BY upload_id) = 1)"""
 
