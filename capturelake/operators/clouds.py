@@ -309,53 +309,6 @@ def linspace_assign(vertices: DataFrame, colors: DataFrame, hot_rows: int = HOT_
     return sized.withColumn("c_idx", place).join(colors, [*KEY, "c_idx"], "left").drop("_colors", "_rows")
 
 
-def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequence[str],
-                      per_cell: float = 8.0, max_rings: int = 12) -> DataFrame:
-    """Attributes of the nearest point (lowest idx on ties) for every vertex.
-
-    Points are hashed into cubic cells sized for about ``per_cell`` points
-    each. A vertex first looks at its own and the adjacent cells; it is
-    settled once the best distance is within the ring already searched, and
-    only unsettled vertices look one ring further, so the result is exact.
-    A vertex unsettled after ``max_rings`` doublings of the cell size never
-    occurs: by then one ring covers the whole cloud.
-    """
-    c = F.col
-    box = points.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.greatest(*[F.max(a) - F.min(a) for a in AXES], F.lit(1e-9)).alias("_ext"))
-    cell = (c("_ext") / F.greatest(F.pow(c("_n") / per_cell, F.lit(1.0 / 3.0)), F.lit(1.0))).alias("_cell")
-    grid = box.select(*KEY, "_n", cell)
-    pts = attach(points.select(*KEY, "idx", *AXES, *attributes), grid, KEY, c("_n"), shape=measure(points, KEY))
-    sizes = vertices.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_v")).join(grid.select(*KEY, "_cell"), KEY)
-    todo = attach(vertices.select(*KEY, "v_idx", *AXES), sizes, KEY, c("_v"), shape=measure(vertices, KEY))
-    settled: list[DataFrame] = []
-    near = ("idx", *attributes)
-    for level in range(max_rings):
-        size = c("_cell") * float(2 ** level)
-        key_cols = [F.floor(c(a) / size).alias(f"_g{a}") for a in AXES]
-        here = pts.select(*KEY, *key_cols, *[c(a).alias(f"p{a}") for a in AXES], *near)
-        steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-        looks = todo.select("*", *key_cols)
-        for a in AXES:
-            looks = looks.withColumn(f"_s{a}", F.explode(steps)).withColumn(f"_g{a}", c(f"_g{a}") + c(f"_s{a}"))
-        joined = looks.join(here, [*KEY, "_gx", "_gy", "_gz"], "left")
-        d2 = sum(((c(a) - c(f"p{a}")) * (c(a) - c(f"p{a}")) for a in AXES), F.lit(0.0))
-        best = joined.groupBy(*KEY, "v_idx", *AXES, "_cell").agg(
-            F.min(F.when(c("px").isNotNull(), F.struct(d2.alias("d2"), *near))).alias("_b"))
-        # The 3x3x3 block reaches at least one cell beyond the vertex.
-        done = F.coalesce(c("_b.d2") <= size * size, F.lit(False))
-        best = durable(best)
-        settled.append(best.filter(done).select(
-            *KEY, "v_idx", F.sqrt("_b.d2").alias("distance"), *[c(f"_b.{n}").alias(n) for n in near]))
-        todo = best.filter(~done).drop("_b")
-        if todo.isEmpty():
-            break
-    else:
-        raise RuntimeError("some vertices lie too far from every point; raise max_rings")
-    return reduce(DataFrame.unionByName, settled)
-
-
 def obj_lines(vertices: DataFrame, faces: DataFrame | None = None) -> DataFrame:
     """OBJ text rows per cloud with their order: vertices, then faces or points."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clouds as C
 from ..operators import meshes as M
+from ..operators.nearest import nearest_attribute
 from ..operators.scale import neighbours, running_total
 from ..session import durable
 from ..sources import readers
@@ -118,7 +119,7 @@ n_colors AS (SELECT cloud_id, count(*) AS k FROM colors GROUP BY cloud_id)"""
 def nearest(spark, sf):
     v = durable(vertices(spark, sf)).withColumns({"x": c("x") + 0.25, "y": c("y") - 0.5, "z": c("z") + 0.1})
     pts = points(spark, sf).filter(c("b") < 200)
-    return rounded(C.nearest_attribute(v, pts, ["r", "g", "b"]).select(
+    return rounded(nearest_attribute(v, pts, ["r", "g", "b"]).select(
         "cloud_id", "v_idx", "distance", "idx", "r", "g", "b"))
 
 

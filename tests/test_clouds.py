@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from capturelake.operators import clouds as C
 from capturelake.operators import meshes as M
+from capturelake.operators.nearest import nearest_attribute
 
 
 def cloud(spark, n=90, seed=3, far=4):
@@ -67,13 +68,19 @@ def test_normalised_bounds(spark):
 
 
 def test_nearest_point_is_exact(spark):
-    pts = cloud(spark, n=120, seed=5).withColumn("r", F.col("idx").cast("int"))
+    """Spread points, a dense clump of them and copies of one position."""
+    spread = cloud(spark, n=300, seed=5)
+    clump = cloud(spark, n=300, seed=7).select("cloud_id", (F.col("idx") + 1000).alias("idx"), *[
+        (F.col(a) / 1e4 + 0.3).alias(a) for a in "xyz"])
+    copies = spread.filter("idx < 3").select("cloud_id", (F.col("idx") + 5000).alias("idx"), "x", "y", "z")
+    pts = spread.unionByName(clump).unionByName(copies).withColumn("r", F.col("idx").cast("int"))
     vertices = cloud(spark, n=80, seed=6).withColumnRenamed("idx", "v_idx")
-    got = {(r.cloud_id, r.v_idx): r.idx for r in C.nearest_attribute(vertices, pts, ["r"], max_rings=20).collect()}
+    got = {(r.cloud_id, r.v_idx): (r.idx, r.r) for r in nearest_attribute(vertices, pts, ["r"]).collect()}
     p = by_cloud(pts)
+    names = {k: g.sort_values("idx").idx.tolist() for k, g in pts.toPandas().groupby("cloud_id")}
     for k, v in by_cloud(vertices.withColumnRenamed("v_idx", "idx")).items():
-        d = ((v[:, None] - p[k][None]) ** 2).sum(axis=2)
-        assert [got[k, i] for i in range(len(v))] == d.argmin(axis=1).tolist()
+        best = ((v[:, None] - p[k][None]) ** 2).sum(axis=2).argmin(axis=1)
+        assert [got[k, i] for i in range(len(v))] == [(names[k][b], names[k][b]) for b in best]
 
 
 CORNERS = [(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)]
