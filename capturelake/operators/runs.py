@@ -458,24 +458,27 @@ def profile_summary(rows: DataFrame) -> DataFrame:
 
 
 def history_overview(history: DataFrame, n: int = 10) -> DataFrame:
-    """Counts by class and profile, top datasets by mean points and by real successes."""
-    c = F.col
-
-    def rows(section: str, key: Column, value: Column, source: DataFrame) -> DataFrame:
-        return source.groupBy(group_key(key).alias("key")).agg(value.cast("double").alias("value")).select(
-            F.lit(section).alias("section"), "key", F.round("value", 2).alias("value"))
+    """Counts by class and profile, top datasets by mean points and by real successes.
 
-    count = F.count(F.lit(1))
-    best = rows("success_real_by_dataset", c("dataset_path"), count,
-                history.filter(c("quality_classification") == "success_real"))
-    mean = rows("mean_points_by_dataset", c("dataset_path"),
-                F.avg(F.coalesce(c("points3D_count"), F.lit(0))), history)
+    The history is read once, into counts and point sums per class, profile and dataset.
+    """
+    c = F.col
+    fine = durable(history.groupBy(
+        group_key(c("quality_classification")).alias("class"), group_key(c("profile")).alias("profile"),
+        group_key(c("dataset_path")).alias("dataset"),
+    ).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce(c("points3D_count"), F.lit(0))).alias("_points")))
+
+    def rows(section: str, key: str, value: Column, source: DataFrame = fine) -> DataFrame:
+        return source.groupBy(c(key).alias("key")).agg(F.round(value.cast("double"), 2).alias("value")).select(
+            F.lit(section).alias("section"), "key", "value")
+
+    count = F.sum("_n")
+    best = rows("success_real_by_dataset", "dataset", count, fine.filter(c("class") == "success_real"))
+    mean = rows("mean_points_by_dataset", "dataset", F.sum("_points") / F.sum("_n"))
     order = [F.desc("value"), F.col("key")]
     return (
-        rows("class", c("quality_classification"), count, history)
-        .unionByName(rows("profile", c("profile"), count, history))
-        .unionByName(best.orderBy(*order).limit(n))
-        .unionByName(mean.orderBy(*order).limit(n))
+        rows("class", "class", count).unionByName(rows("profile", "profile", count))
+        .unionByName(best.orderBy(*order).limit(n)).unionByName(mean.orderBy(*order).limit(n))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -96,11 +97,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def read_report_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A report table with a header, all text; a missing path gives no rows."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
-    if not exists:
+    try:
+        return spark.read.option("header", True).schema(schema).csv(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.option("header", True).schema(schema).csv(path)
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
