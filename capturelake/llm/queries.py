@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import load
+from .packing import pack
+from .quality_rules import quality_rules
 from .simhash import simhash_components
 
 
@@ -13,5 +15,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(load(spark, sf, "documents"))
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return pack(load(spark, sf, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, line faults and verdicts of all documents."""
+    return quality_rules(load(spark, sf, "documents"), ["doc_id"], with_text=False)
+
+
+QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op4_packing": op4_packing, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
