@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import load
+from .license_scan import license_labels, scan_licenses
 from .packing import pack
 from .quality_rules import quality_rules
 from .simhash import simhash_components
@@ -20,10 +21,20 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(load(spark, sf, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence phrases and covered licence templates of all documents."""
+    return license_labels(scan_licenses(load(spark, sf, "documents"), ["doc_id"]), ["doc_id"])
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts, line faults and verdicts of all documents."""
     return quality_rules(load(spark, sf, "documents"), ["doc_id"], with_text=False)
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup, "op4_packing": op4_packing, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_packing": op4_packing,
+    "op7_license_scan": op7_license_scan,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLES: dict[str, str] = {}
