@@ -42,6 +42,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
             " disclaimer"),
     ("cc-by-4.0", "licensed under the Creative Commons Attribution 4.0 International License"),
     ("cc-by-4.0", "CC BY 4.0"),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "licensed under the Creative Commons Attribution ShareAlike"),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this"
                 " work"),
