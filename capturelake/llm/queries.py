@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.tables import load
+from ..session import scratch_path
+from .archives import arc_to_warc, read_warc, write_arc
 from .license_scan import license_labels, scan_licenses
 from .packing import pack
 from .quality_rules import quality_rules
@@ -31,10 +33,33 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules(load(spark, sf, "documents"), ["doc_id"], with_text=False)
 
 
+def op10_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages put into ARC files, converted to WARC, and read back."""
+    arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    write_arc(load(spark, sf, "pages"), arc, "page_id", "url", "html")
+    arc_to_warc(spark, arc, warc)
+    return read_warc(spark, warc).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_packing": op4_packing,
     "op7_license_scan": op7_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_archives": op10_archives,
+}
+ORACLES = {
+    "op10_archives": """
+        WITH p AS (
+          SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+          FROM pages
+        ), f AS (
+          SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS least
+          FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to, TRUE AS intact
+        FROM f
+    """,
 }
-ORACLES: dict[str, str] = {}
