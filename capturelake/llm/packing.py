@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -26,7 +27,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 #: Tokens of a full sequence, the id that ends a document, and the windows that are balanced together.
 CAPACITY, END, WINDOWS = 4096, 2, 64
 #: Word forms whose ids a worker keeps at once, and the longest it keeps (in bytes).
-KEPT_FORMS, KEPT_BYTES = 300_000, 64
+KEPT_FORMS, KEPT_BYTES = 1_200_000, 64
+END_MARKS = ".,;:!?"
+_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[.,;:!?]+(?=[ \t-\r]|\Z)")
 FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -50,33 +53,70 @@ def _tokenizer(path: str | None):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the rest for letters from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids (little-endian unsigned 32-bit) of whole texts, equal to encoding them in one piece.
+    """Ids (little-endian unsigned 32-bit) of whole texts, equal to encoding each in one piece.
 
     This vocabulary drops white space and no token or normalisation reaches
     across it, so a text's ids are those of its parts between ASCII white
-    space, and those of frequent parts are kept.
+    space. Each form is encoded once and kept while there is room. A form of
+    Latin letters, with or without marks at its end, goes to the tokenizer's
+    model directly, as letters and end marks are always parted; other forms
+    pass the whole tokenizer.
     """
 
     def __init__(self, path: str | None) -> None:
         self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
 
-    def learn(self, texts: Sequence[bytes]) -> None:
+    def ids(self, texts: Sequence[bytes]) -> Iterator[bytes]:
         if len(self.known) > KEPT_FORMS:
             self.known.clear()
-        fresh = [x for x in set().union(*(t.split() for t in texts)) if x not in self.known and len(x) <= KEPT_BYTES]
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i:i + 4096]
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
-
-    def ids(self, text: bytes) -> bytes:
-        known = self.known
-        return b"".join([known[x] if x in known else self._long(x) for x in text.split()])
-
-    def _long(self, part: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        split = [self._parts(t) for t in texts]
+        for x in set().union(*split):
+            if x not in self.known and len(x) <= KEPT_BYTES:
+                self.known[x] = self._form(x)
+        find = self.known.__getitem__
+        for parts in split:
+            try:
+                yield b"".join(map(find, parts))
+            except KeyError:
+                yield b"".join([self.known.get(x) or self._whole(x.decode()) for x in parts])
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        # The tokenizer lower-cases and parts letters and digits from marks anyway; doing it first leaves fewer forms.
+        # Names of special tokens stay as they are.
+        return _TAIL.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split()
+
+    def _form(self, form: bytes) -> bytes:
+        text = form.decode()
+        word = text.rstrip(END_MARKS)
+        if not (word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)):
+            return self._whole(text)
+        raw = word.lower() if word.isascii() else word.lower().encode().decode("latin-1").translate(self.letters)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
+        if len(word) == len(text):
+            return ids
+        marks = text[len(word):].encode()
+        if marks not in self.known:
+            self.known[marks] = self._whole(marks.decode())
+        return ids + self.known[marks]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str | None) -> Encoder:
+    return Encoder(path)
 
 
 def differencing(sizes: Sequence[int], windows: int) -> list[list[int]]:
@@ -224,7 +264,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
     stop = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         packer = Packer(capacity, windows, cut, TaskContext.get().partitionId() << 40)
         kind = pa.null()
 
@@ -238,9 +278,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                encoder.learn(texts)
-                for doc, t in zip(part.column(0).to_pylist(), texts, strict=True):
-                    for rows in packer.add(doc, encoder.ids(t) + stop):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids(texts), strict=True):
+                    for rows in packer.add(doc, ids + stop):
                         yield table(rows)
         for rows in packer.end():
             yield table(rows)
