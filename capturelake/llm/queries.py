@@ -11,6 +11,7 @@ from .license_scan import license_labels, scan_licenses
 from .packing import pack
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .url_filter import judge_urls
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +24,11 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(load(spark, sf, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule and template verdicts of all page URLs."""
+    return judge_urls(load(spark, sf, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Licence phrases and covered licence templates of all documents."""
     return license_labels(scan_licenses(load(spark, sf, "documents"), ["doc_id"]), ["doc_id"])
@@ -45,6 +51,7 @@ def op10_archives(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_packing": op4_packing,
+    "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_archives": op10_archives,
