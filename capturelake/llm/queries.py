@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.tables import load
 from ..session import scratch_path
 from .archives import arc_to_warc, read_warc, write_arc
+from .decontamination import overlaps
 from .license_scan import license_labels, scan_licenses
 from .packing import pack
 from .quality_rules import quality_rules
@@ -19,6 +20,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(load(spark, sf, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold passages of benchmark items."""
+    return overlaps(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return pack(load(spark, sf, "documents"))
@@ -50,6 +56,7 @@ def op10_archives(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
