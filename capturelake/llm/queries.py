@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.tables import load
 from ..session import scratch_path
@@ -11,6 +12,7 @@ from .decontamination import overlaps
 from .license_scan import license_labels, scan_licenses
 from .packing import pack
 from .quality_rules import quality_rules
+from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .url_filter import judge_urls
 
@@ -30,6 +32,15 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(load(spark, sf, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate secrets of all documents with the forest's verdict."""
+    found = scan_secrets(load(spark, sf, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.col("at").alias("word_index"), F.char_length("candidate").alias("length"),
+        F.concat(F.substring("candidate", 1, 4), F.lit("...")).alias("preview"), F.sha2("candidate", 256).alias("candidate_sha256"),
+        "score", "secret")
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Rule and template verdicts of all page URLs."""
     return judge_urls(load(spark, sf, "pages"))
@@ -58,6 +69,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
     "op9_quality_rules": op9_quality_rules,
