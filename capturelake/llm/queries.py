@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.tables import load
 from ..session import scratch_path
 from .archives import arc_to_warc, read_warc, write_arc
+from .chat_format import rotate_perspectives
 from .decontamination import overlaps
 from .license_scan import license_labels, scan_licenses
 from .packing import pack
@@ -22,6 +23,13 @@ def op1_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(load(spark, sf, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation from the perspective of each participant; masks as start+length."""
+    rendered = rotate_perspectives(load(spark, sf, "conversations"))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",")
+    return rendered.select("conv_id", "perspective", "segment", "n_turns", "text", mask.alias("mask"))
+
+
 def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold passages of benchmark items."""
     return overlaps(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
@@ -67,6 +75,7 @@ def op10_archives(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
@@ -76,6 +85,31 @@ QUERIES = {
     "op10_archives": op10_archives,
 }
 ORACLES = {
+    "op2_chat_format": """
+        WITH t AS (
+          SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[\\s<|>]+', '_', 'g') AS speaker,
+                 replace(coalesce(text, ''), '<|', '< |') AS words
+          FROM conversations
+        ), i AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, words) - 1 AS idx FROM t
+        ), p AS (
+          SELECT DISTINCT conv_id, speaker AS perspective FROM i WHERE speaker <> 'system'
+        ), r AS (
+          SELECT i.conv_id, perspective, idx // 256 AS segment, idx, speaker = perspective AS own,
+                 '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker
+                   ELSE 'user name=' || speaker END || chr(10) AS head,
+                 words || '<|im_end|>' || chr(10) AS body
+          FROM i JOIN p ON i.conv_id = p.conv_id
+        ), s AS (
+          SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, segment ORDER BY idx) - length(body)
+                 AS start
+          FROM r
+        )
+        SELECT conv_id, perspective, CAST(segment AS BIGINT) AS segment, CAST(count(*) AS INTEGER) AS n_turns,
+               string_agg(head || body, '' ORDER BY idx) AS text,
+               coalesce(string_agg(CAST(start AS BIGINT) || '+' || length(body), ',' ORDER BY idx) FILTER (WHERE own), '') AS mask
+        FROM s GROUP BY conv_id, perspective, segment
+    """,
     "op10_archives": """
         WITH p AS (
           SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
