@@ -89,7 +89,7 @@ class Encoder:
             try:
                 yield b"".join(map(find, parts))
             except KeyError:
-                yield b"".join([self.known.get(x) or self._whole(x.decode()) for x in parts])
+                yield b"".join([self.known.get(x) or self._whole(x.decode("utf-8", "replace")) for x in parts])
 
     def _parts(self, text: bytes) -> list[bytes]:
         # The tokenizer lower-cases and parts letters and digits from marks anyway; doing it first leaves fewer forms.
@@ -97,7 +97,7 @@ class Encoder:
         return _TAIL.sub(rb" \g<0>", text if b"<|" in text else text.lower()).split()
 
     def _form(self, form: bytes) -> bytes:
-        text = form.decode()
+        text = form.decode("utf-8", "replace")
         word = text.rstrip(END_MARKS)
         if not (word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)):
             return self._whole(text)

@@ -83,7 +83,7 @@ def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
 
 
 def _word_chars(text: bytes) -> int:
-    return len(text.translate(None, SPACE).decode())
+    return len(text.translate(None, SPACE).decode("utf-8", "replace"))
 
 
 def judge(text: bytes | None, most_lost: float = MOST_LOST) -> tuple:
@@ -102,7 +102,7 @@ def judge(text: bytes | None, most_lost: float = MOST_LOST) -> tuple:
             again = line in seen
             repeats += again
             seen.add(line)
-            if again or line_fault(line.decode()):
+            if again or line_fault(line.decode("utf-8", "replace")):
                 failed += 1
                 lost += _word_chars(line)
                 continue
@@ -130,7 +130,7 @@ def quality_rules(df: DataFrame, keep: list[str], text: str = "text", most_lost:
 
     def make(texts: list[bytes | None]) -> list[pa.Array]:
         rows = [judge(t, most_lost) for t in texts]
-        return [pa.array([r[i] if kind != StringType() else r[i].decode() for r in rows], _ARROW[type(kind)])
+        return [pa.array([r[i] if kind != StringType() else r[i].decode("utf-8", "replace") for r in rows], _ARROW[type(kind)])
                 for i, (_, kind) in enumerate(fields)]
 
     return map_texts(df, text, keep, [StructField(prefix + name, kind) for name, kind in fields], make)

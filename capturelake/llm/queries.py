@@ -10,6 +10,7 @@ from ..session import scratch_path
 from .archives import arc_to_warc, read_warc, write_arc
 from .chat_format import rotate_perspectives
 from .decontamination import overlaps
+from .html_text import extract_text
 from .license_scan import license_labels, scan_licenses
 from .packing import pack
 from .quality_rules import quality_rules
@@ -59,6 +60,11 @@ def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_labels(scan_licenses(load(spark, sf, "documents"), ["doc_id"]), ["doc_id"])
 
 
+def op8_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Visible text of all pages, laid out."""
+    return extract_text(load(spark, sf, "pages"), ["page_id"])
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts, line faults and verdicts of all documents."""
     return quality_rules(load(spark, sf, "documents"), ["doc_id"], with_text=False)
@@ -81,6 +87,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
+    "op8_html_text": op8_html_text,
     "op9_quality_rules": op9_quality_rules,
     "op10_archives": op10_archives,
 }
