@@ -157,20 +157,23 @@ def trie_classes(values: np.ndarray, starts: np.ndarray, depth: int, budget: int
 
 def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Links of a partition sorted by (lead, pair, value), one star for each class of a subtree."""
+    rest = np.array([64 - b for b in LEAD_BITS], np.uint64)
 
     def links(lead, pair, value) -> Iterator[pa.RecordBatch]:
-        key = value >> np.array([64 - b for b in LEAD_BITS], np.uint64)[lead]
+        key = value >> rest[lead % len(LEADS)]
         cut = np.flatnonzero((lead[1:] != lead[:-1]) | (pair[1:] != pair[:-1]) | (key[1:] != key[:-1])) + 1
         starts = np.concatenate([[0], cut, [len(value)]])
         for k in np.unique(lead).tolist():
             i, j = np.searchsorted(lead, [k, k + 1])
             own = starts[(starts >= i) & (starts <= j)] - i
             values = value[i:j]
+            seed, k = divmod(k, len(LEADS))
             label = trie_classes(values, own, LEAD_BITS[k], budget)
             moved = np.flatnonzero(label != np.arange(len(label)))
             plain = _restored(values, ORDERS[k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(plain[moved].view(np.int64)), pa.array(plain[label[moved]].view(np.int64))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(moved), seed, np.int32)), pa.array(plain[moved].view(np.int64)),
+                pa.array(plain[label[moved]].view(np.int64))], names=["seed", "a", "b"])
 
     held, rows = [], 0
     for batch in batches:
@@ -179,7 +182,7 @@ def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
         if rows < ROWS:
             continue
         lead, pair, value = (np.concatenate(x) for x in zip(*held, strict=True))
-        shift = np.uint64(64 - LEAD_BITS[lead[-1]])
+        shift = rest[lead[-1] % len(LEADS)]
         whole = value.view(np.uint64)
         open_ = (lead == lead[-1]) & (pair == pair[-1]) & (whole >> shift == whole[-1] >> shift)
         cut = len(lead) - int(open_.sum())
@@ -193,18 +196,20 @@ def _walk(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordB
 
 
 def linked_fingerprints(distinct: DataFrame, budget: int = MAX_BITS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints ``fp`` differing in ``budget`` (at most four) or fewer bits.
+    """Links (seed, a, b) that connect all distinct fingerprints (seed, fp) of one seed differing in ``budget`` or fewer bits.
 
-    Each fingerprint enters one trie for each ordering of its blocks, and each
-    subtree under an agreeing lead is walked by itself. A crowded subtree is
-    cut into tiles; every pair of its tiles is a task, so that no link is lost
-    and no task holds more than two tiles.
+    At most four bits. Each fingerprint enters one trie for each ordering of
+    its blocks, and each subtree under an agreeing lead is walked by itself. A
+    crowded subtree is cut into tiles; every pair of its tiles is a task, so
+    that no link is lost and no task holds more than two tiles.
     """
     if budget > MAX_BITS:
         raise ValueError(f"the orderings find at most {MAX_BITS} differing bits")
-    spread = distinct.select("fp", F.posexplode(F.array(*[_ordered(F.col("fp"), o) for o in ORDERS])).alias("lead", "v"))
     rest = " ".join(f"WHEN {i} THEN {64 - b}" for i, b in enumerate(LEAD_BITS))
-    spread = spread.withColumn("key", F.expr(f"shiftrightunsigned(v, CASE lead {rest} END)"))
+    spread = distinct.select(
+        "seed", "fp", F.posexplode(F.array(*[_ordered(F.col("fp"), o) for o in ORDERS])).alias("k", "v")
+    ).select((F.col("seed") * len(LEADS) + F.col("k")).alias("lead"), "fp", "v",
+             F.expr(f"shiftrightunsigned(v, CASE k {rest} END)").alias("key"))
     crowded = (
         spread.groupBy("lead", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
         .select("lead", "key", F.ceil(F.col("n") / tile).cast("bigint").alias("tiles"))
@@ -216,14 +221,15 @@ def linked_fingerprints(distinct: DataFrame, budget: int = MAX_BITS, tile: int =
         F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).cast("bigint").alias("pair")
     dealt = placed.select("lead", "key", pair, "v").repartition("lead", "key", "pair").sortWithinPartitions(
         "lead", "pair", "key", "v").select("lead", "pair", "v")
-    return dealt.mapInArrow(lambda batches: _walk(batches, budget), "a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: _walk(batches, budget), "seed int, a bigint, b bigint")
 
 
 def near_duplicates(fingerprints: DataFrame, budget: int = MAX_BITS, tile: int = TILE) -> DataFrame:
     """Rows (fp, component_id) for each distinct ``fp`` of (id, fp): the smallest id reachable over links."""
     key, fp = fingerprints.columns
     first = durable(fingerprints.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least")))
-    roots = components(linked_fingerprints(first.select("fp"), budget, tile))
+    links = linked_fingerprints(first.select(F.lit(0).alias("seed"), "fp"), budget, tile)
+    roots = components(links.select("a", "b"))
     named = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "least")
     by_root = named.groupBy("root").agg(F.min("least").alias("whole"))
     moved = named.join(by_root, "root").select(F.col("node").alias("fp"), "whole")
