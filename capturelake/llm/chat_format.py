@@ -45,7 +45,8 @@ def rotate_perspectives(df: DataFrame, conversation: str = "conv_id", turn: str
                         system_roles: Sequence[str] = SYSTEM_ROLES, segment: int = SEGMENT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows (conversation, perspective, segment, turns, text, spans); the spans of trained characters are relative to the text."""
     rows = df.select(
-        F.col(f"`{conversation}`").alias("conv"), F.col(f"`{turn}`").alias("turn"),
+        # A structure is never null itself, so the conversation without an id joins like any other.
+        F.struct(F.col(f"`{conversation}`").alias("id")).alias("conv"), F.col(f"`{turn}`").alias("turn"),
         F.regexp_replace(F.coalesce(F.col(f"`{role}`"), F.lit("unknown")), r"[\s<|>]+", "_").alias("speaker"),
         plain(F.col(f"`{text}`")).alias("words"))
     placed = running_total(rows, ["conv"], [F.col("turn"), F.col("speaker"), F.col("words")], "idx", hot_rows=hot_rows)
@@ -55,7 +56,7 @@ def rotate_perspectives(df: DataFrame, conversation: str = "conv_id", turn: str
     )
     people = rows.filter(~F.col("speaker").isin(*system_roles)).groupBy(F.col("conv").alias("whose"), "speaker").agg(
         F.count(F.lit(1)).alias("said")).select("whose", F.col("speaker").alias("perspective"))
-    views = parts.join(people, F.col("conv").eqNullSafe(F.col("whose")))
+    views = parts.join(people, F.col("conv") == F.col("whose"))
 
     def piece(t: Column) -> Column:
         own = t["speaker"] == F.col("perspective")
@@ -64,5 +65,5 @@ def rotate_perspectives(df: DataFrame, conversation: str = "conv_id", turn: str
 
     rendered = views.select("conv", "perspective", "segment", F.transform("turns", piece).alias("turns"))
     return rendered.select(
-        F.col("conv").alias(conversation), "perspective", "segment", F.size("turns").alias("n_turns"),
+        F.col("conv.id").alias(conversation), "perspective", "segment", F.size("turns").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"])), "").alias("text"), _spans(F.col("turns")).alias("spans"))
