@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.grading import training_label
@@ -95,13 +95,13 @@ def train_calibrator(history: DataFrame, compat_raw: bool = False) -> DataFrame:
     )
 
 
-def predict_success(datasets: DataFrame, calibrator: DataFrame | None = None) -> DataFrame:
+def predict_success(datasets: DataFrame, calibrator: DataFrame | Row | None = None) -> DataFrame:
     """Probabilities of the three outcomes, the likeliest, a profile and a run flag.
 
-    ``calibrator`` is the one-row table that training returns.
+    ``calibrator`` is the one-row table that training returns, or its row.
     """
     own = list(datasets.columns)
-    row = calibrator.first() if calibrator is not None else None
+    row = calibrator.first() if isinstance(calibrator, DataFrame) else calibrator
     document = {**DEFAULT_THRESHOLDS, **DEFAULT_COEFFICIENTS, "method": HEURISTIC}
     document.update({k: v for k, v in (row.asDict() if row else {}).items() if v is not None})
     df = datasets

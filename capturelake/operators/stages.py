@@ -69,10 +69,10 @@ def status_changes(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return near.filter(~seen.eqNullSafe(c("_before"))).drop("_before")
 
 
-def tail_timeline(events: DataFrame, limit: int = 200) -> DataFrame:
-    """The latest events of every project, newest first."""
+def tail_timeline(events: DataFrame, limit: int) -> DataFrame:
+    """The latest ``limit`` events of every project, newest first."""
     order = [F.desc(n) for n in ORDER]
-    return first_rows(clean_events(events), KEY, order, max(10, limit), rank="age")
+    return first_rows(clean_events(events), KEY, order, limit, rank="age")
 
 
 def pending_stages(events: DataFrame, sequence: tuple[str, ...] = STAGE_SEQUENCE) -> DataFrame:

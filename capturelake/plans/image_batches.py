@@ -204,20 +204,33 @@ seg AS (SELECT image_id, project_id, name AS filename,
   FROM boxes)"""
 
 
+def shared_name(count: int):
+    """A file name that images of one project and of several have in common."""
+    return F.concat(F.lit("Shot_"), c("image_id") % count, F.lit(".jpg"))
+
+
 def attach_validation(spark, sf):
-    val = gated(spark, sf).withColumn("path", F.concat(F.lit("in/"), "name"))
-    cand = T.images(spark, sf).select("image_id", F.concat(F.lit("in/"), "name").alias("path"))
-    known = val.filter(c("brightness") >= 0.495)
-    return I.attach_validation(cand, known).withColumn("warning_reasons", F.concat_ws("|", "warning_reasons"))
+    def path(count):
+        return F.concat(F.lit("in/"), "project_id", F.lit("/"), shared_name(count)).alias("path")
+
+    known = gated(spark, sf).select("image_id", path(37), "status", "warning_reasons", "width", "height", "pixel_count",
+                                    "brightness", "sharpness")
+    cand = T.images(spark, sf).select("image_id", path(40))
+    return I.attach_validation(cand, known, "image_id").withColumn("warning_reasons", F.concat_ws("|", "warning_reasons"))
 
 
 def attach_segmentation(spark, sf):
-    seg = segmentation(spark, sf)
-    again = seg.filter(c("foreground_ratio") > 0.3).withColumns({
-        "filename": F.upper("filename"), "foreground_ratio": F.lit(0.5), "image_id": c("image_id") + 100_000_000})
-    records = seg.unionByName(again).select("filename", "image_id", "status", "foreground_ratio")
-    return I.attach_segmentation(T.images(spark, sf).select("image_id", "name").withColumnRenamed("image_id", "id"),
-                                 records, "image_id")
+    records = segmentation(spark, sf).select(
+        "project_id", F.upper(shared_name(37)).alias("filename"), "image_id", "status", "foreground_ratio")
+    images = T.images(spark, sf).select(c("image_id").alias("id"), "project_id", shared_name(40).alias("name"))
+    return I.attach_segmentation(images, records, "image_id")
+
+
+def attach_foreground(spark, sf):
+    ratios = segmentation(spark, sf).select(
+        "project_id", F.concat(F.lit(" "), shared_name(37)).alias("filename"), "image_id", "foreground_ratio")
+    images = T.images(spark, sf).select("image_id", "project_id", shared_name(40).alias("name"))
+    return I.attach_foreground(images, ratios, "image_id")
 
 
 def deduped(spark, sf):
@@ -357,8 +370,7 @@ QUERIES = {
         T.images(s, d), gated(s, d).filter(c("status") != I.REJECTED)).select("image_id", "name"),
     "attach_validation": attach_validation,
     "attach_segmentation": attach_segmentation,
-    "attach_foreground": lambda s, d: I.attach_foreground(
-        T.images(s, d).select("image_id", "name"), segmentation(s, d).filter(c("status") == "segmented")),
+    "attach_foreground": attach_foreground,
     "quality_score": lambda s, d: rounded(scored(s, d).select("image_id", "project_id", "quality_score")),
     "rank_by_quality": lambda s, d: I.rank_by_quality(
         rounded(scored(s, d).select("image_id", "project_id", "name", "quality_score"))),
@@ -384,7 +396,7 @@ QUERIES = {
     "shape_observations": lambda s, d: rounded(I.shape_observations(boxes(s, d)).select("image_id", *_OBS)),
     "best_face_view": lambda s, d: I.best_face_view(I.shape_observations(boxes(s, d))),
     "rank_texture_views": lambda s, d: I.rank_texture_views(I.attach_foreground(
-        metrics(s, d).withColumn("blur_score", c("blur_score") / 30.0), segmentation(s, d))),
+        metrics(s, d).withColumn("blur_score", c("blur_score") / 30.0), segmentation(s, d), "image_id"), 6),
     "mean_color": lambda s, d: I.mean_color(metrics(s, d).select(
         "project_id", *[F.aggregate(F.slice("px", i * 20 + 1, 20), F.lit(0), lambda a, v: a + v).alias(f"s{i}")
                         for i in range(3)]).select(
@@ -423,18 +435,24 @@ SELECT project_id, count(*) AS total_images, count(*) FILTER (status = 'apta') A
 SELECT project_id, reason, count(*) AS count FROM (SELECT project_id, unnest(rejected_reasons) AS reason FROM judged)
 GROUP BY ALL""",
     "keep_accepted": f"WITH {GATED_SQL} SELECT image_id, name FROM judged WHERE status <> 'rechazada'",
-    "attach_validation": f"""WITH {GATED_SQL}
-SELECT i.image_id, 'in/' || i.name AS path, coalesce(j.status, 'apta') AS status,
-  coalesce(array_to_string(warning_reasons, '|'), '') AS warning_reasons, coalesce(j.width, 0) AS width,
-  coalesce(j.height, 0) AS height, coalesce(j.pixel_count, 0) AS pixel_count, coalesce(brightness, 0) AS brightness,
+    "attach_validation": f"""WITH {GATED_SQL},
+v AS (SELECT *, 'in/' || project_id || '/Shot_' || image_id % 37 || '.jpg' AS path FROM judged
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY image_id DESC) = 1),
+k AS (SELECT image_id, 'in/' || project_id || '/Shot_' || image_id % 40 || '.jpg' AS path FROM images)
+SELECT k.image_id, path, coalesce(v.status, 'apta') AS status,
+  coalesce(array_to_string(warning_reasons, '|'), '') AS warning_reasons, coalesce(width, 0) AS width,
+  coalesce(height, 0) AS height, coalesce(pixel_count, 0) AS pixel_count, coalesce(brightness, 0) AS brightness,
   coalesce(sharpness, 0) AS sharpness
-FROM images i LEFT JOIN judged j ON i.image_id = j.image_id AND j.brightness >= 0.495::DOUBLE""",
-    "attach_segmentation": f"""WITH {SEG_SQL}
-SELECT i.image_id AS id, i.name, status, CASE WHEN foreground_ratio > 0.3::DOUBLE THEN 0.5::DOUBLE ELSE foreground_ratio END
-  AS foreground_ratio FROM images i LEFT JOIN seg s ON i.image_id = s.image_id""",
-    "attach_foreground": f"""WITH {SEG_SQL}
-SELECT i.image_id, i.name, coalesce(foreground_ratio, 0.25::DOUBLE) AS foreground_ratio
-FROM images i LEFT JOIN seg s ON i.image_id = s.image_id AND s.status = 'segmented'""",
+FROM k LEFT JOIN v USING (path)""",
+    "attach_segmentation": f"""WITH {SEG_SQL}, r AS (SELECT project_id, image_id % 37 AS k, status, foreground_ratio FROM seg
+  QUALIFY row_number() OVER (PARTITION BY project_id, k ORDER BY image_id DESC) = 1)
+SELECT i.image_id AS id, i.project_id, 'Shot_' || i.image_id % 40 || '.jpg' AS name, status, foreground_ratio
+FROM images i LEFT JOIN r ON i.project_id = r.project_id AND i.image_id % 40 = r.k""",
+    "attach_foreground": f"""WITH {SEG_SQL}, r AS (SELECT project_id, image_id % 37 AS k, foreground_ratio FROM seg
+  QUALIFY row_number() OVER (PARTITION BY project_id, k ORDER BY image_id DESC) = 1)
+SELECT i.image_id, i.project_id, 'Shot_' || i.image_id % 40 || '.jpg' AS name,
+  CASE WHEN r.k IS NULL THEN 0.25::DOUBLE ELSE coalesce(foreground_ratio, 0) END AS foreground_ratio
+FROM images i LEFT JOIN r ON i.project_id = r.project_id AND i.image_id % 40 = r.k""",
     "quality_score": f"WITH {SCORED_SQL} SELECT image_id, project_id, round(quality_score, 6) AS quality_score FROM scored",
     "rank_by_quality": f"""WITH {SCORED_SQL}, r AS (SELECT image_id, project_id, name, round(quality_score, 6) AS quality_score
   FROM scored)
@@ -508,12 +526,13 @@ SELECT image_id, {', '.join(f'round({n}, 6) AS {n}' for n in _OBS)} FROM observe
     + CASE WHEN assisted THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END FROM observed)
 SELECT project_id, face, image_id, round(score, 6) AS score FROM s
 QUALIFY row_number() OVER (PARTITION BY project_id, face ORDER BY score DESC, image_id) = 1""",
-    "rank_texture_views": f"""WITH {SEG_SQL}, s AS (SELECT m.project_id, m.image_id, m.name, round(
+    "rank_texture_views": f"""WITH {SEG_SQL}, s AS (SELECT m.project_id, m.image_id, m.name, (
     least(1.0::DOUBLE, blur_score / 30.0::DOUBLE / 500.0::DOUBLE) * 0.45::DOUBLE
     + least(1.0::DOUBLE, keypoint_count / 220.0::DOUBLE) * 0.35::DOUBLE
-    + coalesce(foreground_ratio, 0.25::DOUBLE) * 0.2::DOUBLE, 6) AS score
+    + coalesce(foreground_ratio, 0.25::DOUBLE) * 0.2::DOUBLE) AS score
   FROM metrics m LEFT JOIN seg ON m.image_id = seg.image_id)
-SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, name) AS rank FROM s QUALIFY rank <= 6""",
+SELECT project_id, image_id, name, round(score, 6) AS score,
+  row_number() OVER (PARTITION BY project_id ORDER BY s.score DESC, name, image_id) AS rank FROM s QUALIFY rank <= 6""",
     "mean_color": f"""WITH {T.IMAGES_SQL}
 SELECT project_id, round(avg(list_sum(px[1:20]) / 20.0::DOUBLE), 0)::INT AS r,
   round(avg(list_sum(px[21:40]) / 20.0::DOUBLE), 0)::INT AS g, round(avg(list_sum(px[41:60]) / 20.0::DOUBLE), 0)::INT AS b

@@ -19,12 +19,17 @@ CHANGED = "project_id bigint, ts timestamp, event_id bigint, stage string, stage
 TERMINAL_STAGES = ("completed", "failed", "completed_with_fallback")
 
 
-def _stamp(value):
-    return None if value is None or pd.isna(value) else pd.Timestamp(value).to_pydatetime()
+def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All events of a project's trigger in order, whatever Arrow batches they came in.
+
+    One project's events of one trigger are held at once; the source's rate
+    (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) bounds them.
+    """
+    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
 
 
-def _number(value):
-    return None if value is None or pd.isna(value) else float(value)
+def _plain(value):
+    return None if pd.isna(value) else value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
 
 
 class StageTracker(StatefulProcessor):
@@ -39,32 +44,35 @@ class StageTracker(StatefulProcessor):
         self.stages = handle.getMapState("stages", "stage string", INFO)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        touched: dict[str, list] = {}
+        events = _ordered(rows)
         active = self.active.get()[0] if self.active.exists() else None
-
-        def entry(stage: str) -> list | None:
-            if stage not in touched and self.stages.containsKey((stage,)):
-                touched[stage] = list(self.stages.getValue((stage,)))
-            return touched.get(stage)
-
-        for frame in rows:
-            for r in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-                now, progress, message = _stamp(r.ts), _number(r.progress), r.message if isinstance(r.message, str) else None
-                info = entry(r.stage)
-                if info is None:
-                    info = touched[r.stage] = [r.stage_status, now, now, None, progress, message, 0]
-                before = entry(active) if active and active != r.stage else None
-                if before is not None and before[0] in OPEN:
-                    before[0], before[3] = "completed", now
-                closed = now if r.stage_status in CLOSED else info[3]
-                info[:] = [r.stage_status, info[1], now, closed, progress, message, info[6] + 1]
-                active = r.stage
-        if active is not None:
-            self.active.update((active,))
-        for stage, info in touched.items():
-            self.stages.updateValue((stage,), tuple(info))
+        known = {} if active is None else {active: self.stages.getValue((active,))}
+        # An open stage is completed by the next event of another stage; the first event may end the stage left active.
+        stage, ts, status = events["stage"], events["ts"], events["stage_status"]
+        follows = stage.shift(-1)
+        left = status.isin(OPEN) & follows.notna() & (follows != stage)
+        events = events.assign(status=status.mask(left, "completed"), closed=ts.shift(-1).where(left, ts.where(status.isin(CLOSED))))
+        grouped = events.groupby("stage", sort=False)
+        last = grouped.tail(1).set_index("stage")
+        seen, closed, counts = grouped["ts"].min(), grouped["closed"].max(), grouped.size()
+        out = {}
+        if active is not None and active != stage.iloc[0] and known[active][0] in OPEN:
+            known[active] = ("completed", *known[active][1:3], _plain(ts.iloc[0]), *known[active][4:])
+            out[active] = known[active]
+        for name in last.index:
+            if name not in known and self.stages.containsKey((name,)):
+                known[name] = self.stages.getValue((name,))
+            before = known.get(name)
+            row = last.loc[name]
+            out[name] = (
+                row["status"], before[1] if before else _plain(seen[name]), _plain(row["ts"]),
+                _plain(closed[name]) or (before[3] if before else None), _plain(row["progress"]), _plain(row["message"]),
+                (before[6] if before else 0) + int(counts[name]))
+        self.active.update((stage.iloc[-1],))
+        for name, info in out.items():
+            self.stages.updateValue((name,), info)
         names = [f.split()[0] for f in TRACKED.split(", ")]
-        yield pd.DataFrame([(key[0], stage, *info) for stage, info in touched.items()], columns=names)
+        yield pd.DataFrame([(key[0], name, *info) for name, info in out.items()], columns=names)
 
     def close(self) -> None:
         pass
@@ -91,21 +99,28 @@ class ChangeDetector(StatefulProcessor):
         self.last = handle.getValueState("last", "stage string, stage_status string, progress double, message string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for frame in rows:
-            for r in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-                seen = (r.stage, r.stage_status, _number(r.progress), r.message if isinstance(r.message, str) else None)
-                if seen != last:
-                    out.append((key[0], _stamp(r.ts), r.event_id, *seen))
-                last = None if r.stage in TERMINAL_STAGES else seen
-        if last is None:
+        fields = ["stage", "stage_status", "progress", "message"]
+        events = _ordered(rows)
+        before = events[fields].shift(1)
+        if self.last.exists():
+            before.loc[0, fields] = self.last.get()
+        same = ((events[fields] == before) | (events[fields].isna() & before.isna())).all(axis=1)
+        # Nothing is remembered beyond a terminal state.
+        same &= ~before["stage"].isin(TERMINAL_STAGES)
+        if not self.last.exists():
+            same.iloc[0] = False
+        if self.timeout_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+        end = events.iloc[-1]
+        if end["stage"] in TERMINAL_STAGES:
             self.last.clear()
         else:
-            self.last.update(last)
+            self.last.update(tuple(_plain(end[f]) for f in fields))
             if self.timeout_ms:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in CHANGED.split(", ")])
+        changed = events[~same]
+        yield changed.assign(project_id=key[0])[[f.split()[0] for f in CHANGED.split(", ")]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()

@@ -45,12 +45,15 @@ def stream_dedup_uploads(uploads: DataFrame, delay: str | None = None, content:
 def predictions_sink(calibrator: DataFrame | None, path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: score a batch of dataset summaries and append it once.
 
-    Every batch writes its own folder, so a batch that is repeated after a
+    The calibrator's one row is read here, before the stream starts, not in
+    every micro-batch. Every batch writes its own folder, so a batch that is repeated after a
     failure replaces its rows instead of doubling them.
     """
 
+    known = calibrator.first() if calibrator is not None else None
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        predict_success(batch, calibrator).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        predict_success(batch, known).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
