@@ -1,7 +1,7 @@
 """Pixel metrics of small grey thumbnails held in arrays, as Columns.
 
 ``px`` is a row-major ARRAY<INT> of width x height grey levels. Larger images
-go through the Arrow kernels in ``operators.kernels``.
+are left to image libraries.
 """
 
 from __future__ import annotations

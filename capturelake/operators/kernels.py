@@ -1,13 +1,7 @@
-"""Arrow kernels over pixels: vectorised numpy inside Spark tasks.
-
-Each function takes a table with image bytes or pixel arrays; Spark splits and
-places the work, one call sees one Arrow batch.
-"""
+"""Thumbnail metrics in Arrow batches: the same numbers as the array forms of ``functions.pixels``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,8 +51,7 @@ def thumbnail_sums(px: Column, width: int = 8, height: int = 8, strong: int = 12
             "dhash": pack_bits(g[:, :, :-1] > g[:, :, 1:]), "phash": pack_bits(flat[:, 0::4] > flat[:, 2::4]),
         })
 
-    # Marked so that a pushed-down filter never runs the kernel a second time.
-    return kernel.asNondeterministic()(px)
+    return kernel(px)
 
 
 def metrics_from_sums(df: DataFrame, sums: str = "sums") -> DataFrame:
@@ -76,339 +69,3 @@ def metrics_from_sums(df: DataFrame, sums: str = "sums") -> DataFrame:
         F.round(F.sqrt(var("s", "s2")) / 255.0, 4).alias("contrast"),
         F.round(F.least(F.lit(1.0), sharp), 4).alias("sharpness"),
         F.round(var("l", "l2"), 4).alias("blur_score"))
-
-
-# -- images of any size ------------------------------------------------------------------
-
-def resample_matrix(source: int, target: int, kind: str) -> np.ndarray:
-    """Weights that shrink or stretch one axis: windowed-sinc (3 lobes), area or bilinear."""
-    scale = source / target
-    if kind == "area":
-        edges = np.arange(target + 1) * scale
-        cells = np.arange(source)
-        w = np.minimum(edges[1:, None], cells + 1) - np.maximum(edges[:-1, None], cells)
-        w = np.clip(w, 0.0, None)
-    else:
-        reach = (3.0 if kind == "lanczos" else 1.0) * max(scale, 1.0)
-        centre = (np.arange(target) + 0.5) * scale
-        x = (np.arange(source) + 0.5 - centre[:, None]) / max(scale, 1.0)
-        if kind == "lanczos":
-            w = np.where(np.abs(x) < 3.0, np.sinc(x) * np.sinc(x / 3.0), 0.0)
-        else:
-            w = np.clip(1.0 - np.abs(x), 0.0, None)
-        w[np.abs((np.arange(source) + 0.5) - centre[:, None]) > reach] = 0.0
-    return w / w.sum(axis=1, keepdims=True)
-
-
-def resample(gray: np.ndarray, width: int, height: int, kind: str) -> np.ndarray:
-    rows = resample_matrix(gray.shape[0], height, kind)
-    cols = resample_matrix(gray.shape[1], width, kind)
-    return np.clip(np.rint(rows @ gray.astype(float) @ cols.T), 0, 255)
-
-
-def difference_hash(gray: np.ndarray, rising: bool = False) -> int:
-    small = resample(gray, 9, 8, "area" if rising else "lanczos")
-    flags = small[:, 1:] > small[:, :-1] if rising else small[:, :-1] > small[:, 1:]
-    return int(pack_bits(flags.reshape(1, -1))[0])
-
-
-def frequency_hash(gray: np.ndarray) -> int:
-    """Low 8x8 cosine coefficients of a 32x32 reduction against their median."""
-    small = resample(gray, 32, 32, "area")
-    n = np.arange(32)
-    basis = np.cos(np.pi * (2 * n[None, :] + 1) * n[:, None] / 64.0) * np.sqrt(2.0 / 32.0)
-    basis[0] = np.sqrt(1.0 / 32.0)
-    low = (basis @ small @ basis.T)[:8, :8]
-    return int(pack_bits((low > np.median(low[1:, 1:])).reshape(1, -1))[0])
-
-
-def detect_keypoints(gray: np.ndarray, limit: int = 32, floor: float = 18.0) -> list[tuple[float, int, int]]:
-    """Strongest gradient per grid cell, spaced at least four pixels apart."""
-    h, w = gray.shape
-    if w < 4 or h < 4:
-        return []
-    g = gray.astype(float)
-    score = (
-        np.abs(g[1:-1, 2:] - g[1:-1, :-2]) + np.abs(g[2:, 1:-1] - g[:-2, 1:-1])
-        + 0.35 * np.abs(g[2:, 2:] - g[:-2, :-2]) + 0.35 * np.abs(g[2:, :-2] - g[:-2, 2:]))
-    cell = max(8, min(w, h) // 8 or 8)
-    found = []
-    for top in range(0, h - 2, cell):
-        for left in range(0, w - 2, cell):
-            part = score[top:min(top + cell, h - 2), left:min(left + cell, w - 2)]
-            at = int(part.argmax())
-            y, x = divmod(at, part.shape[1])
-            if part[y, x] >= floor:
-                found.append((float(part[y, x]), left + x + 1, top + y + 1))
-    chosen: list[tuple[float, int, int]] = []
-    for s, x, y in sorted(found, key=lambda k: -k[0]):
-        if all(abs(x - cx) >= 4 or abs(y - cy) >= 4 for _, cx, cy in chosen):
-            chosen.append((s, x, y))
-            if len(chosen) == limit:
-                break
-    return chosen
-
-
-def patch_descriptor(gray: np.ndarray, x: int, y: int, radius: int = 2) -> np.ndarray:
-    """Mean-centred 5x5 patch, edges repeated."""
-    rows = np.clip(np.arange(y - radius, y + radius + 1), 0, gray.shape[0] - 1)
-    cols = np.clip(np.arange(x - radius, x + radius + 1), 0, gray.shape[1] - 1)
-    patch = gray[np.ix_(rows, cols)] / 255.0
-    return np.round(patch - patch.mean(), 6).ravel()
-
-
-def to_gray(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
-    """Luma of decoded BGR rows, or the grey levels themselves."""
-    a = np.frombuffer(data, dtype=np.uint8)[: width * height * channels].reshape(height, width, channels)
-    return a[:, :, 0] if channels == 1 else luma(a).astype(np.uint8)
-
-
-def luma(bgr: np.ndarray) -> np.ndarray:
-    """Grey level of BGR pixels in 16-bit fixed point."""
-    b, g, r = (bgr[:, :, i].astype(np.int64) for i in range(3))
-    return (19595 * r + 38470 * g + 7471 * b + 32768) >> 16
-
-
-IMAGE_METRICS = (
-    SUMS.replace("strong int, ", "").replace("dhash bigint, phash bigint", "dhash bigint, dhash_rising bigint, phash bigint")
-    + ", mean_r double, mean_g double, mean_b double")
-
-
-def image_metrics(df: DataFrame) -> DataFrame:
-    """Exact sums, hashes and mean colours of decoded images (pixels, width, height, channels).
-
-    Rows without pixels keep NULL metrics.
-    """
-
-    @F.pandas_udf(IMAGE_METRICS)
-    def kernel(pixels: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, w, h, ch in zip(pixels, width, height, channels):
-            if data is None or w is None or not w > 0:
-                rows.append((None,) * 13)
-                continue
-            w, h, ch = int(w), int(h), int(ch)
-            g = to_gray(data, w, h, ch)
-            wide, e, lap = (x.astype(np.int64) for x in (g, edge_response(g), laplacian_response(g)))
-            color = np.frombuffer(data, dtype=np.uint8)[: w * h * ch].reshape(-1, ch)[:, :3].mean(axis=0)
-            bgr = np.resize(color, 3)
-            rows.append((
-                int(wide.sum()), int((wide * wide).sum()), int(e.sum()), int((e * e).sum()), int(lap.sum()),
-                int((lap * lap).sum()), w * h, difference_hash(g), difference_hash(g, rising=True), frequency_hash(g),
-                float(bgr[2]), float(bgr[1]), float(bgr[0])))
-        names = [f.split()[0] for f in IMAGE_METRICS.split(", ")]
-        return pd.DataFrame(rows, columns=names).convert_dtypes()
-
-    with_sums = df.withColumn("sums", kernel.asNondeterministic()("pixels", "width", "height", "channels"))
-    return metrics_from_sums(with_sums).select(
-        *[n for n in df.columns if n != "pixels"], (F.col("width") * F.col("height")).cast("bigint").alias("pixel_count"),
-        "brightness", "contrast", "sharpness", "blur_score", "sums.dhash", "sums.dhash_rising", "sums.phash",
-        *[f"sums.mean_{ch}" for ch in "rgb"])
-
-
-def _thumbnail(gray: np.ndarray, limit: int = 320) -> np.ndarray:
-    h, w = gray.shape
-    if max(h, w) <= limit:
-        return gray
-    scale = limit / max(h, w)
-    return resample(gray, max(1, round(w * scale)), max(1, round(h * scale)), "bilinear")
-
-
-def image_keypoints(df: DataFrame, keys: tuple[str, ...] = ("project_id", "image_id"), minimum: int = 4) -> DataFrame:
-    """Keypoint rows (x, y, score, descriptor) of every image that has enough of them."""
-    fields = {f.name: f for f in df.schema.fields}
-    head = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keys)
-    schema = f"{head}, kp_idx int, x double, y double, score double, descriptor array<double>"
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                if r.pixels is None or not r.width > 0:
-                    continue
-                g = _thumbnail(to_gray(r.pixels, int(r.width), int(r.height), int(r.channels)))
-                found = detect_keypoints(g)
-                if len(found) < minimum:
-                    continue
-                h, w = g.shape
-                own = tuple(getattr(r, k) for k in keys)
-                out += [
-                    (*own, i, round(x / max(w - 1, 1), 6), round(y / max(h - 1, 1), 6),
-                     round(min(0.999, s / 255.0), 4), patch_descriptor(g, x, y))
-                    for i, (s, x, y) in enumerate(found)]
-            if out:
-                yield pd.DataFrame(out, columns=[*keys, "kp_idx", "x", "y", "score", "descriptor"])
-
-    return df.select(*keys, "pixels", "width", "height", "channels").mapInPandas(rows, schema)
-
-
-# -- object masks ----------------------------------------------------------------------------
-
-# Segmentation settings.
-SEGMENTATION = {
-    "min_area": 0.003, "max_area": 0.68, "min_fill": 0.1, "aspect": 1.6, "tolerance": 2.0, "padding": 0.045,
-    "min_score": 0.16, "max_width": 512,
-}
-
-
-def _window3(a: np.ndarray, size: int, pick) -> np.ndarray:
-    r = size // 2
-    p = np.pad(a, r, mode="edge")
-    stack = [p[dy:dy + a.shape[0], dx:dx + a.shape[1]] for dy in range(size) for dx in range(size)]
-    return pick(np.stack(stack), axis=0)
-
-
-def _level(values: np.ndarray, low: int, high: int, weight: float) -> int:
-    return int(max(low, min(high, round(float(values.mean()) + float(values.std()) * weight))))
-
-
-def object_mask(bgr: np.ndarray) -> np.ndarray:
-    """Pixels that differ from the border colour or are saturated, cleaned up."""
-    a = bgr.astype(np.int64)
-    h, w = a.shape[:2]
-    edge = max(2, round(min(h, w) * 0.06))
-    strips = (a[:edge], a[-edge:], a[:, :edge], a[:, -edge:])
-    means = np.array([s.reshape(-1, 3).mean(axis=0) for s in strips])
-    background = np.rint(np.sort(means, axis=0)[2])
-    diff = np.abs(a - background).max(axis=2)
-    top, bottom = a.max(axis=2), a.min(axis=2)
-    saturation = np.where(top > 0, (top - bottom) * 255 // np.maximum(top, 1), 0)
-    gray = luma(a)
-    edges = edge_response(gray)
-    differs = diff >= _level(diff, 18, 128, 0.8)
-    mask = differs | (saturation >= _level(saturation, 26, 150, 0.75)) | (differs & (edges >= _level(edges, 18, 150, 0.8)))
-    mask = _window3(mask, 3, np.median) > 0.5
-    mask = _window3(mask, 5, np.max)
-    return _window3(mask, 3, np.min)
-
-
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """4-connected labels by spreading the smallest index along runs until stable."""
-    h, w = mask.shape
-    labels = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        before = labels
-        for axis in (0, 1):
-            for flip in (False, True):
-                x = np.flip(labels, axis) if flip else labels
-                x = _spread(x, axis)
-                labels = np.flip(x, axis) if flip else x
-        if np.array_equal(labels, before):
-            return labels
-
-
-def _spread(labels: np.ndarray, axis: int) -> np.ndarray:
-    """Running minimum along each unbroken run of labelled pixels of one axis."""
-    x = labels if axis == 1 else labels.T
-    run = np.cumsum(x == 0, axis=1)
-    # Later runs get lower offsets, so an earlier run never leaks into them.
-    span = x.size + 1
-    shifted = np.where(x > 0, x - run * span, np.iinfo(np.int64).max)
-    low = np.minimum.accumulate(shifted, axis=1) + run * span
-    out = np.where(x > 0, low, 0)
-    return out if axis == 1 else out.T
-
-
-def primary_component(mask: np.ndarray, p: dict = SEGMENTATION) -> dict | None:
-    """Best-scored component: size, place, fill, aspect and distance to the border."""
-    h, w = mask.shape
-    labels = label_components(mask)
-    ys, xs = np.nonzero(labels)
-    if len(ys) == 0:
-        return None
-    names, inverse, counts = np.unique(labels[ys, xs], return_inverse=True, return_counts=True)
-    best: dict | None = None
-    for k in np.nonzero(counts >= 32)[0]:
-        px, py = xs[inverse == k], ys[inverse == k]
-        left, right, top, bottom = int(px.min()), int(px.max()) + 1, int(py.min()), int(py.max()) + 1
-        bw, bh = right - left, bottom - top
-        area, fill = bw * bh / (w * h), len(px) / (bw * bh)
-        if not p["min_area"] <= area <= p["max_area"] or fill < p["min_fill"] * 0.45:
-            continue
-        dx, dy = ((left + right) / 2 - w / 2) / max(w / 2, 1.0), ((top + bottom) / 2 - h * 0.55) / max(h * 0.55, 1.0)
-        offset = min(1.5, float(np.hypot(dx, dy)))
-        touches = (left <= 1) + (top <= 1) + (right >= w - 1) + (bottom >= h - 1)
-
-        def share(v: float) -> float:
-            return max(0.0, min(1.0, v))
-
-        half = p["min_fill"] * 0.5
-        score = (
-            share(1 - abs(area - 0.12) / 0.26) * 0.30 + share(1 - offset / 0.9) * 0.28
-            + share((fill - half) / max(0.1, 0.72 - half)) * 0.20
-            + share(1 - abs(bw / bh - p["aspect"]) / max(0.2, p["tolerance"])) * 0.17 + share(1 - touches / 3) * 0.05)
-        if score >= p["min_score"] and (best is None or score > best["score"]):
-            best = {"box": (left, top, right, bottom), "pixels": len(px), "area": area, "fill": fill, "score": score,
-                    "offset": offset, "touches": int(touches)}
-    return best
-
-
-def largest_component(mask: np.ndarray) -> dict | None:
-    """Component with the most pixels; the last one in reading order wins a tie."""
-    labels = label_components(mask)
-    ys, xs = np.nonzero(labels)
-    if len(ys) == 0:
-        return None
-    names, counts = np.unique(labels[ys, xs], return_counts=True)
-    chosen = names[np.nonzero(counts == counts.max())[0][-1]]
-    py, px = np.nonzero(labels == chosen)
-    h, w = mask.shape
-    box = (int(px.min()), int(py.min()), int(px.max()) + 1, int(py.max()) + 1)
-    area = (box[2] - box[0]) * (box[3] - box[1]) / (w * h)
-    return {"box": box, "pixels": len(px), "area": area, "score": 1.0}
-
-
-def silhouette_mask(gray: np.ndarray) -> np.ndarray:
-    """Pixels that differ from the median border level."""
-    g = gray.astype(np.int64)
-    h, w = g.shape
-    my, mx = max(1, h // 20), max(1, w // 20)
-    level = round(float(np.median([g[:my].mean(), g[-my:].mean(), g[:, :mx].mean(), g[:, -mx:].mean()])))
-    diff = np.abs(g - level)
-    limit = int(max(18, min(105, round(float(diff.mean()) * 1.1 + float(diff.std()) * 0.4))))
-    return _window3(diff >= limit, 3, np.median) > 0.5
-
-
-SEGMENTS = (
-    "status string, reason string, `left` int, `top` int, `right` int, bottom int, object_pixels int, "
-    "foreground_ratio double, score double")
-
-
-def segment_objects(df: DataFrame, keys: tuple[str, ...] = ("project_id", "image_id"), method: str = "scored",
-                    **overrides) -> DataFrame:
-    """Main object per decoded image: box, pixels, share and score, or the reason for none.
-
-    ``scored`` weighs colour components by place and shape; ``silhouette``
-    takes the largest region that differs from the border level.
-    """
-    p = {**SEGMENTATION, **overrides}
-
-    @F.pandas_udf(SEGMENTS)
-    def kernel(pixels: pd.Series, width: pd.Series, height: pd.Series, channels: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, w, h, ch in zip(pixels, width, height, channels):
-            if data is None or not w > 0:
-                rows.append(("fallback_original", "unreadable_image", *(None,) * 7))
-                continue
-            w, h, ch = int(w), int(h), int(ch)
-            a = np.frombuffer(data, dtype=np.uint8)[: w * h * ch].reshape(h, w, ch)
-            bgr = np.repeat(a, 3, axis=2) if ch == 1 else a[:, :, :3]
-            if w > p["max_width"]:
-                tall = max(64, round(h * p["max_width"] / w))
-                bgr = np.stack([resample(bgr[:, :, i], p["max_width"], tall, "bilinear") for i in range(3)], axis=2)
-            if method == "silhouette":
-                found = largest_component(silhouette_mask(luma(bgr)))
-            else:
-                found = primary_component(object_mask(bgr), p)
-            if found is None:
-                rows.append(("fallback_original", "object_not_isolated", *(None,) * 7))
-                continue
-            sx, sy = w / bgr.shape[1], h / bgr.shape[0]
-            x0, y0, x1, y1 = found["box"]
-            rows.append(("segmented", None, int(x0 * sx), int(y0 * sy), int(np.ceil(x1 * sx)), int(np.ceil(y1 * sy)),
-                         found["pixels"], round(found["area"], 6), round(found["score"], 6)))
-        names = ["status", "reason", "left", "top", "right", "bottom", "object_pixels", "foreground_ratio", "score"]
-        return pd.DataFrame(rows, columns=names).convert_dtypes()
-
-    found = kernel.asNondeterministic()("pixels", "width", "height", "channels")
-    return df.select(*keys, found.alias("_s")).select(*keys, "_s.*")

@@ -313,7 +313,7 @@ def verdicts(spark, sf):
         "image_count_unreadable": (c("project_id") % 4 * 5).cast("bigint"),
         "average_sharpness": c("average_sharpness") / 60.0})
     return I.dataset_verdict(d, 48, 55, 0.02).select(
-        "project_id", F.concat_ws("|", "warnings").alias("warnings"), "recommendation", "message")
+        "project_id", F.concat_ws("|", "warnings").alias("warnings"), "recommendation", F.concat_ws("|", "problems").alias("problems"))
 
 
 def suggestions(spark, sf):
@@ -565,29 +565,24 @@ SELECT image_id, pl::INT AS pad_l, pt::INT AS pad_t, pr::INT AS pad_r, pb::INT A
     + pow((("top" + bottom) * 0.5::DOUBLE - 264) / 264, 2))), 6) AS low_center_offset,
   4 AS quad_points, lpad(lower(to_hex(dhash)), 16, '0') AS hash_hex FROM p""",
     "dataset_summary": f"""WITH {SETS_SQL} SELECT {_SET_COLS}, {_FIT},
-  CASE WHEN fit_for_dense THEN 'Este dataset puede intentar dense real.'
-    WHEN fit_for_surface THEN 'Este dataset puede dar superficie aproximada.'
-    ELSE 'Este dataset probablemente solo dara sparse.' END AS mesh_recommendation FROM sets""",
+  CASE WHEN fit_for_dense THEN 'try_dense'
+    WHEN fit_for_surface THEN 'surface_possible'
+    ELSE 'sparse_only' END AS mesh_recommendation FROM sets""",
     "dataset_verdict": f"""WITH {SETS_SQL}, v AS (SELECT *, sh / 60.0::DOUBLE AS shp, project_id % 4 * 5 AS un,
     br < 0.2 OR br > 0.85 AS odd FROM sets),
-w AS (SELECT *, list_filter([CASE WHEN un > 0 THEN 'imagenes_no_legibles:' || un END,
-    CASE WHEN n < 48 THEN 'pocas_imagenes:' || n || ' (< 48)' END, CASE WHEN n > 55 THEN 'muchas_imagenes:' || n || ' (> 55)' END,
-    CASE WHEN mp < 0.8 THEN printf('resolucion_promedio_baja:%.2fMP', mp) END,
-    CASE WHEN shp < 60 THEN printf('nitidez_promedio_baja:%.2f', shp) END,
-    CASE WHEN odd THEN printf('brillo_promedio_fuera_rango:%.3f', br) END,
-    CASE WHEN dr > 0.02 THEN printf('duplicados_altos:%.3f (> 0.020)', dr) END,
-    CASE WHEN us < 0.5 THEN 'baja_cantidad_imagenes_utiles' END], lambda r: r IS NOT NULL) AS ws,
-  list_filter([CASE WHEN n < 48 THEN 'pocas imagenes' END, CASE WHEN shp < 60 THEN 'nitidez baja' END,
-    CASE WHEN odd THEN 'iluminacion no uniforme' END, CASE WHEN dr > 0.02 THEN 'exceso de imagenes muy similares/duplicadas' END,
-    CASE WHEN us < 0.5 THEN 'pocas imagenes realmente utiles' END], lambda r: r IS NOT NULL) AS ps,
+w AS (SELECT *, list_filter([CASE WHEN un > 0 THEN 'unreadable_images:' || un END,
+    CASE WHEN n < 48 THEN 'few_images:' || n END, CASE WHEN n > 55 THEN 'many_images:' || n END,
+    CASE WHEN mp < 0.8 THEN printf('low_resolution:%.2f', mp) END,
+    CASE WHEN shp < 60 THEN printf('low_sharpness:%.2f', shp) END,
+    CASE WHEN odd THEN printf('odd_brightness:%.3f', br) END,
+    CASE WHEN dr > 0.02 THEN printf('many_duplicates:%.3f', dr) END,
+    CASE WHEN us < 0.5 THEN 'few_usable_images' END], lambda r: r IS NOT NULL) AS ws,
+  list_filter([CASE WHEN n < 48 THEN 'few_images' END, CASE WHEN shp < 60 THEN 'low_sharpness' END,
+    CASE WHEN odd THEN 'odd_brightness' END, CASE WHEN dr > 0.02 THEN 'many_duplicates' END,
+    CASE WHEN us < 0.5 THEN 'few_usable_images' END], lambda r: r IS NOT NULL) AS ps,
   n < 24 OR mp < 0.4 OR shp < 25 OR br < 0.12 OR br > 0.92 OR dr > 0.45 OR un >= greatest(3, n // 4) AS severe FROM v),
-r AS (SELECT *, CASE WHEN severe THEN 'no_apto' WHEN len(ws) > 0 THEN 'mejorar' ELSE 'apto' END AS rec,
-  CASE WHEN len(ps) > 0 THEN array_to_string(ps, ', ') ELSE 'sin problemas criticos detectados' END AS tx FROM w)
-SELECT project_id, array_to_string(ws, '|') AS warnings, rec AS recommendation, CASE rec
-  WHEN 'no_apto' THEN 'El dataset presenta problemas severos y se recomienda recapturar imagenes. Problemas detectados: ' || tx || '.'
-  WHEN 'mejorar' THEN 'El dataset es util, pero conviene mejorarlo antes de la corrida final. Ajustes sugeridos: ' || tx || '.'
-  ELSE 'El dataset cumple criterios recomendados para prueba real con COLMAP (nitidez, iluminacion y variacion de '
-    || 'vistas en rango aceptable).' END AS message FROM r""",
+r AS (SELECT *, CASE WHEN severe THEN 'no_apto' WHEN len(ws) > 0 THEN 'mejorar' ELSE 'apto' END AS rec FROM w)
+SELECT project_id, array_to_string(ws, '|') AS warnings, rec AS recommendation, array_to_string(ps, '|') AS problems FROM r""",
     "capture_suggestions": f"""WITH {SETS_SQL}, q AS (SELECT *, sh / 60.0::DOUBLE AS shp,
     {_c01('(ready - 0.67::DOUBLE + 0.22::DOUBLE) * 1.3::DOUBLE + angle * 0.15::DOUBLE + us * 0.15::DOUBLE')} AS d,
     {_c01('(ready - 0.46::DOUBLE + 0.28::DOUBLE) * 1.2::DOUBLE + variety * 0.12::DOUBLE + least(ft / 220.0::DOUBLE, 1.0::DOUBLE) * 0.12::DOUBLE')} AS s0
@@ -597,24 +592,24 @@ q2 AS (SELECT *, {_c01('1 - greatest(d, s) * 0.75::DOUBLE')} AS sp FROM q1),
 q3 AS (SELECT *, round(sp / (d + s + sp), 6) AS psp, round(s / (d + s + sp), 6) AS pa, round(d / (d + s + sp), 6) AS pd FROM q2)
 SELECT project_id, greatest(0, 45 - n) AS missing_for_45, greatest(0, 60 - n) AS missing_for_60,
   array_to_string(list_filter([
-    CASE WHEN ft < 90 THEN 'Falta textura/feature points: usa objeto o fondo con mas patron visual.' END,
-    CASE WHEN dr > 0.12 THEN 'Hay demasiados duplicados: evita rafagas en el mismo angulo y aumenta desplazamiento entre fotos.' END,
-    CASE WHEN shp < 60 THEN 'Nitidez baja: estabiliza camara, mejora luz uniforme y evita desenfoque por movimiento.' END,
-    CASE WHEN us < 0.6 THEN 'Pocas imagenes utiles: repite captura descartando borrosas, oscuras o sobreexpuestas.' END,
-    CASE WHEN angle < 0.5 THEN 'Cobertura angular baja: agrega tomas desde arriba, altura media y abajo alrededor de 360 grados.' END,
-    CASE WHEN variety < 0.45 THEN 'Variedad visual baja: cambia ligeramente distancia/angulo manteniendo overlap 70-80%.' END,
-    CASE WHEN ft < 60 AND dr > 0.2 THEN 'Conviene cambiar objeto o preparar superficie con textura no brillante para mejorar reconstruccion.' END
+    CASE WHEN ft < 90 THEN 'few_features' END,
+    CASE WHEN dr > 0.12 THEN 'many_duplicates' END,
+    CASE WHEN shp < 60 THEN 'low_sharpness' END,
+    CASE WHEN us < 0.6 THEN 'few_usable_images' END,
+    CASE WHEN angle < 0.5 THEN 'low_angular_coverage' END,
+    CASE WHEN variety < 0.45 THEN 'low_variety' END,
+    CASE WHEN ft < 60 AND dr > 0.2 THEN 'change_object' END
   ], lambda r: r IS NOT NULL), '|') AS advice,
-  CASE WHEN ready >= 0.65 AND n >= 45 THEN 'Dataset con buena opcion para intentar dense real.'
-    WHEN ready >= 0.45 AND n >= 30 THEN 'Dataset apto para superficie aproximada desde sparse.'
-    ELSE 'Dataset probablemente se quedara en sparse; recaptura antes de corrida final.' END AS final_advice,
+  CASE WHEN ready >= 0.65 AND n >= 45 THEN 'try_dense'
+    WHEN ready >= 0.45 AND n >= 30 THEN 'surface_possible'
+    ELSE 'sparse_only' END AS final_advice,
   coalesce(nullif(array_to_string(list_filter([
-    CASE WHEN n < 45 THEN 'capturar mas fotos (objetivo: 45 a 60)' END, CASE WHEN ft < 90 THEN 'usar objeto con mas textura' END,
-    CASE WHEN shp < 60 THEN 'mejorar iluminacion y estabilidad para evitar blur' END,
-    CASE WHEN angle < 0.5 THEN 'cambiar angulos y agregar vistas arriba/abajo' END,
-    CASE WHEN dr > 0.12 THEN 'evitar duplicados consecutivos y mantener overlap 70-80%' END,
-    CASE WHEN pd < 0.25 THEN 'usar perfil quality para maximizar oportunidad de malla' END
-  ], lambda r: r IS NOT NULL), '|'), ''), 'ejecutar COLMAP con perfil quality') AS actions,
+    CASE WHEN n < 45 THEN 'more_images' END, CASE WHEN ft < 90 THEN 'more_texture' END,
+    CASE WHEN shp < 60 THEN 'steady_light' END,
+    CASE WHEN angle < 0.5 THEN 'more_angles' END,
+    CASE WHEN dr > 0.12 THEN 'fewer_duplicates' END,
+    CASE WHEN pd < 0.25 THEN 'use_quality_profile' END
+  ], lambda r: r IS NOT NULL), '|'), ''), 'run_quality_profile') AS actions,
   CASE WHEN psp >= pa AND psp >= pd THEN 'sparse' WHEN pa >= pd THEN 'approx_surface' ELSE 'dense_real' END
     AS predicted_success_level,
   CASE WHEN pd >= 0.3 OR pa >= 0.45 THEN 'quality' ELSE 'balanced' END AS recommended_profile FROM q3""",

@@ -160,7 +160,7 @@ def _named(runs):
         "engine": F.when(c("max_line") > 2, "colmap"), "engine_requested": F.lit("auto"),
         "stage_status": F.when(c("run_id") % 2 == 0, "running").when(c("run_id") % 3 == 0, ""),
         "progress": F.when(c("run_id") % 4 > 0, c("max_discount") * 15.0),
-        "status_message": F.when(c("run_id") % 3 == 0, "Procesamiento fallido.").when(c("run_id") % 3 == 1, ""),
+        "status_message": F.when(c("run_id") % 3 == 0, "processing_failed").when(c("run_id") % 3 == 1, ""),
         "error_message": F.when(c("status") == "failed", c("reason_code")),
         "final_model_path": F.when(done & (c("run_id") % 3 == 0), F.concat(F.lit("out/"), file)),
         "output_path": F.when(done & (c("run_id") % 5 == 0), F.concat(F.lit("srv/other_"), file)),
@@ -180,7 +180,7 @@ named AS (
   SELECT *, CASE WHEN max_line > 2 THEN 'colmap' END AS engine,
     CASE WHEN run_id % 2 = 0 THEN 'running' WHEN run_id % 3 = 0 THEN '' END AS stage_status,
     CASE WHEN run_id % 4 > 0 THEN max_discount * 15.0::DOUBLE END AS progress,
-    CASE WHEN run_id % 3 = 0 THEN 'Procesamiento fallido.' WHEN run_id % 3 = 1 THEN '' END AS status_message,
+    CASE WHEN run_id % 3 = 0 THEN 'processing_failed' WHEN run_id % 3 = 1 THEN '' END AS status_message,
     CASE WHEN status = 'failed' THEN reason_code END AS error_message,
     CASE WHEN done AND run_id % 3 = 0 THEN 'out/' || file END AS final_model_path,
     CASE WHEN done AND run_id % 5 = 0 THEN 'srv/other_' || file END AS output_path,
@@ -201,7 +201,7 @@ def artifact_consistent(spark, sf):
 
 def result_warnings(spark, sf):
     c = F.col
-    given = F.array(F.when(c("max_line") > 4, "muchas_imagenes"), F.when(c("max_line") > 2, "brillo"), F.lit(""))
+    given = F.array(F.when(c("max_line") > 4, "many_images"), F.when(c("max_line") > 2, "brightness"), F.lit(""))
     graded = R.grade_runs(T.graded_inputs(spark, sf), keep=("run_id", "max_line", "fallback_used", "warning_images"))
     return graded.select("run_id", F.concat_ws("|", J.collect_warnings(
         F.array_compact(given), c("fallback_used"), c("warning_images"), c("quality_classification"))).alias("warnings"))
@@ -549,14 +549,14 @@ SELECT run_id, project_id, status, source AS geometry_source, shown AS visualiza
   source IN ('colmap_dense', 'colmap_sparse_point_cloud', 'colmap_sparse', 'surface_from_sparse', 'geometric_prior')
     AS is_real_sfm,
   source = 'colmap_dense' AS is_dense_mesh,
-  CASE WHEN source = 'primitive_box' THEN 'resultado defendible solo como fallback'
-    WHEN grade = 'success_real' THEN 'dataset aceptable'
-    WHEN grade = 'success_sparse_only' THEN CASE WHEN NOT dense_exists THEN 'activar dense' ELSE 'usar perfil quality' END
-    WHEN points < 500 OR cameras < 6 THEN 'repetir fotos' ELSE 'usar perfil quality' END AS recommendation,
+  CASE WHEN source = 'primitive_box' THEN 'stand_in_only'
+    WHEN grade = 'success_real' THEN 'dataset_ok'
+    WHEN grade = 'success_sparse_only' THEN CASE WHEN NOT dense_exists THEN 'enable_dense' ELSE 'use_quality_profile' END
+    WHEN points < 500 OR cameras < 6 THEN 'recapture' ELSE 'use_quality_profile' END AS recommendation,
   CASE WHEN grade = 'success_real' AND q * 4 >= 500 AND source IN ('colmap_dense', 'colmap_sparse_point_cloud',
-      'colmap_sparse', 'surface_from_sparse', 'geometric_prior') THEN 'reconstruccion real'
-    WHEN grade = 'success_approx_surface' THEN 'superficie aproximada desde sparse'
-    WHEN grade = 'success_sparse_only' THEN 'sparse parcial' ELSE 'fallback academico' END AS defensibility
+      'colmap_sparse', 'surface_from_sparse', 'geometric_prior') THEN 'real'
+    WHEN grade = 'success_approx_surface' THEN 'approximate_surface'
+    WHEN grade = 'success_sparse_only' THEN 'partial_sparse' ELSE 'stand_in' END AS defensibility
 FROM graded4""",
     "incoherence_reasons": f"""WITH {T.GRADED_SQL}, listed AS (
   SELECT run_id, list_filter([
@@ -632,14 +632,14 @@ FROM runs""",
     "status_details": f"""WITH {NAMED_SQL}, msg AS (
   SELECT *, coalesce(nullif(status_message, ''), error_message) AS raw FROM named),
 shown AS (SELECT *, CASE WHEN status = 'failed' AND error_message <> '' AND lower(trim(coalesce(raw, ''))) IN
-    ('', 'procesamiento fallido.', 'processing failed.', 'failed', 'error') THEN error_message ELSE raw END AS m,
+    ('', 'processing_failed', 'failed', 'error') THEN error_message ELSE raw END AS m,
     coalesce(final_model_path, output_path, model_path) AS path FROM msg)
 SELECT run_id, project_id, coalesce(engine, 'auto') AS engine, current_stage,
   coalesce(nullif(stage_status, ''), CASE status WHEN 'processing' THEN 'running' ELSE status END) AS stage_status,
   coalesce(CASE WHEN progress IS NOT NULL THEN {_C('progress')} END,
     CASE WHEN status = 'completed' THEN 1.0::DOUBLE END) AS progress,
-  coalesce(nullif(m, ''), CASE status WHEN 'completed' THEN 'Reconstruccion completada.'
-    WHEN 'processing' THEN 'Procesamiento en curso.' END) AS message,
+  coalesce(nullif(m, ''), CASE status WHEN 'completed' THEN 'completed'
+    WHEN 'processing' THEN 'running' END) AS message,
   fallback_used,
   CASE WHEN done THEN coalesce(final_model_type, lower(string_split(path, '.')[-1])) END AS final_model_type,
   CASE WHEN done THEN path END AS final_model_path,
@@ -654,19 +654,19 @@ SELECT run_id, available, available AND sfx AS suffix_matches, available AND nm
   available AND sfx AND nm AS consistent FROM c""",
     "collect_warnings": f"""WITH {T.GRADED_SQL}
 SELECT run_id, array_to_string(list_sort(list_distinct(list_filter([
-  CASE WHEN max_line > 4 THEN 'muchas_imagenes' END, CASE WHEN max_line > 2 THEN 'brillo' END,
-  CASE WHEN fallback_used THEN 'fallback_academico_usado' END,
-  CASE WHEN warning_images > 0 THEN 'preprocesamiento_con_advertencias:' || warning_images END,
+  CASE WHEN max_line > 4 THEN 'many_images' END, CASE WHEN max_line > 2 THEN 'brightness' END,
+  CASE WHEN fallback_used THEN 'fallback_used' END,
+  CASE WHEN warning_images > 0 THEN 'image_warnings:' || warning_images END,
   'quality_classification:' || grade], lambda x: x IS NOT NULL))), '|') AS warnings
 FROM graded3""",
     "next_action": f"""WITH {T.RUNS_SQL}
 SELECT CASE WHEN status = 'failed'
-    THEN 'Revisar logs y capturar mas imagenes con mejor overlap, nitidez e iluminacion.'
-  WHEN fallback_used THEN 'Usar el modelo como evidencia minima y recapturar dataset para intentar COLMAP real.'
+    THEN 'recapture'
+  WHEN fallback_used THEN 'keep_stand_in'
   WHEN warning_images > 0
-    THEN 'Revisar advertencias de preprocesamiento antes de usar el resultado como evidencia final.'
-  WHEN status = 'completed' THEN 'Validar visualmente el modelo y anexar reportes JSON al informe.'
-  ELSE 'Esperar finalizacion del procesamiento.' END AS action, status, count(*) AS runs
+    THEN 'review_warnings'
+  WHEN status = 'completed' THEN 'inspect_model'
+  ELSE 'wait' END AS action, status, count(*) AS runs
 FROM runs GROUP BY ALL""",
     "with_profile_params": f"""WITH {T.RUNS_SQL}, asked AS (
   SELECT *, CASE variant WHEN '1-URGENT' THEN 'conservative' WHEN '4-NOT SPECIFIED' THEN 'quality'
@@ -715,7 +715,7 @@ r AS (SELECT *, CASE WHEN run_id % 5 = 0 THEN run_id % 2 = 0 ELSE code NOT IN ('
     'input_selection_failed', 'colmap_unavailable') END AS re FROM f)
 SELECT run_id, project_id, code AS reason_code, coalesce(ex, current_stage) AS failed_stage, coalesce(ex, 'failed') AS current_stage,
   'failed' AS stage_status, CASE WHEN run_id % 2 = 0 THEN max_discount ELSE 0.0::DOUBLE END AS progress,
-  CASE WHEN ex IS NOT NULL THEN 'msg' ELSE 'Procesamiento fallido.' END AS status_message,
+  CASE WHEN ex IS NOT NULL THEN 'msg' ELSE 'processing_failed' END AS status_message,
   'Tiempo de espera en ' || failed_stage AS failure_reason, re AS retryable, re AS can_retry, code AS error_code,
   'images_dir' || CASE WHEN max_line > 5 THEN ',model_path' ELSE '' END AS resources FROM r""",
     "fallback_record": f"""WITH {T.RUNS_SQL}
@@ -724,8 +724,8 @@ SELECT run_id, project_id, CASE WHEN run_id % 4 = 0 THEN 'colmap_unavailable' EL
   'colmap' AS engine_attempted, 'primitive_box_academic_fallback' AS fallback_type, selected_images AS images_used,
   3 AS limitations, CASE WHEN max_line > 5 THEN 'out/box.glb' END AS generated_model_path FROM runs WHERE fallback_used""",
     "project_events": f"""WITH {NAMED_SQL}, e AS (SELECT *, (['start', 'update', 'complete', 'fail'])[run_id % 4 + 1] AS event FROM named),
-r AS (SELECT *, CASE WHEN event = 'start' THEN CASE WHEN status = 'processing' THEN 'El proyecto ya se encuentra en procesamiento.'
-    WHEN selected_images = 0 THEN 'Primero debes cargar imagenes antes de procesar.' END END AS refused FROM e),
+r AS (SELECT *, CASE WHEN event = 'start' THEN CASE WHEN status = 'processing' THEN 'already_running'
+    WHEN selected_images = 0 THEN 'no_images' END END AS refused FROM e),
 m AS (SELECT *, refused IS NULL AND event <> 'update' AS moved FROM r)
 SELECT run_id, project_id, event, CASE WHEN NOT moved THEN status ELSE CASE event WHEN 'start' THEN 'processing'
     WHEN 'complete' THEN 'completed' ELSE 'failed' END END AS status, refused,

@@ -1,11 +1,10 @@
-"""Streaming, sink and pixel queries: results that plain SQL only reaches in part."""
+"""Streaming and sink queries: results that plain SQL only reaches in part."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import grading as G
-from ..operators import kernels as K
 from ..operators import projects as J
 from ..operators import runs as R
 from ..session import scratch_path
@@ -125,14 +124,6 @@ def inventory(spark, sf):
     return out.groupBy("exists", "file_type").agg(F.count_distinct("name").alias("names"))
 
 
-def pages_as_images(spark, sf):
-    """The bytes of every page as a grey image, 64 pixels wide."""
-    size = F.floor(F.octet_length("html") / 64).cast("int")
-    return T.load(spark, sf, "pages").select(
-        F.lit(0).alias("project_id"), c("page_id").alias("image_id"), F.encode("html", "UTF-8").alias("pixels"),
-        F.lit(64).alias("width"), size.alias("height"), F.lit(1).alias("channels")).filter(c("height") > 2)
-
-
 QUERIES = {
     "track_stages": track_stages,
     "stream_status_changes": status_changes,
@@ -144,11 +135,6 @@ QUERIES = {
     "write_report_csv": report_csv,
     "write_report_json": report_json,
     "artifact_inventory": inventory,
-    "image_kernels": lambda s, d: K.image_metrics(pages_as_images(s, d)),
-    "detect_keypoints": lambda s, d: K.image_keypoints(pages_as_images(s, d)).withColumn(
-        "descriptor", F.round(F.aggregate("descriptor", F.lit(0.0), lambda a, v: a + F.abs(v)), 6)),
-    "segment_objects": lambda s, d: K.segment_objects(pages_as_images(s, d)),
-    "segment_silhouettes": lambda s, d: K.segment_objects(pages_as_images(s, d), method="silhouette"),
     "reconstruct": lambda s, d: MP.M.reconstruct(
         MP.pairs(s, d), MP.keypoints(s, d), MP.images(MP.keypoints(s, d))),
 }

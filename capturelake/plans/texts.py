@@ -41,8 +41,7 @@ def dedup(spark, sf):
 def upload_summary(spark, sf):
     incoming, stored = uploads(spark, sf)
     summary = U.upload_summary(incoming, U.dedup_uploads(incoming, stored), stored)
-    return summary.withColumn("message", J.upload_message(
-        c("uploaded"), c("skipped"), c("created"), c("skipped") > c("uploaded")))
+    return summary.withColumns({"action": J.upload_action(c("created")), "reset": c("skipped") > c("uploaded")})
 
 
 def tool_logs(spark, sf):
@@ -50,7 +49,7 @@ def tool_logs(spark, sf):
 
 
 def log_tails(spark, sf):
-    tail = J.log_tail(c("text"))
+    tail = J.log_tail(c("text"), 4000)
     return T.load(spark, sf, "documents").select("doc_id", F.length(tail).alias("kept"), F.sha2(tail, 256).alias("tail_sha"))
 
 
@@ -95,10 +94,7 @@ ORACLES = {
   FROM (SELECT project_id, count(*) AS i FROM incoming GROUP BY 1)
   LEFT JOIN (SELECT project_id, count(*) AS a FROM added GROUP BY 1) USING (project_id)
   LEFT JOIN (SELECT project_id, count(*) AS k FROM stored GROUP BY 1) USING (project_id))
-SELECT *, CASE WHEN created THEN 'Proyecto creado' ELSE 'Proyecto actualizado' END || ': ' || uploaded
-  || ' imagenes agregadas, ' || skipped || ' omitidas por duplicadas. ' || CASE WHEN skipped > uploaded
-  THEN 'Se limpiaron artefactos previos y el proyecto quedo listo para reprocesarse.'
-  ELSE 'El proyecto quedo listo para procesarse.' END AS message FROM s""",
+SELECT *, CASE WHEN created THEN 'created' ELSE 'updated' END AS action, skipped > uploaded AS reset FROM s""",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "parse_tool_logs": r"""SELECT doc_id, TRY_CAST(regexp_extract(text, '(?i)Copyright[^0-9]*([0-9]+)', 1) AS BIGINT) AS registered_images,
   TRY_CAST(regexp_extract(text, '([0-9][0-9]+)', 1) AS BIGINT) AS points,

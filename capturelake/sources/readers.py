@@ -48,8 +48,8 @@ def parent_name(path: Column) -> Column:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Files below ``<path>/<project>/`` as binary rows, one row per file.
 
-    Rows come with project, name, lower-cased suffix, length and content; the
-    pixel kernels decode the bytes. Unsupported files stay as rows.
+    Rows come with project, name, lower-cased suffix, length and content.
+    Unsupported files stay as rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
