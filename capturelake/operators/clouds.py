@@ -22,7 +22,7 @@ AXES = ("x", "y", "z")
 KEY = ["cloud_id"]
 
 
-def cap_rows(points: DataFrame, n: int = 15_000) -> DataFrame:
+def cap_rows(points: DataFrame, n: int) -> DataFrame:
     """The first ``n`` points of every cloud, in cloud order."""
     return points.filter(F.col("idx") < n)
 
@@ -76,9 +76,9 @@ def radial_stats(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return _radial_stats(radii, hot_rows, shape)
 
 
-def filter_outliers_mad(points: DataFrame, min_points: int = 30, factor: float = 3.5,
+def filter_outliers_mad(points: DataFrame, min_points: int = 0, factor: float = 3.5,
                         hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Drop points beyond min(95 %, median + 3.5 MAD); small clouds stay whole."""
+    """Drop points beyond min(95 %, median + 3.5 MAD); clouds below ``min_points`` stay whole."""
     own = points.columns
     shape = measure(points, KEY)
     radii = durable(_with_radius(points, hot_rows, shape))
@@ -98,9 +98,12 @@ def _keep_if_enough(points: DataFrame, keep: Column, enough: int, hot_rows: int,
     return judged.filter(F.col("_keep") | (F.col("_kept") < enough)).select(*own)
 
 
-def filter_outliers_iqr(points: DataFrame, min_points: int = 20, enough: int = 8, fence: float = 1.5,
+def filter_outliers_iqr(points: DataFrame, min_points: int = 0, enough: int = 0, fence: float = 1.5,
                         z_limit: float = 3.5, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Radial inter-quartile fence, then a per-axis robust z-score."""
+    """Radial inter-quartile fence, then a per-axis robust z-score.
+
+    Clouds below ``min_points`` stay whole, and a step that would leave fewer than ``enough`` points is left out for its cloud.
+    """
     own = points.columns
     shape = measure(points, KEY)
     radii = durable(_with_radius(points, hot_rows, shape).withColumnRenamed("_rows", "_size"))
@@ -122,9 +125,9 @@ def filter_outliers_iqr(points: DataFrame, min_points: int = 20, enough: int = 8
     return _keep_if_enough(scored, (F.col("_size") < min_points) | inside, enough, hot_rows, shape).select(*own)
 
 
-def trim_quantiles(points: DataFrame, quantile: float = 0.04, min_points: int = 50, enough: int = 8,
+def trim_quantiles(points: DataFrame, quantile: float = 0.04, min_points: int = 0, enough: int = 0,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keep points inside the per-axis quantile box."""
+    """Keep points inside the per-axis quantile box; ``min_points`` and ``enough`` as in ``filter_outliers_iqr``."""
     own = points.columns
     q = max(0.0, min(0.2, quantile))
     if q <= 0.0:
@@ -166,23 +169,25 @@ def normalize_cloud(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         *[((c(n) - c(f"_mid{n}")) * c("_scale")).alias(n) if n in AXES else c(n) for n in points.columns])
 
 
-def voxel_downsample(points: DataFrame, voxel: float = 0.02, min_points: int = 7_000,
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
-    """First point of every voxel in clouds above ``min_points``.
+def voxel_downsample(points: DataFrame, voxel: float = 0.02, min_points: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """First point of every voxel; clouds of at most ``min_points`` stay whole where that is asked.
 
     The earliest point per voxel is an aggregate with map-side combine, so a
     crowded voxel is no single-task group.
     """
     own = points.columns
-    sizes = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    sized = attach(points, sizes, KEY, F.col("_n"), hot_rows, measure(points, KEY))
-    cell = [F.when(F.col("_n") > min_points, F.floor(F.col(a) / voxel)).otherwise(F.lit(0)).alias(f"_v{a}") for a in AXES]
-    # Small clouds use their own position as the voxel and so keep every point.
-    own_cell = F.when(F.col("_n") > min_points, F.lit(-1)).otherwise(F.col("idx")).alias("_own")
+    cell = [F.floor(F.col(a) / voxel) for a in AXES]
+    if min_points <= 0:
+        sized, whole = points, F.lit(False)
+    else:
+        sizes = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+        sized, whole = attach(points, sizes, KEY, F.col("_n"), hot_rows, measure(points, KEY)), F.col("_n") <= min_points
+    # The points of a whole cloud use their own position as the voxel.
+    marked = sized.select("*", *[F.when(whole, 0).otherwise(v).alias(f"_v{a}") for a, v in zip(AXES, cell)],
+                          F.when(whole, F.col("idx")).otherwise(-1).alias("_own"))
     first = F.min(F.struct("idx", *[n for n in own if n not in (*KEY, "idx")]))
     return (
-        sized.select("*", *cell, own_cell)
-        .groupBy(*KEY, "_vx", "_vy", "_vz", "_own").agg(first.alias("_p"))
+        marked.groupBy(*KEY, "_vx", "_vy", "_vz", "_own").agg(first.alias("_p"))
         .select(*KEY, "_p.*").select(*own)
     )
 
@@ -196,23 +201,29 @@ def stride_sample(points: DataFrame, max_points: int, hot_rows: int = HOT_ROWS)
     return sized.filter((F.col("_n") <= max_points) | on_stride).select(*points.columns)
 
 
-def densify_midpoints(points: DataFrame, low: int = 80, high: int = 2_200) -> DataFrame:
-    """Midpoints between nearby positions of mid-sized clouds.
+def densify_midpoints(points: DataFrame, low: int, high: int) -> DataFrame:
+    """All points, and midpoints of nearby positions behind those of clouds with ``low`` to ``high`` - 1 points.
 
-    Only clouds below ``high`` points take part, so the self-join is bounded
-    per cloud; the pairs come from index arithmetic, not from all pairs.
+    Other clouds pass unchanged. Midpoints carry the attributes of their
+    cloud's first point. Partners come from index arithmetic, and a cloud that
+    takes part has fewer than ``high`` points, so the join is bounded per cloud.
     """
     c = F.col
     n = c("_n")
-    sizes = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter((n >= low) & (n < high))
+    extra = [x for x in points.columns if x not in (*KEY, "idx", *AXES)]
+    first = [F.max(F.when(c("idx") == 0, F.struct(*extra))).alias("_first")] if extra else []
+    sizes = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *first).filter((n >= low) & (n < high))
     reach = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(n / 200)))
     step = F.greatest(F.lit(1), F.floor(n / 1200))
-    here = points.join(sizes, KEY).filter((c("idx") < n - 1) & (c("idx") % step == 0)).select(
-        *KEY, c("idx").alias("a_idx"), "_n", *[c(a).alias(f"a{a}") for a in AXES],
-        F.explode(F.sequence(F.lit(1), reach.cast("int"))).alias("jump"))
-    there = points.select(*KEY, c("idx").alias("b_idx"), *[c(a).alias(f"b{a}") for a in AXES])
-    pairs = here.withColumn("b_idx", (c("a_idx") + c("jump")) % n).join(there, [*KEY, "b_idx"])
-    return pairs.select(*KEY, "a_idx", "b_idx", *[((c(f"a{a}") + c(f"b{a}")) * 0.5).alias(a) for a in AXES])
+    here = points.drop(*extra).join(sizes, KEY).filter((c("idx") < n - 1) & (c("idx") % step == 0)).withColumn("_reach", reach).select(
+        *KEY, c("idx").alias("_a"), "_n", "_reach", step.alias("_step"), *[c(a).alias(f"_{a}") for a in AXES],
+        *(["_first"] if extra else []), F.explode(F.sequence(F.lit(1), reach.cast("int"))).alias("_jump"))
+    there = points.select(*KEY, c("idx").alias("_b"), *AXES)
+    pairs = here.withColumn("_b", (c("_a") + c("_jump")) % n).join(there, [*KEY, "_b"])
+    place = n + F.floor(c("_a") / c("_step")) * c("_reach") + c("_jump") - 1
+    made = pairs.select(*KEY, place.cast(points.schema["idx"].dataType).alias("idx"), *[((c(f"_{a}") + c(a)) * 0.5).alias(a) for a in AXES],
+                        *[c(f"_first.{x}").alias(x) for x in extra])
+    return points.unionByName(made)
 
 
 def shape_prior(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -256,9 +267,9 @@ def shape_prior(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def depth_ratio(points: DataFrame, min_points: int = 20, cap: int = 15_000) -> DataFrame:
+def depth_ratio(points: DataFrame, min_points: int = 20) -> DataFrame:
     """Second over first extent, clamped, of clouds with enough points."""
-    grouped = cap_rows(points, cap).groupBy(*KEY).agg(
+    grouped = points.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("sparse_point_count"),
         F.reverse(F.sort_array(F.array(*[F.max(a) - F.min(a) for a in AXES]))).alias("_e"))
     good = (F.col("sparse_point_count") >= min_points) & (F.col("_e")[0] > 1e-9)
@@ -325,25 +336,16 @@ def obj_lines(vertices: DataFrame, faces: DataFrame | None = None) -> DataFrame:
 
 
 def ordered_vertices(points: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Vertices ordered by angle about the cloud's centroid, then height.
-
-    Clouds below three points become a fixed triangle about the centroid.
-    """
+    """Vertices ordered by angle about the cloud's centroid, then height."""
     c = F.col
     center = points.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("_n"), *[F.round(F.avg(a), 6).alias(f"_c{a}") for a in AXES])
     shape = measure(points, KEY)
-    sized = attach(points.select(*KEY, "idx", *AXES), center.filter(c("_n") >= 3), KEY, c("_n"), hot_rows, shape)
-    turned = sized.filter(c("_n").isNotNull()).withColumn(
+    sized = attach(points.select(*KEY, "idx", *AXES), center, KEY, c("_n"), hot_rows, shape)
+    turned = sized.withColumn(
         "_angle", F.atan2(c("y") - c("_cy"), c("x") - c("_cx"))).select(*KEY, "idx", *AXES, "_angle")
     ranked = running_total(turned, KEY, [c("_angle"), c("z"), c("idx")], "v_idx", hot_rows=hot_rows, shape=shape)
-    # Offsets of the stand-in triangle.
-    corners = ((0, -0.1, -0.05, 0.0), (1, 0.1, -0.05, 0.0), (2, 0.0, 0.1, 0.08))
-    stand_in = center.filter(c("_n") < 3).select(*KEY, F.inline(F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("v_idx"), F.round(c("_cx") + dx, 6).alias("x"),
-                 F.round(c("_cy") + dy, 6).alias("y"), F.round(c("_cz") + dz, 6).alias("z"))
-        for i, dx, dy, dz in corners])))
-    return ranked.select(*KEY, "v_idx", *AXES).unionByName(stand_in)
+    return ranked.select(*KEY, "v_idx", *AXES)
 
 
 def fan_faces(vertices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

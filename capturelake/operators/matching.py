@@ -222,8 +222,8 @@ def estimate_poses(oriented: DataFrame, features: DataFrame) -> DataFrame:
         "matrix", pose_matrix(c("translation"), c("rotation")))
 
 
-def lift_points(oriented: DataFrame, poses: DataFrame, per_pose: int = 48) -> DataFrame:
-    """3-D points from the first matches of every pose: midpoint, disparity depth, turn, shift."""
+def lift_points(oriented: DataFrame, poses: DataFrame, per_pose: int) -> DataFrame:
+    """3-D points from the first ``per_pose`` matches of every pose: midpoint, disparity depth, turn, shift."""
     c = F.col
     first = first_rows(oriented.drop("confidence"), ["image_id"], [c("position")], per_pose)
     df = first.join(poses.select("image_id", "translation", "rotation", "confidence"), "image_id")
@@ -240,10 +240,10 @@ def lift_points(oriented: DataFrame, poses: DataFrame, per_pose: int = 48) -> Da
         F.round(F.lit(0.4) + c("confidence") * 0.45 + (c("source_score") + c("target_score")) * 0.1, 4).alias("intensity"))
 
 
-def reconstruct(pairs: DataFrame, keypoints: DataFrame, images: DataFrame) -> DataFrame:
+def reconstruct(pairs: DataFrame, keypoints: DataFrame, images: DataFrame, per_pose: int) -> DataFrame:
     """Matches, edges, poses and lifted points in one go."""
     correspondences = durable(match_descriptors(pairs, keypoints))
     features = feature_score(images, keypoints)
     best = best_match_per_image(match_edges(correspondences, features))
     oriented = durable(orient_pairs(best, correspondences, keypoints))
-    return lift_points(oriented, estimate_poses(oriented, features))
+    return lift_points(oriented, estimate_poses(oriented, features), per_pose)

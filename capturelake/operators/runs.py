@@ -457,8 +457,8 @@ def profile_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def history_overview(history: DataFrame, n: int = 10) -> DataFrame:
-    """Counts by class and profile, top datasets by mean points and by real successes.
+def history_overview(history: DataFrame, n: int) -> DataFrame:
+    """Counts by class and profile, the ``n`` top datasets by mean points and by real successes.
 
     The history is read once, into counts and point sums per class, profile and dataset.
     """

@@ -205,9 +205,10 @@ def attach(
     large = counted.filter(F.col("_size") > hot_rows).select(
         *keys, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot")
     )
+    # Dealt anew by all join keys: a side that already lies by some of them would have the join ignore the salt.
     plain = counted.filter(F.col("_size") <= hot_rows).select(
         *keys, *values, F.lit(0).cast("bigint").alias("_salt")
-    )
+    ).repartition(*keys, "_salt")
     names = df.columns
     marked = df.join(F.broadcast(large), list(keys), "left").withColumn(
         "_salt",

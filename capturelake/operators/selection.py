@@ -19,7 +19,7 @@ from .similarity import dedupe_images
 
 # Default selection settings and penalties.
 SELECTION = {
-    "min_images": 6, "max_images": 60, "keep_ratio": 0.75, "min_quality": 0.35,
+    "min_images": 6, "keep_ratio": 0.75, "min_quality": 0.35,
     "quality_weight": 0.65, "diversity_weight": 0.35, "near_duplicate": 3, "apart": 8,
 }
 CLOSE_PENALTY, WEAK_PENALTY = 0.08, 0.12
@@ -128,14 +128,14 @@ def _choose_rounds(rows: DataFrame, keys: Sequence[str], p: dict) -> DataFrame:
 
 
 def select_images(df: DataFrame, keys: Sequence[str] = ("project_id",), hash_col: str = "dhash", bits: int = 64,
-                  local_rows: int = LOCAL_ROWS, **overrides) -> DataFrame:
+                  local_rows: int = LOCAL_ROWS, *, max_images: int, **overrides) -> DataFrame:
     """Selection state, rank and reason for every candidate image.
 
     Input: keys, image_id, name, quality_score and a hash. Near-duplicates go
     first (in quality order), then images are taken one by one by weighted
-    quality and distance to those taken before.
+    quality and distance to those taken before, up to ``max_images`` of a batch.
     """
-    p = {**SELECTION, **overrides}
+    p = {**SELECTION, **overrides, "max_images": max_images}
     keys = list(keys)
     c = F.col
     order = [-c("quality_score"), F.lower("name"), c("name"), c("image_id")]

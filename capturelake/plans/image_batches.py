@@ -391,7 +391,7 @@ QUERIES = {
     "segmentation_summary": lambda s, d: I.segmentation_summary(segmentation(s, d), block=True, min_ratio=0.5)
     .withColumn("blocking_reasons", F.concat_ws("|", "blocking_reasons")),
     "target_count": lambda s, d: I.batch_summary(gated(s, d)).select(
-        "project_id", I.target_count(c("total_images"), c("accepted_images")).alias("target"),
+        "project_id", I.target_count(c("total_images"), c("accepted_images"), max_images=60).alias("target"),
         I.target_count(c("total_images"), c("total_images"), 0.5, 2, 25).alias("capped")),
     "shape_observations": lambda s, d: rounded(I.shape_observations(boxes(s, d)).select("image_id", *_OBS)),
     "best_face_view": lambda s, d: I.best_face_view(I.shape_observations(boxes(s, d))),

@@ -117,7 +117,7 @@ def poses(spark, sf):
 
 def lifted(spark, sf):
     rows, features = oriented(spark, sf)
-    return rounded(M.lift_points(rows, M.estimate_poses(rows, features)), 4)
+    return rounded(M.lift_points(rows, M.estimate_poses(rows, features), 48), 4)
 
 
 def binary_keypoints(spark, sf):

@@ -124,7 +124,7 @@ def nearest(spark, sf):
 
 
 def densified(spark, sf):
-    return rounded(C.densify_midpoints(points(spark, sf)))
+    return rounded(C.densify_midpoints(points(spark, sf), 80, 2_200))
 
 
 def palette(spark, sf):
@@ -168,9 +168,9 @@ QUERIES = {
     "cap_rows": lambda s, d: C.cap_rows(points(s, d), 40),
     "cloud_bounds": _bounds,
     "radial_stats": lambda s, d: rounded(C.radial_stats(T.raw_points(s, d))),
-    "filter_outliers_mad": lambda s, d: C.filter_outliers_mad(xyz(points(s, d))),
-    "filter_outliers_iqr": lambda s, d: C.filter_outliers_iqr(xyz(points(s, d))),
-    "trim_quantiles": lambda s, d: C.trim_quantiles(xyz(points(s, d))),
+    "filter_outliers_mad": lambda s, d: C.filter_outliers_mad(xyz(points(s, d)), 30),
+    "filter_outliers_iqr": lambda s, d: C.filter_outliers_iqr(xyz(points(s, d)), 20, 8),
+    "trim_quantiles": lambda s, d: C.trim_quantiles(xyz(points(s, d)), 0.04, 50, 8),
     "regularize_extents": lambda s, d: rounded(C.regularize_extents(C.cloud_bounds(T.raw_points(s, d)))),
     "normalize_cloud": lambda s, d: xyz(unit_points(s, d)),
     "voxel_downsample": lambda s, d: xyz(C.voxel_downsample(unit_points(s, d), 0.1, min_points=550)),
@@ -245,11 +245,15 @@ SELECT cloud_id, idx, x, round(y, 6) AS y, round(z, 6) AS z FROM s
 WHERE n <= 100 OR (idx % greatest(1, n // 100) = 0 AND idx // greatest(1, n // 100) < 100)""",
     "densify_midpoints": f"""WITH {T.POINTS_SQL}, s AS (
   SELECT *, count(*) OVER (PARTITION BY cloud_id) AS n FROM points),
-h AS (SELECT *, unnest(range(1, least(3, greatest(1, n // 200)) + 1)) AS j FROM s
-  WHERE n >= 80 AND n < 2200 AND idx < n - 1 AND idx % greatest(1, n // 1200) = 0)
-SELECT h.cloud_id, h.idx AS a_idx, t.idx AS b_idx, round((h.x + t.x) * 0.5::DOUBLE, 6) AS x,
-  round((h.y + t.y) * 0.5::DOUBLE, 6) AS y, round((h.z + t.z) * 0.5::DOUBLE, 6) AS z
-FROM h JOIN points t ON t.cloud_id = h.cloud_id AND t.idx = (h.idx + h.j) % h.n""",
+h AS (SELECT cloud_id, idx, x, y, z, n, least(3, greatest(1, n // 200)) AS k, greatest(1, n // 1200) AS step,
+    unnest(range(1, least(3, greatest(1, n // 200)) + 1)) AS j FROM s
+  WHERE n >= 80 AND n < 2200 AND idx < n - 1 AND idx % greatest(1, n // 1200) = 0),
+e AS (SELECT *, (idx + j) % n AS b_idx FROM h),
+m AS (SELECT e.cloud_id, e.n + e.idx // e.step * e.k + e.j - 1 AS idx, (e.x + t.x) * 0.5::DOUBLE AS x, (e.y + t.y) * 0.5::DOUBLE AS y,
+    (e.z + t.z) * 0.5::DOUBLE AS z, f.r, f.g, f.b
+  FROM e JOIN points t ON t.cloud_id = e.cloud_id AND t.idx = e.b_idx JOIN points f ON f.cloud_id = e.cloud_id AND f.idx = 0)
+SELECT cloud_id, idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, r, g, b
+FROM (SELECT cloud_id, idx, x, y, z, r, g, b FROM points UNION ALL SELECT * FROM m)""",
     "shape_prior": f"""WITH {T.RAW_POINTS_SQL}, b AS (
   SELECT cloud_id, count(*) AS n, greatest(max(x) - min(x), 1e-9::DOUBLE) AS ex, greatest(max(y) - min(y), 1e-9::DOUBLE) AS ey,
     greatest(max(z) - min(z), 1e-9::DOUBLE) AS ez, (min(x) + max(x)) * 0.5::DOUBLE AS mx, (min(y) + max(y)) * 0.5::DOUBLE AS my,

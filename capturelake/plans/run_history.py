@@ -123,7 +123,7 @@ history AS (
 
 
 def history_overview(spark, sf):
-    return R.history_overview(history(spark, sf))
+    return R.history_overview(history(spark, sf), 10)
 
 
 def train_thresholds(spark, sf):

@@ -136,7 +136,7 @@ QUERIES = {
     "write_report_json": report_json,
     "artifact_inventory": inventory,
     "reconstruct": lambda s, d: MP.M.reconstruct(
-        MP.pairs(s, d), MP.keypoints(s, d), MP.images(MP.keypoints(s, d))),
+        MP.pairs(s, d), MP.keypoints(s, d), MP.images(MP.keypoints(s, d)), 48),
 }
 
 _HIST = RH.ORACLES["success_conditions"]

@@ -35,7 +35,7 @@ def test_mad_filter(spark):
         limit = min(np.percentile(d, 95), np.median(d) + 3.5 * max(mad, 1e-6))
         want += [(k, i) for i in np.nonzero(d <= limit)[0]]
     for hot in (10**6, 20):
-        assert kept(C.filter_outliers_mad(df, hot_rows=hot)) == want
+        assert kept(C.filter_outliers_mad(df, 30, hot_rows=hot)) == want
     assert len(want) < df.count()
 
 
@@ -51,14 +51,17 @@ def test_iqr_filter(spark):
         ok = (np.abs((q - np.median(q, axis=0)) / (1.4826 * mad)) <= 3.5).all(axis=1)
         want += [(k, i) for i in (idx[ok] if ok.sum() >= 8 else idx)]
     for hot in (10**6, 20):
-        assert kept(C.filter_outliers_iqr(df, hot_rows=hot)) == want
+        assert kept(C.filter_outliers_iqr(df, 20, 8, hot_rows=hot)) == want
     assert len(want) < df.count()
 
 
 def test_small_clouds_stay_whole(spark):
     df = cloud(spark, n=16)
     for f in (C.filter_outliers_mad, C.filter_outliers_iqr, C.trim_quantiles):
-        assert kept(f(df)) == kept(df)
+        assert kept(f(df, min_points=17)) == kept(df)
+        assert len(kept(f(df))) < df.count()
+    assert kept(C.voxel_downsample(df, 100.0, min_points=16)) == kept(df)
+    assert len(kept(C.voxel_downsample(df, 100.0))) < df.count()
 
 
 def test_normalised_bounds(spark):
@@ -108,11 +111,18 @@ def test_cube_faces_by_side(spark):
     assert hot == M.with_corners(f, v).select(hot[0].__fields__).orderBy("f_idx").collect()
 
 
-def test_stand_in_triangle(spark):
+def test_a_cloud_of_one_point_stays_one_point(spark):
     df = spark.createDataFrame([(7, 0, 1.0, 2.0, 3.0)], "cloud_id long, idx long, x double, y double, z double")
     v = C.ordered_vertices(df)
-    assert [tuple(r)[1:] for r in v.orderBy("v_idx").collect()] == [(0, 0.9, 1.95, 3.0), (1, 1.1, 1.95, 3.0), (2, 1.0, 2.1, 3.08)]
-    assert C.fan_faces(v).count() == 1
+    assert [tuple(r) for r in v.collect()] == [(7, 0, 1.0, 2.0, 3.0)]
+    assert C.fan_faces(v).count() == 0
+
+
+def test_midpoints_stand_behind_all_points(spark):
+    rows = [(k, i, float(i), 0.0, 1.0, 10 * k + (i > 0)) for k, n in ((1, 5), (2, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "cloud_id long, idx long, x double, y double, z double, r int")
+    got = sorted(map(tuple, C.densify_midpoints(df, 4, 100).collect()))
+    assert got == sorted(rows + [(1, 5 + i, i + 0.5, 0.0, 1.0, 10) for i in range(4)])
 
 
 @pytest.mark.parametrize("hot", [10**6, 10])
