@@ -23,9 +23,29 @@ RUN_COLUMNS = (
 RATE_METRICS = ("success_rate", "failure_rate", "input_blocked_rate", "fallback_rate")
 
 
+REASON_COUNTS = ("validation_rejected_reason_counts", "validation_warning_reason_counts", "selection_discarded_reason_counts")
+SOURCES = ("execution_report_path", "input_validation_report_path", "input_selection_report_path")
+
+
 def build_run_record(flat: DataFrame) -> DataFrame:
-    """Versioned nested run records out of flat per-run metrics."""
+    """Versioned nested run records out of flat per-run metrics.
+
+    Optional columns: the three reason counters (maps), ``blocking_reasons``
+    (array), ``stage_timings_seconds`` (map), ``stage_observed_count``,
+    ``retryable``, ``output_artifacts`` (array) and the report paths. Absent
+    counters are empty; the rest is null or, for retryable, told by the code.
+    """
     c = F.col
+    counters = "map<string,bigint>"
+
+    def given(name: str, kind: str, default: Column | None = None) -> Column:
+        value = c(name).cast(kind) if name in flat.columns else F.lit(None).cast(kind)
+        return (value if default is None else F.coalesce(value, default.cast(kind))).alias(name)
+
+    blocking = given("blocking_reasons", "array<string>", F.array())
+    blocked = F.aggregate(blocking, F.create_map().cast(counters), lambda m, r: F.map_zip_with(
+        m, F.create_map(r, F.lit(1).cast("bigint")), lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))))
+    timings = given("stage_timings_seconds", "map<string,double>", F.create_map())
     return flat.select(
         F.lit("1.0").alias("schema_version"),
         c("run_id").cast("string").alias("run_id"),
@@ -41,7 +61,13 @@ def build_run_record(flat: DataFrame) -> DataFrame:
             F.round(c("input_reduction_ratio") * 100.0, 2).alias("input_reduction_pct"),
         ).alias("input_metrics"),
         F.struct(
-            "total_processing_seconds", "current_stage", "failed_stage", "reason_code", "fallback_used",
+            *[given(n, counters, F.create_map()) for n in REASON_COUNTS], blocked.alias("pipeline_blocking_reasons"),
+        ).alias("reason_frequencies"),
+        F.struct(
+            "total_processing_seconds", timings, given("stage_observed_count", "int", F.size(timings)),
+            "current_stage", "failed_stage", "reason_code",
+            given("retryable", "boolean", F.when(c("reason_code").isNotNull(), G.retryable(c("reason_code"), F.lit(None).cast("string")))),
+            "fallback_used",
             F.coalesce(c("current_stage") == "completed_with_fallback", F.lit(False)).alias("completed_with_fallback"),
         ).alias("execution_metrics"),
         F.struct(
@@ -50,7 +76,9 @@ def build_run_record(flat: DataFrame) -> DataFrame:
             F.coalesce(c("allow_processing_after_selection"), F.lit(True)).alias("allow_processing_after_selection"),
             F.coalesce(c("coverage_possible_low"), F.lit(False)).alias("coverage_possible_low"),
         ).alias("quality_gates"),
-        F.struct("final_artifact_type", "final_artifact_size_bytes").alias("artifact_metrics"),
+        F.struct("final_artifact_type", "final_artifact_size_bytes", given("output_artifacts", "array<string>", F.array())).alias(
+            "artifact_metrics"),
+        F.struct(*[given(n, "string") for n in SOURCES]).alias("sources"),
     )
 
 

@@ -239,6 +239,21 @@ def deduped(spark, sf):
                            bits=16)
 
 
+def deduped_by_quality(spark, sf):
+    """Near-duplicates in quality order, the better image first."""
+    m = rounded(scored(spark, sf).select("image_id", "project_id", "name", "phash", "quality_score"))
+    return S.dedupe_images(m, ["project_id"], [-c("quality_score"), F.lower("name"), c("name"), c("image_id")], "phash", 2, 3,
+                           bits=16).drop("quality_score")
+
+
+def selection_gates(spark, sf):
+    """Gate on the number of accepted, sharp images of a batch."""
+    counted = gated(spark, sf).groupBy("project_id").agg(
+        F.count_if((c("status") != I.REJECTED) & (c("sharpness") > 0.31)).alias("selected_images"))
+    gates = counted.withColumn("selected_images", c("selected_images") - c("project_id") * 4)
+    return gates.withColumn("blocking_reasons", F.concat_ws("|", I.selection_gate(c("selected_images"))))
+
+
 def selected(spark, sf):
     return rounded(Sel.select_images(scored(spark, sf).filter(c("status") != I.REJECTED), hash_col="phash", bits=16,
                                      near_duplicate=1, apart=4, min_quality=0.6, max_images=30))
@@ -387,6 +402,8 @@ QUERIES = {
     "similar_pairs": lambda s, d: S.similar_pairs(metrics(s, d), ["project_id"], "phash", 2, bits=16),
     "hybrid_duplicates": hybrid,
     "dedupe_images": deduped,
+    "dedupe_by_quality": deduped_by_quality,
+    "selection_gate": selection_gates,
     "select_images": selected,
     "segmentation_summary": lambda s, d: I.segmentation_summary(segmentation(s, d), block=True, min_ratio=0.5)
     .withColumn("blocking_reasons", F.concat_ws("|", "blocking_reasons")),
@@ -634,6 +651,13 @@ SELECT o.image_id, o.project_id, o.name, o.phash, NOT coalesce(near.d <= 2, fals
   CASE WHEN near.d <= 2 THEN 'duplicate_near' WHEN near.d <= 3 THEN 'similar_view' END AS duplicate_kind
 FROM walk JOIN o USING (project_id, pos)"""
 
+ORACLES["dedupe_by_quality"] = ORACLES["dedupe_images"].replace(METRICS_SQL, SCORED_SQL).replace(
+    f"ORDER BY {_NAMEORD}) AS pos FROM metrics", f"ORDER BY round(quality_score, 6) DESC, {_NAMEORD}) AS pos FROM scored")
+ORACLES["selection_gate"] = f"""WITH {GATED_SQL}, s AS (SELECT project_id,
+  count(*) FILTER (status <> 'rechazada' AND sharpness > 0.31::DOUBLE) - project_id * 4 AS selected_images FROM judged GROUP BY project_id)
+SELECT *, array_to_string(list_filter([CASE WHEN selected_images <= 0 THEN 'no_images_selected' END,
+  CASE WHEN selected_images < 6 THEN 'insufficient_selected_images' END], lambda r: r IS NOT NULL), '|') AS blocking_reasons FROM s"""
+
 _COVERAGE = ORACLES["coverage_summary"].split("WITH ", 1)[1]
 ORACLES["batch_gate"] = f"""WITH cover AS (WITH {_COVERAGE}), {GATED_SQL},
 s AS (SELECT project_id, count(*) AS total_images, count(*) FILTER (status = 'apta') AS valid_images,

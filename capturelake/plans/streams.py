@@ -58,6 +58,85 @@ def run_log(spark, sf):
     return path
 
 
+def _detailed_runs(spark, sf):
+    """Run records with counters, timings and sources, written and read back."""
+    runs = RH._with_gates(T.runs(spark, sf)).withColumns({
+        "validation_rejected_reason_counts": F.create_map(F.lit("low_resolution"), c("rejected_images"), F.lit("blurry"), c("max_line")),
+        "validation_warning_reason_counts": F.create_map(F.lit("near_underexposed"), c("warning_images")),
+        "blocking_reasons": F.when(c("selected_images") == 0, F.array(F.lit("no_images_selected"), F.lit("no_images_selected"),
+                                                                      F.lit("insufficient_total_images"))),
+        "stage_timings_seconds": F.create_map(F.lit("mapper"), F.round(c("qty") / 4.0, 2), F.lit("matcher"), c("max_discount") * 100.0),
+        "output_artifacts": F.array(F.lit("model.obj")),
+        "execution_report_path": F.concat(F.lit("r/"), c("run_id").cast("string")),
+    })
+    path = scratch_path(spark, "detailed")
+    writers.append_runs(R.build_run_record(runs), path)
+    return readers.read_runs(spark, path)
+
+
+def recorded_reasons(spark, sf):
+    rows = _detailed_runs(spark, sf).select("run_id", c("run_info.project_id").alias("project_id"),
+                                            c("run_info.variant").alias("variant"), "reason_frequencies")
+    return R.explode_reasons(rows)
+
+
+def recorded_timings(spark, sf):
+    rows = _detailed_runs(spark, sf).select(
+        "run_id", c("run_info.project_id").alias("project_id"), c("run_info.variant").alias("variant"),
+        c("execution_metrics.stage_timings_seconds").alias("stage_timings_seconds"))
+    return R.explode_stage_timings(rows)
+
+
+def recorded_facts(spark, sf):
+    e = "execution_metrics."
+    return _detailed_runs(spark, sf).select(
+        "run_id", c(e + "stage_observed_count").alias("stages"), c(e + "retryable").alias("retryable"),
+        F.concat_ws("|", "artifact_metrics.output_artifacts").alias("artifacts"), c("sources.execution_report_path").alias("report"))
+
+
+def _supplier_files(spark, sf):
+    """One text file per bucket with a line per supplier."""
+    path = scratch_path(spark, "folders")
+    T.load(spark, sf, "supplier").select(c("s_name").alias("value"), (c("s_suppkey") % 20).alias("bucket")).coalesce(1).write.partitionBy("bucket").text(path)
+    return path
+
+
+def image_files(spark, sf):
+    return readers.read_images(spark, _supplier_files(spark, sf)).select("project_id", "extension", "length")
+
+
+def unreadable_images(spark, sf):
+    return readers.read_decoded_images(spark, _supplier_files(spark, sf)).select("project_id", "width", "reject_reason")
+
+
+def project_documents(spark, sf):
+    path = scratch_path(spark, "projects")
+    docs = T.load(spark, sf, "supplier").select(
+        F.concat(F.lit("p"), "s_suppkey").alias("folder"), F.concat(F.lit("p"), "s_suppkey").alias("id"), c("s_name").alias("name"),
+        F.when(c("s_suppkey") % 5 > 1, "completed").otherwise("failed").alias("status"),
+        F.when(c("s_suppkey") != 7, F.date_format(F.date_add(F.lit("2024-01-01"), c("s_suppkey").cast("int")), "yyyy-MM-dd HH:mm:ss"))
+        .otherwise("no date").alias("created_at"))
+    writers.write_report_json(docs, path, "folder")
+    found = readers.read_projects(spark, path, "*/part-*")
+    return TL.naive(found.select("id", "name", "status", "created_at"), "created_at")
+
+
+def _model_texts(spark, sf):
+    """A model text per bucket: comments, and a line per supplier."""
+    path = scratch_path(spark, "models")
+    rows = T.load(spark, sf, "supplier").withColumn("bucket", c("s_suppkey") % 20)
+    lines = rows.select("bucket", F.concat_ws(" ", "s_suppkey", "s_name").alias("value")).union(
+        rows.select("bucket", F.concat(F.lit("# "), "s_name")))
+    lines.coalesce(1).write.partitionBy("bucket").text(path)
+    return path
+
+
+def model_counts(spark, sf):
+    path = _model_texts(spark, sf)
+    cams, imgs = readers.camera_count(spark, path), readers.registered_image_count(spark, path)
+    return cams.join(imgs, "source").select(F.regexp_extract("source", r"bucket=(\d+)", 1).alias("bucket"), "cameras", "registered_images")
+
+
 def runs_roundtrip(spark, sf):
     return R.flatten_runs(readers.read_runs(spark, run_log(spark, sf)))
 
@@ -131,6 +210,13 @@ QUERIES = {
     "stream_dedup_uploads": upload_stream,
     "stream_predictions": prediction_stream,
     "append_runs": runs_roundtrip,
+    "recorded_reasons": recorded_reasons,
+    "recorded_timings": recorded_timings,
+    "recorded_facts": recorded_facts,
+    "read_images": image_files,
+    "read_decoded_images": unreadable_images,
+    "read_projects": project_documents,
+    "model_counts": model_counts,
     "read_history": history_roundtrip,
     "write_report_csv": report_csv,
     "write_report_json": report_json,
@@ -147,6 +233,32 @@ ORACLES = {
     "stream_dedup_uploads": "SELECT DISTINCT source AS project_id, sha256(text) AS sha256 FROM documents",
     "stream_predictions": RH.ORACLES["predict_success"],
     "append_runs": RH.ORACLES["flatten_runs"],
+    "recorded_reasons": f"""WITH {T.RUNS_SQL}, r AS (
+SELECT run_id::VARCHAR AS run_id, project_id::VARCHAR AS project_id, variant, 'validation_rejected_reason_counts' AS reason_type,
+  'low_resolution' AS reason, rejected_images::BIGINT AS count FROM runs
+UNION ALL SELECT run_id::VARCHAR, project_id::VARCHAR, variant, 'validation_rejected_reason_counts', 'blurry', max_line FROM runs
+UNION ALL SELECT run_id::VARCHAR, project_id::VARCHAR, variant, 'validation_warning_reason_counts', 'near_underexposed', warning_images FROM runs
+UNION ALL SELECT run_id::VARCHAR, project_id::VARCHAR, variant, 'pipeline_blocking_reasons', 'no_images_selected', 2 FROM runs
+  WHERE selected_images = 0
+UNION ALL SELECT run_id::VARCHAR, project_id::VARCHAR, variant, 'pipeline_blocking_reasons', 'insufficient_total_images', 1 FROM runs
+  WHERE selected_images = 0)
+SELECT * FROM r WHERE count IS NOT NULL""",
+    "recorded_timings": f"""WITH {T.RUNS_SQL}
+SELECT run_id::VARCHAR AS run_id, project_id::VARCHAR AS project_id, variant, s.stage, s.t AS duration_seconds
+FROM (SELECT run_id, project_id, variant, unnest([{{'stage': 'mapper', 't': {T.half_up('round(qty / 4.0::DOUBLE, 2)', 3)}}},
+  {{'stage': 'matcher', 't': {T.half_up('max_discount * 100.0::DOUBLE', 3)}}}]) AS s FROM runs)""",
+    "recorded_facts": f"""WITH {T.RUNS_SQL}
+SELECT run_id::VARCHAR AS run_id, 2 AS stages, CASE WHEN reason_code IS NOT NULL
+  THEN reason_code NOT IN ('input_validation_failed', 'input_selection_failed') END AS retryable, 'model.obj' AS artifacts,
+  'r/' || run_id AS report FROM runs""",
+    "read_images": """SELECT 'bucket=' || s_suppkey % 20 AS project_id, '.txt' AS extension, sum(strlen(s_name) + 1)::BIGINT AS length
+FROM supplier GROUP BY s_suppkey % 20""",
+    "read_decoded_images": """SELECT DISTINCT 'bucket=' || s_suppkey % 20 AS project_id, NULL::INT AS width, 'unreadable_image' AS reject_reason
+FROM supplier""",
+    "read_projects": """SELECT 'p' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 5 > 1 THEN 'completed' ELSE 'failed' END AS status,
+  CASE WHEN s_suppkey <> 7 THEN (DATE '2024-01-01' + s_suppkey::INT)::TIMESTAMP END AS created_at FROM supplier""",
+    "model_counts": """SELECT (s_suppkey % 20)::VARCHAR AS bucket, count(*) AS cameras, count(*) // 2 AS registered_images FROM supplier
+GROUP BY s_suppkey % 20""",
     "read_history": _HIST,
     "write_report_csv": RH.ORACLES["variant_metrics"],
     "write_report_json": f"WITH {RH.STATS_SQL} SELECT scope, run_count FROM stats",

@@ -29,7 +29,8 @@ RUN_SCHEMA = (
     "fallback_used:boolean,completed_with_fallback:boolean>, "
     "quality_gates struct<blocked_by_input_deficiency:boolean,allow_processing_after_validation:boolean,"
     "allow_processing_after_selection:boolean,coverage_possible_low:boolean>, "
-    "artifact_metrics struct<final_artifact_type:string,final_artifact_size_bytes:bigint>"
+    "artifact_metrics struct<final_artifact_type:string,final_artifact_size_bytes:bigint,output_artifacts:array<string>>, "
+    "sources struct<execution_report_path:string,input_validation_report_path:string,input_selection_report_path:string>"
 )
 PROJECT_SCHEMA = (
     "id string, name string, status string, created_at string, updated_at string, image_files array<string>, "
@@ -105,10 +106,10 @@ def read_report_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
         return spark.createDataFrame([], schema)
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Project documents ``<path>/*/meta.json``, newest first, broken ones skipped."""
+def read_projects(spark: SparkSession, path: str, pattern: str = "*/meta.json") -> DataFrame:
+    """Project documents ``<path>/<pattern>``, newest first, broken ones skipped."""
     typed = StructType.fromDDL(PROJECT_SCHEMA).add("_corrupt_record", "string")
-    rows = spark.read.schema(typed).option("multiLine", True).json(f"{path}/*/meta.json")
+    rows = spark.read.schema(typed).option("multiLine", True).json(f"{path}/{pattern}")
     good = rows.filter(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
     return good.withColumns({
         "created_at": F.try_to_timestamp("created_at"), "updated_at": F.try_to_timestamp("updated_at"),
