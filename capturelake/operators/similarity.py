@@ -49,14 +49,13 @@ def _tiles(nodes: DataFrame, keys: Sequence[str], tile_rows: int) -> tuple[DataF
     return placed.groupBy(*keys, "_tiles", "_tile").agg(F.collect_list("hash").alias("hs")), True
 
 
-def _tile_pairs(nodes: DataFrame, keys: Sequence[str], tile_rows: int, both_ways: bool) -> DataFrame:
-    """(hs, others, same) per pair of tiles of a group."""
+def _tile_pairs(nodes: DataFrame, keys: Sequence[str], tile_rows: int) -> DataFrame:
+    """(hs, others, same) per unordered pair of tiles of a group."""
     tiles, several = _tiles(nodes, keys, tile_rows)
     keys = list(keys)
     if not several:
         return tiles.select(*keys, "hs", F.col("hs").alias("others"), F.lit(True).alias("same"))
-    start = F.lit(0).cast("bigint") if both_ways else F.col("_tile")
-    left = tiles.select(*keys, "_tile", "hs", F.explode(F.sequence(start, F.col("_tiles") - 1)).alias("_other"))
+    left = tiles.select(*keys, "_tile", "hs", F.explode(F.sequence("_tile", F.col("_tiles") - 1)).alias("_other"))
     right = tiles.select(*keys, F.col("_tile").alias("_other"), F.col("hs").alias("others"))
     return left.join(right, [*keys, "_other"]).select(
         *keys, "hs", "others", (F.col("_tile") == F.col("_other")).alias("same"))
@@ -66,39 +65,47 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a[:, None] ^ b[None, :])
 
 
-def nearest_hamming(df: DataFrame, keys: Sequence[str], hash_col: str = "dhash",
+def nearest_hamming(df: DataFrame, keys: Sequence[str], hash_col: str = "dhash", bits: int = 64,
                     tile_rows: int = TILE_ROWS) -> DataFrame:
     """Distance from every hash to the closest other row of its group.
 
     One row per distinct hash with its number of copies; copies are at
-    distance 0 from each other, a lone hash has NULL.
+    distance 0 from each other, a lone hash has NULL. Neighbours within
+    ``BAND_RADIUS`` bits come from the radius join. Only hashes that have none
+    are compared with the tiles of their group; where every hash has one, no
+    tile is formed.
     """
     keys = list(keys)
     nodes = durable(distinct_hashes(df, keys, hash_col))
+    pairs = _radius_pairs(nodes.select(*keys, "hash"), keys, min(BAND_RADIUS, bits - 2), bits, tile_rows)
+    both = pairs.select(*keys, F.col("a").alias("hash"), "distance").union(pairs.select(*keys, F.col("b").alias("hash"), "distance"))
+    near = both.groupBy(*keys, "hash").agg(F.min("distance").alias("_d"))
+    found = durable(nodes.join(near, [*keys, "hash"], "left").withColumn("_d", F.when(F.col("copies") > 1, 0).otherwise(F.col("_d"))))
+    lone = found.filter(F.col("_d").isNull()).select(*keys, "hash")
+    if lone.isEmpty():
+        return found.select(*keys, "hash", "copies", F.col("_d").alias("nearest"))
 
     @F.pandas_udf("array<int>")
-    def closest(hs: pd.Series, others: pd.Series, same: pd.Series) -> pd.Series:
+    def closest(hs: pd.Series, others: pd.Series) -> pd.Series:
         out = []
-        for mine, theirs, own in zip(hs, others, same):
+        for mine, theirs in zip(hs, others):
             a = np.asarray(mine, dtype=np.int64).view(np.uint64)
             b = np.asarray(theirs, dtype=np.int64).view(np.uint64)
             best = np.empty(len(a), dtype=np.int32)
             for at in range(0, len(a), _CHUNK):
-                d = _distances(a[at:at + _CHUNK], b)
-                if own:
-                    rows = np.arange(len(d))
-                    d[rows, at + rows] = 255
-                best[at:at + _CHUNK] = d.min(axis=1)
+                part = a[at:at + _CHUNK]
+                # A hash in its own tile is not its neighbour; any other is at least one bit away.
+                best[at:at + _CHUNK] = np.where(part[:, None] == b[None, :], 255, _distances(part, b)).min(axis=1)
             out.append(best)
         return pd.Series(out)
 
-    pairs = _tile_pairs(nodes, keys, tile_rows, both_ways=True)
-    per_tile = pairs.select(*keys, "hs", closest("hs", "others", "same").alias("ds"))
-    found = per_tile.select(*keys, F.explode(F.arrays_zip("hs", "ds")).alias("_p")).groupBy(
-        *keys, F.col("_p.hs").alias("hash")).agg(F.min("_p.ds").alias("_d"))
-    return nodes.join(found, [*keys, "hash"], "left").select(
-        *keys, "hash", "copies",
-        F.when(F.col("copies") > 1, 0).when(F.col("_d") < 255, F.col("_d")).alias("nearest"))
+    mine = _tiles(lone, keys, tile_rows)[0].drop("_tiles", "_tile")
+    tiles = _tiles(nodes, keys, tile_rows)[0].select(*keys, F.col("hs").alias("others"))
+    per_tile = mine.join(tiles, keys).select(*keys, "hs", closest("hs", "others").alias("ds"))
+    far = per_tile.select(*keys, F.explode(F.arrays_zip("hs", "ds")).alias("_p")).groupBy(
+        *keys, F.col("_p.hs").alias("hash")).agg(F.min("_p.ds").alias("_f"))
+    return found.join(far, [*keys, "hash"], "left").select(
+        *keys, "hash", "copies", F.coalesce("_d", F.when(F.col("_f") < 255, F.col("_f"))).alias("nearest"))
 
 
 def _tile_join(nodes: DataFrame, keys: Sequence[str], radius: int, tile_rows: int) -> DataFrame:
@@ -127,7 +134,7 @@ def _tile_join(nodes: DataFrame, keys: Sequence[str], radius: int, tile_rows: in
                                             "a": np.minimum(left, right), "b": np.maximum(left, right),
                                             "distance": near.astype(np.int32)})
 
-    return _tile_pairs(nodes, keys, tile_rows, both_ways=False).mapInPandas(find, schema)
+    return _tile_pairs(nodes, keys, tile_rows).mapInPandas(find, schema)
 
 
 def _band_layout(bits: int, count: int) -> list[tuple[int, int]]:
@@ -237,9 +244,12 @@ def hybrid_duplicate(dhash_distance: Column, phash_distance: Column, match_ratio
 def _rejected_nodes(edges: DataFrame, keys: Sequence[str], local_edges: int) -> DataFrame | None:
     """Nodes that an earlier kept node excludes, for edges (src, dst) with src before dst.
 
-    A group whose open edges fit into a task is settled there in one sweep.
-    Larger groups are worked off in rounds: nodes without an earlier open
-    neighbour are kept, their neighbours go, and the edges of both disappear.
+    Each round settles the earliest positions of every group: those whose
+    edges to later nodes are ``local_edges`` at most (or the first position
+    alone) are swept in one task, in order. All edges that end at such a
+    position begin at an earlier one, so the sweep decides it for good; nodes
+    that it excludes further on take their edges with them. A group takes about
+    edges / ``local_edges`` rounds, however long its chains are.
     """
     keys = list(keys)
     done: list[DataFrame] = []
@@ -261,12 +271,15 @@ def _rejected_nodes(edges: DataFrame, keys: Sequence[str], local_edges: int) ->
         if shape.largest <= local_edges:
             done.append(edges.groupBy(*keys).applyInPandas(sweep, schema))
             break
-        heads = edges.select(*keys, "src").distinct().join(
-            edges.select(*keys, F.col("dst").alias("src")), [*keys, "src"], "left_anti")
-        gone = durable(edges.join(heads, [*keys, "src"], "left_semi").select(*keys, F.col("dst").alias("node")).distinct())
+        counts = edges.groupBy(*keys, "src").agg(F.count(F.lit(1)).alias("_n"))
+        placed = running_total(counts, keys, [F.col("src")], "_before", F.col("_n"))
+        ends = placed.filter((F.col("_before") + F.col("_n") <= local_edges) | (F.col("_before") == 0)).groupBy(*keys).agg(
+            F.max("src").alias("_end"))
+        marked = durable(edges.join(ends, keys))
+        gone = durable(marked.filter("src <= _end").select(*keys, "src", "dst").groupBy(*keys).applyInPandas(sweep, schema))
         done.append(gone)
         edges = durable(
-            edges.join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
+            marked.filter("src > _end").drop("_end").join(gone.withColumnRenamed("node", "dst"), [*keys, "dst"], "left_anti")
             .join(gone.withColumnRenamed("node", "src"), [*keys, "src"], "left_anti"))
     return reduce(DataFrame.unionByName, done) if done else None
 

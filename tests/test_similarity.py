@@ -63,6 +63,22 @@ def test_nearest_over_tiles(spark):
         assert {(r.project_id, r.hash): r.nearest for r in got} == want
 
 
+def test_no_tile_where_bands_resolve_all(spark, monkeypatch):
+    rows = [(1, i, v, f"{i}.png", "") for i, v in enumerate([0, 1, 7, 1 << 40, 1 << 40 | 3, 5, 5])]
+    monkeypatch.setattr(S, "_tiles", lambda *a: pytest.fail("a tile was formed"))
+    got = {r.hash: r.nearest for r in S.nearest_hamming(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash").collect()}
+    assert got == {0: 1, 1: 1, 7: 1, 1 << 40: 1, 1 << 40 | 3: 2, 5: 0}
+
+
+def test_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    edges = spark.range(10_000).selectExpr("1L AS project_id", "id AS src", "id + 1 AS dst")
+    rounds = []
+    measured = S.measure
+    monkeypatch.setattr(S, "measure", lambda *a: rounds.append(1) or measured(*a))
+    gone = {r.node for r in S._rejected_nodes(edges, ["project_id"], 2_500).collect()}
+    assert gone == set(range(1, 10_001, 2)) and len(rounds) <= 5
+
+
 def test_pair_counts_from_copies(spark):
     rows = batch(100, 4)
     df = spark.createDataFrame(rows, SCHEMA)
