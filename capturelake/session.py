@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folder of each local application that names no shared one; removed when this process ends.
+_LOCAL: dict[str, str] = {}
+
+
 def build_session(app: str = "capturelake", cores: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -43,8 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         # setCheckpointDir appends a random leaf; its parent is the named folder.
         return current.rsplit("/", 1)[0]
-    if context.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="spark-capturelake-")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        if context.applicationId not in _LOCAL:
+            folder = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="spark-capturelake-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return _LOCAL[context.applicationId]
     raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
@@ -59,3 +68,11 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written table."""
     return os.path.join(shared_dir(spark), "capturelake", f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``scratch_path`` placed, once nothing reads it any more."""
+    if "/capturelake/" not in path or not path.startswith(shared_dir(spark)):
+        raise ValueError(f"no scratch table: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
