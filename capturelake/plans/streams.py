@@ -155,8 +155,10 @@ def upload_stream(spark, sf):
     _rocks(spark)
     schema = T.load(spark, sf, "documents").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    ups = raw.select(c("source").alias("project_id"), c("text").alias("content"))
-    return ST.run_available(ST.stream_dedup_uploads(ups), "uploads", scratch_path(spark, "stream")).drop("batch_id")
+    ups = raw.select(c("source").alias("project_id"), c("text").alias("content"), F.timestamp_seconds(c("doc_id") + 1_000_000_000).alias("uploaded_at"))
+    # Digests are forgotten once the watermark has passed them.
+    fresh = ST.stream_dedup_uploads(ups, "10000 days")
+    return ST.run_available(fresh, "uploads", scratch_path(spark, "stream")).select("project_id", "sha256")
 
 
 def prediction_stream(spark, sf):
