@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
+from ..operators.scale import attach
 from ..session import durable
 from .arrow import map_texts
 from .components import components
@@ -32,6 +33,8 @@ ORDERS = tuple((*lead, *(k for k in range(len(BLOCKS)) if k not in lead)) for le
 LEAD_BITS = tuple(sum(BLOCKS[k] for k in lead) for lead in LEADS)
 #: A subtree with more fingerprints is cut into tiles of about this many, and tile pairs are walked apart.
 TILE = 16_384
+#: A fingerprint is frequent if it has over one of so many rows.
+HOT_SHARE = 10_000
 #: Fingerprints and node pairs walked at once in a task.
 ROWS, PAIRS = 200_000, 200_000
 
@@ -225,21 +228,24 @@ def linked_fingerprints(distinct: DataFrame, budget: int = MAX_BITS, tile: int =
 
 
 def near_duplicates(fingerprints: DataFrame, budget: int = MAX_BITS, tile: int = TILE) -> DataFrame:
-    """Rows (fp, component_id) for each distinct ``fp`` of (id, fp): the smallest id reachable over links."""
+    """Rows (fp, n, component_id) for each distinct ``fp`` of (id, fp): its rows, and the smallest id reachable over links."""
     key, fp = fingerprints.columns
-    first = durable(fingerprints.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least")))
+    first = durable(fingerprints.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")))
     links = linked_fingerprints(first.select(F.lit(0).alias("seed"), "fp"), budget, tile)
     roots = components(links.select("a", "b"))
     named = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "least")
     by_root = named.groupBy("root").agg(F.min("least").alias("whole"))
     moved = named.join(by_root, "root").select(F.col("node").alias("fp"), "whole")
-    return first.join(moved, "fp", "left").select("fp", F.coalesce("whole", "least").alias("component_id"))
+    return first.join(moved, "fp", "left").select("fp", "n", F.coalesce("whole", "least").alias("component_id"))
 
 
 def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, budget: int = MAX_BITS,
                        tile: int = TILE) -> DataFrame:
     """Per row: ``key``, its fingerprint in hexadecimal, and the smallest ``key`` of its component."""
-    marked = durable(with_fingerprint(df, text, [key], "fp", words))
+    marked = durable(with_fingerprint(df, text, [key], "fp", words).withColumnRenamed(key, "__llm_id"))
     classes = near_duplicates(marked, budget, tile)
-    return marked.join(classes, "fp", "left").select(
-        F.col(f"`{key}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # At most HOT_SHARE fingerprints are that frequent; they are broadcast, and their many rows stay where they are.
+    hot_rows = max(1, marked.count() // HOT_SHARE)
+    joined = attach(marked, classes, ["fp"], F.col("n"), hot_rows)
+    return joined.select(
+        F.col("__llm_id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
