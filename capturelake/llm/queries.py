@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import load
-from ..session import scratch_path
+from ..session import drop_scratch, scratch_path
 from .archives import arc_to_warc, read_warc, write_arc
 from .chat_format import rotate_perspectives
 from .decontamination import overlaps
@@ -75,6 +75,7 @@ def op10_archives(spark: SparkSession, sf: str) -> DataFrame:
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     write_arc(load(spark, sf, "pages"), arc, "page_id", "url", "html")
     arc_to_warc(spark, arc, warc)
+    drop_scratch(spark, arc)
     return read_warc(spark, warc).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 

@@ -14,7 +14,7 @@ from capturelake.llm.packing import pack
 from capturelake.llm.quality_rules import clean_documents
 from capturelake.llm.secret_scan import redact
 from capturelake.plans.tables import load
-from capturelake.session import scratch_path
+from capturelake.session import drop_scratch, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """Rows of the last stage; a stage's table goes once the next one is written."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_scratch(spark, before)
+        before = path
     return docs
