@@ -28,7 +28,7 @@ def timing_rows(spark, sf):
     day = T.stage_events(spark, sf).groupBy(
         c("project_id"), F.to_date("ts").alias("day"), "stage").agg(F.max("seconds").alias("s"))
     runs = day.groupBy("project_id", "day").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.when(c("stage") == "mapper", " ").otherwise(c("stage")), c("s") - 1.0))).alias("stage_timings_seconds"))
+        F.concat(F.lit(" "), "stage"), c("s") - 1.0))).alias("stage_timings_seconds"))
     return R.explode_stage_timings(runs.select(
         F.concat_ws("-", "project_id", "day").alias("run_id"), "project_id",
         F.concat(F.lit("V"), c("project_id") % 3).alias("variant"), "stage_timings_seconds"))
@@ -37,7 +37,7 @@ def timing_rows(spark, sf):
 TIMINGS_SQL = T.EVENTS_SQL + """,
 timings AS (SELECT project_id || '-' || ts::DATE AS run_id, project_id, 'V' || project_id % 3 AS variant, stage,
     round(greatest(0.0::DOUBLE, max(seconds) - 1.0::DOUBLE), 3) AS duration_seconds
-  FROM stage_events WHERE stage <> 'mapper' GROUP BY ALL)"""
+  FROM stage_events GROUP BY ALL)"""
 
 
 def reason_rows(spark, sf):
@@ -116,8 +116,7 @@ def merged(spark, sf):
 
 
 def top_stage(spark, sf):
-    return R.top_key(T.stage_events(spark, sf).withColumn("stage", F.when(c("seconds") > 20, c("stage")).otherwise(" ")),
-                     ["project_id"], "stage", "top_stage")
+    return R.top_key(T.stage_events(spark, sf), ["project_id"], "stage", "top_stage")
 
 
 def json_values(spark, sf):
@@ -138,7 +137,7 @@ QUERIES = {
     "status_changes": lambda s, d: naive(St.status_changes(T.stage_events(s, d).withColumns({
         "message": F.lit(None).cast("string"), "progress": F.round(c("progress"), 0)})), "ts").drop("message", "seconds"),
     "tail_timeline": lambda s, d: naive(St.tail_timeline(T.stage_events(s, d), 15), "ts").drop("seconds"),
-    "pending_stages": lambda s, d: St.pending_stages(T.stage_events(s, d).filter(c("seconds") > 60)).withColumn(
+    "pending_stages": lambda s, d: St.pending_stages(T.stage_events(s, d).withColumn("project_id", c("event_id") % 5000)).withColumn(
         "pending", F.concat_ws(",", "pending")),
     "explode_stage_timings": timing_rows,
     "stage_timing_summary": lambda s, d: R.stage_timing_summary(timing_rows(s, d)),
@@ -175,8 +174,8 @@ SELECT project_id, ts, event_id, stage, stage_status, progress FROM n
 WHERE b IS DISTINCT FROM {{'a': stage, 'b': stage_status, 'c': progress}}""",
     "tail_timeline": f"""WITH {CLEAN_SQL}
 SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC) AS age FROM ev QUALIFY age <= 15""",
-    "pending_stages": f"""WITH {CLEAN_SQL}, s AS (SELECT project_id, list(DISTINCT stage) AS seen FROM stage_events
-  WHERE seconds > 60 GROUP BY 1)
+    "pending_stages": f"""WITH {CLEAN_SQL}, s AS (SELECT event_id % 5000 AS project_id, list(DISTINCT stage) AS seen FROM stage_events
+  GROUP BY 1)
 SELECT project_id, array_to_string(list_filter({T.sql_list(St.STAGE_SEQUENCE)}, lambda x: NOT list_contains(seen, x)), ',')
   AS pending FROM s""",
     "explode_stage_timings": f"WITH {TIMINGS_SQL} SELECT * FROM timings",
@@ -185,7 +184,8 @@ SELECT lower(variant) AS variant, stage, count(*) AS sample_count, round(avg(dur
   min(duration_seconds) AS min_duration_seconds, max(duration_seconds) AS max_duration_seconds FROM timings GROUP BY ALL""",
     "phase_timings": f"""WITH {TIMINGS_SQL}
 SELECT project_id, round(coalesce(sum(duration_seconds) FILTER (stage = 'feature_extractor'), 0), 3) AS feature_extractor,
-  round(coalesce(sum(duration_seconds) FILTER (stage = 'exhaustive_matcher'), 0), 3) AS matcher, 0.0::DOUBLE AS mapper,
+  round(coalesce(sum(duration_seconds) FILTER (stage = 'exhaustive_matcher'), 0), 3) AS matcher,
+  round(coalesce(sum(duration_seconds) FILTER (stage = 'mapper'), 0), 3) AS mapper,
   round(coalesce(sum(duration_seconds) FILTER (stage LIKE 'model_converter%'), 0), 3) AS model_converter,
   round(coalesce(sum(duration_seconds) FILTER (stage = 'patch_match_stereo'), 0), 3) AS dense FROM timings GROUP BY 1""",
     "explode_reasons": f"WITH {REASONS_SQL} SELECT * FROM reasons",
@@ -211,7 +211,7 @@ QUALIFY row_number() OVER (PARTITION BY project_id, day ORDER BY CASE name WHEN
     day(ts) > 15 AS late, count(*)::VARCHAR AS value FROM events GROUP BY ALL)
 SELECT project_id, section, field, value FROM n
 QUALIFY row_number() OVER (PARTITION BY project_id, section, field ORDER BY late DESC) = 1""",
-    "top_key": f"""WITH {T.EVENTS_SQL}, k AS (SELECT project_id, stage, count(*) AS n FROM stage_events WHERE seconds > 20 GROUP BY ALL)
+    "top_key": f"""WITH {T.EVENTS_SQL}, k AS (SELECT project_id, stage, count(*) AS n FROM stage_events GROUP BY ALL)
 SELECT project_id, stage AS top_stage FROM k QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, stage) = 1""",
     "json_values": """WITH v AS (SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events)
 SELECT event_id, k, NULL::VARCHAR AS deep, CASE WHEN k % 5 < 2 THEN 0 ELSE k END::BIGINT AS as_int,
