@@ -105,21 +105,20 @@ grouped AS (SELECT cloud_id, f_idx, a, b, c, CASE
 
 
 def _colors(spark, sf):
-    """Colour lists: the points of a cloud that are not too red, in cloud order."""
-    pts = points(spark, sf).filter(c("r") <= 120)
-    return running_total(pts, ["cloud_id"], [c("idx")], "c_idx").select("cloud_id", "c_idx", "r", "g", "b")
+    """Colour lists: the different red levels of a cloud by their first point, with the least green and blue beside them."""
+    levels = points(spark, sf).groupBy("cloud_id", "r").agg(F.min("idx").alias("first"), F.min("g").alias("g"), F.min("b").alias("b"))
+    return running_total(levels, ["cloud_id"], [c("first")], "c_idx").select("cloud_id", "c_idx", "r", "g", "b")
 
 
 COLORS_SQL = MESH_SQL + """,
-colors AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY idx) - 1 AS c_idx, r, g, b FROM points
-  WHERE r <= 120),
+levels AS (SELECT cloud_id, r, min(idx) AS first, min(g) AS g, min(b) AS b FROM points GROUP BY cloud_id, r),
+colors AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY first) - 1 AS c_idx, r, g, b FROM levels),
 n_colors AS (SELECT cloud_id, count(*) AS k FROM colors GROUP BY cloud_id)"""
 
 
 def nearest(spark, sf):
     v = durable(vertices(spark, sf)).withColumns({"x": c("x") + 0.25, "y": c("y") - 0.5, "z": c("z") + 0.1})
-    pts = points(spark, sf).filter(c("b") < 200)
-    return rounded(nearest_attribute(v, pts, ["r", "g", "b"]).select(
+    return rounded(nearest_attribute(v, points(spark, sf), ["r", "g", "b"]).select(
         "cloud_id", "v_idx", "distance", "idx", "r", "g", "b"))
 
 
@@ -329,7 +328,7 @@ JOIN colors q ON q.cloud_id = v.cloud_id AND q.c_idx = floor(v.v_idx * (k - 1) /
     "nearest_attribute": f"""WITH {MESH_SQL}, moved AS (
   SELECT cloud_id, v_idx, x + 0.25::DOUBLE AS x, y - 0.5::DOUBLE AS y, z + 0.1::DOUBLE AS z FROM vertices),
 pairs AS (SELECT v.cloud_id, v.v_idx, (v.x - p.x) * (v.x - p.x) + (v.y - p.y) * (v.y - p.y) + (v.z - p.z) * (v.z - p.z)
-    AS d2, p.idx, p.r, p.g, p.b FROM moved v JOIN points p ON p.cloud_id = v.cloud_id AND p.b < 200)
+    AS d2, p.idx, p.r, p.g, p.b FROM moved v JOIN points p ON p.cloud_id = v.cloud_id)
 SELECT cloud_id, v_idx, round(sqrt(m.d2), 6) AS distance, m.idx AS idx, m.r AS r, m.g AS g, m.b AS b FROM (
   SELECT cloud_id, v_idx, min({{'d2': d2, 'idx': idx, 'r': r, 'g': g, 'b': b}}) AS m FROM pairs GROUP BY ALL)""",
     "point_neighbours": f"""WITH {T.POINTS_SQL}
