@@ -148,7 +148,8 @@ def run_stats_stream(spark, sf):
     path = scratch_path(spark, "flat")
     T.runs(spark, sf).select("status", "variant", "scenario_label", "total_processing_seconds").write.json(path)
     stream = ST.stream_run_stats(ST.tail_json(spark, path, FLAT))
-    return ST.run_available(stream, "stats", scratch_path(spark, "stream"), "complete").drop("batch_id")
+    # The median of a stream is approximate; tests compare it apart.
+    return ST.run_available(stream, "stats", scratch_path(spark, "stream"), "complete").drop("batch_id", "median_total_processing_seconds")
 
 
 def upload_stream(spark, sf):
@@ -232,6 +233,11 @@ _HIST = RH.ORACLES["success_conditions"]
 ORACLES = {
     "track_stages": TL.ORACLES["stage_rollup"],
     "stream_status_changes": TL.ORACLES["status_changes"],
+    "stream_run_stats": f"""WITH {T.RUNS_SQL}
+SELECT variant, scenario_label, count(*) AS run_count,
+  round(count(*) FILTER (status = 'completed')::DOUBLE / count(*), 4) AS success_rate,
+  round(count(*) FILTER (status = 'failed')::DOUBLE / count(*), 4) AS failure_rate,
+  round(avg(total_processing_seconds), 3) AS avg_total_processing_seconds FROM runs GROUP BY ALL""",
     "stream_dedup_uploads": "SELECT DISTINCT source AS project_id, sha256(text) AS sha256 FROM documents",
     "stream_predictions": RH.ORACLES["predict_success"],
     "append_runs": RH.ORACLES["flatten_runs"],

@@ -143,3 +143,10 @@ def test_lines_of_arrays_are_no_records(spark, tmp_path):
     good, bad = readers.read_json_lines(spark, str(tmp_path), readers.HISTORY_SCHEMA)
     assert [(r["project_id"], r["image_count"]) for r in good.orderBy("project_id").collect()] == [("a", 3), ("b", None)]
     assert sorted(r[0] for r in bad.collect()) == ['7', '[{"project_id": "z"}]', "{broken"]
+
+
+def test_stream_median_is_close(spark):
+    rows = [("v", "s", "completed", float(i)) for i in range(1001)]
+    df = spark.createDataFrame(rows, "variant string, scenario_label string, status string, total_processing_seconds double")
+    r = ST.stream_run_stats(df).first()
+    assert abs(r["median_total_processing_seconds"] - 500) <= 1 and r["run_count"] == 1001
