@@ -7,7 +7,6 @@ aggregates; they return to the points through ``attach``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
