@@ -15,6 +15,7 @@ from . import matching as MP
 from . import run_history as RH
 from . import tables as T
 from . import timelines as TL
+from .point_clouds import rounded
 
 c = F.col
 
@@ -224,8 +225,8 @@ QUERIES = {
     "write_report_csv": report_csv,
     "write_report_json": report_json,
     "artifact_inventory": inventory,
-    "reconstruct": lambda s, d: MP.M.reconstruct(
-        MP.pairs(s, d), MP.keypoints(s, d), MP.images(MP.keypoints(s, d)), 48),
+    "reconstruct": lambda s, d: rounded(MP.M.reconstruct(
+        MP.pairs(s, d), MP.keypoints(s, d), MP.images(MP.keypoints(s, d)), 48), 4),
 }
 
 _HIST = RH.ORACLES["success_conditions"]
@@ -240,6 +241,7 @@ SELECT variant, scenario_label, count(*) AS run_count,
   round(avg(total_processing_seconds), 3) AS avg_total_processing_seconds FROM runs GROUP BY ALL""",
     "stream_dedup_uploads": "SELECT DISTINCT source AS project_id, sha256(text) AS sha256 FROM documents",
     "stream_predictions": RH.ORACLES["predict_success"],
+    "reconstruct": MP.ORACLES["lift_points"],
     "append_runs": RH.ORACLES["flatten_runs"],
     "recorded_reasons": f"""WITH {T.RUNS_SQL}, r AS (
 SELECT run_id::VARCHAR AS run_id, project_id::VARCHAR AS project_id, variant, 'validation_rejected_reason_counts' AS reason_type,
