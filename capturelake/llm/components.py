@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scale import attach
 from ..session import durable
 
+#: A hub has over one of so many edges, and at least so many of its own.
+HUB_SHARE, HUB_EDGES = 10_000, 50
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -19,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     repeated rows do not matter. Stars are rebuilt towards the smallest
     neighbour, first over larger and then over smaller neighbours, until
     nothing changes. Neighbour lists are never gathered: each step is a
-    minimum per node (pre-aggregated) and a join. Every round is checkpointed.
+    minimum per node (pre-aggregated) that returns to the node's edges; the
+    edges of a hub are spread for that. Every round is checkpointed.
     """
     a, b = edges.columns
     now = durable(
@@ -28,14 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before, state = None, _state(now)
     while state[0] and state != before:
+        # At most 2 * HUB_SHARE nodes have that many edges.
+        hub = max(HUB_EDGES, state[0] // HUB_SHARE)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        upper = (
-            now.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a")
-            .select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        )
-        lowest = upper.groupBy("a").agg(F.min("b").alias("m"))
-        lower = upper.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        down = now.select(F.col("b").alias("a"), F.col("a").alias("v"))
+        upper = attach(down, least.select("a", F.least("a", "m").alias("m"), "n"), ["a"], F.col("n"), hub).select(
+            F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = upper.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        lower = attach(upper, lowest, ["a"], F.col("n"), hub).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         now = durable(lower.union(lowest.select("a", F.col("m").alias("b"))).distinct())
         before, state = state, _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(

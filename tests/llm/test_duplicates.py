@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from capturelake.llm import near_copies, simhash
+from capturelake.llm.components import components
 
 RNG = random.Random(7)
 VOCABULARY = ["".join(RNG.choices("abcdefghij", k=RNG.randint(2, 9))) for _ in range(400)]
@@ -138,3 +139,17 @@ def test_similar_sets():
     near = near_copies.similar(sets)
     want = [[(len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))) for b in map(list, sets)] for a in map(list, sets)]
     assert near.tolist() == want
+
+
+def test_components_of_hubs_and_chains(spark):
+    rng = random.Random(11)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000), (None, 5), (3000, 1030)]
+    edges += [(rng.randrange(4000, 4100), rng.randrange(4000, 4100)) for _ in range(80)] + [(399, 9000), (9000, 9001)]
+    names = sorted({x for e in edges for x in e if x is not None and None not in e and e[0] != e[1]})
+    place = {x: i for i, x in enumerate(names)}
+    label = np.arange(len(names))
+    pairs = [(place[a], place[b]) for a, b in edges if a is not None and b is not None and a != b]
+    label = simhash._link(label, np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}
+    assert got == {x: names[label[place[x]]] for x in names}
+    assert components(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
