@@ -171,7 +171,7 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
 def _write(records: DataFrame, path: str, between: str) -> None:
     """Raw records, one after the other; bytes pass through the text writer unchanged."""
     (records.select(F.col("value").cast("string")).write.option("lineSep", between).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS).text(path))
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path))
 
 
 def write_arc(df: DataFrame, path: str, key: str, url: str, payload: str, date: str = "20200101000000", version: int = 1) -> None:
