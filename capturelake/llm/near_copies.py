@@ -1,10 +1,15 @@
-"""One document of each group of near copies: SimHash candidates, checked by the Jaccard similarity of their shingles.
+"""One document of each group of near copies, by the Jaccard similarity of their five-word shingles.
 
-Copies of five-word similarity 0.8 differ in about ten bits of a fingerprint of
-their shingles, far beyond what a trie walk can afford. So the candidates come
-from fingerprints of the documents' distinct words, which such copies leave
-within four bits: ``SEEDS`` independent ones, each joined whole by its trie
-(``simhash.linked_fingerprints``). Candidate groups are then checked exactly.
+Copies of similarity 0.8 differ in about ten bits of a fingerprint of their
+shingles, far beyond what a trie walk can afford. So the first candidates come
+from fingerprints of the documents' distinct words, which lightly edited copies
+leave within four bits: ``SEEDS`` independent ones, each joined whole by its
+trie (``simhash.linked_fingerprints``). Checking these joins most copies cheaply.
+
+What that leaves apart (texts cut short or extended, above all) is found by an
+exact prefix filter: in one order of all shingles, two texts of that similarity
+share one among their first few (``prefix``). Wherever texts of different
+classes share one, they are compared exactly, whatever the kind of edit.
 
 Null and empty texts are equal texts without words. Rows are told apart by id
 and text: exact repeats of a row count once, rows with one id and different
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField
 
+from ..operators.scale import attach
 from ..session import durable
 from .arrow import map_texts
 from .components import components
@@ -33,6 +39,9 @@ TILE = 256
 #: Rows (ids and digests) that may be broadcast.
 BROADCAST_ROWS = 200_000
 _COLUMNS = 16_384
+#: Frequent shingles come last in the order, so that few texts meet on one. They are counted in one of ``SAMPLE`` texts;
+#: which ones are known decides on the cost, not on the links.
+FREQUENT, SAMPLE = 20_000, 16
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -124,26 +133,77 @@ def candidate_groups(texts: DataFrame, seeds: int = SEEDS, budget: int = MAX_BIT
     return roots.filter(F.octet_length("node") == 32).select(F.col("node").alias("digest"), F.col("root").alias("whole"))
 
 
-def near_copy_classes(docs: DataFrame, texts: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
-                      tile: int = TILE) -> DataFrame:
-    """Rows (digest, root) of the texts that are similar to another, root being one of their class.
+def _shingles(texts: list[bytes | None], words: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t, words)) for t in texts]
 
-    ``docs`` has digest and the text, ``texts`` one row (digest, f) for each
-    different text. Groups larger than ``tile`` are checked tile by tile, then
-    the heads of the tiles' classes meet in turn, as long as that leaves fewer.
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.view(np.int64) for a in arrays], pa.list_(pa.int64()))
+
+
+def frequent_shingles(docs: DataFrame, text: str, words: int = WORDS) -> np.ndarray:
+    """Shingles of many texts in a sample of ``docs``, the most frequent one last."""
+    some = docs.filter(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0)
+    held = map_texts(some, text, [], [StructField("shingles", ArrayType(LongType()))], lambda found: [_lists(_shingles(found, words))])
+    most = held.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(
+        F.desc("n"), "s").limit(FREQUENT)
+    return most.select("s").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in an order of all; sets of similarity ``least`` or more have one of theirs in common.
+
+    Such sets share ``least`` of the larger one, so at most the rest of each
+    comes before their first common shingle. ``frequent`` ones come last, in
+    their order. Empty sets have zero in common.
     """
-    groups = candidate_groups(texts)
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint64)
+    by_value = np.argsort(frequent)
+    rank = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles, sorter=by_value), len(frequent) - 1)
+        rank = np.where(frequent[by_value[at]] == shingles, by_value[at] + 1, 0)
+    # A little less than the share, so that no rounding shortens it.
+    return shingles[np.lexsort((shingles, rank))][:n - max(1, int(np.ceil(least * n - 0.01))) + 1]
+
+
+def open_groups(docs: DataFrame, classes: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """Rows (digest, whole) of the texts of different classes that may be similar, ``classes`` being (digest, root) so far."""
+    frequent = frequent_shingles(docs, text, words)
+    first = map_texts(docs, text, ["digest"], [StructField("prefix", ArrayType(LongType()))], lambda found: [
+        _lists([prefix(s, frequent, least) for s in _shingles(found, words)])]).dropDuplicates(["digest"])
+    # Eight bytes stand for a digest; texts that share them would only be compared as well.
+    nodes = durable(first.join(classes, "digest", "left").select(
+        "digest", F.xxhash64("digest").alias("node"), F.xxhash64(F.coalesce("root", "digest")).alias("class"), "prefix"))
+    spread = nodes.select("node", "class", F.explode("prefix").alias("shingle"))
+    met = durable(spread.groupBy("shingle").agg(
+        F.min("class").alias("one"), F.max("class").alias("other"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n")
+    ).filter("one <> other").select("shingle", "least", "n"))
+    rows = met.count()
+    if rows <= BROADCAST_ROWS:
+        linked = spread.join(F.broadcast(met), "shingle")
+    else:
+        linked = attach(spread, met, ["shingle"], F.col("n"), max(1_000, rows // 10_000)).filter("least IS NOT NULL")
+    roots = components(linked.select("node", "least"))
+    return nodes.select("digest", "node").join(roots, "node").select("digest", F.col("root").alias("whole"))
+
+
+def _with_shingles(docs: DataFrame, groups: DataFrame, text: str, words: int) -> DataFrame:
+    """Rows (digest, whole, size, shingles) of groups of two texts and more."""
     sizes = groups.groupBy("whole").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     chosen = durable(groups.join(sizes, "whole"))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     wanted = docs.join(side, "digest").select("digest", "whole", "size", text)
+    shingled = map_texts(wanted, text, ["digest", "whole", "size"], [StructField("shingles", ArrayType(LongType()))],
+                         lambda found: [_lists(_shingles(found, words))])
+    # Copies of one text are in docs as often as they occur.
+    return durable(shingled.dropDuplicates(["digest"]))
 
-    def make(found: list[bytes | None]) -> list[pa.Array]:
-        return [pa.array([np.unique(shingle_hashes(t, words)).view(np.int64) for t in found], pa.list_(pa.int64()))]
 
-    shingled = map_texts(wanted, text, ["digest", "whole", "size"], [StructField("shingles", ArrayType(LongType()))], make)
-    # Copies of one text are in docs as often as they occur.
-    active = durable(shingled.dropDuplicates(["digest"]))
+def _links_by_heads(active: DataFrame, least: float, tile: int) -> DataFrame:
+    """Links (digest, head) inside random tiles of each group, whose heads meet in turn as long as that leaves fewer."""
     links, held = None, active.count()
     while True:
         number = F.pmod(F.xxhash64("digest", F.lit(held)), F.ceil(F.col("size") / tile))
@@ -157,8 +217,21 @@ def near_copy_classes(docs: DataFrame, texts: DataFrame, text: str, least: float
         active = durable(open_.drop("size").join(counts, "whole").select("digest", "whole", "size", "shingles"))
         before, held = held, active.count()
         if not held or held > 0.9 * before:
-            break
-    return components(links).select(F.col("node").alias("digest"), "root")
+            return links
+
+
+def near_copy_classes(docs: DataFrame, texts: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
+                      tile: int = TILE) -> DataFrame:
+    """Rows (digest, root) of the texts that are similar to another, root being one of their class.
+
+    ``docs`` has digest and the text, ``texts`` one row (digest, f) for each
+    different text. Groups larger than ``tile`` are checked tile by tile, then
+    the heads of the tiles' classes meet in turn, as long as that leaves fewer.
+    """
+    links = _links_by_heads(_with_shingles(docs, candidate_groups(texts), text, words), least, tile)
+    classes = durable(components(links).select(F.col("node").alias("digest"), "root"))
+    more = _links_by_heads(_with_shingles(docs, open_groups(docs, classes, text, least, words), text, words), least, tile)
+    return components(classes.union(more)).select(F.col("node").alias("digest"), "root")
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

@@ -134,6 +134,37 @@ def test_group_over_many_tiles(spark):
     assert len(got) == 40 and len({bytes(r["root"]) for r in got}) == 1
 
 
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(9)
+    for n in [1, 2, 4, 5, 10, 45, 200]:
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        for k in range(n // 4 + 1):
+            other = np.unique(np.concatenate([a[rng.permutation(n)[:n - k // 2]], rng.integers(0, 1 << 62, k - k // 2, dtype=np.uint64)]))
+            for frequent in (np.empty(0, np.uint64), rng.permutation(a)[:n // 2], rng.permutation(np.concatenate([a, other, [7]]))):
+                x, y = (near_copies.prefix(s, frequent) for s in (a, other))
+                assert not near_copies.similar([a, other])[0, 1] or np.intersect1d(x, y).size
+    assert near_copies.prefix(np.empty(0, np.uint64), np.empty(0, np.uint64)).tolist() == [0]
+
+
+def test_every_kind_of_edit_is_found(spark):
+    kinds = {
+        "swap": lambda w: edited(w, len(w) // 60),
+        "truncate": lambda w: w[:len(w) - len(w) * 18 // 100],
+        "append": lambda w: w + prose(len(w) * 20 // 100),
+        "insert": lambda w: w[:len(w) // 2] + prose(len(w) * 18 // 100) + w[len(w) // 2:],
+    }
+    rows, of = [], {}
+    for kind, edit in kinds.items():
+        for _ in range(25):
+            base = prose(RNG.randint(300, 500))
+            of[len(rows) + 1] = kind
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(edit(base)))]
+    assert all(jaccard(rows[i - 1][1], rows[i][1]) >= 0.8 for i in of)
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(frame(spark, rows)).collect()}
+    missed = [of[i] for i in sorted(of) if i in kept]
+    assert not missed and len(kept) == 100
+
+
 def test_similar_sets():
     sets = [np.array(s, np.uint64) for s in ([], [], [1], [1, 2, 3, 4], [1, 2, 3, 4, 5], [9])]
     near = near_copies.similar(sets)
