@@ -8,8 +8,8 @@ trie (``simhash.linked_fingerprints``). Checking these joins most copies cheaply
 
 What that leaves apart (texts cut short or extended, above all) is found by an
 exact prefix filter: in one order of all shingles, two texts of that similarity
-share one among their first few (``prefix``). Wherever texts of different
-classes share one, they are compared exactly, whatever the kind of edit.
+share some among their first ones (``prefix``). Texts that share so many with
+other classes are compared exactly, whatever the kind of edit.
 
 Null and empty texts are equal texts without words. Rows are told apart by id
 and text: exact repeats of a row count once, rows with one id and different
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from ..operators.scale import attach
 from ..session import durable
@@ -150,44 +150,59 @@ def frequent_shingles(docs: DataFrame, text: str, words: int = WORDS) -> np.ndar
     return most.select("s").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The first shingles in an order of all; sets of similarity ``least`` or more have one of theirs in common.
+def prefix(shingles: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The first shingles in an order of all, and how many of them every set of similarity ``least`` or more has among its own.
 
     Such sets share ``least`` of the larger one, so at most the rest of each
-    comes before their first common shingle. ``frequent`` ones come last, in
-    their order. Empty sets have zero in common.
+    comes before their first common shingle; with a tenth of the set more, the
+    first common shingles are in both, as many as a tenth of the smaller one.
+    ``frequent`` ones come last, in their order. Empty sets have zero in common.
     """
     n = len(shingles)
     if not n:
-        return np.zeros(1, np.uint64)
+        return np.zeros(1, np.uint64), 1
     by_value = np.argsort(frequent)
     rank = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles, sorter=by_value), len(frequent) - 1)
         rank = np.where(frequent[by_value[at]] == shingles, by_value[at] + 1, 0)
-    # A little less than the share, so that no rounding shortens it.
-    return shingles[np.lexsort((shingles, rank))][:n - max(1, int(np.ceil(least * n - 0.01))) + 1]
+    # The size of the smallest such set; a little less than the share, so that no rounding raises it.
+    smallest = max(1, int(np.ceil(least * n - 0.01)))
+    return shingles[np.lexsort((shingles, rank))][:n - smallest + max(1, n // 10)], max(1, smallest // 10)
 
 
 def open_groups(docs: DataFrame, classes: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """Rows (digest, whole) of the texts of different classes that may be similar, ``classes`` being (digest, root) so far."""
     frequent = frequent_shingles(docs, text, words)
-    first = map_texts(docs, text, ["digest"], [StructField("prefix", ArrayType(LongType()))], lambda found: [
-        _lists([prefix(s, frequent, least) for s in _shingles(found, words)])]).dropDuplicates(["digest"])
+
+    def make(found: list[bytes | None]) -> list[pa.Array]:
+        made = [prefix(s, frequent, least) for s in _shingles(found, words)]
+        return [_lists([p for p, _ in made]), pa.array([n for _, n in made], pa.int32())]
+
+    first = map_texts(docs, text, ["digest"], [StructField("prefix", ArrayType(LongType())), StructField("need", IntegerType())],
+                      make).dropDuplicates(["digest"])
     # Eight bytes stand for a digest; texts that share them would only be compared as well.
     nodes = durable(first.join(classes, "digest", "left").select(
-        "digest", F.xxhash64("digest").alias("node"), F.xxhash64(F.coalesce("root", "digest")).alias("class"), "prefix"))
-    spread = nodes.select("node", "class", F.explode("prefix").alias("shingle"))
-    met = durable(spread.groupBy("shingle").agg(
-        F.min("class").alias("one"), F.max("class").alias("other"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n")
-    ).filter("one <> other").select("shingle", "least", "n"))
-    rows = met.count()
-    if rows <= BROADCAST_ROWS:
-        linked = spread.join(F.broadcast(met), "shingle")
-    else:
-        linked = attach(spread, met, ["shingle"], F.col("n"), max(1_000, rows // 10_000)).filter("least IS NOT NULL")
+        "digest", F.xxhash64("digest").alias("node"), F.xxhash64(F.coalesce("root", "digest")).alias("class"), "need", "prefix"))
+    spread = nodes.select("node", "class", "need", F.explode("prefix").alias("shingle"))
+    # A text that shares fewer than it needs with other classes is similar to none; without it, others share fewer.
+    for _ in range(2):
+        met = durable(spread.groupBy("shingle").agg(
+            F.min("class").alias("one"), F.max("class").alias("other"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n")
+        ).filter("one <> other").select("shingle", "least", "n"))
+        rows = met.count()
+        if rows <= BROADCAST_ROWS:
+            linked = spread.join(F.broadcast(met), "shingle")
+        else:
+            linked = attach(spread, met, ["shingle"], F.col("n"), max(1_000, rows // 10_000)).filter("least IS NOT NULL")
+        enough = durable(linked.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).filter(
+            "met >= need").select("node"))
+        side = F.broadcast(enough) if enough.count() <= BROADCAST_ROWS else enough
+        linked = durable(linked.join(side, "node"))
+        spread = linked.select("node", "class", "need", "shingle")
+    # ``least`` is of the last count; a text that has gone since only names the group.
     roots = components(linked.select("node", "least"))
-    return nodes.select("digest", "node").join(roots, "node").select("digest", F.col("root").alias("whole"))
+    return nodes.select("digest", "node").join(roots, "node").join(side, "node").select("digest", F.col("root").alias("whole"))
 
 
 def _with_shingles(docs: DataFrame, groups: DataFrame, text: str, words: int) -> DataFrame:
@@ -220,17 +235,30 @@ def _links_by_heads(active: DataFrame, least: float, tile: int) -> DataFrame:
             return links
 
 
+def _links_of_all_pairs(active: DataFrame, least: float, tile: int) -> DataFrame:
+    """Links (digest, head) that join all similar texts of each group; every pair of its tiles is compared as one."""
+    tiles = F.ceil(F.col("size") / tile).cast("bigint")
+    placed = active.select("whole", "digest", "shingles", tiles.alias("tiles"), F.pmod(F.xxhash64("digest"), tiles).alias("own")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))).filter("tiles = 1 OR own <> other")
+    pair = (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("pair")
+    dealt = placed.select("whole", pair, "digest", "shingles").repartition("whole", "pair").sortWithinPartitions("whole", "pair")
+    found = dealt.mapInArrow(lambda batches: _checked(batches, least), "digest binary, head binary")
+    return durable(found.filter("digest <> head").distinct())
+
+
 def near_copy_classes(docs: DataFrame, texts: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
                       tile: int = TILE) -> DataFrame:
     """Rows (digest, root) of the texts that are similar to another, root being one of their class.
 
     ``docs`` has digest and the text, ``texts`` one row (digest, f) for each
-    different text. Groups larger than ``tile`` are checked tile by tile, then
-    the heads of the tiles' classes meet in turn, as long as that leaves fewer.
+    different text. Of groups of near fingerprints larger than ``tile``, only
+    heads of classes meet across tiles, which joins crowds cheaply but leaves
+    links unfound; ``open_groups`` brings up all texts whose classes may have
+    one left, and of these every pair of tiles is compared.
     """
     links = _links_by_heads(_with_shingles(docs, candidate_groups(texts), text, words), least, tile)
     classes = durable(components(links).select(F.col("node").alias("digest"), "root"))
-    more = _links_by_heads(_with_shingles(docs, open_groups(docs, classes, text, least, words), text, words), least, tile)
+    more = _links_of_all_pairs(_with_shingles(docs, open_groups(docs, classes, text, least, words), text, words), least, tile)
     return components(classes.union(more)).select(F.col("node").alias("digest"), "root")
 
 

@@ -1,5 +1,6 @@
 """SimHash components and near-copy groups against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -134,6 +135,28 @@ def test_group_over_many_tiles(spark):
     assert len(got) == 40 and len({bytes(r["root"]) for r in got}) == 1
 
 
+def classes_of(spark, texts, tile):
+    docs = frame(spark, list(enumerate(texts))).selectExpr("unhex(sha2(text, 256)) AS digest", "text AS words")
+    marked = spark.createDataFrame(
+        [(bytearray(r["digest"]), near_copies.word_fingerprints(r["words"].encode())) for r in docs.collect()],
+        "digest binary, f array<bigint>")
+    roots = {bytes(r["digest"]): bytes(r["root"]) for r in near_copies.near_copy_classes(docs, marked, "words", tile=tile).collect()}
+    named = [roots.get(hashlib.sha256(t.encode()).digest(), i) for i, t in enumerate(texts)]
+    return [named.index(x) for x in named]
+
+
+def test_star_and_disjoint_pairs_over_tiles(spark):
+    base = prose(300)
+    star = [" ".join(base)] + [" ".join(base[:at] + prose(26) + base[at + 26:]) for at in RNG.choices(range(274), k=70)]
+    pairs = []
+    for _ in range(40):
+        own = base[:180] + prose(120)
+        pairs += [" ".join(own), " ".join(edited(own, 3))]
+    for texts in (star, pairs):
+        want = joined(len(texts), lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+        assert classes_of(spark, texts, 4) == want
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(9)
     for n in [1, 2, 4, 5, 10, 45, 200]:
@@ -141,9 +164,9 @@ def test_prefixes_of_similar_sets_meet():
         for k in range(n // 4 + 1):
             other = np.unique(np.concatenate([a[rng.permutation(n)[:n - k // 2]], rng.integers(0, 1 << 62, k - k // 2, dtype=np.uint64)]))
             for frequent in (np.empty(0, np.uint64), rng.permutation(a)[:n // 2], rng.permutation(np.concatenate([a, other, [7]]))):
-                x, y = (near_copies.prefix(s, frequent) for s in (a, other))
-                assert not near_copies.similar([a, other])[0, 1] or np.intersect1d(x, y).size
-    assert near_copies.prefix(np.empty(0, np.uint64), np.empty(0, np.uint64)).tolist() == [0]
+                (x, need), (y, least) = (near_copies.prefix(s, frequent) for s in (a, other))
+                assert not near_copies.similar([a, other])[0, 1] or np.intersect1d(x, y).size >= max(need, least)
+    assert near_copies.prefix(np.empty(0, np.uint64), np.empty(0, np.uint64))[0].tolist() == [0]
 
 
 def test_every_kind_of_edit_is_found(spark):
