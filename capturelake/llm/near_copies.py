@@ -6,15 +6,18 @@ from fingerprints of the documents' distinct words, which lightly edited copies
 leave within four bits: ``SEEDS`` independent ones, each joined whole by its
 trie (``simhash.linked_fingerprints``). Checking these joins most copies cheaply.
 
-What that leaves apart (texts cut short or extended, above all) is found by an
-exact prefix filter: in one order of all shingles, two texts of that similarity
-share some among their first ones (``prefix``). Texts that share so many with
-other classes are compared exactly, whatever the kind of edit.
+What that leaves apart (texts cut short or extended, above all) meets by the
+least hashes of its shingles: ``BANDS`` bands of ``ROWS`` of them, whatever the
+kind of edit. Of texts that agree in a band, those of different classes are
+compared by all their least hashes, and pairs that come near (``LEAST_EQUAL``)
+by their shingles. A pair of similarity 0.8 agrees in a band with a chance of
+0.9998 and comes near with one of 0.9997; links are exact.
 
 Null and empty texts are equal texts without words. Rows are told apart by id
 and text: exact repeats of a row count once, rows with one id and different
-texts are different documents, and a null id is an id. Other columns pass
-unchanged, whatever their names; an empty table stays empty.
+texts are different documents, and a null id is an id. Very long texts are
+hashed in blocks. Equally good pairs are taken in the order of their digests.
+Other columns pass unchanged, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -39,9 +42,10 @@ TILE = 256
 #: Rows (ids and digests) that may be broadcast.
 BROADCAST_ROWS = 200_000
 _COLUMNS = 16_384
-#: Frequent shingles come last in the order, so that few texts meet on one. They are counted in one of ``SAMPLE`` texts;
-#: which ones are known decides on the cost, not on the links.
-FREQUENT, SAMPLE = 20_000, 16
+#: Least hashes of a text, in bands of so many, and how many of them near copies share at least.
+BANDS, ROWS, LEAST_EQUAL = 16, 4, 40
+#: Texts of one band whose least hashes are compared in one task.
+PIECE = 1_024
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -58,6 +62,18 @@ def word_fingerprints(text: bytes | None, seeds: int = SEEDS) -> list[int]:
     return [int(np.uint64(fingerprint(_mixed(words, s))).astype(np.int64)) for s in range(seeds)]
 
 
+_TURNS = np.array([_mixed(np.array([k], np.uint64), 77)[0] for k in range(2 * BANDS * ROWS)])
+_FLIPS, _FACTORS = _TURNS[:BANDS * ROWS], _TURNS[BANDS * ROWS:] | np.uint64(1)
+
+
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of 64 hash functions, 32 bits of it; of no hashes, the largest number."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4_096):
+        least = np.minimum(least, ((hashes[i:i + 4_096, None] ^ _FLIPS) * _FACTORS).min(0))
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def similar(shingles: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     """Which pairs of sets (sorted arrays) have a Jaccard similarity of ``least`` or more; empty sets equal each other."""
     sizes = np.array([len(s) for s in shingles])
@@ -141,70 +157,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.view(np.int64) for a in arrays], pa.list_(pa.int64()))
 
 
-def frequent_shingles(docs: DataFrame, text: str, words: int = WORDS) -> np.ndarray:
-    """Shingles of many texts in a sample of ``docs``, the most frequent one last."""
-    some = docs.filter(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0)
-    held = map_texts(some, text, [], [StructField("shingles", ArrayType(LongType()))], lambda found: [_lists(_shingles(found, words))])
-    most = held.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(
-        F.desc("n"), "s").limit(FREQUENT)
-    return most.select("s").toArrow().column(0).to_numpy().view(np.uint64)[::-1]
-
-
-def prefix(shingles: np.ndarray, frequent: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, int]:
-    """The first shingles in an order of all, and how many of them every set of similarity ``least`` or more has among its own.
-
-    Such sets share ``least`` of the larger one, so at most the rest of each
-    comes before their first common shingle; with a tenth of the set more, the
-    first common shingles are in both, as many as a tenth of the smaller one.
-    ``frequent`` ones come last, in their order. Empty sets have zero in common.
-    """
-    n = len(shingles)
-    if not n:
-        return np.zeros(1, np.uint64), 1
-    by_value = np.argsort(frequent)
-    rank = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, shingles, sorter=by_value), len(frequent) - 1)
-        rank = np.where(frequent[by_value[at]] == shingles, by_value[at] + 1, 0)
-    # The size of the smallest such set; a little less than the share, so that no rounding raises it.
-    smallest = max(1, int(np.ceil(least * n - 0.01)))
-    return shingles[np.lexsort((shingles, rank))][:n - smallest + max(1, n // 10)], max(1, smallest // 10)
-
-
-def open_groups(docs: DataFrame, classes: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """Rows (digest, whole) of the texts of different classes that may be similar, ``classes`` being (digest, root) so far."""
-    frequent = frequent_shingles(docs, text, words)
-
-    def make(found: list[bytes | None]) -> list[pa.Array]:
-        made = [prefix(s, frequent, least) for s in _shingles(found, words)]
-        return [_lists([p for p, _ in made]), pa.array([n for _, n in made], pa.int32())]
-
-    first = map_texts(docs, text, ["digest"], [StructField("prefix", ArrayType(LongType())), StructField("need", IntegerType())],
-                      make).dropDuplicates(["digest"])
-    # Eight bytes stand for a digest; texts that share them would only be compared as well.
-    nodes = durable(first.join(classes, "digest", "left").select(
-        "digest", F.xxhash64("digest").alias("node"), F.xxhash64(F.coalesce("root", "digest")).alias("class"), "need", "prefix"))
-    spread = nodes.select("node", "class", "need", F.explode("prefix").alias("shingle"))
-    # A text that shares fewer than it needs with other classes is similar to none; without it, others share fewer.
-    for _ in range(2):
-        met = durable(spread.groupBy("shingle").agg(
-            F.min("class").alias("one"), F.max("class").alias("other"), F.min("node").alias("least"), F.count(F.lit(1)).alias("n")
-        ).filter("one <> other").select("shingle", "least", "n"))
-        rows = met.count()
-        if rows <= BROADCAST_ROWS:
-            linked = spread.join(F.broadcast(met), "shingle")
-        else:
-            linked = attach(spread, met, ["shingle"], F.col("n"), max(1_000, rows // 10_000)).filter("least IS NOT NULL")
-        enough = durable(linked.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.max("need").alias("need")).filter(
-            "met >= need").select("node"))
-        side = F.broadcast(enough) if enough.count() <= BROADCAST_ROWS else enough
-        linked = durable(linked.join(side, "node"))
-        spread = linked.select("node", "class", "need", "shingle")
-    # ``least`` is of the last count; a text that has gone since only names the group.
-    roots = components(linked.select("node", "least"))
-    return nodes.select("digest", "node").join(roots, "node").join(side, "node").select("digest", F.col("root").alias("whole"))
-
-
 def _with_shingles(docs: DataFrame, groups: DataFrame, text: str, words: int) -> DataFrame:
     """Rows (digest, whole, size, shingles) of groups of two texts and more."""
     sizes = groups.groupBy("whole").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -235,31 +187,161 @@ def _links_by_heads(active: DataFrame, least: float, tile: int) -> DataFrame:
             return links
 
 
-def _links_of_all_pairs(active: DataFrame, least: float, tile: int) -> DataFrame:
-    """Links (digest, head) that join all similar texts of each group; every pair of its tiles is compared as one."""
-    tiles = F.ceil(F.col("size") / tile).cast("bigint")
-    placed = active.select("whole", "digest", "shingles", tiles.alias("tiles"), F.pmod(F.xxhash64("digest"), tiles).alias("own")).withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))).filter("tiles = 1 OR own <> other")
-    pair = (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).alias("pair")
-    dealt = placed.select("whole", pair, "digest", "shingles").repartition("whole", "pair").sortWithinPartitions("whole", "pair")
-    found = dealt.mapInArrow(lambda batches: _checked(batches, least), "digest binary, head binary")
-    return durable(found.filter("digest <> head").distinct())
+def _met(batches: Iterator[pa.RecordBatch], wanted: str) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of texts of different classes that come near, from rows (band, key, piece, digest, class, sig) sorted by piece.
+
+    A pair is reported by the first band that its texts agree in. ``wanted``
+    is all of them, the best one of each class (``best``), or only the texts that are
+    in one (``texts``, as pairs of a text with itself).
+    """
+
+    def met(band: int, digests: list[bytes], classes: list[bytes], sigs: np.ndarray) -> pa.RecordBatch:
+        n = len(digests)
+        number = np.unique(np.array(classes, object), return_inverse=True)[1] if n else np.empty(0, np.int64)
+        equal, earlier = np.zeros((n, n), np.int16), np.zeros((n, n), bool)
+        for b in range(BANDS):
+            same = np.zeros((n, n), np.int8)
+            for c in range(b * ROWS, (b + 1) * ROWS):
+                same += sigs[:, c][:, None] == sigs[:, c][None, :]
+            equal += same
+            if b < band:
+                earlier |= same == ROWS
+        near = (equal >= LEAST_EQUAL) & ~earlier & (number[:, None] != number[None, :])
+        x, y = np.nonzero(near)
+        if wanted == "texts":
+            x = y = np.unique(x)
+        else:
+            if wanted == "best":
+                order = np.lexsort((y, x, -equal[x, y], number[x]))
+                x, y = x[order], y[order]
+                first = np.unique(number[x], return_index=True)[1]
+                x, y = x[first], y[first]
+            else:
+                x, y = x[x < y], y[x < y]
+        pairs = [sorted((digests[i], digests[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+
+    now, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        return met(now[0], [d for part in held for d in part[0]], [c for part in held for c in part[1]], np.concatenate([part[2] for part in held]))
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+        digests, classes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        sigs = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS * ROWS)
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if held and keys[i] != now:
+                yield flush()
+                held = []
+            now = keys[i]
+            held.append((digests[i:j], classes[i:j], sigs[i:j]))
+    if held:
+        yield flush()
+
+
+def _pairs(contacts: DataFrame, classes: DataFrame, wanted: str, piece: int = PIECE) -> DataFrame:
+    """Pairs (a, b) of ``_met`` over the contacts (band, key, digest, sig), ``classes`` being (digest, root) so far.
+
+    In a crowded band the largest class is dealt into pieces that meet every
+    piece of the rest, but not each other.
+    """
+    marked = contacts.join(classes, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
+    sizes = marked.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("most")).filter(F.col("most.n") < F.col("n"))
+    crowd = sizes.select("band", "key", "n", F.col("most.class").alias("large"), F.col("most.n").alias("m")).select(
+        "band", "key", "n", F.when(F.col("n") > 2 * piece, F.col("large")).alias("large"),
+        F.when(F.col("n") > 2 * piece, F.ceil((F.col("n") - F.col("m")) / piece)).otherwise(1).cast("int").alias("small_tiles"),
+        F.when(F.col("n") > 2 * piece, F.ceil(F.col("m") / piece)).otherwise(0).cast("int").alias("large_tiles"))
+    joined = attach(marked, crowd, ["band", "key"], F.col("n"), max(1_000, contacts.count() // 1_000)).filter("n IS NOT NULL")
+    big = F.col("large").isNotNull() & (F.col("large") == F.col("class"))
+    code = F.xxhash64("digest")
+    own = F.when(big, F.col("small_tiles") + F.pmod(code, "large_tiles")).otherwise(F.pmod(code, "small_tiles")).cast("int")
+    last = F.when(big, F.col("small_tiles")).otherwise(F.col("small_tiles") + F.col("large_tiles")) - 1
+    placed = joined.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int")))).filter(
+        "small_tiles + large_tiles = 1 OR own <> other")
+    at = (F.least("own", "other").cast("bigint") * F.lit(1 << 31) + F.greatest("own", "other")).alias("piece")
+    dealt = placed.select("band", "key", at, "digest", "class", "sig").repartition("band", "key", "piece").sortWithinPartitions("band", "key", "piece")
+    return durable(dealt.mapInArrow(lambda batches: _met(batches, wanted), "a binary, b binary").distinct())
+
+
+def _linked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingles are similar, ``held`` being (digest, shingles)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for i in (2, 3):
+                lists = batch.column(i)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                sides.append(np.split(flat, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]))
+            fit = [bool(similar([x, y], least)[0, 1]) for x, y in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    one = held.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
+    two = held.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+    return durable(both.mapInArrow(check, "a binary, b binary"))
+
+
+def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
+                    piece: int = PIECE) -> DataFrame:
+    """Classes (digest, root) joined further by similar texts that share a band, ``sigs`` being (digest, sig).
+
+    While classes join, each one's nearest pair is checked alone; then all
+    pairs that are left between classes are.
+    """
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.element_at("sig", b * ROWS + i + 1) for i in range(ROWS)]).alias("key"))
+                      for b in range(BANDS)])
+    marked = sigs.join(classes, "digest", "left").select("digest", F.xxhash64(F.coalesce("root", "digest")).alias("class"), "sig")
+    spread = marked.select("digest", "class", F.inline(bands))
+    met = durable(spread.groupBy("band", "key").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.count(F.lit(1)).alias("n")).filter(
+        "one <> other").select("band", "key", "n"))
+    rows = met.count()
+    if rows <= BROADCAST_ROWS:
+        there = spread.join(F.broadcast(met), ["band", "key"])
+    else:
+        there = attach(spread, met, ["band", "key"], F.col("n"), max(1_000, rows // 1_000)).filter("n IS NOT NULL")
+    contacts = durable(there.select("band", "key", "digest").join(sigs, "digest"))
+    # Few of those that share a band come near; only they go on.
+    open_ = durable(_pairs(contacts, classes, "texts", piece).select(F.col("a").alias("digest")).distinct())
+    side = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
+    contacts = durable(contacts.join(side, "digest"))
+    shingled = map_texts(docs.join(side, "digest").select("digest", text), text, ["digest"], [StructField("shingles", ArrayType(LongType()))],
+                         lambda found: [_lists(_shingles(found, words))])
+    held = durable(shingled.dropDuplicates(["digest"]))
+    wanted = "best"
+    while True:
+        found = _linked(_pairs(contacts, classes, wanted, piece), held, least)
+        more = found.count()
+        if more:
+            classes = durable(components(classes.union(found)).select(F.col("node").alias("digest"), "root"))
+        if wanted == "all":
+            return classes
+        if not more:
+            wanted = "all"
 
 
 def near_copy_classes(docs: DataFrame, texts: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
-                      tile: int = TILE) -> DataFrame:
+                      tile: int = TILE, piece: int = PIECE) -> DataFrame:
     """Rows (digest, root) of the texts that are similar to another, root being one of their class.
 
-    ``docs`` has digest and the text, ``texts`` one row (digest, f) for each
-    different text. Of groups of near fingerprints larger than ``tile``, only
-    heads of classes meet across tiles, which joins crowds cheaply but leaves
-    links unfound; ``open_groups`` brings up all texts whose classes may have
-    one left, and of these every pair of tiles is compared.
+    ``docs`` has digest and the text, ``texts`` one row (digest, f, sig) for
+    each different text. Of groups of near fingerprints larger than ``tile``,
+    only heads of classes meet across tiles, which joins crowds cheaply;
+    ``linked_by_bands`` joins what that leaves apart.
     """
-    links = _links_by_heads(_with_shingles(docs, candidate_groups(texts), text, words), least, tile)
+    links = _links_by_heads(_with_shingles(docs, candidate_groups(texts.select("digest", "f")), text, words), least, tile)
     classes = durable(components(links).select(F.col("node").alias("digest"), "root"))
-    more = _links_of_all_pairs(_with_shingles(docs, open_groups(docs, classes, text, least, words), text, words), least, tile)
-    return components(classes.union(more)).select(F.col("node").alias("digest"), "root")
+    return linked_by_bands(docs, texts.select("digest", "sig"), classes, text, least, words, piece)
+
+
+def marks(text: bytes | None, seeds: int = SEEDS, words: int = WORDS) -> tuple[list[int], np.ndarray]:
+    """A text's word fingerprints and its least hashes."""
+    return word_fingerprints(text, seeds), least_hashes(np.unique(shingle_hashes(text, words)))
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -267,11 +349,16 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", lea
     digest = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{key}`").alias("id"),
                     F.col(f"`{text}`").cast("string").alias("words"), digest.alias("digest"))
-    marked = durable(map_texts(row, "words", ["id", "digest"], [StructField("f", ArrayType(LongType()))], lambda found: [
-        pa.array([word_fingerprints(t) for t in found], pa.list_(pa.int64()))]))
-    texts = durable(marked.groupBy("digest").agg(F.min("id").alias("id"), F.first("f").alias("f")))
+
+    def make(found: list[bytes | None]) -> list[pa.Array]:
+        made = [marks(t) for t in found]
+        return [pa.array([f for f, _ in made], pa.list_(pa.int64())), pa.array([m for _, m in made], pa.list_(pa.int32()))]
+
+    marked = durable(map_texts(row, "words", ["id", "digest"], [
+        StructField("f", ArrayType(LongType())), StructField("sig", ArrayType(IntegerType()))], make))
+    texts = durable(marked.groupBy("digest").agg(F.min("id").alias("id"), F.first("f").alias("f"), F.first("sig").alias("sig")))
     first = row.select("digest", "id", "words")
-    classes = near_copy_classes(first, texts.select("digest", "f"), "words", least)
+    classes = near_copy_classes(first, texts.select("digest", "f", "sig"), "words", least)
     # The class of a text, and the smallest (id, digest) of the class; nulls come last.
     named = texts.select("digest", "id").join(classes, "digest")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("best"))

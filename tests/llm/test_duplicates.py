@@ -124,23 +124,24 @@ def test_one_of_each_group_stays(spark):
         assert inside[0][0] == min((d for d, _ in members if d is not None), default=None)
 
 
+def marked(spark, docs):
+    rows = [(bytearray(r["digest"]), *near_copies.marks(r["words"].encode())) for r in docs.collect()]
+    return spark.createDataFrame([(d, f, m.tolist()) for d, f, m in rows], "digest binary, f array<bigint>, sig array<int>")
+
+
 def test_group_over_many_tiles(spark):
     base = prose(300)
     rows = [(i, " ".join(edited(base, 1))) for i in range(40)] + [(99, " ".join(prose(300)))]
     docs = frame(spark, rows).selectExpr("unhex(sha2(text, 256)) AS digest", "text AS words")
-    texts = spark.createDataFrame(
-        [(bytearray(r["digest"]), near_copies.word_fingerprints(r["words"].encode())) for r in docs.collect()],
-        "digest binary, f array<bigint>")
-    got = near_copies.near_copy_classes(docs, texts, "words", tile=6).collect()
+    texts = marked(spark, docs)
+    got = near_copies.near_copy_classes(docs, texts, "words", tile=6, piece=5).collect()
     assert len(got) == 40 and len({bytes(r["root"]) for r in got}) == 1
 
 
 def classes_of(spark, texts, tile):
     docs = frame(spark, list(enumerate(texts))).selectExpr("unhex(sha2(text, 256)) AS digest", "text AS words")
-    marked = spark.createDataFrame(
-        [(bytearray(r["digest"]), near_copies.word_fingerprints(r["words"].encode())) for r in docs.collect()],
-        "digest binary, f array<bigint>")
-    roots = {bytes(r["digest"]): bytes(r["root"]) for r in near_copies.near_copy_classes(docs, marked, "words", tile=tile).collect()}
+    found = near_copies.near_copy_classes(docs, marked(spark, docs), "words", tile=tile, piece=tile).collect()
+    roots = {bytes(r["digest"]): bytes(r["root"]) for r in found}
     named = [roots.get(hashlib.sha256(t.encode()).digest(), i) for i, t in enumerate(texts)]
     return [named.index(x) for x in named]
 
@@ -157,16 +158,22 @@ def test_star_and_disjoint_pairs_over_tiles(spark):
         assert classes_of(spark, texts, 4) == want
 
 
-def test_prefixes_of_similar_sets_meet():
+def test_least_hashes_estimate_similarity():
     rng = np.random.default_rng(9)
-    for n in [1, 2, 4, 5, 10, 45, 200]:
-        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
-        for k in range(n // 4 + 1):
-            other = np.unique(np.concatenate([a[rng.permutation(n)[:n - k // 2]], rng.integers(0, 1 << 62, k - k // 2, dtype=np.uint64)]))
-            for frequent in (np.empty(0, np.uint64), rng.permutation(a)[:n // 2], rng.permutation(np.concatenate([a, other, [7]]))):
-                (x, need), (y, least) = (near_copies.prefix(s, frequent) for s in (a, other))
-                assert not near_copies.similar([a, other])[0, 1] or np.intersect1d(x, y).size >= max(need, least)
-    assert near_copies.prefix(np.empty(0, np.uint64), np.empty(0, np.uint64))[0].tolist() == [0]
+    near = []
+    for _ in range(400):
+        both = rng.integers(0, 1 << 63, 240, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 30, dtype=np.uint64)])) for _ in range(2))
+        x, y = near_copies.least_hashes(a), near_copies.least_hashes(b)
+        bands = (x == y).reshape(near_copies.BANDS, near_copies.ROWS).all(1)
+        near.append((bands.any(), (x == y).sum()))
+    # Of similarity 0.8: one in 5000 shares no band.
+    assert sum(found for found, _ in near) >= 398 and sum(n >= near_copies.LEAST_EQUAL for _, n in near) >= 398
+    assert abs(np.mean([n for _, n in near]) / 64 - 0.8) < 0.01
+    long = rng.integers(0, 1 << 63, 9_000, dtype=np.uint64)
+    assert near_copies.least_hashes(long).tolist() == np.minimum.reduce([
+        near_copies.least_hashes(p).view(np.uint32) for p in (long[:4_000], long[4_000:])]).view(np.int32).tolist()
+    assert len(set(near_copies.least_hashes(np.empty(0, np.uint64)).tolist())) == 1
 
 
 def test_every_kind_of_edit_is_found(spark):
