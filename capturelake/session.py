@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -65,6 +66,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete the files of ``durable`` frames that nothing reads any more; other frames are left alone.
+
+    Shuffle files of what was computed from them go with Spark's next cleaning,
+    which this prompts: long chains of rounds would else keep all of theirs.
+    """
+    for df in frames:
+        context, plan = df.sparkSession.sparkContext, df._jdf.queryExecution().logical()
+        if plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            place = context._jvm.org.apache.hadoop.fs.Path(file.get())
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for one written table."""
     return os.path.join(shared_dir(spark), "capturelake", f"{name}-{uuid.uuid4().hex}")

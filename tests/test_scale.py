@@ -71,3 +71,18 @@ def test_first_rows(spark):
     frame["r"] = frame.groupby("k").cumcount() + 1
     want = sorted(tuple(int(x) for x in r) for r in frame[frame.r <= 5][["k", "r", "i"]].to_numpy())
     assert got == want
+
+
+def test_released_checkpoints_leave_no_files(spark):
+    from pathlib import Path
+
+    from capturelake.session import durable, release, shared_dir
+
+    def files():
+        return sum(1 for _ in Path(shared_dir(spark)).glob("*/rdd-*/part-*"))
+
+    before = files()
+    held = durable(spark.range(100).repartition(4))
+    assert held.count() == 100 and files() > before
+    release(held, spark.range(3))
+    assert files() == before
