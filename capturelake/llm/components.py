@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import attach
-from ..session import durable
+from ..session import durable, release
 
 #: A hub has over one of so many edges, and at least so many of its own.
 HUB_SHARE, HUB_EDGES = 10_000, 50
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
             F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = upper.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         lower = attach(upper, lowest, ["a"], F.col("n"), hub).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        now = durable(lower.union(lowest.select("a", F.col("m").alias("b"))).distinct())
+        now, earlier = durable(lower.union(lowest.select("a", F.col("m").alias("b"))).distinct()), now
         before, state = state, _state(now)
+        release(earlier)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from ..operators.scale import attach
-from ..session import durable
+from ..session import durable, release
 from .arrow import map_texts
 from .components import components
 from .simhash import MAX_BITS, _link, fingerprint, linked_fingerprints, shingle_hashes
@@ -44,8 +44,8 @@ BROADCAST_ROWS = 200_000
 _COLUMNS = 16_384
 #: Least hashes of a text, in bands of so many, and how many of them near copies share at least.
 BANDS, ROWS, LEAST_EQUAL = 16, 4, 40
-#: Texts of one band whose least hashes are compared in one task.
-PIECE = 1_024
+#: Texts of one band whose least hashes are compared in one task; classes are joined by their best pairs while these are more than FEW_PAIRS.
+PIECE, FEW_PAIRS = 1_024, 20_000
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -146,6 +146,7 @@ def candidate_groups(texts: DataFrame, seeds: int = SEEDS, budget: int = MAX_BIT
     edges = links.select(node("a").alias("a"), node("b").alias("b")).union(
         spread.join(busy, ["seed", "fp"]).select(F.col("digest").alias("a"), node("fp").alias("b")))
     roots = components(edges)
+    release(crowd, links)
     return roots.filter(F.octet_length("node") == 32).select(F.col("node").alias("digest"), F.col("root").alias("whole"))
 
 
@@ -309,19 +310,23 @@ def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text:
     # Few of those that share a band come near; only they go on.
     open_ = durable(_pairs(contacts, classes, "texts", piece).select(F.col("a").alias("digest")).distinct())
     side = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
-    contacts = durable(contacts.join(side, "digest"))
+    all_, contacts = contacts, durable(contacts.join(side, "digest"))
+    release(all_, met)
     shingled = map_texts(docs.join(side, "digest").select("digest", text), text, ["digest"], [StructField("shingles", ArrayType(LongType()))],
                          lambda found: [_lists(_shingles(found, words))])
     held = durable(shingled.dropDuplicates(["digest"]))
     wanted = "best"
     while True:
-        found = _linked(_pairs(contacts, classes, wanted, piece), held, least)
-        more = found.count()
+        pairs = _pairs(contacts, classes, wanted, piece)
+        found = _linked(pairs, held, least)
+        tried, more = pairs.count(), found.count()
         if more:
             classes = durable(components(classes.union(found)).select(F.col("node").alias("digest"), "root"))
+        release(pairs, found)
         if wanted == "all":
+            release(contacts, held)
             return classes
-        if not more:
+        if not more or tried <= FEW_PAIRS:
             wanted = "all"
 
 
