@@ -1,133 +1,253 @@
-"""Exact nearest point per vertex, as joins against a tree of cells.
+"""Exact nearest point per vertex, along a space-filling curve.
 
-Cells that hold more than ``LEAF`` points are split into 4 x 4 x 4, so dense
-and empty regions alike end in small cells and no task compares a vertex with
-a crowded one. Every vertex walks down level by level and keeps only the cells
-that may still hold its nearest point.
+Points and vertices are dealt together by their place on a Morton curve through
+their cloud, so most vertices find their nearest point in their own partition,
+by a tree of boxes over the points' order on the curve. A vertex whose best
+distance reaches into the box of another partition's points is sent there as
+well. No step joins by the cloud alone: the only table of the driver holds the
+boxes of clouds that lie in several partitions, two for each partition at most.
+
+Vertices and points with a null coordinate take no part; vertices of clouds
+without points drop out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..session import durable
-from .scale import FEW_GROUPS, attach, measure
+from .scale import HOT_ROWS, Shape, attach
 
 AXES = ("x", "y", "z")
 KEY = ["cloud_id"]
-FAN = 4
-LEAF = 32
-# Cells at this depth are below the resolution of a double.
-MAX_DEPTH = 25
-CELL = ["cx", "cy", "cz"]
-
-
-def _cell(depth: int) -> list[Column]:
-    """Cell of a point at a depth, from its place in the cloud's bounding cube."""
-    side = float(FAN ** depth)
-    return [
-        F.least(F.floor((F.col(a) - F.col(f"_o{a}")) / F.col("_ext") * side), F.lit(int(side) - 1)).alias(f"c{a}")
-        for a in AXES]
-
-
-def _placed(points: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """One row per distinct position (its first point) with the cloud's bounding cube."""
-    first = F.min(F.struct("idx", *attributes)).alias("_p")
-    unique = points.groupBy(*KEY, *AXES).agg(first).select(*KEY, *AXES, "_p")
-    box = unique.groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.min(a).alias(f"_o{a}") for a in AXES],
-        F.greatest(*[F.max(a) - F.min(a) for a in AXES], F.lit(1e-9)).alias("_ext"))
-    return durable(attach(unique, box, KEY, F.col("_n"), shape=measure(unique, KEY)))
-
-
-def _levels(placed: DataFrame) -> list[DataFrame]:
-    """Cells per depth: parent, bounds, and whether the cell is small enough to stay whole."""
-    c = F.col
-    bounds = [f(a).alias(f"{n}{a}") for a in AXES for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    roots = placed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *bounds).select(
-        *KEY, *[F.lit(0).cast("bigint").alias(n) for n in CELL], (c("_n") <= LEAF).alias("leaf"),
-        *[f"{n}{a}" for a in AXES for n in ("lo", "hi")])
-    levels = [durable(roots)]
-    rows = placed
-    for depth in range(1, MAX_DEPTH + 1):
-        split = levels[-1].filter(~c("leaf")).select(*KEY, *CELL)
-        if split.isEmpty():
-            break
-        rows = rows.select(*placed.columns, *_cell(depth - 1)).join(split, [*KEY, *CELL], "left_semi").drop(*CELL)
-        small = c("_n") <= LEAF if depth < MAX_DEPTH else F.lit(True)
-        levels.append(durable(rows.select("*", *_cell(depth)).groupBy(*KEY, *CELL).agg(
-            F.count(F.lit(1)).alias("_n"), *bounds).withColumn("leaf", small).drop("_n")))
-    return levels
-
-
-def _leaf_points(placed: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Points of every leaf in one short array."""
-    parts = [
-        placed.select(*KEY, *AXES, "_p", *_cell(depth)).join(
-            cells.filter("leaf").select(*KEY, *CELL), [*KEY, *CELL], "left_semi"
-        ).groupBy(*KEY, *CELL).agg(F.collect_list(F.struct(*AXES, "_p")).alias("points")).withColumn("depth", F.lit(depth))
-        for depth, cells in enumerate(levels)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _reach(far: bool) -> Column:
-    """Squared distance from a vertex to the closest or farthest place of a cell."""
-    total = F.lit(0.0)
-    for a in AXES:
-        low, high = F.col(f"lo{a}") - F.col(a), F.col(a) - F.col(f"hi{a}")
-        gap = F.greatest(F.abs(low), F.abs(high)) if far else F.greatest(low, high, F.lit(0.0))
-        total = total + gap * gap
-    return total
-
-
-def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequence[str]) -> DataFrame:
-    """Distance, index and attributes of the nearest point (lowest idx on ties) for every vertex.
-
-    Vertices of clouds without points drop out.
+#: Bits of the curve for each axis.
+BITS = 21
+LEAF, FAN = 16, 8
+#: Vertices that are answered at once, and sent vertices that share one copy of a partition's points.
+BLOCK, SENT = 2_048, 200_000
+
+
+def _spread(v: Column) -> Column:
+    """The bits of a number with two zeros between each (fixed masks of the usual doubling steps)."""
+    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+    return v
+
+
+def _curve() -> Column:
+    """Place on the Morton curve through the cube of the cloud's points; places outside count as the cube's nearest."""
+    side = float(1 << BITS)
+    at = [F.greatest(F.least(F.floor((F.col(a) - F.col(f"_o{a}")) / F.col("_ext") * side), F.lit((1 << BITS) - 1)), F.lit(0)).cast("bigint") for a in AXES]
+    x, y, z = (_spread(v) for v in at)
+    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+
+
+class Boxes:
+    """A tree of boxes over boxes in a given order."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.levels = [(low, high)]
+        while len(self.levels[-1][0]) > FAN:
+            low, high = self.levels[-1]
+            at = np.arange(0, len(low), FAN)
+            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+
+    def reached(self, places: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place, box) with a squared distance of at most the place's best."""
+        v = np.repeat(np.arange(len(places)), len(self.levels[-1][0]))
+        box = np.tile(np.arange(len(self.levels[-1][0])), len(places))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            low, high = self.levels[depth]
+            near = gap(places[v], low[box], high[box]) <= best[v]
+            v, box = v[near], box[near]
+            if depth:
+                below = box[:, None] * FAN + np.arange(FAN)
+                inside = below < len(self.levels[depth - 1][0])
+                v, box = np.repeat(v, FAN)[inside.ravel()], below[inside]
+        return v, box
+
+
+def gap(places: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance from places to the closest of their boxes' points."""
+    d = np.maximum(np.maximum(low - places, places - high), 0.0)
+    return d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+
+
+class Points:
+    """Points in the order of the curve, in leaves of some each."""
+
+    def __init__(self, code: np.ndarray, idx: np.ndarray, places: np.ndarray):
+        self.rows = np.argsort(code, kind="stable")
+        self.code, self.idx, self.places = code[self.rows], idx[self.rows], places[self.rows]
+        self.starts = np.arange(0, len(code), LEAF)
+        self.boxes = Boxes(np.minimum.reduceat(self.places, self.starts), np.maximum.reduceat(self.places, self.starts))
+
+    def _compare(self, v: np.ndarray, leaf: np.ndarray, places: np.ndarray, best: np.ndarray, which: np.ndarray) -> None:
+        """Take the closest points of the leaves into ``best`` and ``which``; of equal ones that of the lowest idx."""
+        at = self.starts[leaf][:, None] + np.arange(LEAF)
+        inside = at < len(self.idx)
+        at = np.where(inside, at, 0)
+        d = places[v][:, None, :] - self.places[at]
+        d2 = np.where(inside, d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2], np.inf)
+        least = d2.min(1)
+        first = np.where(d2 == least[:, None], self.idx[at], np.iinfo(np.int64).max)
+        row = at[np.arange(len(v)), first.argmin(1)]
+        order = np.lexsort((self.idx[row], least, v))
+        v, least, row = v[order], least[order], row[order]
+        keep = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.empty(0, bool)
+        v, least, row = v[keep], least[keep], row[keep]
+        known = which[v]
+        better = (least < best[v]) | ((least == best[v]) & ((known < 0) | (self.idx[row] < self.idx[known])))
+        best[v[better]], which[v[better]] = least[better], row[better]
+
+    def nearest(self, code: np.ndarray, places: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distance and row of the nearest point of each place; row -1 where none is within ``best``."""
+        best, which = best.copy(), np.full(len(code), -1)
+        for i in range(0, len(code), BLOCK):
+            part = slice(i, i + BLOCK)
+            here, near, found = places[part], best[part], which[part]
+            home = np.minimum(np.searchsorted(self.code, code[part]), len(self.code) - 1) // LEAF
+            self._compare(np.arange(len(here)), home, here, near, found)
+            self._compare(*self.boxes.reached(here, near), here, near, found)
+        return best, np.where(which < 0, -1, self.rows[which])
+
+
+@dataclass
+class Pieces:
+    """Boxes of the points of clouds that lie in several partitions."""
+
+    clouds: dict[object, tuple[np.ndarray, Boxes]]
+
+    @classmethod
+    def of(cls, rows: list) -> Pieces:
+        grouped: dict[object, list] = {}
+        for r in rows:
+            grouped.setdefault(r["cloud_id"], []).append(r)
+        made = {}
+        for cloud, own in grouped.items():
+            own.sort(key=lambda r: r["_part"])
+            bounds = np.array([[[r[f"_lo{a}"] for a in AXES], [r[f"_hi{a}"] for a in AXES]] for r in own])
+            made[cloud] = np.array([r["_part"] for r in own]), Boxes(bounds[:, 0], bounds[:, 1])
+        return cls(made)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """The runs of rows with equal leading columns, batch by batch."""
+    now, parts = None, []
+    for batch in batches:
+        values = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
+        cuts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if values[i] != now and parts:
+                yield now, parts
+                parts = []
+            now = values[i]
+            parts.append(batch.slice(i, j - i))
+    if parts:
+        yield now, parts
+
+
+def _numbers(batch: pa.RecordBatch | pa.Table, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(n).to_numpy() for n in names]
+
+
+def _answers(batches: Iterator[pa.RecordBatch], schema: StructType, attributes: Sequence[str], pieces: Pieces | None, sent: bool) -> Iterator[pa.RecordBatch]:
+    """The nearest points of vertices among the points of their partition.
+
+    Rows are sorted by group, points first. With ``pieces``, a row also names
+    the other partitions that may hold a closer point.
     """
-    c = F.col
-    placed = _placed(points.select(*KEY, "idx", *AXES, *attributes), attributes)
-    levels = _levels(placed)
-    own = [*KEY, "v_idx", *AXES]
-    spot = ["depth", *CELL, "leaf"]
-    walk = vertices.select(*own).join(levels[0], KEY).select(
-        *own, F.lit(0).alias("depth"), *CELL, "leaf", _reach(True).alias("best"))
-    for depth, cells in enumerate(levels[1:], start=1):
-        parent = [F.floor(c(n) / FAN).alias(n) for n in CELL]
-        children = durable(cells.select(*KEY, *parent, F.struct(
-            *CELL, "leaf", *[f"{n}{a}" for a in AXES for n in ("lo", "hi")]).alias("_child")).groupBy(*KEY, *CELL).agg(
-            F.collect_list("_child").alias("_children")))
-        # A row holds at most 64 cells of about 80 bytes; below this count it is small enough to broadcast.
-        if children.count() <= FEW_GROUPS // 16:
-            children = F.broadcast(children)
-        split = ~c("leaf") & (c("depth") == depth - 1)
-        stay = walk.filter(~split)
-
-        def below(nodes: DataFrame) -> DataFrame:
-            met = nodes.filter(split).drop("leaf", "depth").join(children, [*KEY, *CELL])
-            return met.drop(*CELL).select("*", F.explode("_children").alias("_child")).select(
-                *own, "best", F.lit(depth).alias("depth"), "_child.*")
-
-        # First the tightest bound per vertex, then only the cells within it.
-        bounds = stay.select(*KEY, "v_idx", "best").unionByName(
-            below(walk).select(*KEY, "v_idx", _reach(True).alias("best"))
-        ).groupBy(*KEY, "v_idx").agg(F.min("best").alias("best"))
-        tight = walk.drop("best").join(bounds, [*KEY, "v_idx"])
-        walk = durable(
-            tight.filter(~split).select(*own, *spot, "best").unionByName(
-                below(tight).filter(_reach(False) <= c("best")).select(*own, *spot, "best")))
-    leaves = walk.select(*own, "depth", *CELL)
-
-    def closest(p: Column) -> Column:
-        d2 = sum(((c(a) - p[a]) * (c(a) - p[a]) for a in AXES), F.lit(0.0))
-        return F.struct(d2.alias("d2"), p["_p"].alias("p"))
-
-    hits = leaves.join(_leaf_points(placed, levels), [*KEY, "depth", *CELL]).select(
-        *KEY, "v_idx", F.array_min(F.transform("points", closest)).alias("_h"))
-    return hits.groupBy(*KEY, "v_idx").agg(F.min("_h").alias("_h")).select(
-        *KEY, "v_idx", F.sqrt("_h.d2").alias("distance"), c("_h.p.idx").alias("idx"),
-        *[c(f"_h.p.{n}").alias(n) for n in attributes])
+    names = schema.names
+    for key, parts in _grouped(batches, 3 if sent else 2):
+        table = pa.Table.from_batches(parts)
+        cloud, own = key[-1], key[0]
+        is_point = table.column("_kind").to_numpy() == 0
+        count = int(is_point.sum())
+        points, vertices = table.slice(0, count), table.slice(count)
+        if not len(vertices):
+            continue
+        code, v_idx, x, y, z, best = _numbers(vertices, "_code", "_idx", *AXES, "_best")
+        places, row = np.stack([x, y, z], 1), np.full(len(vertices), -1)
+        if count:
+            p_code, idx, px, py, pz = _numbers(points, "_code", "_idx", *AXES)
+            best, row = Points(p_code, idx, np.stack([px, py, pz], 1)).nearest(code, places, best)
+        targets = [None] * len(vertices)
+        if pieces and cloud in pieces.clouds:
+            parts_, boxes = pieces.clouds[cloud]
+            low, high = boxes.levels[0]
+            # No box is empty: its farthest corner bounds the nearest distance where the partition has no point.
+            if not count:
+                for lo, hi in zip(low, high, strict=True):
+                    far = np.maximum(np.abs(places - lo), np.abs(hi - places))
+                    best = np.minimum(best, (far * far).sum(1) * (1 + 1e-12))
+            for i in range(0, len(places), BLOCK):
+                v, box = boxes.reached(places[i:i + BLOCK], best[i:i + BLOCK])
+                other = parts_[box] != own
+                for a, b in zip((v[other] + i).tolist(), parts_[box[other]].tolist(), strict=True):
+                    targets[a] = [*(targets[a] or ()), b]
+        taken = points.select(["_idx", *attributes]).take(pa.array(np.where(row < 0, None, row), pa.int64()))
+        columns = [vertices.column(c) for c in ("cloud_id", "_idx", "_code", *AXES)]
+        columns += [pa.chunked_array([pa.array(best)]), *taken.columns, pa.chunked_array([pa.array(targets, pa.list_(pa.int32()))])]
+        out = pa.Table.from_arrays(columns, names=names)
+        yield from out.combine_chunks().to_batches(max_chunksize=65_536)
+
+
+def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distance, index and attributes of the nearest point (lowest idx on ties) for every vertex."""
+    c, place = F.col, [F.col(a).cast("double").alias(a) for a in AXES]
+    whole = c("x").isNotNull() & c("y").isNotNull() & c("z").isNotNull()
+    first = points.filter(whole).groupBy(*KEY, *place).agg(F.min(F.struct("idx", *attributes)).alias("_p"))
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    both = first.select(*KEY, F.lit(0).alias("_kind"), c("_p.idx").cast("bigint").alias("_idx"), *AXES, *[c(f"_p.`{a}`").alias(a) for a in attributes]).union(
+        vertices.filter(whole).select(*KEY, F.lit(1), c("v_idx").cast("bigint"), *place, *[F.lit(None).cast(kinds[a]) for a in attributes]))
+
+    def of_points(x: Column) -> Column:
+        return F.when(c("_kind") == 0, x)
+
+    cubes = durable(both.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min(of_points(c(a))).alias(f"_o{a}") for a in AXES],
+        F.greatest(*[F.max(of_points(c(a))) - F.min(of_points(c(a))) for a in AXES], F.lit(1e-9)).alias("_ext")).filter(c("_ox").isNotNull()))
+    shape = Shape(*(n or 0 for n in cubes.agg(F.count(F.lit(1)), F.max("_n")).first()))
+    coded = attach(both, cubes, KEY, c("_n"), hot_rows, shape).filter(c("_n").isNotNull()).select(
+        *KEY, "_kind", _curve().alias("_code"), "_idx", *AXES, *attributes, F.lit(float("inf")).alias("_best"))
+    dealt = durable(coded.repartitionByRange(*KEY, "_code", "_kind", "_idx").select(F.spark_partition_id().alias("_part"), "*"))
+
+    held = dealt.groupBy(*KEY, "_part").agg(
+        F.count_if(c("_kind") == 0).alias("_points"), *[f(of_points(c(a))).alias(f"_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))])
+    # A partition's range can share a cloud with its neighbours only at its two ends.
+    several = held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_parts")).filter(c("_parts") > 1).select(*KEY)
+    pieces = Pieces.of(held.join(several, KEY).filter(c("_points") > 0).collect())
+
+    schema = StructType([
+        *[dealt.schema[k] for k in KEY], StructField("_idx", LongType()), StructField("_code", LongType()), *[StructField(a, DoubleType()) for a in AXES],
+        StructField("_best", DoubleType()), StructField("idx", LongType()), *[StructField(a, kinds[a]) for a in attributes],
+        StructField("_others", ArrayType(IntegerType()))])
+    columns = ["_kind", "_code", "_idx", *AXES, *attributes, "_best"]
+    at_home = durable(dealt.select("_part", *KEY, *columns).sortWithinPartitions("_part", *KEY, "_kind").mapInArrow(
+        lambda batches: _answers(batches, schema, attributes, pieces, False), schema))
+
+    result = at_home.drop("_others", "_code", *AXES)
+    routed = at_home.filter(c("_others").isNotNull()).select(F.explode("_others").alias("_part"), "*")
+    counts = routed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).collect()
+    if counts:
+        # Copies of a partition's points for every SENT vertices that come to it; there are as many counts as partitions.
+        shares = dealt.sparkSession.createDataFrame([(r["_part"], -(-r["_n"] // SENT)) for r in counts], "_part int, _copies int")
+        sent = routed.join(F.broadcast(shares), "_part").select(
+            "_part", F.pmod(F.xxhash64("_idx"), "_copies").cast("int").alias("_copy"), *KEY, F.lit(1).alias("_kind"), "_code", "_idx", *AXES,
+            *[F.lit(None).cast(kinds[a]).alias(a) for a in attributes], "_best")
+        met = dealt.filter(c("_kind") == 0).join(F.broadcast(shares), "_part").select(
+            "_part", F.explode(F.sequence(F.lit(0), c("_copies") - 1)).alias("_copy"), *KEY, *columns)
+        again = met.union(sent).repartition("_part", "_copy").sortWithinPartitions("_part", "_copy", *KEY, "_kind").mapInArrow(
+            lambda batches: _answers(batches, schema, attributes, None, True), schema)
+        answers = result.filter(c("idx").isNotNull()).union(again.filter(c("idx").isNotNull()).drop("_others", "_code", *AXES))
+        result = answers.groupBy(*KEY, "_idx").agg(F.min(F.struct("_best", "idx", *attributes)).alias("_h")).select(*KEY, "_idx", "_h.*")
+    return result.select(*KEY, c("_idx").alias("v_idx"), F.sqrt("_best").alias("distance"), "idx", *attributes)

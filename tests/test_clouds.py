@@ -136,3 +136,27 @@ def test_depth_from_sparse_points(spark):
     rows = [(1, i, 1.2 * (i % 2), 1.0 * (i % 3 == 0), 1.1 * (i % 5 == 0)) for i in range(20)]
     df = spark.createDataFrame(rows, "cloud_id long, idx long, x double, y double, z double")
     assert round(C.depth_ratio(df).first().depth_ratio, 4) == 0.9167
+
+
+def test_nearest_point_in_a_hot_cloud(spark):
+    """One cloud holds nine tenths of all rows over many partitions; vertices lie in it, far outside, and in clouds without points."""
+    rnd = np.random.default_rng(8)
+    hot, small = np.round(rnd.normal(size=(2_700, 3)), 2), rnd.normal(size=(300, 3))
+    rows = [(1, i, *map(float, p)) for i, p in enumerate(hot)] + [(2 + i % 3, i, *map(float, p)) for i, p in enumerate(small)]
+    pts = spark.createDataFrame(rows, "cloud_id long, idx long, x double, y double, z double").withColumn("r", F.col("idx") * 2)
+    wanted = np.concatenate([np.round(rnd.normal(size=(250, 3)), 2), rnd.normal(size=(50, 3)) * 500, [[1e6, 0, 0]] * 4, hot[:40]])
+    corners = [(1, i, *map(float, p)) for i, p in enumerate(wanted)] + [(9, 1, 0.0, 0.0, 0.0), (2, 7, 0.1, 0.1, 0.1), (3, 8, None, 0.1, 0.1)]
+    vertices = spark.createDataFrame(corners, "cloud_id long, v_idx long, x double, y double, z double")
+    got = {(r.cloud_id, r.v_idx): r for r in nearest_attribute(vertices, pts, ["r"]).collect()}
+    places = by_cloud(pts)
+    names = {k: g.sort_values("idx").idx.tolist() for k, g in pts.toPandas().groupby("cloud_id")}
+    assert set(got) == {(k, i) for k, i, x, *_ in corners if k != 9 and x is not None}
+    for k, i, *v in corners:
+        if (k, i) in got:
+            d2 = ((places[k] - np.array(v)) ** 2 @ np.ones(3))
+            d = places[k] - np.array(v)
+            d2 = d[:, 0] ** 2 + d[:, 1] ** 2 + d[:, 2] ** 2
+            best = names[k][int(d2.argmin())]
+            assert (got[k, i].idx, got[k, i].r) == (best, 2 * best) and abs(got[k, i].distance - d2.min() ** 0.5) < 1e-9
+    assert nearest_attribute(vertices.limit(0), pts, ["r"]).count() == 0
+    assert nearest_attribute(vertices, pts.limit(0), ["r"]).count() == 0
