@@ -23,10 +23,10 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from .arrow import map_texts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States of the transducer, and encoded pieces of text, that a task keeps; pieces longer than LONG bytes are not kept.
-STATES, PIECES, LONG = 200_000, 400_000, 64
+STATES, PIECES, LONG = 350_000, 600_000, 64
 #: Guesses are tested for a token to go on with where so many or fewer are left.
 FEW = 8
 _NONE = -1
@@ -120,15 +120,20 @@ class Merges:
                 known = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             else:
                 known, rank = True, self.ranks.get
-                for a, made, until in ends:
-                    for b, made_b, until_b in starts:
-                        if made < until_b and made_b < until:
-                            across = rank(a + b)
-                            if across is not None and across < until and across <= until_b:
-                                known = False
-                                break
-                    if not known:
+                # Parts of both that are there at one time, from the last ones backwards.
+                i = j = 0
+                while True:
+                    (a, made, until), (b, made_b, until_b) = ends[i], starts[j]
+                    across = rank(a + b)
+                    if across is not None and across < until and across <= until_b:
+                        known = False
                         break
+                    if made < 0 and made_b < 0:
+                        break
+                    if made > made_b:
+                        i += 1
+                    else:
+                        j += 1
             self._pairs[key] = known
         return known
 
@@ -205,53 +210,48 @@ class Encoder:
         return number
 
     def _goes_on(self, token: int, node: int) -> bool:
-        """Whether a longer token with the node's bytes fits after ``token``; taken for granted where there are many."""
-        few = self.longer.get(node)
-        if few is None:
-            return True
-        if token == _NONE:
-            return bool(few)
-        known = self.fits.get(token << 24 | node)
-        if known is None:
-            known = self.fits[token << 24 | node] = any(self.merges.compatible(token, t) for t in few)
+        """Whether one of the few longer tokens with the node's bytes fits after ``token``."""
+        known = self.fits[token << 24 | node] = any(self.merges.compatible(token, t) for t in self.longer[node])
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The next state and the tokens that are decided by then."""
-        child, token_at, key = self.children.get, self.token_at.get, self.guesses[state]
-        tokens, parents, nodes, ends = [], [], [], None
-        for at in range(0, len(key), 3):
-            token, node = key[at], key[at + 2]
-            if node != _NONE:
-                node = child(node << 8 | byte, _NONE)
-                if node != _NONE:
-                    if ends is None:
-                        # Exactly one guess ends here in a token that fits the one before.
-                        found = token_at(node)
-                        if found is not None and (token == _NONE or self.merges.compatible(token, found)):
-                            ends = at // 3
-                            last = found
-                    if not self._goes_on(token, node):
-                        node = _NONE
-            tokens.append(token), parents.append(key[at + 1]), nodes.append(node)
+        child, key, longer, fits = self.children.get, self.guesses[state], self.longer.get, self.fits.get
+        tokens, parents = list(key[::3]), list(key[1::3])
+        nodes = [child(node << 8 | byte, _NONE) if node >= 0 else _NONE for node in key[2::3]]
+        ends = None
+        for at, node in enumerate(nodes):
+            if node < 0:
+                continue
+            token = tokens[at]
+            if ends is None:
+                # Exactly one guess ends here in a token that fits the one before.
+                found = self.token_at.get(node)
+                if found is not None and (token < 0 or self.merges.compatible(token, found)):
+                    ends, last = at, found
+            few = longer(node)
+            if few is not None and not (few if token < 0 else self._goes_on(token, node) if (known := fits(token << 24 | node)) is None else known):
+                nodes[at] = _NONE
         tokens.append(last), parents.append(ends), nodes.append(0)
         # Guesses that are open, and those that open ones come from.
         followers, kept = [0] * len(nodes), []
         for at in range(len(nodes) - 1, 0, -1):
-            if nodes[at] != _NONE or followers[at]:
+            if nodes[at] >= 0 or followers[at]:
                 kept.append(at)
                 followers[parents[at]] += 1
         kept.append(0)
         kept.reverse()
         # The first guess goes on to its only follower as long as it is closed itself.
         first = 0
-        while nodes[kept[first]] == _NONE and followers[kept[first]] == 1:
+        while nodes[kept[first]] < 0 and followers[kept[first]] == 1:
             first += 1
-        place, after = {}, []
-        for i, at in enumerate(kept[first:]):
-            place[at] = i
-            after += (tokens[at], place[parents[at]] if i else 0, nodes[at])
-        return self._state(tuple(after)), tuple([tokens[at] for at in kept[1:first + 1]])
+        # From here on ``followers`` holds the new places.
+        at = kept[first]
+        followers[at], after = 0, [tokens[at], 0, nodes[at]]
+        for i, at in enumerate(kept[first + 1:], 1):
+            followers[at] = i
+            after += (tokens[at], followers[parents[at]], nodes[at])
+        return self._state(tuple(after)), tuple([tokens[at] for at in kept[1:first + 1]]) if first else ()
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece of text."""
@@ -292,16 +292,18 @@ class Tokenizer:
         self.ranks, self.pieces = ranks, pieces
         self.encoder = Encoder(Merges(ranks), states)
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
+        """The tokens of a piece, 32 bits each."""
         data = piece.encode()
         # A piece that is a token is that token, whether or not the merges make it.
         whole = self.ranks.get(data)
         if whole is not None:
-            found = (whole,)
+            tokens = [whole]
         else:
-            found = tuple(self.encoder.encode(data) if len(data) <= LONG else self.encoder.tokens(data))
+            tokens = self.encoder.encode(data) if len(data) <= LONG else self.encoder.tokens(data)
+        found = array("I", tokens).tobytes()
         if len(data) <= LONG:
             if len(self.known) >= self.pieces:
                 self.known.clear()
@@ -310,7 +312,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         known, piece = self.known, self._piece
-        return np.fromiter(chain.from_iterable([known.get(p) or piece(p) for p in self.find(text)]), np.uint32)
+        return np.frombuffer(b"".join([known.get(p) or piece(p) for p in self.find(text)]), np.uint32)
 
 
 def _utf8_moves() -> list[list[int]]:
@@ -420,11 +422,12 @@ def _loaded(path: str, pattern: str) -> tuple[Tokenizer, Vocabulary]:
 
 @contextmanager
 def _uncollected() -> Iterator[None]:
-    """States are many small tuples without cycles: the collector would only walk over them."""
+    """States are many small tuples without cycles: the collector would only walk over them, now and later."""
     gc.disable()
     try:
         yield
     finally:
+        gc.freeze()
         gc.enable()
 
 
@@ -486,15 +489,15 @@ def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | N
     def make(texts: list[bytes | None]) -> list[pa.Array]:
         tokenizer, vocabulary = _loaded(place, pattern)
         n, marks, decoded = [], [], []
-        for t in texts:
-            with _uncollected():
+        with _uncollected():
+            for t in texts:
                 ids = tokenizer.encode((t or b"").decode("utf-8", "replace"))
-            n.append(len(ids))
-            marks.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-            back = hashlib.sha256()
-            for data in decode(ids, vocabulary):
-                back.update(data)
-            decoded.append(back.hexdigest())
+                n.append(len(ids))
+                marks.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                back = hashlib.sha256()
+                for data in decode(ids, vocabulary):
+                    back.update(data)
+                decoded.append(back.hexdigest())
         return [pa.array(n, pa.int64()), pa.array(marks, pa.string()), pa.array(decoded, pa.string())]
 
     return map_texts(df, text, keep, [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),

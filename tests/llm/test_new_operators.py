@@ -254,7 +254,7 @@ def test_buckets_prune():
     met = 0
     for a in range(0, 4_000, 100):
         scores = (vectors @ vectors[a]).astype(np.int64)
-        least = int(0.6 * lengths[a] * bucket.longest)
+        least = int(0.85 * lengths[a] * bucket.longest)
         found = bucket.candidates(own[a], float(lengths[a]), least)
         assert set(np.flatnonzero(scores >= least)) <= set(found.tolist())
         met += len(found)
