@@ -44,8 +44,8 @@ BROADCAST_ROWS = 200_000
 _COLUMNS = 16_384
 #: Least hashes of a text, in bands of so many, and how many of them near copies share at least.
 BANDS, ROWS, LEAST_EQUAL = 16, 4, 40
-#: Texts of one band whose least hashes are compared in one task; classes are joined by their best pairs while these are more than FEW_PAIRS.
-PIECE, FEW_PAIRS = 1_024, 20_000
+#: Texts of one band whose least hashes are compared in one task.
+PIECE = 1_024
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -319,14 +319,14 @@ def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text:
     while True:
         pairs = _pairs(contacts, classes, wanted, piece)
         found = _linked(pairs, held, least)
-        tried, more = pairs.count(), found.count()
+        more = found.count()
         if more:
             classes = durable(components(classes.union(found)).select(F.col("node").alias("digest"), "root"))
         release(pairs, found)
         if wanted == "all":
             release(contacts, held)
             return classes
-        if not more or tried <= FEW_PAIRS:
+        if not more:
             wanted = "all"
 
 
