@@ -46,6 +46,8 @@ _COLUMNS = 16_384
 BANDS, ROWS, LEAST_EQUAL = 16, 4, 40
 #: Texts of one band whose least hashes are compared in one task.
 PIECE = 1_024
+#: Shingles of a tile whose texts are verified against another's.
+PIECE_SHINGLES = 4_000_000
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -269,23 +271,53 @@ def _pairs(contacts: DataFrame, classes: DataFrame, wanted: str, piece: int = PI
     return durable(dealt.mapInArrow(lambda batches: _met(batches, wanted), "a binary, b binary").distinct())
 
 
-def _linked(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The pairs whose shingles are similar, ``held`` being (digest, shingles)."""
+def similar_pairs(shingles: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Which of the pairs (x, y) of sets are similar; each x is marked once and its partners look their shingles up there."""
+    sizes = np.array([len(s) for s in shingles], np.int64)
+    values, codes = np.unique(np.concatenate(shingles), return_inverse=True)
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    mark, fit = np.zeros(len(values), bool), np.zeros(len(x), bool)
+    order = np.argsort(x, kind="stable")
+    cuts = np.flatnonzero(np.diff(x[order])) + 1
+    for places in np.split(order, cuts) if len(order) else []:
+        one = own[x[places[0]]]
+        mark[one] = True
+        for i in range(0, len(places), 256):
+            some = places[i:i + 256]
+            others = y[some]
+            met = mark[np.concatenate([own[k] for k in others])]
+            common = np.bincount(np.repeat(np.arange(len(some)), sizes[others]), weights=met, minlength=len(some))
+            fit[some] = common >= least * (len(one) + sizes[others] - common)
+        mark[one] = False
+    return fit
+
+
+def _linked(pairs: DataFrame, held: DataFrame, least: float, piece: int = PIECE) -> DataFrame:
+    """The pairs whose shingles are similar, ``held`` being (digest, shingles).
+
+    Texts are dealt into tiles of about ``piece`` texts and ``PIECE_SHINGLES``
+    shingles. A text goes once to each pair of tiles in which it has a
+    partner, however many partners it has there.
+    """
+    n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    tiles = max(1, -(-n // piece), -(-total // PIECE_SHINGLES))
+
+    def tile(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(tiles))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for i in (2, 3):
-                lists = batch.column(i)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                sides.append(np.split(flat, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]))
-            fit = [bool(similar([x, y], least)[0, 1]) for x, y in zip(*sides, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+    placed = pairs.withColumn("at", F.least(tile("a"), tile("b")) * F.lit(1 << 31) + F.greatest(tile("a"), tile("b")))
+    wanted = placed.select("at", F.explode(F.array("a", "b")).alias("digest")).distinct().join(held, "digest").select("at", "digest", "shingles")
+
+    def check(texts: pa.Table, found: pa.Table) -> pa.Table:
+        digests, lists = texts.column("digest").to_pylist(), texts.column("shingles").combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        shingles = np.split(flat, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+        place = {d: i for i, d in enumerate(digests)}
+        x, y = (np.array([place[d] for d in found.column(c).to_pylist()], np.int64) for c in ("a", "b"))
+        return found.select(["a", "b"]).filter(pa.array(similar_pairs(shingles, x, y, least), pa.bool_()))
 
-    one = held.select(F.col("digest").alias("a"), F.col("shingles").alias("x"))
-    two = held.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return durable(both.mapInArrow(check, "a binary, b binary"))
+    sides = placed.select(F.col("at").alias("there"), "a", "b")
+    return durable(wanted.groupBy("at").cogroup(sides.groupBy("there")).applyInArrow(check, "a binary, b binary"))
 
 
 def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
@@ -318,7 +350,7 @@ def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text:
     wanted = "best"
     while True:
         pairs = _pairs(contacts, classes, wanted, piece)
-        found = _linked(pairs, held, least)
+        found = _linked(pairs, held, least, piece)
         more = found.count()
         if more:
             classes = durable(components(classes.union(found)).select(F.col("node").alias("digest"), "root"))

@@ -202,6 +202,15 @@ def test_similar_sets():
     assert near.tolist() == want
 
 
+def test_pairs_of_tiles_equal_the_matrix():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in (0, 0, 1, *rng.integers(1, 90, 40))]
+    x, y = np.triu_indices(len(sets), 1)
+    for least in (0.3, 0.8, 1.0):
+        assert near_copies.similar_pairs(sets, x, y, least).tolist() == near_copies.similar(sets, least)[x, y].tolist()
+    assert near_copies.similar_pairs(sets, x[:0], y[:0]).tolist() == []
+
+
 def test_components_of_hubs_and_chains(spark):
     rng = random.Random(11)
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000), (None, 5), (3000, 1030)]
