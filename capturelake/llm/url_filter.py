@@ -60,9 +60,10 @@ def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Level by level, per host and template so far: rare children of a parent
     with many become ``*``; then sibling branches whose URLs go on alike (kind
-    of the next segment, and whether allowed, blocked or unlabelled) become
-    one branch ``~``. Each branch is compared with the pool of its siblings,
-    never with each other, in pre-aggregated sums.
+    of the next segment) and whose labelled URLs agree become one branch ``~kind``;
+    branches without labels join where two labelled ones do, else each other.
+    Each branch is compared with the pool of its siblings, never with each
+    other, in pre-aggregated sums.
     """
     names = ["host", "template"]
     depth = min(depth, urls.agg(F.max(F.size(F.split("skeleton", "/")))).first()[0] or 0)
@@ -80,27 +81,40 @@ def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         following = F.get("parts", F.lit(level + 1))
         kind = (F.when(following.isNull(), "end").when(following == "", "empty").when(following == "#", "number")
                 .when(following.contains("#"), "mixed").otherwise("word"))
-        spread = now.withColumn("kind", kind).select(*names, "branch", "kind", F.explode(F.array(
-            F.struct(F.lit("allowed").alias("state"), (F.col("labelled") - F.col("blocked")).alias("k")),
-            F.struct(F.lit("blocked").alias("state"), F.col("blocked").alias("k")),
-            F.struct(F.lit("open").alias("state"), (F.col("n") - F.col("labelled")).alias("k")))).alias("x"))
-        own = spread.groupBy(*names, "branch", "kind", F.col("x.state").alias("state")).agg(F.sum("x.k").alias("k"))
-        size = own.groupBy(*names, "branch").agg(F.sum("k").alias("size"))
-        pool = own.groupBy(*names, "kind", "state").agg(F.sum("k").alias("pool")).filter("pool > 0")
-        whole = pool.groupBy(*names).agg(F.sum("pool").alias("whole"), F.count(F.lit(1)).alias("cells"))
+        own = now.withColumn("kind", kind).groupBy(*names, "branch", "kind").agg(
+            F.sum("n").alias("k"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        # Siblings are pooled with those whose URLs mostly go on with the same kind.
+        size = own.groupBy(*names, "branch").agg(
+            F.sum("k").alias("size"), F.sum("l").alias("bl"), F.sum("b").alias("bb"), F.max_by("kind", F.struct("k", "kind")).alias("lead"))
+        led = own.join(size, [*names, "branch"])
+        peers = [*names, "lead"]
+        pool = led.groupBy(*peers, "kind").agg(F.sum("k").alias("pool"), F.sum("l").alias("pool_l"), F.sum("b").alias("pool_b"))
+        whole = pool.groupBy(*peers).agg(F.sum("pool").alias("whole"), F.count(F.lit(1)).alias("cells"),
+                                         (F.sum("pool_b") / F.nullif(F.sum("pool_l"), F.lit(0))).alias("share"))
         # Pearson's statistic as a sum over what a branch has: sum of k^2 / expected, less its size.
         expected = F.col("size") * F.col("pool") / F.col("whole")
-        alike = (
-            own.filter("k > 0").join(size, [*names, "branch"]).join(pool, [*names, "kind", "state"]).join(whole, names)
-            .groupBy(*names, "branch").agg(
-                (F.sum(F.col("k") * F.col("k") / expected) - F.max("size")).alias("off"), F.max("cells").alias("cells"))
-            .filter((F.col("branch") != "\u0000") & (
-                F.col("off") <= F.col("cells") - 1 + DEVIATIONS * F.sqrt(2.0 * F.greatest(F.col("cells") - 1, F.lit(1)))))
-            .select(*names, "branch")
+        shapes = (
+            led.select(*peers, "branch", "kind", "k", "size", "bl", "bb")
+            .join(pool.select(*peers, "kind", "pool"), [*peers, "kind"]).join(whole, peers)
+            .groupBy(*peers, "branch").agg(
+                (F.sum(F.col("k") * F.col("k") / expected) - F.max("size")).alias("off"), F.max("cells").alias("cells"),
+                F.max("bl").alias("l"), F.max("bb").alias("b"), F.max("share").alias("share"))
         )
-        several = alike.groupBy(*names).agg(F.count(F.lit(1)).alias("same")).filter("same > 1").drop("same")
-        merged = alike.join(several, names).withColumn("merged", F.lit(True))
-        step = F.when(F.col("branch") == "\u0000", "").when(F.col("merged"), "/~").otherwise(F.concat(F.lit("/"), "branch"))
+        # The same for blocked and allowed among labelled URLs; a branch without any, or a pool of one verdict, does not differ.
+        spread = F.col("l") * F.col("share") * (1 - F.col("share"))
+        gap = F.col("b") - F.col("l") * F.col("share")
+        differs = F.coalesce(gap * gap / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
+
+        def bound(freedom: Column) -> Column:
+            return freedom + DEVIATIONS * F.sqrt(2.0 * F.greatest(freedom, F.lit(1)))
+
+        alike = shapes.filter((F.col("branch") != "\u0000") & (F.col("off") <= bound(F.col("cells") - 1)) & (
+            differs <= bound(F.lit(1)))).select(*peers, "branch", (F.col("l") > 0).alias("told"))
+        # Two labelled branches that agree show that the segment varies; then, and only then, branches without labels join them.
+        votes = alike.groupBy(*peers).agg(F.count_if("told").alias("told_n"), F.count_if(~F.col("told")).alias("silent_n"))
+        merged = alike.join(votes, peers).filter((F.col("told_n") > 1) | (~F.col("told") & (F.col("silent_n") > 1))).select(
+            *names, "branch", F.concat(F.lit("~"), "lead").alias("merged"))
+        step = F.when(F.col("branch") == "\u0000", "").otherwise(F.concat(F.lit("/"), F.coalesce("merged", "branch")))
         now = durable(
             now.join(merged, [*names, "branch"], "left").withColumn("template", F.concat("template", step))
             .drop("child", "branch", "merged"))
