@@ -18,7 +18,7 @@ from ..session import durable
 
 #: Most labelled findings of the corpus that the forest is fitted on (the first by hash), beside the built-in examples.
 MOST_LABELLED = 20_000
-EXAMPLES = 2_800
+EXAMPLES = 3_800
 TREES, TREE_DEPTH, SEED = 30, 7, 42
 #: A finding is a secret from this share of the forest on.
 LEAST_SCORE = 0.5
@@ -31,7 +31,14 @@ CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 KEY_WORDS = r"(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth(orization)?|bearer|credential|private[_-]?key)"
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})$"
 HASH_WORDS = r"(commit|revision|checksum|digest|integrity|sha-?\d+|md5|uuid|guid|etag|version|build|order|number|isbn)"
-PLACEHOLDER = r"(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0000|1234|test[_-]|todo)"
+PLACEHOLDER = r"(example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0{8}|12345678|^1234|test[_-]|todo|\*\*\*|^[$<{%])"
+#: What stands after a key word, an assignment and maybe a quote; the value is the fourth group (quoted) or the fifth.
+ASSIGNED = r"(?i)" + KEY_WORDS + r"[\"']?[=:]+(?:[\"']([^\"']{8,})|([^\"'\s,;&]{8,}))"
+#: The same where the key word stands in an earlier word.
+VALUE = r"^[\"'`]?([^\"'`\s]{8,}?)[\"'`]?[,;.)]*$"
+USERINFO = r"://[^/@\s:]*:([^/@\s]{8,})@"
+#: Signs of which a value has one at least.
+STRONG = r"[0-9!@#$%^&*?~+]"
 DICTIONARY = (
     "about access account action address admin after application archive article asset author backup before block board body "
     "branch build button cache camel card case center change check class client close cloud code color column comment commit "
@@ -50,20 +57,39 @@ DICTIONARY = (
 
 
 def find_candidates(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (doc, at, word, candidate, before, after) for long strings with digits or an assignment; at counts words.
+    """Rows (doc, at, word, candidate, before, after); at counts words.
 
+    Candidates are long strings in words with a digit, an assignment or the
+    prefix of an issued key, values of eight signs and more that are assigned
+    to a key word (beside it or in the next words), and passwords in addresses.
     Texts are split once and their places filtered in the array, so only
     candidates become rows.
     """
     words = df.select(F.col(f"`{key}`").alias("doc"), F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), r"\s+").alias("words"))
-    places = words.withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (
-        (F.char_length(F.get("words", i)) >= 16) & F.get("words", i).rlike(CANDIDATE) & F.get("words", i).rlike(r"\d|[=:]"))))
+
+    def word(i: Column, back: int = 0) -> Column:
+        return F.when(i >= back, F.get("words", i - back)).otherwise("") if back else F.get("words", i)
+
+    def named(i: Column) -> Column:
+        """Whether a key word and an assignment end right before word i."""
+        return word(i, 1).rlike(r"[=:][\"'`]?$") & F.concat_ws(" ", word(i, 2), word(i, 1)).rlike("(?i)" + KEY_WORDS + r"[\"'`]?\s?[=:]+[\"'`]?$")
+
+    def wanted(i: Column) -> Column:
+        w = F.get("words", i)
+        long = (F.char_length(w) >= 16) & w.rlike(CANDIDATE) & w.rlike(r"\d|[=:]|AKIA|gh[pousr]_|xox[abpr]-")
+        return long | ((F.char_length(w) >= 8) & w.rlike(STRONG) & (named(i) | w.rlike(ASSIGNED)))
+
+    places = words.withColumn("places", F.filter(F.sequence(F.lit(0), F.size("words") - 1), wanted))
     # posexplode_outer: see the note in decontamination.py on the filter added for the plain form.
     found = places.select("doc", "words", F.posexplode_outer("places").alias("_n", "at")).filter(F.col("at").isNotNull()).select(
-        "doc", "at", F.get("words", F.col("at")).alias("word"),
+        "doc", "at", F.get("words", F.col("at")).alias("word"), named(F.col("at")).alias("named"),
         F.array_join(F.array_compact(F.array(*[F.when(F.col("at") >= k, F.get("words", F.col("at") - k)) for k in (3, 2, 1)])), " ").alias("left"),
         F.array_join(F.array_compact(F.array(*[F.get("words", F.col("at") + k) for k in (1, 2)])), " ").alias("after"))
-    parts = found.withColumn("candidates", F.array_distinct(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"))))
+    values = F.array(
+        F.regexp_extract("word", ASSIGNED, 4), F.regexp_extract("word", ASSIGNED, 5), F.regexp_extract("word", USERINFO, 1),
+        F.when(F.col("named"), F.regexp_extract("word", VALUE, 1)).otherwise(""))
+    strong = F.filter(values, lambda v: v.rlike(STRONG) & ~v.contains("://"))
+    parts = found.withColumn("candidates", F.array_distinct(F.concat(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})")), strong)))
     return parts.select("doc", "at", "word", "left", "after", F.explode("candidates").alias("candidate")).select(
         "doc", "at", "word", "candidate",
         F.concat_ws(" ", "left", F.expr("substring_index(word, candidate, 1)")).alias("before"), "after")
@@ -77,6 +103,10 @@ def _share(pattern: str) -> Column:
 def _features() -> dict[str, Column]:
     c, before, around = F.col("candidate"), F.lower("before"), F.lower(F.concat_ws(" ", "before", "after"))
     runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "a"), "[A-Z]+", "B"), "[0-9]+", "0")
+    rest = F.expr("substring(word, instr(word, candidate) + char_length(candidate))")
+    # The piece of the word that holds the candidate: a path elsewhere in it says nothing.
+    piece = F.concat(F.regexp_extract("before", r"([^\s\"'=,;&?<>(){}\[\]]*)$", 1), c, F.regexp_extract(rest, r"^([^\s\"'=,;&<>(){}\[\]]*)", 1))
+    login = F.col("before").rlike(r"://[^/@\s:]*:$") & rest.startswith("@")
     known = F.char_length(F.regexp_replace(F.lower(c), "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", ""))
     return {
         "length": F.char_length(c),
@@ -87,9 +117,9 @@ def _features() -> dict[str, Column]:
         "hexadecimal": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.char_length(c),
         "issued": c.rlike(ISSUED),
-        "path_steps": F.regexp_count("word", F.lit("[/\\\\]")),
-        "path_like": F.col("word").rlike(r"://|^\.?/|\.[a-z]{2,4}([?#]|$)"),
-        "key_before": before.rlike(KEY_WORDS + r"\W*$"),
+        "path_steps": F.regexp_count(piece, F.lit("[/\\\\]")),
+        "path_like": piece.rlike(r"://|^\.?/|\.[a-z]{2,4}([?#]|$)") & ~login,
+        "key_before": before.rlike(KEY_WORDS + r"\W*$") | login,
         "key_near": around.rlike(KEY_WORDS),
         "assigned": before.rlike(r"[=:]\s*[\"']?$"),
         "quoted": F.col("before").rlike(r"[\"'`]$"),
@@ -123,6 +153,11 @@ def example_texts(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         (1, F.concat(F.lit("Authorization: Bearer "), F.substring(mixed, 1, 44), F.lit(" sent"))),
         (1, F.concat(F.lit("use ghp_"), F.substring(mixed, 1, 36), F.lit(" to push"))),
         (1, F.concat(F.lit("client_secret='"), F.substring(mixed, 3, 28), F.lit("' in it"))),
+        (1, F.concat(F.lit('a password = "'), F.substring(mixed, 1, 5), F.lit("&"), F.substring(mixed, 9, 3), F.lit('!" there'))),
+        (1, F.concat(F.lit("dial postgres://app:"), F.substring(mixed, 1, 20), F.lit("@db.internal/main now"))),
+        (1, F.concat(F.lit("get https://api.site.org/v1?api_key="), F.substring(mixed, 1, 30), F.lit(" then"))),
+        (1, F.concat(F.lit('{"url":"https://cdn.site.org/a.js","token":"'), F.substring(mixed, 1, 30), F.lit('"} sent'))),
+        (0, F.concat(F.lit('a password = "changeme'), F.substring(h, 1, 3), F.lit('!" there'))),
         (0, F.concat(F.lit("in commit "), F.substring(h, 1, 40), F.lit(" merged"))),
         (0, F.concat(F.lit("see https://cdn.example.org/static/"), F.substring(h, 1, 20), F.lit("/main.js there"))),
         (0, F.concat(F.lit("item "), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 13, 3), F.lit("-a"),
