@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,10 @@ from .scale import HOT_ROWS, attach, measure, running_total
 TILE_ROWS = 8_192
 BUCKET_ROWS = 4_096
 LOCAL_EDGES = 1_000_000
-BAND_RADIUS = 3
+#: Two shared bands are the key up to this radius, three up to the wide one; beyond it groups go through tiles.
+BAND_RADIUS, WIDE_RADIUS = 3, 10
+#: Radii in which hashes without a near neighbour are searched for in turn.
+GROWING = (6, 10)
 _CHUNK = 256
 
 
@@ -71,17 +75,28 @@ def nearest_hamming(df: DataFrame, keys: Sequence[str], hash_col: str = "dhash",
 
     One row per distinct hash with its number of copies; copies are at
     distance 0 from each other, a lone hash has NULL. Neighbours within
-    ``BAND_RADIUS`` bits come from the radius join. Only hashes that have none
-    are compared with the tiles of their group; where every hash has one, no
-    tile is formed.
+    ``BAND_RADIUS`` bits come from the radius join. In groups of several
+    tiles, hashes that have none search growing radii (``GROWING``), each
+    only as long as it has found nothing. What is left is compared with the
+    tiles of its group; where every hash has a neighbour, no tile is formed.
     """
     keys = list(keys)
     nodes = durable(distinct_hashes(df, keys, hash_col))
     pairs = _radius_pairs(nodes.select(*keys, "hash"), keys, min(BAND_RADIUS, bits - 2), bits, tile_rows)
-    both = pairs.select(*keys, F.col("a").alias("hash"), "distance").union(pairs.select(*keys, F.col("b").alias("hash"), "distance"))
-    near = both.groupBy(*keys, "hash").agg(F.min("distance").alias("_d"))
-    found = durable(nodes.join(near, [*keys, "hash"], "left").withColumn("_d", F.when(F.col("copies") > 1, 0).otherwise(F.col("_d"))))
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(*keys, F.col("a").alias("hash"), "distance").union(pairs.select(*keys, F.col("b").alias("hash"), "distance"))
+        return both.groupBy(*keys, "hash").agg(F.min("distance").alias("_near"))
+
+    found = durable(nodes.join(nearest(pairs), [*keys, "hash"], "left").withColumn(
+        "_d", F.when(F.col("copies") > 1, 0).otherwise(F.col("_near"))).drop("_near"))
     lone = found.filter(F.col("_d").isNull()).select(*keys, "hash")
+    for radius in GROWING:
+        if not _bands_pay(radius, bits) or lone.isEmpty() or measure(nodes, keys).largest <= tile_rows:
+            break
+        wider = _radius_pairs(nodes.select(*keys, "hash"), keys, radius, bits, tile_rows, probe=lone)
+        found = durable(found.join(nearest(wider), [*keys, "hash"], "left").withColumn("_d", F.coalesce("_d", "_near")).drop("_near"))
+        lone = found.filter(F.col("_d").isNull()).select(*keys, "hash")
     if lone.isEmpty():
         return found.select(*keys, "hash", "copies", F.col("_d").alias("nearest"))
 
@@ -151,49 +166,66 @@ def hamming_join(df: DataFrame, keys: Sequence[str], hash_col: str, radius: int,
                  tile_rows: int = TILE_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pairs of different hashes of a group within ``radius`` bits: (a < b, distance).
 
-    ``radius + 2`` bands are cut, so two hashes within the radius share at
-    least two of them. Each pair of bands is a bucket key; a pair of hashes is
-    reported only for the first two bands it shares, so nothing is found
-    twice. Buckets above ``bucket_rows`` go through tiles instead of the join.
+    ``radius + k`` bands are cut, so two hashes within the radius share at
+    least ``k`` of them (two, or three for wide radii). Each ``k`` bands are a
+    bucket key; a pair of hashes is reported only for the first bands it
+    shares, so nothing is found twice. Buckets above ``bucket_rows`` go
+    through tiles instead of the join, as do radii above ``WIDE_RADIUS``.
     """
     return _radius_pairs(durable(distinct_hashes(df, keys, hash_col).select(*keys, "hash")), keys, radius, bits,
                          tile_rows, bucket_rows)
 
 
+def _bands_pay(radius: int, bits: int) -> bool:
+    """Whether buckets of shared bands leave a small part of all pairs: always for small radii, else by keys and their length."""
+    shared = 2 if radius <= BAND_RADIUS else 3
+    if radius + shared > bits or radius > WIDE_RADIUS:
+        return False
+    return radius <= BAND_RADIUS or comb(radius + shared, shared) * 8 <= 1 << shared * (bits // (radius + shared))
+
+
 def _radius_pairs(nodes: DataFrame, keys: Sequence[str], radius: int, bits: int, tile_rows: int = TILE_ROWS,
-                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The radius join over distinct hashes that are already stored."""
+                  bucket_rows: int = BUCKET_ROWS, probe: DataFrame | None = None) -> DataFrame:
+    """The radius join over distinct hashes that are already stored.
+
+    With ``probe`` (some of the hashes) their pairs are enough; a pair of two
+    of them may then be given in both orders.
+    """
     keys = list(keys)
-    if radius > BAND_RADIUS:
+    shared = 2 if radius <= BAND_RADIUS else 3
+    if not _bands_pay(radius, bits):
         return _tile_join(nodes, keys, radius, tile_rows)
-    layout = _band_layout(bits, radius + 2)
-    combos = list(combinations(range(len(layout)), 2))
+    layout = _band_layout(bits, radius + shared)
 
-    def bucket(i: int, j: int) -> Column:
-        low, high = layout[i], layout[j]
-        return F.shiftleft(_band(F.col("hash"), *high), low[1]).bitwiseOR(_band(F.col("hash"), *low))
+    def entry(bands: Sequence[int]) -> Column:
+        """The bands as a bit set, and their bits as one key."""
+        key, at = F.lit(0).cast("bigint"), 0
+        for shift, width in (layout[i] for i in bands):
+            key, at = key.bitwiseOR(F.shiftleft(_band(F.col("hash"), shift, width), at)), at + width
+        return F.struct(F.lit(sum(1 << i for i in bands)).alias("combo"), key.alias("bucket"))
 
-    entries = F.array(*[
-        F.struct(F.lit(n).alias("combo"), bucket(i, j).alias("bucket")) for n, (i, j) in enumerate(combos)])
+    entries = F.array(*[entry(c) for c in combinations(range(len(layout)), shared)])
     placed = nodes.select(*keys, "hash", F.inline(entries))
     cell = [*keys, "combo", "bucket"]
 
     def first_shared(pairs: DataFrame) -> DataFrame:
-        a, b = F.col("a"), F.col("b")
-        rule = F.lit(True)
-        for n, (i, j) in enumerate(combos):
-            earlier = [m for m in range(j) if m != i]
-            differ = reduce(lambda p, q: p & q, [
-                _band(a, *layout[m]) != _band(b, *layout[m]) for m in earlier], F.lit(True))
-            rule = F.when(F.col("combo") == n, differ).otherwise(rule)
-        return pairs.filter(rule).select(*keys, "a", "b", "distance")
+        differing = F.col("a").bitwiseXOR(F.col("b"))
+        rows = pairs.withColumn("_left", reduce(lambda p, q: p + q, [
+            F.when(_band(differing, *band) == 0, 1 << i).otherwise(0) for i, band in enumerate(layout)]))
+        # The lowest bits of the set of shared bands, taken one by one, are the combination that reports.
+        first = F.lit(0)
+        for _ in range(shared):
+            rows = rows.withColumn("_low", F.col("_left").bitwiseAND(-F.col("_left")))
+            rows = rows.withColumn("_first", first + F.col("_low")).withColumn("_left", F.col("_left") - F.col("_low"))
+            first = F.col("_first")
+        return rows.filter("_first = combo").select(*keys, "a", "b", "distance")
 
     def equi(rows: DataFrame) -> DataFrame:
-        left = rows.withColumnRenamed("hash", "a")
+        left = (rows if probe is None else rows.join(probe, [*keys, "hash"], "left_semi")).withColumnRenamed("hash", "a")
         right = rows.withColumnRenamed("hash", "b")
         near = hamming(F.col("a"), F.col("b"))
-        return first_shared(left.join(right, cell).filter((F.col("a") < F.col("b")) & (near <= radius)).withColumn(
-            "distance", near))
+        once = F.col("a") < F.col("b") if probe is None else F.col("a") != F.col("b")
+        return first_shared(left.join(right, cell).filter(once & (near <= radius)).withColumn("distance", near))
 
     if measure(placed, cell).largest <= bucket_rows:
         return equi(placed)

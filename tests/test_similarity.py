@@ -51,6 +51,37 @@ def test_radius_join_equals_brute_force(spark, radius):
     assert sorted(tuple(r) for r in crowded.collect()) == want
 
 
+@pytest.mark.parametrize("radius", [4, 6, 8])
+def test_wide_radius_forms_no_tile(spark, monkeypatch, radius):
+    rows = batch(150, radius + 20)
+    want = brute_pairs(rows, radius)
+    monkeypatch.setattr(S, "_tile_join", lambda *a: pytest.fail("a tile was formed"))
+    got = S.hamming_join(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash", radius)
+    assert sorted(tuple(r) for r in got.collect()) == want and any(d > 3 for *_, d in want)
+
+
+@pytest.mark.parametrize(("radius", "bits"), [(2, 16), (4, 16), (8, 16), (12, 64), (3, 4), (4, 4)])
+def test_radius_join_over_short_hashes(spark, radius, bits):
+    rows = batch(60, radius, bits)
+    got = S.hamming_join(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash", radius, bits)
+    assert sorted(tuple(r) for r in got.collect()) == brute_pairs(rows, radius)
+
+
+def test_growing_radius_spares_tiles(spark, monkeypatch):
+    """Hashes five to nine bits from their nearest one find it in a crowded group without any tile."""
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(40):
+        base, other = rnd.getrandbits(64), 0
+        for bit in rnd.sample(range(64), rnd.randrange(5, 10)):
+            other |= 1 << bit
+        rows += [(1, len(rows) + n, signed(h), "", "") for n, h in enumerate((base, base ^ other))]
+    want = {h: min(distance(h, g) for _, m, g, _, _ in rows if m != i) for _, i, h, _, _ in rows}
+    monkeypatch.setattr(S, "_tiles", lambda *a: pytest.fail("a tile was formed"))
+    got = S.nearest_hamming(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash", tile_rows=10).collect()
+    assert {r.hash: r.nearest for r in got} == want
+
+
 def test_nearest_over_tiles(spark):
     rows = batch(120, 9)
     df = spark.createDataFrame(rows, SCHEMA)
