@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 from capturelake.llm import html_text, license_scan, quality_rules
@@ -155,3 +156,61 @@ def test_rendering(spark):
     assert len(got) == len(odd) + 3 and got[0]["text"] == "" and got[len(odd)]["text"] == "deep"
     assert got[3]["text"] == "a<b" and got[len(odd) + 1]["text"] == RENDERED
     assert html_text.extract_text(df.limit(0), ["page_id"]).count() == 0
+
+
+def _random_page(rng, depth=0):
+    """Markup and its lines, made together: blocks hold lines of their own, inline elements join the line around them."""
+    markup, lines, line = "", [], ""
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.choice(["word", "word", "b", "div", "hidden", "unseen", "svg"])
+        word = f"w{rng.randint(0, 999)} "
+        if kind == "word":
+            markup, line = markup + word, line + word
+        elif kind == "b":
+            markup, line = markup + f"<b>{word}</b>", line + word
+        elif kind == "hidden":
+            markup += rng.choice(["<i hidden>no</i>", "<i style='display: none'>no</i>", "<i class=gone>no</i>", "<script>no</script>"])
+        elif kind == "unseen":
+            markup, line = markup + f"<i class=pale>no <u style='visibility:visible'>{word}</u>no</i>", line + word
+        elif kind == "svg":
+            markup, line = markup + f"<svg><desc>no</desc><g>{word}</g></svg>", line + word
+        elif depth < 4:
+            inner, below = _random_page(rng, depth + 1)
+            markup += f"<div>{inner}</div>"
+            lines += [line, *below]
+            line = ""
+    return markup, [*lines, line]
+
+
+def test_rendering_of_random_pages():
+    rng = random.Random(5)
+    styles = "<style>@media print{b,div{display:none}} .gone{display:none} .pale{visibility:hidden}</style><style media=print>b{display:none}</style>"
+    for _ in range(300):
+        markup, lines = _random_page(rng)
+        assert html_text.render(styles + markup)[1] == "\n".join(x.strip() for x in lines if x.strip())
+
+
+def test_visibility_by_cascade_and_foreign_elements():
+    def render(page):
+        return html_text.render(page)[1]
+
+    assert render("<style>.x{display:none} p.x{display:block}</style><p class=x>shown<b class=x>gone") == "shown"
+    assert render("<style>#a{visibility:hidden}</style><div id=a>no<p style='visibility:visible'>yes</div>") == "yes"
+    assert render("<style>@media (max-width: 600px){b{display:none}}@media screen{i{display:none}}</style><b>wide</b><i>no</i>") == "wide"
+    assert render("<svg><title>no</title><text>a</text><text>b</text></svg>") == "a\nb"
+    assert render("<math><mi>x</mi><mo>=</mo><annotation>no</annotation></math>") == "x="
+    assert render("<object data=f>instead</object>") == "instead"
+    assert render('one <a "> two "') == "one two \""
+    assert render("one <a href=") == "one <a href="
+
+
+def test_hostile_pages_take_linear_time_and_room():
+    n = 40_000
+    pages = ["<div>x" * n, "<span></b>" * n, "<a " * n, '<a ">"' * n, "<blockquote>x" * n, "<table><tr>" + "<td colspan=1000>x" * n,
+             "<table><tr>" + "<td rowspan=60000>word" * 300 + "<tr><td>x" * n, "<table><tr><td>x" * n, "<style>" + "a" * n * 6,
+             "<ul><li>x" * n, "<style>" + "@media{" * n, "<p></i>" * n]
+    for page in pages:
+        start = time.perf_counter()
+        text = html_text.render(page)[1]
+        assert time.perf_counter() - start < 15 and len(text) <= 60 * len(page)
+        assert text.count("x") == (page.count("x") if "<style>" not in page else 0)
