@@ -26,6 +26,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 #: Tokens of a full sequence, the id that ends a document, and the windows that are balanced together.
 CAPACITY, END, WINDOWS = 4096, 2, 64
+#: Share of a window that the first number of windows fills on average, where cuts follow.
+EVEN = 0.99
 #: Word forms whose ids a worker keeps at once, and the longest it keeps (in bytes).
 KEPT_FORMS, KEPT_BYTES = 1_200_000, 64
 END_MARKS = ".,;:!?"
@@ -155,33 +157,30 @@ def differencing(sizes: Sequence[int], windows: int) -> list[list[int]]:
 def fill(pieces: Sequence[Piece], capacity: int, cut: bool) -> list[list[Piece]]:
     """Windows of at most ``capacity`` tokens that hold all pieces (each of at most ``capacity``).
 
-    The number of windows is the least that can hold the tokens and rises while
-    a window exceeds the capacity. With ``cut`` the excess of a window is cut
-    off its largest piece instead and fills windows with room.
+    The number of windows rises while one exceeds the capacity; it begins with
+    the least that leaves room for uneven windows. With ``cut`` the windows
+    beyond the least that can hold all tokens, those that hold fewest, are
+    then dissolved, and their pieces are cut to fill the others.
     """
     whole = [[p] for p in pieces if p.length == capacity]
     rest = [p for p in pieces if p.length < capacity]
-    count = -(-sum(p.length for p in rest) // capacity)
+    tokens = sum(p.length for p in rest)
+    least = -(-tokens // capacity)
+    count = max(least, -(-tokens // int(capacity * EVEN))) if cut else least
     while True:
-        dealt = [sorted((rest[i] for i in part), key=lambda p: p.length)
-                 for part in differencing([p.length for p in rest], count)] if rest else []
-        if cut or all(sum(p.length for p in w) <= capacity for w in dealt):
+        dealt = [[rest[i] for i in part] for part in differencing([p.length for p in rest], count)] if rest else []
+        held = [sum(p.length for p in w) for w in dealt]
+        over = sum(max(0, n - capacity) for n in held)
+        if not over:
             break
-        count += 1
-    room, excess = [], []
-    for window in dealt:
-        over = sum(p.length for p in window) - capacity
-        while over > 0:
-            last = window.pop()
-            kept = max(0, last.length - over)
-            if kept:
-                window.append(Piece(last.doc, last.start, kept))
-            excess.append(Piece(last.doc, last.start + kept, last.length - kept))
-            over -= last.length - kept
-        if over < 0:
-            room.append([window, -over])
-    dealt += [[] for _ in range(count - len(dealt))]
-    room += [[w, capacity] for w in dealt if not w]
+        count += max(1, over // capacity)
+    if not cut:
+        return whole + [w for w in dealt if w]
+    order = sorted(range(len(dealt)), key=lambda i: -held[i])
+    excess = [p for i in order[least:] for p in dealt[i]]
+    dealt, room = [dealt[i] for i in order[:least]], [[dealt[i], capacity - held[i]] for i in order[:least]]
+    room += [[w, capacity] for w in ([] for _ in range(least - len(dealt)))]
+    dealt += [w for w, _ in room[len(dealt):]]
     for window, free in room:
         while free and excess:
             p = excess.pop()

@@ -77,3 +77,28 @@ def test_windows_rise_where_nothing_may_be_cut():
     assert len(whole) == 10 and all(len(w) == 1 for w in whole)
     cut = packing.fill(pieces, 100, cut=True)
     assert len(cut) == 6 and all(sum(p.length for p in w) == 100 for w in cut)
+
+
+def test_windows_rise_before_anything_is_cut(monkeypatch):
+    counts = []
+    deal = packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda sizes, n: counts.append(n) or deal(sizes, n))
+    rng = random.Random(6)
+    for largest in (40, 400, 3000, 4095):
+        counts.clear()
+        pieces = [packing.Piece(i, 0, rng.randint(largest // 2, largest)) for i in range(300)]
+        windows = packing.fill(pieces, 4096, cut=True)
+        tokens = sum(p.length for p in pieces)
+        # No more windows than the tokens need, all but one full; the count rose until nothing exceeded the capacity.
+        assert len(windows) == -(-tokens // 4096) and max(sum(p.length for p in w) for w in windows) <= 4096
+        assert counts == sorted(set(counts)) and counts[0] * 4096 >= tokens
+        spread = deal([p.length for p in pieces], counts[-1])
+        assert max(sum(pieces[i].length for i in part) for part in spread) <= 4096
+        assert len(counts) == 1 or max(sum(pieces[i].length for i in part) for part in deal([p.length for p in pieces], counts[-2])) > 4096
+        by_doc = {}
+        for p in (p for w in windows for p in w):
+            by_doc.setdefault(p.doc, []).append((p.start, p.start + p.length))
+        for doc, spans in by_doc.items():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] == pieces[doc].length
+            assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
