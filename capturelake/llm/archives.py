@@ -1,8 +1,10 @@
 """Web archives: legacy ARC files, their conversion to WARC, and reading both back.
 
 Files are written and read by Spark itself (text writer, binary reader), so
-any file system that Spark knows will do; each file is one gzip stream of at
-most ``RECORDS`` records and is parsed as a stream. Null payloads are empty; a
+any file system that Spark knows will do; each file is one gzip stream and is
+parsed as a stream. An archive's folders part the records by size, so that no
+file holds over ``RECORDS`` records or ``FILE_BYTES`` of payload, but for single
+payloads that are longer (a payload must fit in one column value, 2 GB). Null payloads are empty; a
 null or empty URL is "-" in an ARC header line and comes back as null; a null key gives
 no key field. Repeated rows are separate records. An empty table gives files
 without records, which read back as an empty table.
@@ -14,20 +16,21 @@ import gzip
 import hashlib
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scale import HOT_ROWS, attach
 from ..session import durable
 
-#: Records of a file, its describing record included.
-RECORDS = 5_000
+#: Records of a file, its describing record included, and bytes of its payloads.
+RECORDS, FILE_BYTES = 5_000, 64_000_000
 #: Payloads under so many bytes are always kept in full.
 LEAST_REVISIT = 100
-#: Distinct repeated payloads (32-byte digest, key, place) that may be broadcast; more are joined by shuffle.
+#: Distinct repeated payloads (32-byte digest, key, place) that may be broadcast; more are joined by shuffle, without payloads.
 BROADCAST_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -168,23 +171,50 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _write(records: DataFrame, path: str, between: str) -> None:
+def _limits() -> list[tuple[int, int]]:
+    """Size classes: records of a file, and the longest payload that lets so many keep to ``FILE_BYTES``."""
+    out, records = [], RECORDS
+    while records > 2:
+        out.append((records, FILE_BYTES // records))
+        records = max(2, records // 10)
+    return [*out, (2, 1 << 62)]  # one payload, beside the record that describes the file
+
+
+def _class(size: Column) -> Column:
+    """Number of the size class of a payload."""
+    limits = _limits()
+    out = F.lit(len(limits) - 1)
+    for n in reversed(range(len(limits) - 1)):
+        out = F.when(size <= limits[n][1], n).otherwise(out)
+    return out
+
+
+def _write(records: DataFrame, path: str, between: str, most: int) -> None:
     """Raw records, one after the other; bytes pass through the text writer unchanged."""
     (records.select(F.col("value").cast("string")).write.option("lineSep", between).option("compression", "gzip")
-     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS).text(path))
+     .option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", most).text(path))
 
 
 def write_arc(df: DataFrame, path: str, key: str, url: str, payload: str, date: str = "20200101000000", version: int = 1) -> None:
     """An ARC folder with one HTTP response for every row."""
-    source = df.select(F.col(f"`{key}`").cast("bigint"), F.col(f"`{url}`").cast("string"), F.col(f"`{payload}`").cast("binary"))
+    source = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{url}`").cast("string").alias("u"),
+                       F.col(f"`{payload}`").cast("binary").alias("p"))
+    size = _class(F.coalesce(F.octet_length("p"), F.lit(0)))
+    # The class of short payloads is written in any case, so that an empty table gives an archive.
+    for n in sorted({0, *(r[0] for r in source.select(size.alias("n")).distinct().collect())}):  # a handful of classes
+        most = _limits()[n][0]
+        _write(source.filter(size == n).mapInArrow(_arc_writer(date, version, most), "value binary"), f"{path}/size={n}", "\n", most)
 
+
+def _arc_writer(date: str, version: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Records of the rows (key, url, payload) of a task, each file of ``most`` records begun by the one that describes it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, offset = 0, 0
         for batch in batches:
             out: list[bytes] = []
             for k, u, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if place % RECORDS == 0:
-                    name = f"{place // RECORDS}.arc"
+                if place % most == 0:
+                    name = f"{place // most}.arc"
                     out.append(_arc_start(version, date, name))
                     place, offset = place + 1, len(out[-1])
                 block = http_block(k, p or b"")
@@ -192,7 +222,7 @@ def write_arc(df: DataFrame, path: str, key: str, url: str, payload: str, date:
                 place, offset = place + 1, offset + len(out[-1]) + 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    _write(source.mapInArrow(run, "value binary"), path, "\n")
+    return run
 
 
 _CONVERTED = ("source string, offset bigint, key bigint, url string, date string, mime string, bytes bigint, digest binary, "
@@ -200,37 +230,48 @@ _CONVERTED = ("source string, offset bigint, key bigint, url string, date string
 _CONVERTED_NAMES = [x.split()[0] for x in _CONVERTED.split(", ")]
 
 
-def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per ARC record: place, key and header values, and digest of the payload, with the payload where asked."""
+_AGAIN = "f_key bigint, f_source string, f_offset bigint"
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _converted(files: DataFrame, with_payload: bool = True) -> DataFrame:
+    """Rows of the records of files (path, content), and where the files come with lists of revisits, what each refers to."""
+    lists = "again" in files.columns
+    names = [*_CONVERTED_NAMES, *(x.split()[0] for x in _AGAIN.split(", "))] if lists else _CONVERTED_NAMES
+    kinds = [*_KINDS, pa.int64(), pa.string(), pa.int64()] if lists else _KINDS
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 source = batch.column(0)[n].as_py().rpartition("/")[2]
+                again = {x["offset"]: (x["f_key"], x["f_source"], x["f_offset"]) for x in batch.column(2)[n].as_py() or ()} if lists else {}
                 rows, size = [], 0
                 for r in parse_arc(_opened(batch.column(1)[n].as_py())):
                     head, payload = split_http(r.block) or (b"", r.block)
                     key = http_field(head, b"x-page-id")
-                    rows.append((source, r.offset, int(key) if key else None, r.url, r.date, r.mime, len(payload),
-                                 hashlib.sha256(payload).digest(), head, payload if with_payload else None))
+                    row = (source, r.offset, int(key) if key else None, r.url, r.date, r.mime, len(payload),
+                           hashlib.sha256(payload).digest(), head, payload if with_payload else None)
+                    rows.append(row + again.get(r.offset, (None, None, None)) if lists else row)
                     size += len(r.block) if with_payload else 100
                     if size > 8_000_000:
-                        yield _rows(rows)
+                        yield table(rows)
                         rows, size = [], 0
                 if rows:
-                    yield _rows(rows)
+                    yield table(rows)
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(),
-             pa.binary()]
+    return files.mapInArrow(run, f"{_CONVERTED}, {_AGAIN}" if lists else _CONVERTED)
 
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_CONVERTED_NAMES)
 
-    return _contents(spark, path).mapInArrow(run, _CONVERTED)
+def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """One row per ARC record: place, key and header values, and digest of the payload, with the payload where asked."""
+    return _converted(_contents(spark, path), with_payload)
 
 
-def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT) -> None:
+def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT, broadcast_rows: int = BROADCAST_ROWS,
+                hot_rows: int = HOT_ROWS) -> None:
     """Convert an ARC folder: HTTP responses become response or revisit records, other blocks resource records.
 
     Of responses with equal payloads of at least ``least`` bytes the first by
@@ -239,10 +280,15 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REV
     """
     order = F.struct(F.col("key").isNull(), "key", "date", "url", "source", "offset")
     known = read_arc(spark, arc, with_payload=False).filter((F.col("bytes") >= least) & (F.length("head") > 0))
-    first = durable(
+    repeated = durable(
         known.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).filter("n > 1")
-        .select("digest", F.col("f.key").alias("f_key"), F.col("f.source").alias("f_source"), F.col("f.offset").alias("f_offset")))
-    side = F.broadcast(first) if first.count() <= BROADCAST_ROWS else first
+        .select("digest", "n", F.col("f.key").alias("f_key"), F.col("f.source").alias("f_source"), F.col("f.offset").alias("f_offset")))
+    few = repeated.count() <= broadcast_rows
+    if not few:
+        # Places of the revisits, joined without payloads and gathered by file: at most RECORDS of each.
+        again = attach(known.select("digest", "source", "offset"), repeated, ["digest"], F.col("n"), hot_rows).filter(
+            F.col("f_source").isNotNull() & ~((F.col("source") == F.col("f_source")) & (F.col("offset") == F.col("f_offset"))))
+        by_file = durable(again.groupBy("source").agg(F.collect_list(F.struct("offset", "f_key", "f_source", "f_offset")).alias("again")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,10 +310,26 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REV
                 }, r["head"] + (b"" if again else r["payload"])))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows = read_arc(spark, arc)
-    joined = rows.join(side, (rows["digest"] == first["digest"]) & (rows["bytes"] >= least) & (F.length("head") > 0), "left")
-    chosen = joined.select("source", "offset", "url", "date", "mime", rows["digest"], "head", "payload", "f_key", "f_source", "f_offset")
-    _write(chosen.mapInArrow(run, "value binary"), warc, "\r\n\r\n")
+    for folder, most in _folders(spark, arc):
+        place = f"{arc}/{folder}" if folder else arc
+        if few:
+            rows = read_arc(spark, place)
+            joined = rows.join(F.broadcast(repeated), (rows["digest"] == repeated["digest"]) & (rows["bytes"] >= least) & (F.length("head") > 0), "left")
+            chosen = joined.select("source", "offset", "url", "date", "mime", rows["digest"], "head", "payload", "f_key", "f_source", "f_offset")
+        else:
+            # What travels are whole files as they are, compressed, each once to its list of revisits.
+            files = _contents(spark, place).withColumn("source", F.substring_index("path", "/", -1)).join(by_file, "source", "left")
+            chosen = _converted(files.select("path", "content", "again"))
+        _write(chosen.mapInArrow(run, "value binary"), f"{warc}/{folder}" if folder else warc, "\r\n\r\n", most)
+
+
+def _folders(spark: SparkSession, arc: str) -> list[tuple[str, int]]:
+    """Folders by size of an archive written here, with their records of a file; the archive itself where it is another's."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(arc)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = [(f"size={n}", most) for n, (most, _) in enumerate(_limits())
+           if files.exists(spark._jvm.org.apache.hadoop.fs.Path(root, f"size={n}"))]
+    return out or [("", RECORDS)]
 
 
 _WARC = ("record_id string, record_type string, date string, url string, page_id bigint, payload_bytes bigint, "

@@ -202,14 +202,14 @@ def test_rare_children_become_one_wildcard(spark):
 
 # -- archives --------------------------------------------------------------------
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_archive_round_trip(spark, tmp_path, version):
+@pytest.mark.parametrize(("version", "options"), [(1, {}), (2, {}), (1, {"broadcast_rows": 0, "hot_rows": 2})])
+def test_archive_round_trip(spark, tmp_path, version, options):
     blob = b"\xff\xfe\x00\r\n\r\n\nfiledesc://" * 20
     rows = [(1, "http://a b/é?x", blob), (2, None, b""), (3, "http://a", blob), (None, "x", b"z" * 200), (5, "y", None), (3, "http://a", blob),
             (7, "s", b"short"), (8, "s", b"short"), (0, "late", blob), (9, "big", b"q" * 3_000_000)]
     df = spark.createDataFrame(rows, "k bigint, u string, p binary").selectExpr("*", "1 AS value", "2 AS digest")
     archives.write_arc(df, f"{tmp_path}/arc", "k", "u", "p", version=version)
-    archives.arc_to_warc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    archives.arc_to_warc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc", **options)
     got = archives.read_warc(spark, f"{tmp_path}/warc", with_payload=True).collect()
     assert len(got) == len(rows) and len({r["record_id"] for r in got}) == len(rows)
     want = sorted((str(k), len(p or b""), hashlib.sha256(p or b"").hexdigest()) for k, _, p in rows)
@@ -219,10 +219,24 @@ def test_archive_round_trip(spark, tmp_path, version):
     assert all(blobs[k]["record_type"] == "revisit" and blobs[k]["refers_to"] == 0 for k in (1, 3))
     assert all(r["record_type"] == "response" for r in got if r["payload_bytes"] < 100)
     archives.write_arc(df.limit(0), f"{tmp_path}/none", "k", "u", "p", version=version)
-    archives.arc_to_warc(spark, f"{tmp_path}/none", f"{tmp_path}/none_w")
+    archives.arc_to_warc(spark, f"{tmp_path}/none", f"{tmp_path}/none_w", **options)
     assert archives.read_warc(spark, f"{tmp_path}/none_w").count() == 0
 
 
+def test_files_hold_a_bounded_number_of_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archives, "FILE_BYTES", 100_000)
+    sizes = [10, 19, 21, 150, 250, 1_900, 2_500, 40_000, 90_000, 250_000] * 6
+    rows = [(i, f"http://a/{i}", bytes([i]) * n) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "k bigint, u string, p binary").coalesce(1)
+    archives.write_arc(df, f"{tmp_path}/arc", "k", "u", "p")
+    archives.arc_to_warc(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    by_file = archives.read_arc(spark, f"{tmp_path}/arc").groupBy("source").agg({"bytes": "sum", "key": "count"}).collect()
+    assert all(r["sum(bytes)"] <= 100_000 or r["count(key)"] == 1 for r in by_file)
+    got = archives.read_warc(spark, f"{tmp_path}/warc").collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in got) == list(enumerate(sizes)) and all(r["intact"] for r in got)
+    assert len(list((tmp_path / "warc").glob("size=*"))) == 5
+
+
 def test_arc_of_other_makers():
     body = b"1 0 Maker\nURL IP-address Archive-date Content-type Archive-length\n"
     raw = (b"filedesc://x.arc 0.0.0.0 19990101000000 text/plain %d\n" % len(body)) + body + b"\n"
