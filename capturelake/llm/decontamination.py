@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 Words are runs of letters, digits and underscores, lower-cased. Null and empty
-texts hold no words and are clean; items without words match nothing. Rows that
+texts hold no words and are clean; items without words match nothing; very long
+texts are searched whole. Of equally good places the first is told. Rows that
 share an id (a null id too) are judged together; repeated rows and items do no
 harm; empty tables give an empty result. Only the named columns are read.
 """
@@ -18,6 +19,9 @@ from ..session import durable
 #: Word offsets that each fixed mask keeps; the others within its span may differ.
 MASKS = ((0, 1, 3, 6, 8, 10), (0, 2, 4, 5, 9, 10), (0, 3, 4, 7, 8, 9))
 SPAN = 11
+#: Items of so many words up to the span get masks of their own, each without every third word, so that any one word may
+#: differ (two where they fall on words that one mask leaves out); items of fewer words are found word for word only (one word in five is too much of them).
+TOLERANT = 6
 #: A passage overlaps an item if this share of the item's words agrees in place, or so many of a window of words.
 ITEM_SHARE, WINDOW, WINDOW_WORDS = 0.7, 13, 11
 #: Benchmark seeds (a hash, two numbers, and the item's word hashes joined once more) that may be broadcast.
@@ -45,21 +49,29 @@ def _seeds(hashes: Column, masks: Sequence[Sequence[int]]) -> Column:
 # to the scan, and there splits and hashes the whole text anew for every single word.
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item of ``n`` words, no more than the span."""
+    if n < TOLERANT:
+        return [tuple(range(n))]
+    return [tuple(i for i in range(n) if i % 3 != left_out) for left_out in range(3)]
+
+
 def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, ...]]]:
     """Seeds (seed, item, item_at) of items (item, hashes), and all masks.
 
-    An item shorter than the masks' span gets a mask of its own length that keeps every word.
+    An item no longer than the masks' span gets masks of its own length.
     """
     sized = items.withColumn("n", F.size("hashes")).filter("n > 0")
-    # At most SPAN - 1 different lengths.
-    short = sorted(r[0] for r in sized.filter(F.col("n") < SPAN).select("n").distinct().collect())
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    spans = F.array(*[F.lit(SPAN)] * len(MASKS), *[F.lit(n) for n in short])
+    # At most SPAN different lengths.
+    short = sorted(r[0] for r in sized.filter(F.col("n") <= SPAN).select("n").distinct().collect())
+    own_masks = [(n, m) for n in short for m in short_masks(n)]
+    masks = [*MASKS, *(m for _, m in own_masks)]
+    spans = F.array(*[F.lit(SPAN)] * len(MASKS), *[F.lit(n) for n, _ in own_masks])
     at = (
         sized.select("item", "n", F.posexplode_outer(_seeds(F.col("hashes"), masks)).alias("k", "seed"))
         .select("item", "n", "seed", (F.col("k") % F.col("n")).alias("item_at"), F.get(spans, F.floor(F.col("k") / F.col("n")).cast("int")).alias("span"))
     )
-    own = F.when(F.col("n") < SPAN, F.col("span") == F.col("n")).otherwise(F.col("span") == SPAN)
+    own = F.when(F.col("n") <= SPAN, F.col("span") == F.col("n")).otherwise(F.col("span") == SPAN)
     return at.filter(own & (F.col("item_at") + F.col("span") <= F.col("n"))).select("seed", "item", "item_at").distinct(), masks
 
 
