@@ -299,24 +299,30 @@ def box_dimensions(observed: DataFrame, depth: DataFrame) -> DataFrame:
 
 def cyclic_assign(vertices: DataFrame, colors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Colour of vertex i is colour ``i mod n`` of its cloud."""
-    counts = colors.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_colors"))
-    sized = _with_counts(vertices, counts, hot_rows)
-    place = F.col("v_idx") % F.col("_colors")
-    return sized.withColumn("c_idx", place).join(colors, [*KEY, "c_idx"], "left").drop("_colors", "_rows")
+    return _colored(vertices, colors, F.col("v_idx") % F.col("_colors"), hot_rows)
 
 
-def _with_counts(vertices: DataFrame, counts: DataFrame, hot_rows: int) -> DataFrame:
-    sizes = vertices.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows")).join(counts, KEY)
-    return attach(vertices, sizes, KEY, F.col("_rows"), hot_rows, measure(vertices, KEY))
+def _colored(vertices: DataFrame, colors: DataFrame, place: Column, hot_rows: int) -> DataFrame:
+    """Vertices with the colour at ``place``, a function of their position and of the sizes of the cloud and its list.
+
+    A short list gives each colour many vertices; where those exceed ``hot_rows``, the colour is broadcast.
+    """
+    counts = colors.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_colors"))
+    sizes = durable(vertices.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_rows")).join(counts, KEY))
+    placed = attach(vertices, sizes, KEY, F.col("_rows"), hot_rows, measure(vertices, KEY)).withColumn("c_idx", place).drop("_colors", "_rows")
+    most = sizes.agg(F.max(F.ceil(F.col("_rows") / F.col("_colors")) + 1)).first()[0] or 0
+    if most <= hot_rows:
+        return placed.join(colors, [*KEY, "c_idx"], "left")
+    # Both ways of placing give a colour at most so many vertices.
+    used = attach(colors, sizes, KEY, F.col("_colors"), hot_rows).withColumn("_used", F.ceil(F.col("_rows") / F.greatest(F.col("_colors") - 1, F.lit(1))) + 1)
+    joined = attach(placed, used.drop("_colors", "_rows"), [*KEY, "c_idx"], F.col("_used"), hot_rows).drop("_used")
+    return joined.select(*KEY, "c_idx", *[c for c in joined.columns if c not in (*KEY, "c_idx")])
 
 
 def linspace_assign(vertices: DataFrame, colors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Colours spread evenly over the vertices by position."""
-    counts = colors.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_colors"))
-    sized = _with_counts(vertices, counts, hot_rows)
     last = F.greatest(F.col("_rows") - 1, F.lit(1))
-    place = F.floor(F.col("v_idx") * (F.col("_colors") - 1) / last)
-    return sized.withColumn("c_idx", place).join(colors, [*KEY, "c_idx"], "left").drop("_colors", "_rows")
+    return _colored(vertices, colors, F.floor(F.col("v_idx") * (F.col("_colors") - 1) / last), hot_rows)
 
 
 def obj_lines(vertices: DataFrame, faces: DataFrame | None = None) -> DataFrame:

@@ -267,7 +267,7 @@ def hybrid(spark, sf):
     right = m.select(c("image_id").alias("right_id"), c("px").alias("pb"), c("dhash").alias("db"))
     ratio = F.size(F.filter(F.zip_with("pa", "pb", lambda a, b: F.abs(a - b) <= 24), lambda ok: ok)) / 64.0
     judged = pairs.join(left, "left_id").join(right, "right_id").withColumns({
-        "dhash_distance": Geo.hamming(c("da"), c("db")) - 18, "match_ratio": F.round(ratio, 6)})
+        "dhash_distance": Geo.hamming(c("da"), c("db")), "match_ratio": F.round(ratio, 6)})
     return judged.select(
         "project_id", "left_id", "right_id", "dhash_distance", c("distance").alias("phash_distance"), "match_ratio",
         S.hybrid_duplicate(c("dhash_distance"), c("distance"), c("match_ratio")).alias("duplicate"))
@@ -507,7 +507,7 @@ SELECT a.project_id, a.image_id AS left_id, b.image_id AS right_id, bit_count(xo
 FROM metrics a JOIN metrics b ON a.project_id = b.project_id AND a.image_id < b.image_id
   AND bit_count(xor(a.phash, b.phash)) <= 2""",
     "hybrid_duplicates": f"""WITH {METRICS_SQL}, p AS (
-  SELECT a.project_id, a.image_id AS left_id, b.image_id AS right_id, bit_count(xor(a.dhash, b.dhash))::INT - 18 AS dhash_distance,
+  SELECT a.project_id, a.image_id AS left_id, b.image_id AS right_id, bit_count(xor(a.dhash, b.dhash))::INT AS dhash_distance,
     bit_count(xor(a.phash, b.phash))::INT AS phash_distance,
     round(len(list_filter(range(1, 65), lambda i: abs(a.px[i] - b.px[i]) <= 24)) / 64.0::DOUBLE, 6) AS match_ratio
   FROM metrics a JOIN metrics b ON a.project_id = b.project_id AND a.image_id < b.image_id

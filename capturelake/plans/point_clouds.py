@@ -105,14 +105,12 @@ grouped AS (SELECT cloud_id, f_idx, a, b, c, CASE
 
 
 def _colors(spark, sf):
-    """Colour lists: the different red levels of a cloud by their first point, with the least green and blue beside them."""
-    levels = points(spark, sf).groupBy("cloud_id", "r").agg(F.min("idx").alias("first"), F.min("g").alias("g"), F.min("b").alias("b"))
-    return running_total(levels, ["cloud_id"], [c("first")], "c_idx").select("cloud_id", "c_idx", "r", "g", "b")
+    """Colour lists as long as their clouds: those of all points, in cloud order."""
+    return points(spark, sf).select("cloud_id", c("idx").alias("c_idx"), "r", "g", "b")
 
 
 COLORS_SQL = MESH_SQL + """,
-levels AS (SELECT cloud_id, r, min(idx) AS first, min(g) AS g, min(b) AS b FROM points GROUP BY cloud_id, r),
-colors AS (SELECT cloud_id, row_number() OVER (PARTITION BY cloud_id ORDER BY first) - 1 AS c_idx, r, g, b FROM levels),
+colors AS (SELECT cloud_id, idx AS c_idx, r, g, b FROM points),
 n_colors AS (SELECT cloud_id, count(*) AS k FROM colors GROUP BY cloud_id)"""
 
 

@@ -160,3 +160,17 @@ def test_nearest_point_in_a_hot_cloud(spark):
             assert (got[k, i].idx, got[k, i].r) == (best, 2 * best) and abs(got[k, i].distance - d2.min() ** 0.5) < 1e-9
     assert nearest_attribute(vertices.limit(0), pts, ["r"]).count() == 0
     assert nearest_attribute(vertices, pts.limit(0), ["r"]).count() == 0
+
+
+def test_few_colours_for_many_vertices(spark):
+    sizes, colours = {1: 500, 2: 7, 3: 40, 4: 1}, {1: 1, 2: 3, 3: 60, 4: 2}
+    v = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)] + [(9, 0)], "cloud_id bigint, v_idx bigint")
+    p = spark.createDataFrame([(k, i, 10 * k + i) for k, n in colours.items() for i in range(n)], "cloud_id bigint, c_idx bigint, r bigint")
+    cyclic = {(k, i): 10 * k + i % colours[k] for k, n in sizes.items() for i in range(n)} | {(9, 0): None}
+    spread = {(k, i): 10 * k + i * (colours[k] - 1) // max(n - 1, 1) for k, n in sizes.items() for i in range(n)} | {(9, 0): None}
+    for hot in (2, 20, 1_000_000):
+        for assign, want in ((C.cyclic_assign, cyclic), (C.linspace_assign, spread)):
+            got = assign(v, p, hot_rows=hot)
+            assert got.columns == assign(v, p).columns
+            rows = got.collect()
+            assert len(rows) == len(want) and {(r["cloud_id"], r["v_idx"]): r["r"] for r in rows} == want

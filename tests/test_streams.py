@@ -150,3 +150,16 @@ def test_stream_median_is_close(spark):
     df = spark.createDataFrame(rows, "variant string, scenario_label string, status string, total_processing_seconds double")
     r = ST.stream_run_stats(df).first()
     assert abs(r["median_total_processing_seconds"] - 500) <= 1 and r["run_count"] == 1001
+
+
+def test_sketches_of_run_times_merge(spark):
+    rows = spark.range(30_000).selectExpr(
+        "'completed' AS status", "'v' || id % 2 AS variant", "CAST(NULL AS STRING) AS scenario_label",
+        "CAST(id * 7919 % 30011 AS DOUBLE) AS total_processing_seconds")
+    parts = [ST.stream_run_stats(rows.filter(F.col("total_processing_seconds") % 3 == k)) for k in range(3)]
+    merged = ST.merge_time_sketches(parts[0].union(parts[1]).union(parts[2])).collect()
+    assert sorted(r["variant"] for r in merged) == ["v0", "v1"]
+    assert all(abs(r["median_total_processing_seconds"] / 30_011 - 0.5) <= 3 * ST.RANK_ERROR for r in merged)
+    none = rows.withColumn("total_processing_seconds", F.lit(None).cast("double"))
+    assert {r["median_total_processing_seconds"] for r in ST.stream_run_stats(none).collect()} == {None}
+    assert ST.merge_time_sketches(parts[0].limit(0)).count() == 0
