@@ -163,3 +163,14 @@ def test_sketches_of_run_times_merge(spark):
     none = rows.withColumn("total_processing_seconds", F.lit(None).cast("double"))
     assert {r["median_total_processing_seconds"] for r in ST.stream_run_stats(none).collect()} == {None}
     assert ST.merge_time_sketches(parts[0].limit(0)).count() == 0
+
+
+def test_streams_read_tables_of_one_or_many_files(spark, tmp_path):
+    """Documents as one file and as a folder of files give the same digests."""
+    from capturelake.plans import streams
+
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"text {i % 7}") for i in range(60)], "doc_id bigint, source string, text string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    docs.repartition(4).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    one, many = (sorted(map(tuple, streams.upload_stream(spark, str(p)).collect())) for p in (tmp_path, tmp_path / "many"))
+    assert one == many and len(one) == 21
