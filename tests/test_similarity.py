@@ -209,3 +209,25 @@ def test_selection_keeps_one_of_two_copies(spark):
         df, min_images=2, max_images=3, keep_ratio=0.6, min_quality=0.0).collect()}
     assert got["a_copy.jpg"].selection_reason == "near_duplicate_of:a.jpg"
     assert 2 <= sum(r.selection_state == "selected" for r in got.values()) < 4
+
+
+def test_pairs_of_tiles_are_tasks_of_their_own(spark, monkeypatch):
+    """A group of some tiles is compared in as many tasks as there are pairs of tiles, without wider bands."""
+    rows = batch(60, 9)
+    seen = []
+    spread = S._spread
+    monkeypatch.setattr(S, "_spread", lambda met, counted: seen.append((counted.count(), spread(met, counted).rdd.getNumPartitions())) or spread(met, counted))
+    radii = []
+    bands = S._band_pairs
+    monkeypatch.setattr(S, "_band_pairs", lambda nodes, keys, radius, *a, **k: radii.append(radius) or bands(nodes, keys, radius, *a, **k))
+    S.nearest_hamming(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash", tile_rows=20).collect()
+    assert seen and all(n == tasks and n > 2 for n, tasks in seen) and radii == [S.BAND_RADIUS]
+
+
+@pytest.mark.parametrize("radius", [2, 3])
+def test_short_hashes_meet_in_tiles(spark, monkeypatch, radius):
+    """Buckets of 16-bit hashes hold so much of a group that all pairs of it are cheaper."""
+    monkeypatch.setattr(S, "_band_pairs", lambda *a, **k: pytest.fail("a bucket was formed"))
+    rows = batch(80, 3, 16)
+    got = S.hamming_join(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash", radius, 16)
+    assert sorted(tuple(r) for r in got.collect()) == brute_pairs(rows, radius)
