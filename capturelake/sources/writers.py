@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def append_runs(records: DataFrame, path: str) -> None:
-    """Append records to a newline-delimited JSON log."""
-    records.write.mode("append").json(path)
+    """Append records to a newline-delimited JSON log, whose repeated field names are compressed."""
+    records.write.mode("append").option("compression", "gzip").json(path)
 
 
 def write_report_json(df: DataFrame, path: str, key: str) -> None:

@@ -72,3 +72,13 @@ def test_upload_stream_with_watermark(spark, tmp_path):
     stream = spark.readStream.schema("project_id int, content string, uploaded_at timestamp").parquet(src)
     out = ST.run_available(ST.stream_dedup_uploads(stream, "1 hour"), "up", str(tmp_path / "cp"))
     assert out.count() == 3
+
+
+def test_run_log_repeats_no_field_names_on_disk(spark, tmp_path):
+    """A log takes a fraction of its text, and appended parts read back together."""
+    flat = spark.range(2_000).selectExpr("cast(id as string) AS run_id", "named_struct('project_id', 'p', 'status', 'completed') AS run_info")
+    for _ in range(2):
+        writers.append_runs(flat, str(tmp_path / "log"))
+    plain = 2 * sum(len(line) + 1 for line in flat.toJSON().collect())
+    assert sum(f.stat().st_size for f in (tmp_path / "log").glob("part-*")) < plain / 3
+    assert readers.read_runs(spark, str(tmp_path / "log")).select("run_id").distinct().count() == 2_000
