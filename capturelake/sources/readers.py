@@ -107,9 +107,23 @@ def read_report_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
 
 
 def read_projects(spark: SparkSession, path: str, pattern: str = "*/meta.json") -> DataFrame:
-    """Project documents ``<path>/<pattern>``, newest first, broken ones skipped."""
+    """Project documents ``<path>/<pattern>``, newest first, broken ones skipped.
+
+    Where the pattern names a file in any folder, tasks list the folders, not
+    the driver one after the other; files elsewhere below the path take no part.
+    """
     typed = StructType.fromDDL(PROJECT_SCHEMA).add("_corrupt_record", "string")
-    rows = spark.read.schema(typed).option("multiLine", True).json(f"{path}/{pattern}")
+    reader = spark.read.schema(typed).option("multiLine", True)
+    folder, _, file = pattern.rpartition("/")
+    if folder == "*":
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getPath()
+        rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", file).json(path)
+        # The path's folders, the project's folder and the file.
+        depth = F.size(F.split(F.regexp_replace("_metadata.file_path", "^[a-z0-9+.-]+:(//[^/]*)?", ""), "/"))
+        rows = rows.filter(depth == len(root.rstrip("/").split("/")) + 2)
+    else:
+        rows = reader.json(f"{path}/{pattern}")
     good = rows.filter(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record")
     return good.withColumns({
         "created_at": F.try_to_timestamp("created_at"), "updated_at": F.try_to_timestamp("updated_at"),

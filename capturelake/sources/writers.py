@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Many small files are moved to their place by the tasks that wrote them, not one by one by the driver.
+TASKS_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def append_runs(records: DataFrame, path: str) -> None:
     """Append records to a newline-delimited JSON log, whose repeated field names are compressed."""
     records.write.mode("append").option("compression", "gzip").json(path)
@@ -16,7 +20,7 @@ def append_runs(records: DataFrame, path: str) -> None:
 def write_report_json(df: DataFrame, path: str, key: str) -> None:
     """One readable JSON document per key, each in the folder of its key."""
     body = F.to_json(F.struct(*[c for c in df.columns if c != key]), {"pretty": "true"})
-    df.select(key, body.alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+    df.select(key, body.alias("value")).repartition(key).write.mode("overwrite").options(**TASKS_COMMIT).partitionBy(key).text(path)
 
 
 def write_report_csv(df: DataFrame, path: str, columns: Sequence[str], single_file: bool = False) -> None:

@@ -82,3 +82,25 @@ def test_run_log_repeats_no_field_names_on_disk(spark, tmp_path):
     plain = 2 * sum(len(line) + 1 for line in flat.toJSON().collect())
     assert sum(f.stat().st_size for f in (tmp_path / "log").glob("part-*")) < plain / 3
     assert readers.read_runs(spark, str(tmp_path / "log")).select("run_id").distinct().count() == 2_000
+
+
+def test_project_folders_are_listed_by_tasks(spark, tmp_path):
+    """One path is listed, whatever the number of folders; files above or below the project folders take no part."""
+    for place in ("a", "b", "b/old", "."):
+        (tmp_path / place).mkdir(exist_ok=True)
+        (tmp_path / place / "meta.json").write_text(json.dumps({"id": place, "created_at": "2024-01-01 00:00:00"}))
+    found = readers.read_projects(spark, str(tmp_path))
+    assert [r.id for r in found.collect()] == ["a", "b"]
+    scan = found._jdf.queryExecution().analyzed().toString()
+    location = found._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryFileIndex(1 paths)" in location, scan
+
+
+def test_project_documents_share_files(spark, tmp_path):
+    """Every supplier's document is read, from a file for each 25 of them."""
+    from capturelake.plans import streams
+
+    spark.range(1, 101).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name").toPandas().to_parquet(tmp_path / "supplier.parquet")
+    found = streams.project_documents(spark, str(tmp_path))
+    assert len(found.inputFiles()) == 5
+    assert sorted((r.id, r.name) for r in found.collect()) == sorted((f"p{k}", f"s{k}") for k in range(1, 101))
