@@ -144,11 +144,13 @@ def _model_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sparse_points(lines: DataFrame) -> DataFrame:
-    """Points out of (source, value) text lines; comments and bad lines drop out."""
-    text = F.trim("value")
-    parts = F.split(text, r"\s+")
-    cells = lines.filter((text != "") & ~text.startswith("#")).select("source", parts.alias("_p")).filter(
-        F.size("_p") >= 8)
+    """Points out of (source, value) text lines; comments and bad lines drop out.
+
+    A line and its parts are generated columns: as plain ones, filters and cells would each make them anew.
+    """
+    text = F.col("_t")
+    trimmed = lines.select("source", F.explode(F.array(F.trim("value"))).alias("_t")).filter((text != "") & ~text.startswith("#"))
+    cells = trimmed.select("source", F.explode(F.array(F.split(text, r"\s+"))).alias("_p")).filter(F.size("_p") >= 8)
     names = ("x", "y", "z", "r", "g", "b", "error")
     kinds = ("double", "double", "double", "int", "int", "int", "double")
     parsed = cells.select(

@@ -36,6 +36,15 @@ def test_model_text(spark, tmp_path):
     assert readers.camera_count(spark, str(images)).first().cameras == 5
 
 
+def test_sparse_lines_are_made_once(spark):
+    """A derived line is one expression of the plan, however many filters and cells read it."""
+    made = spark.range(3).select(F.lit("s").alias("source"), F.concat_ws(" ", "id", *[F.lit(str(i)) for i in range(7)]).alias("value"))
+    got = readers.parse_sparse_points(made)
+    assert [tuple(r) for r in got.orderBy("point_id").collect()] == [("s", i, 0.0, 1.0, 2.0, 3, 4, 5, 6.0) for i in range(3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1 and plan.count("split(") == 1
+
+
 def test_projects_newest_first(spark, tmp_path):
     for name, body in {"a": {"id": "a", "created_at": "2024-01-01T00:00:00Z"}, "b": {"id": "b", "created_at": "2025-01-01T00:00:00Z"}}.items():
         (tmp_path / name).mkdir()
