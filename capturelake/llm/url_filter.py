@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import durable
@@ -63,7 +63,8 @@ def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     of the next segment) and whose labelled URLs agree become one branch ``~kind``;
     branches without labels join where two labelled ones do, else each other.
     Each branch is compared with the pool of its siblings, never with each
-    other, in pre-aggregated sums.
+    other, in pre-aggregated sums. A level deals the URLs once and the sums of
+    their children twice, whatever the number of comparisons.
     """
     names = ["host", "template"]
     depth = min(depth, urls.agg(F.max(F.size(F.split("skeleton", "/")))).first()[0] or 0)
@@ -72,52 +73,54 @@ def path_templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         part = F.get("parts", F.lit(level)) if level < depth - 1 else F.when(
             F.size("parts") > level, F.array_join(F.slice("parts", level + 1, 1 << 30), "/"))
         now = now.withColumn("child", F.coalesce(part, F.lit("\u0000")))
-        children = now.groupBy(*names, "child").agg(F.sum("n").alias("c"))
-        parents = children.groupBy(*names).agg(F.count(F.lit(1)).alias("fan"), F.sum("c").alias("total"))
-        rare = (F.col("fan") >= FAN_OUT) & (F.col("c") < RARE * F.col("total")) & (F.col("child") != "\u0000")
-        branches = children.join(parents, names).select(
-            *names, "child", F.when(rare, "*").otherwise(F.col("child")).alias("branch"))
-        now = now.join(branches, [*names, "child"])
         following = F.get("parts", F.lit(level + 1))
         kind = (F.when(following.isNull(), "end").when(following == "", "empty").when(following == "#", "number")
                 .when(following.contains("#"), "mixed").otherwise("word"))
-        own = now.withColumn("kind", kind).groupBy(*names, "branch", "kind").agg(
-            F.sum("n").alias("k"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        # Dealt once by parent and child; the sums of a parent's children then lie together, and all below are windows over them.
+        now = now.withColumn("kind", kind).repartition(*names, "child")
+        cells = now.groupBy(*names, "child", "kind").agg(
+            F.sum("n").alias("k"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).repartition(*names)
+
+        def over(*keys: str) -> Window:
+            return Window.partitionBy(*names, *keys)
+
+        def leads(keys: Sequence[str], *order: str) -> Column:
+            return F.row_number().over(over(*keys).orderBy(*order)) == 1
+
+        cells = cells.withColumns({"c": F.sum("k").over(over("child")), "of_child": leads(["child"], "kind")}).withColumns({
+            "fan": F.count_if("of_child").over(over()), "total": F.sum("k").over(over())})
+        rare = (F.col("fan") >= FAN_OUT) & (F.col("c") < RARE * F.col("total")) & (F.col("child") != "\u0000")
+        cells = cells.withColumn("branch", F.when(rare, "*").otherwise(F.col("child"))).withColumns({
+            "own": F.sum("k").over(over("branch", "kind")), "of_kind": leads(["branch", "kind"], "child"), "of_branch": leads(["branch"], "kind", "child"),
+            "size": F.sum("k").over(over("branch")), "bl": F.sum("l").over(over("branch")), "bb": F.sum("b").over(over("branch"))})
         # Siblings are pooled with those whose URLs mostly go on with the same kind.
-        size = own.groupBy(*names, "branch").agg(
-            F.sum("k").alias("size"), F.sum("l").alias("bl"), F.sum("b").alias("bb"), F.max_by("kind", F.struct("k", "kind")).alias("lead"))
-        led = own.join(size, [*names, "branch"])
-        peers = [*names, "lead"]
-        pool = led.groupBy(*peers, "kind").agg(F.sum("k").alias("pool"), F.sum("l").alias("pool_l"), F.sum("b").alias("pool_b"))
-        whole = pool.groupBy(*peers).agg(F.sum("pool").alias("whole"), F.count(F.lit(1)).alias("cells"),
-                                         (F.sum("pool_b") / F.nullif(F.sum("pool_l"), F.lit(0))).alias("share"))
+        cells = cells.withColumn("lead", F.max(F.struct("own", "kind")).over(over("branch"))["kind"]).withColumns({
+            "pool": F.sum("k").over(over("lead", "kind")), "whole": F.sum("k").over(over("lead")),
+            "cells": F.size(F.collect_set("kind").over(over("lead"))),
+            "share": F.sum("b").over(over("lead")) / F.nullif(F.sum("l").over(over("lead")), F.lit(0))})
         # Pearson's statistic as a sum over what a branch has: sum of k^2 / expected, less its size.
         expected = F.col("size") * F.col("pool") / F.col("whole")
-        shapes = (
-            led.select(*peers, "branch", "kind", "k", "size", "bl", "bb")
-            .join(pool.select(*peers, "kind", "pool"), [*peers, "kind"]).join(whole, peers)
-            .groupBy(*peers, "branch").agg(
-                (F.sum(F.col("k") * F.col("k") / expected) - F.max("size")).alias("off"), F.max("cells").alias("cells"),
-                F.max("bl").alias("l"), F.max("bb").alias("b"), F.max("share").alias("share"))
-        )
+        cells = cells.withColumn(
+            "off", F.sum(F.when(F.col("of_kind"), F.col("own") * F.col("own") / expected)).over(over("branch")) - F.col("size"))
         # The same for blocked and allowed among labelled URLs; a branch without any, or a pool of one verdict, does not differ.
-        spread = F.col("l") * F.col("share") * (1 - F.col("share"))
-        gap = F.col("b") - F.col("l") * F.col("share")
+        spread = F.col("bl") * F.col("share") * (1 - F.col("share"))
+        gap = F.col("bb") - F.col("bl") * F.col("share")
         differs = F.coalesce(gap * gap / F.nullif(spread, F.lit(0.0)), F.lit(0.0))
 
         def bound(freedom: Column) -> Column:
             return freedom + DEVIATIONS * F.sqrt(2.0 * F.greatest(freedom, F.lit(1)))
 
-        alike = shapes.filter((F.col("branch") != "\u0000") & (F.col("off") <= bound(F.col("cells") - 1)) & (
-            differs <= bound(F.lit(1)))).select(*peers, "branch", (F.col("l") > 0).alias("told"))
+        alike = (F.col("branch") != "\u0000") & (F.col("off") <= bound(F.col("cells") - 1)) & (differs <= bound(F.lit(1)))
+        told, once = F.col("bl") > 0, F.col("alike") & F.col("of_branch")
         # Two labelled branches that agree show that the segment varies; then, and only then, branches without labels join them.
-        votes = alike.groupBy(*peers).agg(F.count_if("told").alias("told_n"), F.count_if(~F.col("told")).alias("silent_n"))
-        merged = alike.join(votes, peers).filter((F.col("told_n") > 1) | (~F.col("told") & (F.col("silent_n") > 1))).select(
-            *names, "branch", F.concat(F.lit("~"), "lead").alias("merged"))
-        step = F.when(F.col("branch") == "\u0000", "").otherwise(F.concat(F.lit("/"), F.coalesce("merged", "branch")))
+        cells = cells.withColumn("alike", alike).withColumns({
+            "told_n": F.count_if(once & told).over(over("lead")), "silent_n": F.count_if(once & ~told).over(over("lead"))})
+        merged = F.col("alike") & ((F.col("told_n") > 1) | (~told & (F.col("silent_n") > 1)))
+        step = F.when(F.col("branch") == "\u0000", "").otherwise(
+            F.concat(F.lit("/"), F.when(merged, F.concat(F.lit("~"), "lead")).otherwise(F.col("branch"))))
+        steps = cells.filter("of_child").select(*names, "child", step.alias("step"))
         now = durable(
-            now.join(merged, [*names, "branch"], "left").withColumn("template", F.concat("template", step))
-            .drop("child", "branch", "merged"))
+            now.join(steps, [*names, "child"]).withColumn("template", F.concat("template", "step")).drop("child", "kind", "step"))
     return now.select("host", "skeleton", F.substring("template", 2, 1 << 30).alias("template"), "n", "labelled", "blocked")
 
 
