@@ -231,3 +231,19 @@ def test_short_hashes_meet_in_tiles(spark, monkeypatch, radius):
     rows = batch(80, 3, 16)
     got = S.hamming_join(spark.createDataFrame(rows, SCHEMA), ["project_id"], "dhash", radius, 16)
     assert sorted(tuple(r) for r in got.collect()) == brute_pairs(rows, radius)
+
+
+@pytest.mark.parametrize(("bits", "tile_rows"), [(16, 8_192), (16, 40), (64, 40)])
+def test_judged_pairs_against_all_pairs(spark, bits, tile_rows):
+    """Pairs of several tiles, with copies, are found and judged like one by one, and without shuffling them."""
+    rnd = random.Random(bits)
+    rows = [(k, i, h, rnd.getrandbits(56), [rnd.randrange(300) for _ in range(64)]) for k, i, h, _, _ in batch(150, 3, bits)]
+    df = spark.createDataFrame(rows, "project_id int, image_id long, phash long, dhash long, px array<int>")
+    expected = sorted(
+        (a[0], min(a[1], b[1]), max(a[1], b[1]), distance(a[2], b[2]), distance(a[3], b[3]),
+         sum(abs(x - y) <= 24 for x, y in zip(a[4], b[4], strict=True)))
+        for n, a in enumerate(rows) for b in rows[:n] if a[0] == b[0] and distance(a[2], b[2]) <= 3)
+    got = S.judged_pairs(df, ["project_id"], 3, 24, tile_rows=tile_rows)
+    assert sorted(tuple(r) for r in got.collect()) == expected and len(expected) > 30
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert S.judged_pairs(df.limit(0), ["project_id"], 3, 24).count() == 0
