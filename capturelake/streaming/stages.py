@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,31 +45,46 @@ class StageTracker(StatefulProcessor):
         self.stages = handle.getMapState("stages", "stage string", INFO)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = _ordered(rows)
+        # Most projects have few events a trigger: plain values cost far less there than frames.
+        frames = list(rows)
+        frame = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        order = np.lexsort((frame["event_id"].to_numpy(), frame["ts"].to_numpy()))
+        ts = frame["ts"].to_numpy()[order]
+        stage, status, progress, message = (frame[n].to_numpy()[order].tolist() for n in ("stage", "stage_status", "progress", "message"))
         active = self.active.get()[0] if self.active.exists() else None
         known = {} if active is None else {active: self.stages.getValue((active,))}
-        # An open stage is completed by the next event of another stage; the first event may end the stage left active.
-        stage, ts, status = events["stage"], events["ts"], events["stage_status"]
-        follows = stage.shift(-1)
-        left = status.isin(OPEN) & follows.notna() & (follows != stage)
-        events = events.assign(status=status.mask(left, "completed"), closed=ts.shift(-1).where(left, ts.where(status.isin(CLOSED))))
-        grouped = events.groupby("stage", sort=False)
-        last = grouped.tail(1).set_index("stage")
-        seen, closed, counts = grouped["ts"].min(), grouped["closed"].max(), grouped.size()
+        last, first, closed, counts = {}, {}, {}, {}
+        void = np.isnat(ts).tolist()
+        for i, name in enumerate(stage):
+            last[name] = i
+            first.setdefault(name, i)
+            counts[name] = counts.get(name, 0) + 1
+            # An open stage is completed by the next event of another stage; the first event may end the stage left active.
+            if status[i] in OPEN and i + 1 < len(stage) and stage[i + 1] != name:
+                status[i] = "completed"
+                end = i + 1
+            else:
+                end = i if status[i] in CLOSED else None
+            if end is not None and not void[end]:
+                closed[name] = end
+
+        def moment(i: int | None):
+            return None if i is None or void[i] else pd.Timestamp(ts[i]).to_pydatetime()
+
         out = {}
-        if active is not None and active != stage.iloc[0] and known[active][0] in OPEN:
-            known[active] = ("completed", *known[active][1:3], _plain(ts.iloc[0]), *known[active][4:])
+        if active is not None and active != stage[0] and known[active][0] in OPEN:
+            known[active] = ("completed", *known[active][1:3], moment(0), *known[active][4:])
             out[active] = known[active]
-        for name in last.index:
-            if name not in known and self.stages.containsKey((name,)):
+        for name, i in last.items():
+            # A project without an active stage has no entries yet.
+            if active is not None and name not in known and self.stages.containsKey((name,)):
                 known[name] = self.stages.getValue((name,))
             before = known.get(name)
-            row = last.loc[name]
             out[name] = (
-                row["status"], before[1] if before else _plain(seen[name]), _plain(row["ts"]),
-                _plain(closed[name]) or (before[3] if before else None), _plain(row["progress"]), _plain(row["message"]),
-                (before[6] if before else 0) + int(counts[name]))
-        self.active.update((stage.iloc[-1],))
+                status[i], before[1] if before else moment(first[name]), moment(i),
+                moment(closed.get(name)) or (before[3] if before else None), _plain(progress[i]), _plain(message[i]),
+                (before[6] if before else 0) + counts[name])
+        self.active.update((stage[-1],))
         for name, info in out.items():
             self.stages.updateValue((name,), info)
         names = [f.split()[0] for f in TRACKED.split(", ")]

@@ -108,6 +108,51 @@ class Clock:
         return self.now
 
 
+def test_tracker_sorts_no_frames_for_each_project(monkeypatch):
+    """Entries come from plain values, whatever the order and the batches of a project's events; open stages end with the next one."""
+    class Held:
+        def __init__(self):
+            self.kept = {}
+
+        def exists(self):
+            return () in self.kept
+
+        def get(self):
+            return self.kept[()]
+
+        def update(self, value):
+            self.kept[()] = value
+
+        def containsKey(self, key):
+            return key in self.kept
+
+        def getValue(self, key):
+            return self.kept[key]
+
+        def updateValue(self, key, value):
+            self.kept[key] = value
+
+    def events(*rows):
+        return pd.DataFrame([(pd.Timestamp(f"2024-01-01 00:00:0{s}"), e, stage, status, p, None) for s, e, stage, status, p in rows],
+                            columns=["ts", "event_id", "stage", "stage_status", "progress", "message"])
+
+    tracker = SS.StageTracker()
+    tracker.active, tracker.stages = Held(), Held()
+    monkeypatch.setattr(pd.DataFrame, "sort_values", None)
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    at = [pd.Timestamp(f"2024-01-01 00:00:0{s}") for s in range(7)]
+    names = ["stage", "status", "first_seen_at", "last_update_at", "completed_at", "latest_progress", "event_count"]
+
+    def entries(*frames):
+        return {r[0]: tuple(None if pd.isna(v) else v for v in r[1:]) for out in tracker.handleInputRows((7,), iter(frames), None)
+                for r in out[names].itertuples(index=False)}
+
+    assert entries(events((3, 2, "b", "running", 0.5), (1, 9, "a", "running", None)), events((2, 1, "b", "queued", 0.1))) == {
+        "a": ("completed", at[1], at[1], at[2], None, 1), "b": ("running", at[2], at[3], None, 0.5, 2)}
+    assert entries(events((5, 1, "a", "failed", 1.0))) == {
+        "b": ("completed", at[2], at[3], at[5], 0.5, 2), "a": ("failed", at[1], at[5], at[5], 1.0, 2)}
+
+
 def test_only_the_last_timer_stays():
     handle, clock = Handle(), Clock()
     detector = SS.ChangeDetector(1000)
