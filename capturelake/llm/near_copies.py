@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
 from ..operators.scale import attach
-from ..session import durable, release
+from ..session import durable, release, sweep
 from .arrow import map_texts
 from .components import components
 from .simhash import MAX_BITS, _link, fingerprint, linked_fingerprints, shingle_hashes
@@ -137,6 +137,8 @@ def candidate_groups(texts: DataFrame, seeds: int = SEEDS, budget: int = MAX_BIT
     spread = texts.select("digest", F.posexplode("f").alias("seed", "fp"))
     crowd = durable(spread.groupBy("seed", "fp").agg(F.count(F.lit(1)).alias("n")))
     links = durable(linked_fingerprints(crowd.select("seed", "fp"), budget))
+    # The walk's shuffles are the largest of all; they go before the next ones come.
+    sweep(links.sparkSession)
 
     def node(fp: str):
         return F.concat(F.unhex(F.lpad(F.hex("seed"), 2, "0")), F.unhex(F.lpad(F.hex(fp), 16, "0")))

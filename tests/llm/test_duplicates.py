@@ -6,6 +6,7 @@ import random
 import numpy as np
 import xxhash
 
+from capturelake.llm import components as components_module
 from capturelake.llm import near_copies, simhash
 from capturelake.llm.components import components
 
@@ -223,3 +224,22 @@ def test_components_of_hubs_and_chains(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "x bigint, y bigint")).collect()}
     assert got == {x: names[label[place[x]]] for x in names}
     assert components(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
+
+
+def test_a_round_over_few_edges_takes_few_tasks(spark):
+    rng = random.Random(5)
+    edges = [(k, k // 2) for k in range(1, 400)] + [(1_000, 1_000 + k) for k in range(1, 300)] + [
+        (rng.randrange(2_000, 2_400), rng.randrange(2_000, 2_400)) for _ in range(150)]
+    frame_ = spark.createDataFrame(edges, "a bigint, b bigint")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        now = components_module._round(frame_.filter("a > b"), len(edges), len(edges))
+        assert now.rdd.getNumPartitions() <= components_module.FEW_PARTS
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    small = {tuple(r) for r in components(frame_).collect()}
+    assert small == {tuple(r) for r in components(frame_, few=0).collect()}
+    assert {(399, 0), (1_299, 1_000)} <= small
