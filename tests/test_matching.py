@@ -56,3 +56,17 @@ def test_block_pairs_are_tasks_of_their_own(spark):
     d = brute(vectors(40, 1), vectors(40, 2))
     got = {r.idx: (r.nearest, r.distance, r.second) for r in near.filter("side = 'left'").collect()}
     assert got == {k: (int(row.argmin()), row.min(), np.sort(row)[1]) for k, row in enumerate(d)}
+
+
+def test_steps_are_off_by_what_was_rounded():
+    rng = np.random.default_rng(6)
+    a, b = (rng.normal(size=(n, 16)) for n in (50, 60))
+    qa, qb, off = M._steps(a, b)
+    low, high = min(a.min(), b.min()), max(a.max(), b.max())
+    scale = (65_534 // 16 - 1) / (high - low)
+    sums = np.abs(qa[:, None, :].astype(int) - qb[None, :, :]).sum(axis=2)
+    assert np.abs(sums - np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2) * scale).max() <= off < 16
+    # Whole steps are not rounded at all, and numbers whose range has no float are left to the exact distances.
+    assert M._steps(np.array([[0.0, 32_766.0]]), np.array([[5.0, 7.0]]))[2] == 1
+    huge = np.array([[1.7e308, -1.7e308], [1.0, 2.0]])
+    assert M._steps(huge, huge)[2] == 1
