@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cross, dot, minus, norm
 from ..functions.scores import clamp
-from .scale import HOT_ROWS, attach, measure
+from .scale import HOT_ROWS, attach, group_sizes
 
 AXES = ("x", "y", "z")
 KEY = ["cloud_id"]
@@ -22,29 +22,44 @@ FACE_GROUPS = {
     "bottom": (0.0, -1.0, 0.0),
 }
 LIGHT = (0.25, 0.45, 0.86)
+#: Corners or edges that a task joins and groups; larger meshes take more tasks.
+TASK_ROWS = 500_000
 NEUTRAL = (180, 180, 180)
 
 
-def with_corners(faces: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _tasks(faces: DataFrame, rows: int) -> int:
+    """Tasks for three rows of each of so many faces: the session's number, or more."""
+    return max(int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * rows // TASK_ROWS))
+
+
+def _face_rows(faces: DataFrame) -> tuple[int, int]:
+    """All faces, and those of the largest mesh."""
+    return tuple(n or 0 for n in group_sizes(faces, KEY).agg(F.sum("_rows"), F.max("_rows")).first())
+
+
+def with_corners(faces: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Faces with the coordinates of their corners.
 
     Corners are looked up in long form, one row per (face, corner), with a
-    single join and one aggregate per face. No vertex has more uses than its
+    single join and one aggregate per face, in as many tasks as the faces
+    need. No vertex has more uses than its
     cloud has faces; where a cloud is hot, a vertex shared by many faces (the
     hub of a fan) is spread by a salt.
     """
     c = F.col
+    rows, largest = sizes or _face_rows(faces)
+    tasks = _tasks(faces, rows)
     long = faces.select(*KEY, "f_idx", F.posexplode(F.array("a", "b", "c")).alias("_k", "v_idx"))
     coords = vertices.select(*KEY, "v_idx", *AXES)
-    if measure(faces, KEY).hot(hot_rows):
+    if largest > hot_rows:
         use = long.groupBy(*KEY, "v_idx").agg(F.count(F.lit(1)).alias("_uses"))
         placed = attach(long, use.join(coords, [*KEY, "v_idx"]), [*KEY, "v_idx"], c("_uses"), hot_rows)
     else:
-        placed = long.join(coords, [*KEY, "v_idx"])
+        placed = long.repartition(tasks, *KEY, "v_idx").join(coords.repartition(tasks, *KEY, "v_idx"), [*KEY, "v_idx"])
     corner = [
         F.max(F.when(c("_k") == k, c(a))).alias(f"{a}{k}") for k in range(3) for a in AXES
     ]
-    return placed.groupBy(*KEY, "f_idx").agg(
+    return placed.repartition(tasks, *KEY, "f_idx").groupBy(*KEY, "f_idx").agg(
         *[F.max(F.when(c("_k") == k, c("v_idx"))).alias(n) for k, n in enumerate("abc")], *corner)
 
 
@@ -62,12 +77,13 @@ def mesh_counts(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return v.join(f, KEY, "left").select(*KEY, "vertex_count", F.coalesce("face_count", F.lit(0)).alias("face_count"))
 
 
-def watertight(faces: DataFrame) -> DataFrame:
+def watertight(faces: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Whether every undirected edge belongs to exactly two faces."""
+    tasks = _tasks(faces, (sizes or _face_rows(faces))[0])
     ends = F.array(*[
         F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
-    edges = faces.select(*KEY, F.explode(ends).alias("_e")).groupBy(*KEY, "_e.u", "_e.v").agg(
-        F.count(F.lit(1)).alias("_n"))
+    edges = faces.select(*KEY, F.explode(ends).alias("_e")).select(*KEY, "_e.u", "_e.v").repartition(tasks, *KEY, "u", "v").groupBy(
+        *KEY, "u", "v").agg(F.count(F.lit(1)).alias("_n"))
     return edges.groupBy(*KEY).agg(F.bool_and(F.col("_n") == 2).alias("is_watertight"))
 
 
@@ -75,12 +91,12 @@ def mesh_diagnostics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Extents, volumes, area, fill ratio and watertightness per mesh."""
     c = F.col
     box = vertices.groupBy(*KEY).agg(*[(F.max(a) - F.min(a)).alias(f"e{a}") for a in AXES])
-    n = _raw_normal()
-    solid = with_corners(faces, vertices).groupBy(*KEY).agg(
+    n, sizes = _raw_normal(), _face_rows(faces)
+    solid = with_corners(faces, vertices, sizes=sizes).groupBy(*KEY).agg(
         F.abs(F.sum(dot(_corner(0), cross(_corner(1), _corner(2))) / 6.0)).alias("_volume"),
         (F.sum(norm(n)) / 2.0).alias("_area"),
     )
-    df = box.join(solid, KEY, "left").join(watertight(faces), KEY, "left")
+    df = box.join(solid, KEY, "left").join(watertight(faces, sizes), KEY, "left")
     extents = F.array("ex", "ey", "ez")
     positive = F.filter(extents, lambda e: e > 1e-9)
     bbox = F.when(F.size(positive) == 3, F.round(c("ex") * c("ey") * c("ez"), 6))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from capturelake.operators import clouds as C
 from capturelake.operators import meshes as M
 from capturelake.operators.nearest import nearest_attribute
+from capturelake.plans.point_clouds import rounded
 
 
 def cloud(spark, n=90, seed=3, far=4):
@@ -174,3 +175,15 @@ def test_few_colours_for_many_vertices(spark):
             assert got.columns == assign(v, p).columns
             rows = got.collect()
             assert len(rows) == len(want) and {(r["cloud_id"], r["v_idx"]): r["r"] for r in rows} == want
+
+
+def test_larger_meshes_take_more_tasks(spark, monkeypatch):
+    rows = [(cloud, i, float(np.cos(i)) * (i + 1), float(np.sin(i)) * (i + 2), float(i % 3)) for cloud in (1, 2) for i in range(40)]
+    vertices = spark.createDataFrame(rows, "cloud_id int, v_idx bigint, x double, y double, z double")
+    faces = spark.createDataFrame([(cloud, i, 0, i + 1, i + 2) for cloud in (1, 2) for i in range(38)],
+                                  "cloud_id int, f_idx bigint, a bigint, b bigint, c bigint")
+    whole = sorted(map(tuple, rounded(M.mesh_diagnostics(vertices, faces), 5).collect()))
+    monkeypatch.setattr(M, "TASK_ROWS", 6)
+    for made in (M.with_corners(faces, vertices), M.watertight(faces)):
+        assert ", 38)" in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rounded(M.mesh_diagnostics(vertices, faces), 5).collect())) == whole
