@@ -207,8 +207,9 @@ def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequen
     whole = c("x").isNotNull() & c("y").isNotNull() & c("z").isNotNull()
     first = points.filter(whole).groupBy(*KEY, *place).agg(F.min(F.struct("idx", *attributes)).alias("_p"))
     kinds = {f.name: f.dataType for f in points.schema.fields}
-    both = first.select(*KEY, F.lit(0).alias("_kind"), c("_p.idx").cast("bigint").alias("_idx"), *AXES, *[c(f"_p.`{a}`").alias(a) for a in attributes]).union(
-        vertices.filter(whole).select(*KEY, F.lit(1), c("v_idx").cast("bigint"), *place, *[F.lit(None).cast(kinds[a]) for a in attributes]))
+    # It is read for the cubes, for the bounds of the ranges and to be dealt.
+    both = durable(first.select(*KEY, F.lit(0).alias("_kind"), c("_p.idx").cast("bigint").alias("_idx"), *AXES, *[c(f"_p.`{a}`").alias(a) for a in attributes]).union(
+        vertices.filter(whole).select(*KEY, F.lit(1), c("v_idx").cast("bigint"), *place, *[F.lit(None).cast(kinds[a]) for a in attributes])))
 
     def of_points(x: Column) -> Column:
         return F.when(c("_kind") == 0, x)
@@ -248,6 +249,9 @@ def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequen
             "_part", F.explode(F.sequence(F.lit(0), c("_copies") - 1)).alias("_copy"), *KEY, *columns)
         again = met.union(sent).repartition("_part", "_copy").sortWithinPartitions("_part", "_copy", *KEY, "_kind").mapInArrow(
             lambda batches: _answers(batches, schema, attributes, None, True), schema)
-        answers = result.filter(c("idx").isNotNull()).union(again.filter(c("idx").isNotNull()).drop("_others", "_code", *AXES))
-        result = answers.groupBy(*KEY, "_idx").agg(F.min(F.struct("_best", "idx", *attributes)).alias("_h")).select(*KEY, "_idx", "_h.*")
+        # Only vertices that were sent have several answers.
+        left = ["_others", "_code", *AXES]
+        answers = at_home.filter(c("_others").isNotNull()).union(again).filter(c("idx").isNotNull()).drop(*left)
+        met_again = answers.groupBy(*KEY, "_idx").agg(F.min(F.struct("_best", "idx", *attributes)).alias("_h")).select(*KEY, "_idx", "_h.*")
+        result = at_home.filter(c("_others").isNull()).drop(*left).select(*met_again.columns).union(met_again)
     return result.select(*KEY, c("_idx").alias("v_idx"), F.sqrt("_best").alias("distance"), "idx", *attributes)

@@ -187,3 +187,19 @@ def test_larger_meshes_take_more_tasks(spark, monkeypatch):
     for made in (M.with_corners(faces, vertices), M.watertight(faces)):
         assert ", 38)" in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, rounded(M.mesh_diagnostics(vertices, faces), 5).collect())) == whole
+
+
+def test_nearest_point_reads_its_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    pts = cloud(spark).withColumn("r", F.col("idx"))
+    points = pts.mapInArrow(counted, pts.schema)
+    vertices = pts.select("cloud_id", F.col("idx").alias("v_idx"), "x", "y", "z")
+    got = nearest_attribute(vertices, points, ["r"]).collect()
+    assert len(got) == 135 and all(r.idx == r.v_idx == r.r and r.distance == 0 for r in got)
+    assert read.value == 135
