@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 
@@ -48,6 +48,8 @@ BANDS, ROWS, LEAST_EQUAL = 16, 4, 40
 PIECE = 1_024
 #: Shingles of a tile whose texts are verified against another's.
 PIECE_SHINGLES = 4_000_000
+#: Pairs compared at once when no nearest pair joins classes any more.
+PAIRS_AT_ONCE = 65_536
 
 
 def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
@@ -192,67 +194,66 @@ def _links_by_heads(active: DataFrame, least: float, tile: int) -> DataFrame:
             return links
 
 
-def _met(batches: Iterator[pa.RecordBatch], wanted: str) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of texts of different classes that come near, from rows (band, key, piece, digest, class, sig) sorted by piece.
-
-    A pair is reported by the first band that its texts agree in. ``wanted``
-    is all of them, the best one of each class (``best``), or only the texts that are
-    in one (``texts``, as pairs of a text with itself).
-    """
-
-    def met(band: int, digests: list[bytes], classes: list[bytes], sigs: np.ndarray) -> pa.RecordBatch:
-        n = len(digests)
-        number = np.unique(np.array(classes, object), return_inverse=True)[1] if n else np.empty(0, np.int64)
-        equal, earlier = np.zeros((n, n), np.int16), np.zeros((n, n), bool)
-        for b in range(BANDS):
-            same = np.zeros((n, n), np.int8)
-            for c in range(b * ROWS, (b + 1) * ROWS):
-                same += sigs[:, c][:, None] == sigs[:, c][None, :]
-            equal += same
-            if b < band:
-                earlier |= same == ROWS
-        near = (equal >= LEAST_EQUAL) & ~earlier & (number[:, None] != number[None, :])
-        x, y = np.nonzero(near)
-        if wanted == "texts":
-            x = y = np.unique(x)
-        else:
-            if wanted == "best":
-                order = np.lexsort((y, x, -equal[x, y], number[x]))
-                x, y = x[order], y[order]
-                first = np.unique(number[x], return_index=True)[1]
-                x, y = x[first], y[first]
-            else:
-                x, y = x[x < y], y[x < y]
-        pairs = [sorted((digests[i], digests[j])) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values of the first ``keys`` columns (numbers)."""
     now, held = None, []
-
-    def flush() -> pa.RecordBatch:
-        return met(now[0], [d for part in held for d in part[0]], [c for part in held for c in part[1]], np.concatenate([part[2] for part in held]))
-
     for batch in batches:
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        digests, classes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-        sigs = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS * ROWS)
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        if not batch.num_rows:
+            continue
+        values = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        turns = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
+        cuts = [0, *turns.tolist(), batch.num_rows]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i == j:
-                continue
-            if held and keys[i] != now:
-                yield flush()
+            key = tuple(v[i] for v in values)
+            if held and key != now:
+                yield pa.Table.from_batches(held)
                 held = []
-            now = keys[i]
-            held.append((digests[i:j], classes[i:j], sigs[i:j]))
+            now = key
+            held.append(batch.slice(i, j - i))
     if held:
-        yield flush()
+        yield pa.Table.from_batches(held)
+
+
+def _near_pairs(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (x, y) of rows of one (band, key, piece) that come near, how many least hashes they share, and the class number of each row.
+
+    A pair is reported by the first band that its texts agree in, and by the
+    one piece that belongs to its two tiles.
+    """
+    band, piece = run.column("band")[0].as_py(), run.column("piece")[0].as_py()
+    own, number = run.column("own").to_numpy(), run.column("class").combine_chunks().dictionary_encode().indices.to_numpy()
+    sigs = run.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS * ROWS)
+    left, right = (np.flatnonzero(own == t) for t in divmod(piece, 1 << 31))
+    equal, apart = np.zeros((len(left), len(right)), np.int16), number[left][:, None] != number[right][None, :]
+    if piece >> 31 == piece % (1 << 31):
+        apart &= left[:, None] < right[None, :]
+    if apart.any():
+        a, b = sigs[left].T.copy(), sigs[right].T.copy()
+        for k in range(BANDS):
+            same = np.zeros(equal.shape, np.int8)
+            for c in range(k * ROWS, (k + 1) * ROWS):
+                same += a[c][:, None] == b[c][None, :]
+            equal += same
+            if k < band:
+                apart &= same < ROWS
+    i, j = np.nonzero(apart & (equal >= LEAST_EQUAL))
+    return left[i], right[j], equal[i, j], number
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (band, key, piece), those whose text comes near one of another class there, each once."""
+    for run in _runs(batches, 3):
+        x, y, _, _ = _near_pairs(run)
+        if len(x):
+            yield from run.take(pa.array(np.unique(np.concatenate([x, y])))).combine_chunks().to_batches()
 
 
-def _pairs(contacts: DataFrame, classes: DataFrame, wanted: str, piece: int = PIECE) -> DataFrame:
-    """Pairs (a, b) of ``_met`` over the contacts (band, key, digest, sig), ``classes`` being (digest, root) so far.
+def _meetings(contacts: DataFrame, classes: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Rows (band, key, piece, own, digest, class, sig) of the contacts (band, key, digest, sig) that come near one of another class.
 
-    In a crowded band the largest class is dealt into pieces that meet every
-    piece of the rest, but not each other.
+    ``classes`` is (digest, root) so far. A band is dealt into tiles (``own``),
+    and every pair of tiles is a piece, as is every tile with itself. In a crowded band
+    the largest class is dealt into tiles that meet those of the rest, but not each other.
     """
     marked = contacts.join(classes, "digest", "left").withColumn("class", F.coalesce("root", "digest")).drop("root")
     sizes = marked.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(
@@ -266,19 +267,25 @@ def _pairs(contacts: DataFrame, classes: DataFrame, wanted: str, piece: int = PI
     code = F.xxhash64("digest")
     own = F.when(big, F.col("small_tiles") + F.pmod(code, "large_tiles")).otherwise(F.pmod(code, "small_tiles")).cast("int")
     last = F.when(big, F.col("small_tiles")).otherwise(F.col("small_tiles") + F.col("large_tiles")) - 1
-    placed = joined.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int")))).filter(
-        "small_tiles + large_tiles = 1 OR own <> other")
-    at = (F.least("own", "other").cast("bigint") * F.lit(1 << 31) + F.greatest("own", "other")).alias("piece")
-    dealt = placed.select("band", "key", at, "digest", "class", "sig").repartition("band", "key", "piece").sortWithinPartitions("band", "key", "piece")
-    return durable(dealt.mapInArrow(lambda batches: _met(batches, wanted), "a binary, b binary").distinct())
+    placed = joined.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    dealt = placed.select("band", "key", _pair_code("own", "other").alias("piece"), "own", "digest", "class", "sig").repartition(
+        "band", "key", "piece").sortWithinPartitions("band", "key", "piece")
+    return durable(dealt.mapInArrow(_met, "band int, key bigint, piece bigint, own int, digest binary, class binary, sig array<int>"))
 
 
-def similar_pairs(shingles: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """Which of the pairs (x, y) of sets are similar; each x is marked once and its partners look their shingles up there."""
-    sizes = np.array([len(s) for s in shingles], np.int64)
+def _pair_code(a: str, b: str) -> Column:
+    return F.least(a, b).cast("bigint") * F.lit(1 << 31) + F.greatest(a, b)
+
+
+def _coded(shingles: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets with small numbers for their members, and how many of them there are."""
     values, codes = np.unique(np.concatenate(shingles), return_inverse=True)
-    own = np.split(codes, np.cumsum(sizes)[:-1])
-    mark, fit = np.zeros(len(values), bool), np.zeros(len(x), bool)
+    return np.split(codes, np.cumsum([len(s) for s in shingles])[:-1]), len(values)
+
+
+def _similar_coded(own: list[np.ndarray], members: int, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    sizes = np.array([len(s) for s in own], np.int64)
+    mark, fit = np.zeros(members, bool), np.zeros(len(x), bool)
     order = np.argsort(x, kind="stable")
     cuts = np.flatnonzero(np.diff(x[order])) + 1
     for places in np.split(order, cuts) if len(order) else []:
@@ -294,40 +301,90 @@ def similar_pairs(shingles: list[np.ndarray], x: np.ndarray, y: np.ndarray, leas
     return fit
 
 
-def _linked(pairs: DataFrame, held: DataFrame, least: float, piece: int = PIECE) -> DataFrame:
-    """The pairs whose shingles are similar, ``held`` being (digest, shingles).
-
-    Texts are dealt into tiles of about ``piece`` texts and ``PIECE_SHINGLES``
-    shingles. A text goes once to each pair of tiles in which it has a
-    partner, however many partners it has there.
-    """
-    n, total = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
-    tiles = max(1, -(-n // piece), -(-total // PIECE_SHINGLES))
+def similar_pairs(shingles: list[np.ndarray], x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Which of the pairs (x, y) of sets are similar; each x is marked once and its partners look their shingles up there."""
+    return _similar_coded(*_coded(shingles), x, y, least)
 
-    def tile(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(tiles))
 
-    placed = pairs.withColumn("at", F.least(tile("a"), tile("b")) * F.lit(1 << 31) + F.greatest(tile("a"), tile("b")))
-    wanted = placed.select("at", F.explode(F.array("a", "b")).alias("digest")).distinct().join(held, "digest").select("at", "digest", "shingles")
+def joining_pairs(shingles: list[np.ndarray], x: np.ndarray, y: np.ndarray, equal: np.ndarray, number: np.ndarray,
+                  least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs among (x, y) that join all classes (``number``) which any of the pairs joins.
 
-    def check(texts: pa.Table, found: pa.Table) -> pa.Table:
-        digests, lists = texts.column("digest").to_pylist(), texts.column("shingles").combine_chunks()
+    While classes join, each one's nearest pair (most ``equal``) is compared alone; then
+    all pairs that are left between classes are. So at most one pair fewer than classes comes out.
+    """
+    sizes = np.array([len(s) for s in shingles])
+    # Sets of too different sizes cannot be similar.
+    order = np.argsort(-equal, kind="stable")
+    x, y = x[order], y[order]
+    fits = np.minimum(sizes[x], sizes[y]) >= least * np.maximum(sizes[x], sizes[y])
+    x, y = x[fits], y[fits]
+    label, out, joins = np.arange(int(number.max()) + 1), [], True
+    own, members = _coded(shingles) if len(x) else ([], 0)
+    while len(x):
+        p, q = label[number[x]], label[number[y]]
+        some = np.arange(min(len(x), PAIRS_AT_ONCE))
+        if joins:
+            some = np.unique(np.concatenate([np.unique(c, return_index=True)[1] for c in (p, q)]))
+        fit = some[_similar_coded(own, members, x[some], y[some], least)]
+        joins = len(fit) > 0
+        # A forest of the new links: each class that is joined keeps one.
+        for k in fit.tolist():
+            a, b = label[number[x[k]]], label[number[y[k]]]
+            if a != b:
+                out.append((x[k], y[k]))
+                label[label == max(a, b)] = min(a, b)
+        rest = np.ones(len(x), bool)
+        rest[some] = False
+        rest &= label[number[x]] != label[number[y]]
+        x, y = x[rest], y[rest]
+    return tuple(np.array(c, np.int64) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
+
+
+def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes, from rows (band, key, piece, part, share, own, digest, class, sig, shingles) sorted by part."""
+    for run in _runs(batches, 4):
+        x, y, equal, number = _near_pairs(run)
+        low, high = divmod(run.column("part")[0].as_py(), 1 << 31)
+        share = run.column("share").to_numpy()
+        here = (low == high) | (share[x] != share[y])
+        if not here.any():
+            continue
+        lists = run.column("shingles").combine_chunks()
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         shingles = np.split(flat, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
-        place = {d: i for i, d in enumerate(digests)}
-        x, y = (np.array([place[d] for d in found.column(c).to_pylist()], np.int64) for c in ("a", "b"))
-        return found.select(["a", "b"]).filter(pa.array(similar_pairs(shingles, x, y, least), pa.bool_()))
+        x, y = joining_pairs(shingles, x[here], y[here], equal[here], number, least)
+        digests = run.column("digest")
+        yield pa.RecordBatch.from_arrays([digests.take(pa.array(i)).combine_chunks() for i in (x, y)], names=["a", "b"])
 
-    sides = placed.select(F.col("at").alias("there"), "a", "b")
-    return durable(wanted.groupBy("at").cogroup(sides.groupBy("there")).applyInArrow(check, "a binary, b binary"))
+
+def _linked(near: DataFrame, held: DataFrame, least: float, piece: int = PIECE) -> DataFrame:
+    """Links (a, b) that join the classes of near texts (``_meetings``) whose shingles are similar, ``held`` being (digest, shingles).
+
+    Pairs are found and compared inside a piece's task, which returns fewer
+    links than it has classes. Pieces of more than ``PIECE_SHINGLES`` from each side are cut into parts.
+    """
+    parts, size = F.lit(1), F.size("shingles")
+    if (held.agg(F.max(size)).first()[0] or 0) * 2 * piece > 2 * PIECE_SHINGLES:
+        long = near.select("band", "key", "piece", "digest").join(held.select("digest", size.alias("size")), "digest").groupBy(
+            "band", "key", "piece").agg(F.ceil(F.sum("size") / PIECE_SHINGLES).cast("int").alias("parts")).filter("parts > 2")
+        # There are few, since each has so many shingles.
+        near, parts = near.join(F.broadcast(long), ["band", "key", "piece"], "left"), F.coalesce("parts", F.lit(1))
+    # Not the hash that deals the tiles: a tile's texts go to all parts.
+    shared = near.withColumn("share", F.pmod(F.xxhash64("digest", F.lit(1)), parts).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    full = shared.join(held, "digest").select(
+        "band", "key", "piece", _pair_code("share", "other").alias("part"), "share", "own", "digest", "class", "sig", "shingles")
+    dealt = full.repartition("band", "key", "piece", "part").sortWithinPartitions("band", "key", "piece", "part")
+    return durable(dealt.mapInArrow(lambda batches: _verified(batches, least), "a binary, b binary"))
 
 
 def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,
                     piece: int = PIECE) -> DataFrame:
     """Classes (digest, root) joined further by similar texts that share a band, ``sigs`` being (digest, sig).
 
-    While classes join, each one's nearest pair is checked alone; then all
-    pairs that are left between classes are.
+    Near texts of different classes meet in tiles of their band; there their
+    pairs are found, compared exactly, and only links that join classes leave the task.
     """
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.element_at("sig", b * ROWS + i + 1) for i in range(ROWS)]).alias("key"))
                       for b in range(BANDS)])
@@ -342,26 +399,18 @@ def linked_by_bands(docs: DataFrame, sigs: DataFrame, classes: DataFrame, text:
         there = attach(spread, met, ["band", "key"], F.col("n"), max(1_000, rows // 1_000)).filter("n IS NOT NULL")
     contacts = durable(there.select("band", "key", "digest").join(sigs, "digest"))
     # Few of those that share a band come near; only they go on.
-    open_ = durable(_pairs(contacts, classes, "texts", piece).select(F.col("a").alias("digest")).distinct())
+    near = _meetings(contacts, classes, piece)
+    release(contacts, met)
+    open_ = durable(near.select("digest").distinct())
     side = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
-    all_, contacts = contacts, durable(contacts.join(side, "digest"))
-    release(all_, met)
     shingled = map_texts(docs.join(side, "digest").select("digest", text), text, ["digest"], [StructField("shingles", ArrayType(LongType()))],
                          lambda found: [_lists(_shingles(found, words))])
     held = durable(shingled.dropDuplicates(["digest"]))
-    wanted = "best"
-    while True:
-        pairs = _pairs(contacts, classes, wanted, piece)
-        found = _linked(pairs, held, least, piece)
-        more = found.count()
-        if more:
-            classes = durable(components(classes.union(found)).select(F.col("node").alias("digest"), "root"))
-        release(pairs, found)
-        if wanted == "all":
-            release(contacts, held)
-            return classes
-        if not more:
-            wanted = "all"
+    found = _linked(near, held, least, piece)
+    release(near, held, open_)
+    if not found.count():
+        return classes
+    return durable(components(classes.union(found)).select(F.col("node").alias("digest"), "root"))
 
 
 def near_copy_classes(docs: DataFrame, texts: DataFrame, text: str, least: float = SIMILARITY, words: int = WORDS,

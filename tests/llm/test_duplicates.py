@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql.classic.dataframe import DataFrame
 
 from capturelake.llm import components as components_module
 from capturelake.llm import near_copies, simhash
@@ -243,3 +244,39 @@ def test_a_round_over_few_edges_takes_few_tasks(spark):
     small = {tuple(r) for r in components(frame_).collect()}
     assert small == {tuple(r) for r in components(frame_, few=0).collect()}
     assert {(399, 0), (1_299, 1_000)} <= small
+
+
+def test_near_texts_make_rows_by_texts_not_by_pairs(spark, monkeypatch):
+    base, n = prose(300), 130
+    texts = [" ".join(base[:at] + prose(22) + base[at + 22:]) for at in (RNG.randrange(278) for _ in range(n))]
+    want = joined(n, lambda i, j: jaccard(texts[i], texts[j]) >= 0.8)
+    made, plain = [], DataFrame.mapInArrow
+
+    def counted(df, func, schema, *args, **kwargs):
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def run(batches):
+            for batch in func(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return plain(df, run, schema, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    docs = frame(spark, list(enumerate(texts))).selectExpr("unhex(sha2(text, 256)) AS digest", "text AS words")
+    sigs, none = marked(spark, docs).select("digest", "sig"), spark.createDataFrame([], "digest binary, root binary")
+
+    def found(piece):
+        rows = near_copies.linked_by_bands(docs, sigs, none, "words", piece=piece).collect()
+        roots = {bytes(r["digest"]): bytes(r["root"]) for r in rows}
+        named = [roots.get(hashlib.sha256(t.encode()).digest(), i) for i, t in enumerate(texts)]
+        return [named.index(x) for x in named]
+
+    # Most of the 8 385 pairs agree in 40 of 64 least hashes; a text may come once for each of its bands.
+    assert found(256) == want
+    assert max(rows.value for rows in made) <= near_copies.BANDS * n
+    # Parts of a piece, by its shingles, give the same classes.
+    monkeypatch.setattr(near_copies, "PIECE_SHINGLES", 2_000)
+    for piece in (256, 20):
+        assert found(piece) == want
