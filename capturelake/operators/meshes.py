@@ -27,7 +27,7 @@ TASK_ROWS = 500_000
 NEUTRAL = (180, 180, 180)
 
 
-def _tasks(faces: DataFrame, rows: int) -> int:
+def corner_tasks(faces: DataFrame, rows: int) -> int:
     """Tasks for three rows of each of so many faces: the session's number, or more."""
     return max(int(faces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * rows // TASK_ROWS))
 
@@ -48,7 +48,7 @@ def with_corners(faces: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS
     """
     c = F.col
     rows, largest = sizes or _face_rows(faces)
-    tasks = _tasks(faces, rows)
+    tasks = corner_tasks(faces, rows)
     long = faces.select(*KEY, "f_idx", F.posexplode(F.array("a", "b", "c")).alias("_k", "v_idx"))
     coords = vertices.select(*KEY, "v_idx", *AXES)
     if largest > hot_rows:
@@ -79,7 +79,7 @@ def mesh_counts(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def watertight(faces: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Whether every undirected edge belongs to exactly two faces."""
-    tasks = _tasks(faces, (sizes or _face_rows(faces))[0])
+    tasks = corner_tasks(faces, (sizes or _face_rows(faces))[0])
     ends = F.array(*[
         F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("c", "a"))])
     edges = faces.select(*KEY, F.explode(ends).alias("_e")).select(*KEY, "_e.u", "_e.v").repartition(tasks, *KEY, "u", "v").groupBy(

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..session import durable
@@ -30,13 +31,19 @@ KEY = ["cloud_id"]
 #: Bits of the curve for each axis.
 BITS = 21
 LEAF, FAN = 16, 8
+#: Points, and vertices, of a cloud that one group may hold.
+WHOLE = 500_000
 #: Vertices that are answered at once, and sent vertices that share one copy of a partition's points.
 BLOCK, SENT = 2_048, 200_000
 
 
+#: Fixed masks of the usual doubling steps.
+_STEPS = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
 def _spread(v: Column) -> Column:
-    """The bits of a number with two zeros between each (fixed masks of the usual doubling steps)."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+    """The bits of a number with two zeros between each."""
+    for shift, mask in _STEPS:
         v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
     return v
 
@@ -49,6 +56,14 @@ def _curve() -> Column:
     return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
 
 
+def _codes(places: np.ndarray, low: np.ndarray, extent: float) -> np.ndarray:
+    """``_curve`` of places, in a cube from ``low`` of the given extent."""
+    cells = np.clip(np.floor((places - low) / extent * float(1 << BITS)), 0, (1 << BITS) - 1).astype(np.int64)
+    for shift, mask in _STEPS:
+        cells = (cells | cells << shift) & mask
+    return cells[:, 0] | cells[:, 1] << 1 | cells[:, 2] << 2
+
+
 class Boxes:
     """A tree of boxes over boxes in a given order."""
 
@@ -201,8 +216,44 @@ def _answers(batches: Iterator[pa.RecordBatch], schema: StructType, attributes:
         yield from out.combine_chunks().to_batches(max_chunksize=65_536)
 
 
-def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Distance, index and attributes of the nearest point (lowest idx on ties) for every vertex."""
+def _within(points: pa.Table, vertices: pa.Table, schema: pa.Schema, attributes: Sequence[str]) -> pa.Table:
+    """The nearest points of a cloud's vertices."""
+    if not len(points) or not len(vertices):
+        return schema.empty_table()
+    places, wanted = (np.stack(_numbers(t, *AXES), 1) for t in (points, vertices))
+    idx, = _numbers(points, "idx")
+    # Of points in one place that of the lowest idx.
+    order = np.lexsort((idx, *places.T))
+    sorted_ = places[order]
+    first = order[np.concatenate([[True], (sorted_[1:] != sorted_[:-1]).any(1)])]
+    low = places.min(0)
+    cube = low, max((places.max(0) - low).max(), 1e-9)
+    best, row = Points(_codes(places[first], *cube), idx[first], places[first]).nearest(_codes(wanted, *cube), wanted, np.full(len(wanted), np.inf))
+    found = row >= 0
+    taken, kept = points.take(pa.array(first[row[found]])), vertices.filter(pa.array(found))
+    columns = [kept["cloud_id"], kept["v_idx"], pa.array(np.sqrt(best[found])), *[taken[n] for n in ("idx", *attributes)]]
+    return pa.Table.from_arrays([pa.chunked_array([x]) if isinstance(x, pa.Array) else x for x in columns], names=schema.names).cast(schema)
+
+
+def _by_cloud(vertices: DataFrame, points: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """The nearest points in clouds that are small enough for one group each."""
+    place, whole = [F.col(a).cast("double").alias(a) for a in AXES], " AND ".join(f"{n} IS NOT NULL" for n in (*KEY, *AXES))
+    held = points.select(*KEY, F.col("idx").cast("bigint").alias("idx"), *place, *attributes).filter(whole)
+    asked = vertices.select(*KEY, F.col("v_idx").cast("bigint").alias("v_idx"), *place).filter(whole)
+    schema = StructType([held.schema[KEY[0]], asked.schema["v_idx"], StructField("distance", DoubleType()), *[held.schema[n] for n in ("idx", *attributes)]])
+    arrow = to_arrow_schema(schema)
+    return held.groupBy(*KEY).cogroup(asked.groupBy(*KEY)).applyInArrow(lambda p, v: _within(p, v, arrow, attributes), schema)
+
+
+def nearest_attribute(vertices: DataFrame, points: DataFrame, attributes: Sequence[str], hot_rows: int = HOT_ROWS, shape: Shape | None = None) -> DataFrame:
+    """Distance, index and attributes of the nearest point (lowest idx on ties) for every vertex.
+
+    ``shape`` is that of the clouds' points and that of their vertices, if
+    measured: clouds of at most ``WHOLE`` rows meet their vertices whole, with
+    no shuffle where both tables already lie by cloud.
+    """
+    if shape is not None and shape.largest <= min(WHOLE, hot_rows):
+        return _by_cloud(vertices, points, attributes)
     c, place = F.col, [F.col(a).cast("double").alias(a) for a in AXES]
     whole = c("x").isNotNull() & c("y").isNotNull() & c("z").isNotNull()
     first = points.filter(whole).groupBy(*KEY, *place).agg(F.min(F.struct("idx", *attributes)).alias("_p"))

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,7 +7,8 @@ from pyspark.sql import functions as F
 from capturelake.operators import clouds as C
 from capturelake.operators import meshes as M
 from capturelake.operators.nearest import nearest_attribute
-from capturelake.plans.point_clouds import rounded
+from capturelake.operators.scale import measure
+from capturelake.plans.point_clouds import QUERIES, rounded
 
 
 def cloud(spark, n=90, seed=3, far=4):
@@ -203,3 +206,29 @@ def test_nearest_point_reads_its_input_once(spark):
     got = nearest_attribute(vertices, points, ["r"]).collect()
     assert len(got) == 135 and all(r.idx == r.v_idx == r.r and r.distance == 0 for r in got)
     assert read.value == 135
+
+
+def test_nearest_points_of_whole_clouds(spark):
+    """Clouds that meet in a group of their own give what dealt ones give: ties, copies, places outside, nulls and clouds without partner."""
+    rnd = np.random.default_rng(4)
+    rows = [(k, i, *map(float, np.round(p, 1)), 3 * i) for k in range(5) for i, p in enumerate(rnd.normal(size=(200, 3)))]
+    rows += [(1, 900, None, 0.0, 0.0, 1), (None, 1, 0.0, 0.0, 0.0, 1)]
+    points = spark.createDataFrame(rows, "cloud_id long, idx long, x double, y double, z double, r int")
+    asked = [(k, i, *map(float, np.round(p, 1))) for k in range(7) for i, p in enumerate(rnd.normal(size=(60, 3)) * (1 + 50 * (k == 2)))]
+    vertices = spark.createDataFrame([*asked, (1, 99, 0.0, None, 0.0), (None, 5, 0.0, 0.0, 0.0)], "cloud_id long, v_idx long, x double, y double, z double")
+    dealt = nearest_attribute(vertices, points, ["r"])
+    whole = nearest_attribute(vertices, points, ["r"], shape=measure(points, ["cloud_id"]))
+    assert whole.schema.simpleString() == dealt.schema.simpleString() and "CoGroups" in whole._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, whole.collect()))
+    assert len(got) == 300 and got == sorted(map(tuple, dealt.collect()))
+
+
+@pytest.mark.parametrize("query", ["nearest_attribute"])
+def test_points_are_shuffled_once_and_not_stored(spark, query):
+    df = QUERIES[query](spark, "/root/testdata/sf0.001")
+    assert df.count() > 0
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ExistingRDD" not in final
+    assert len(set(re.findall(r"Exchange hashpartitioning\(.*?plan_id=(\d+)", final))) == 1 and "ReusedExchange" in final
