@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cross, dot, minus, norm
@@ -42,7 +42,9 @@ def with_corners(faces: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS
 
     Corners are looked up in long form, one row per (face, corner), with a
     single join and one aggregate per face, in as many tasks as the faces
-    need. No vertex has more uses than its
+    need. Meshes that fit a task meet their vertices there: one shuffle by mesh
+    does for the join, the aggregate and what is grouped by mesh afterwards,
+    and none where both tables lie so already. No vertex has more uses than its
     cloud has faces; where a cloud is hot, a vertex shared by many faces (the
     hub of a fan) is spread by a salt.
     """
@@ -51,16 +53,25 @@ def with_corners(faces: DataFrame, vertices: DataFrame, hot_rows: int = HOT_ROWS
     tasks = corner_tasks(faces, rows)
     long = faces.select(*KEY, "f_idx", F.posexplode(F.array("a", "b", "c")).alias("_k", "v_idx"))
     coords = vertices.select(*KEY, "v_idx", *AXES)
+    if 3 * largest <= min(TASK_ROWS, hot_rows):
+        met = long.unionByName(coords.withColumn("_known", F.lit(True)), allowMissingColumns=True).filter("cloud_id IS NOT NULL AND v_idx IS NOT NULL").repartition(tasks, *KEY)
+        at = Window.partitionBy(*KEY, "v_idx")
+        return _faces_of(met.select(*KEY, "f_idx", "_k", "v_idx", *[F.max(n).over(at).alias(n) for n in (*AXES, "_known")]).filter("_k IS NOT NULL AND _known"))
     if largest > hot_rows:
         use = long.groupBy(*KEY, "v_idx").agg(F.count(F.lit(1)).alias("_uses"))
         placed = attach(long, use.join(coords, [*KEY, "v_idx"]), [*KEY, "v_idx"], c("_uses"), hot_rows)
     else:
         placed = long.repartition(tasks, *KEY, "v_idx").join(coords.repartition(tasks, *KEY, "v_idx"), [*KEY, "v_idx"])
-    corner = [
-        F.max(F.when(c("_k") == k, c(a))).alias(f"{a}{k}") for k in range(3) for a in AXES
-    ]
-    return placed.repartition(tasks, *KEY, "f_idx").groupBy(*KEY, "f_idx").agg(
-        *[F.max(F.when(c("_k") == k, c("v_idx"))).alias(n) for k, n in enumerate("abc")], *corner)
+    return _faces_of(placed.repartition(tasks, *KEY, "f_idx"))
+
+
+def _faces_of(corners: DataFrame) -> DataFrame:
+    """One row per face from its corners in long form."""
+    def at(k: int, value: str) -> Column:
+        return F.max(F.when(F.col("_k") == k, F.col(value)))
+
+    return corners.groupBy(*KEY, "f_idx").agg(
+        *[at(k, "v_idx").alias(n) for k, n in enumerate("abc")], *[at(k, a).alias(f"{a}{k}") for k in range(3) for a in AXES])
 
 
 def _corner(k: int) -> tuple[Column, Column, Column]:
@@ -109,7 +120,7 @@ def mesh_diagnostics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     )
 
 
-def face_groups(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+def face_groups(faces: DataFrame, vertices: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Side of a box each face looks at: the direction closest to its normal."""
     n = _raw_normal()
     length = norm(n)
@@ -118,7 +129,7 @@ def face_groups(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     scores = F.array(*[dot(tuple(unit), d) for d in lit])
     names = F.array(*[F.lit(g) for g in FACE_GROUPS])
     place = F.array_position(scores, F.array_max(scores)).cast("int")
-    return with_corners(faces, vertices).select(*KEY, "f_idx", "a", "b", "c", F.element_at(names, place).alias("face_group"))
+    return with_corners(faces, vertices, sizes=sizes).select(*KEY, "f_idx", "a", "b", "c", F.element_at(names, place).alias("face_group"))
 
 
 def face_group_counts(groups: DataFrame) -> DataFrame:
@@ -134,8 +145,11 @@ def paint_face_groups(groups: DataFrame, palette: DataFrame) -> DataFrame:
     slot = F.array_position(order, F.col("face_group")) - 1
     corners = groups.select(*KEY, slot.alias("slot"), F.explode(F.array("a", "b", "c")).alias("v_idx"))
     last = corners.groupBy(*KEY, "v_idx").agg(F.max("slot").alias("slot"))
-    return last.join(palette, [*KEY, "slot"], "left").select(
-        *KEY, "v_idx", *[F.coalesce(F.col(ch), F.lit(v)).alias(ch) for ch, v in zip("rgb", NEUTRAL)])
+    # The few colours of a cloud are one row, so that vertices stay where their faces are.
+    shades = palette.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*"rgb")))).alias("_shades"))
+    shade = F.col("_shades")[F.col("slot")]
+    return last.join(shades, KEY, "left").select(
+        *KEY, "v_idx", *[F.coalesce(shade[ch], F.lit(v)).alias(ch) for ch, v in zip("rgb", NEUTRAL)])
 
 
 def shade_vertices(vertices: DataFrame, faces: DataFrame, rgb: tuple[int, int, int] = NEUTRAL,

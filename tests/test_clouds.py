@@ -223,7 +223,7 @@ def test_nearest_points_of_whole_clouds(spark):
     assert len(got) == 300 and got == sorted(map(tuple, dealt.collect()))
 
 
-@pytest.mark.parametrize("query", ["nearest_attribute"])
+@pytest.mark.parametrize("query", ["nearest_attribute", "paint_face_groups"])
 def test_points_are_shuffled_once_and_not_stored(spark, query):
     df = QUERIES[query](spark, "/root/testdata/sf0.001")
     assert df.count() > 0
@@ -232,3 +232,20 @@ def test_points_are_shuffled_once_and_not_stored(spark, query):
     final = plan.split("== Initial Plan ==")[0]
     assert "ExistingRDD" not in final
     assert len(set(re.findall(r"Exchange hashpartitioning\(.*?plan_id=(\d+)", final))) == 1 and "ReusedExchange" in final
+
+
+def test_corners_met_by_mesh_or_by_corner(spark, monkeypatch):
+    rows = [(cloud, i, float(i), float(i * i), float(-i)) for cloud in (1, 2, 3) for i in range(12)]
+    vertices = spark.createDataFrame([*rows, (None, 0, 0.0, 0.0, 0.0), (4, 0, 1.0, 1.0, 1.0)], "cloud_id int, v_idx bigint, x double, y double, z double")
+    faces = spark.createDataFrame(
+        [(cloud, i, 0, i + 1, i + 2) for cloud in (1, 2) for i in range(10)] + [(2, 90, 5, 6, 77), (3, 91, 70, 71, 72), (None, 92, 0, 1, 2), (4, 93, 0, 0, None)],
+        "cloud_id int, f_idx bigint, a bigint, b bigint, c bigint")
+    palette = spark.createDataFrame([(1, 0, 1, 2, 3), (1, 4, 4, 5, 6), (2, 1, 7, 8, 9)], "cloud_id int, slot bigint, r int, g int, b int")
+
+    def results():
+        return [sorted(map(str, df.collect())) for df in (
+            M.with_corners(faces, vertices), M.paint_face_groups(M.face_groups(faces, vertices), palette))]
+
+    met = results()
+    monkeypatch.setattr(M, "TASK_ROWS", 6)
+    assert met == results() and len(met[0]) == 22
