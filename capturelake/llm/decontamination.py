@@ -57,7 +57,7 @@ def short_masks(n: int) -> list[tuple[int, ...]]:
 
 
 def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, ...]]]:
-    """Seeds (seed, item, item_at) of items (item, hashes), and all masks.
+    """Seeds (seed, item, item_at, n) of items (item, hashes) of n words, and all masks.
 
     An item no longer than the masks' span gets masks of its own length.
     """
@@ -72,16 +72,20 @@ def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, ...]]]
         .select("item", "n", "seed", (F.col("k") % F.col("n")).alias("item_at"), F.get(spans, F.floor(F.col("k") / F.col("n")).cast("int")).alias("span"))
     )
     own = F.when(F.col("n") <= SPAN, F.col("span") == F.col("n")).otherwise(F.col("span") == SPAN)
-    return at.filter(own & (F.col("item_at") + F.col("span") <= F.col("n"))).select("seed", "item", "item_at").distinct(), masks
+    return at.filter(own & (F.col("item_at") + F.col("span") <= F.col("n"))).select("seed", "item", "item_at", "n").distinct(), masks
+
+
+def _beside(shift: Column) -> list[Column]:
+    """Columns (doc, item, shift, part) of hits: part holds the document's words beside those of its item."""
+    first = F.greatest(shift, F.lit(0))
+    return [F.col("doc"), F.col("item"), shift.alias("shift"),
+            F.slice("hashes", first + 1, F.least(F.size("hashes") - first, F.col("n") - (first - shift))).alias("part")]
 
 
 def _verified(hits: DataFrame, share: float, window: int, window_words: int) -> DataFrame:
-    """Hits (doc, item, shift, hashes, item_hashes) whose words agree in place often enough."""
+    """Hits (doc, item, shift, part, item_hashes) whose words agree in place often enough."""
     first, item_first = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    length = F.least(F.size("hashes") - first, F.size("item_hashes") - item_first)
-    equal = F.zip_with(
-        F.slice("hashes", first + 1, length), F.slice("item_hashes", item_first + 1, length),
-        lambda a, b: F.when(a == b, 1).otherwise(0))
+    equal = F.zip_with("part", F.slice("item_hashes", item_first + 1, F.size("part")), lambda a, b: F.when(a == b, 1).otherwise(0))
     def total(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0), lambda s, x: s + x)
 
@@ -99,8 +103,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     """One row per document and item that overlap: the place and word counts of the best overlap, and their number.
 
     Seeds of all documents are joined with those of the items. While the
-    items' seeds are few, they are broadcast and a hit is verified beside its
-    document, without any shuffle of texts. Beyond that, seeds are joined by
+    items' seeds are few, they are broadcast, and of a hit only the words
+    beside the item's go on, once for all seeds that found them: no task holds
+    a document once for each of its hits. Beyond that, seeds are joined by
     shuffle, and the places found fetch their documents' words.
     """
     items = benchmark.select(F.col(f"`{item}`").alias("item"), word_hashes(F.col(f"`{item_text}`")).alias("hashes")).distinct()
@@ -109,18 +114,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     seeds = durable(seeds)
     source = docs.select(F.col(f"`{key}`").alias("doc"), word_hashes(F.col(f"`{text}`")).alias("hashes"))
     every = source.withColumn("seeds", _seeds(F.col("hashes"), masks))
-    shift = (F.col("k") % F.size("hashes") - F.col("item_at")).cast("int").alias("shift")
+    shift = (F.col("k") % F.size("hashes") - F.col("item_at")).cast("int")
     if seeds.count() <= broadcast_rows:
         hits = (
             every.select("doc", "hashes", F.posexplode_outer("seeds").alias("k", "seed")).join(F.broadcast(seeds), "seed")
-            .select("doc", "item", shift, "hashes").join(F.broadcast(words), "item")
+            .select(*_beside(shift)).distinct().join(F.broadcast(words), "item")
         )
     else:
         places = (
-            every.select("doc", F.size("hashes").alias("n"), F.posexplode_outer("seeds").alias("k", "seed")).join(seeds, "seed")
-            .select("doc", "item", (F.col("k") % F.col("n") - F.col("item_at")).cast("int").alias("shift")).distinct()
+            every.select("doc", F.size("hashes").alias("words"), F.posexplode_outer("seeds").alias("k", "seed")).join(seeds, "seed")
+            .select("doc", "item", (F.col("k") % F.col("words") - F.col("item_at")).cast("int").alias("shift"), "n").distinct()
         )
-        hits = places.join(source, places["doc"].eqNullSafe(source["doc"])).drop(source["doc"]).join(words, "item")
+        hits = places.join(source, places["doc"].eqNullSafe(source["doc"])).drop(source["doc"]).select(*_beside(F.col("shift"))).distinct().join(words, "item")
     found = _verified(hits, share, window, window_words)
     best = F.max(F.struct("matched", "window_matched", -F.col("first_word"), "item_words"))
     return found.groupBy("doc", "item").agg(best.alias("b"), F.count_distinct("first_word").alias("places")).select(

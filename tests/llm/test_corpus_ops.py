@@ -85,6 +85,20 @@ def test_overlaps_with_substitutions(spark):
     assert decontamination.overlaps(df.limit(0), bench).count() == 0 and decontamination.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_a_hit_holds_no_whole_document(spark):
+    """Rows between the seeds' join and the verification hold the words beside the item, once for all seeds of a place."""
+    words = [f"w{i % 997}x{i % 1009}" for i in range(6000)]
+    items = [(i, " ".join(words[40 * i:40 * i + 30])) for i in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:30] + ["z"] * 5)), (None, items[3][1])], "doc_id long, text string")
+    for rows in (decontamination.BROADCAST_ROWS, 0):
+        found = decontamination.overlaps(docs, bench, broadcast_rows=rows)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Aggregate \[doc#\w+, item#\w+, shift#\w+, part#\w+\]", plan), plan
+        assert {(r.doc_id, r.item_id, r.first_word, r.matched) for r in found.collect()} == {
+            *((1, i, 40 * i, 30) for i in range(100)), (2, 0, 0, 30), (None, 3, 0, 30)}
+
+
 def plain_overlaps(docs, items):
     """Every shift of every item over every document."""
     split = lambda t: [w for w in re.split(r"[^\w]+", (t or "").lower()) if w]
