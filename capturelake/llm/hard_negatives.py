@@ -25,6 +25,7 @@ gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,10 @@ LOW, HIGH = 50, 95
 SCALE = 256
 #: Vectors of a bucket, anchors of a block, buckets that one task takes for a block, focus coordinates.
 BUCKET, BLOCK, SLICE, FOCUS = 4_096, 4_096, 64, 4
+#: Buckets that a task of a block takes at least, and anchors of a block whose crowded candidates are scored together.
+LEAST_SLICE, TOGETHER = 4, 128
+#: Candidates are crowded if they are more than one in so many of their bucket's vectors.
+CROWDED = 4
 #: Angles are widened by this, so that no rounding loses a hit.
 SLACK = 1e-6
 #: Products below this are exact in doubles.
@@ -143,6 +148,7 @@ class Bucket:
         self.directions, self.lengths = directions(vectors)
         self.longest = float(self.lengths.max(initial=0))
         self.sorted: dict[int, np.ndarray] = {}
+        self.columns: dict[int, np.ndarray] = {}
         self.compared = 0
 
     def candidates(self, direction: np.ndarray, length: float, least: float, focus: int = FOCUS) -> np.ndarray | None:
@@ -152,16 +158,25 @@ class Bucket:
         reach = length * self.longest
         if reach * (1 + 1e-12) < least:
             return np.empty(0, np.int64)
-        angle = np.arccos(min(1.0, least / reach)) + SLACK
+        angle = math.acos(min(1.0, least / reach)) + SLACK
         chosen = np.argsort(-np.abs(direction))[:focus]
         ranges = []
         for f in chosen.tolist():
-            own = np.arccos(np.clip(direction[f], -1, 1))
-            low, high = np.cos(min(np.pi, own + angle)), np.cos(max(0.0, own - angle))
+            own = math.acos(min(1.0, max(-1.0, direction[f])))
+            low, high = math.cos(min(math.pi, own + angle)), math.cos(max(0.0, own - angle))
             if f not in self.sorted:
                 self.sorted[f] = self.directions[self.lists[f], f]
             ranges.append((f, np.searchsorted(self.sorted[f], low - SLACK), np.searchsorted(self.sorted[f], high + SLACK, "right"), low - SLACK, high + SLACK))
         f, i, j, *_ = min(ranges, key=lambda r: r[2] - r[1])
+        if CROWDED * (j - i) > len(self.ids):
+            # Long ranges are intersected along the vectors, not through their lists.
+            inside = np.ones(len(self.ids), bool)
+            for f, _, _, low, high in ranges:
+                if f not in self.columns:
+                    self.columns[f] = self.directions[:, f].copy()
+                inside &= self.columns[f] >= low
+                inside &= self.columns[f] <= high
+            return np.flatnonzero(inside)
         found = self.lists[f][i:j]
         for other, _, _, low, high in ranges:
             if other != f and len(found):
@@ -180,6 +195,16 @@ class Bucket:
         return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in whole], np.int64)
 
 
+    def all_scores(self, anchors: np.ndarray, lengths: np.ndarray, found: list[np.ndarray]) -> list[np.ndarray]:
+        """Exact inner products of each anchor with its candidates; those of anchors with crowded ones come from one matrix product."""
+        crowded = [n for n, places in enumerate(found) if CROWDED * len(places) > len(self.ids) and lengths[n] * self.longest < _EXACT]
+        dim = min(anchors.shape[1], self.vectors.shape[1])
+        products = dict(zip(crowded, anchors[crowded, :dim] @ self.vectors[:, :dim].T, strict=True))
+        self.compared += sum(len(found[n]) for n in crowded)
+        return [products[n][places].astype(np.int64) if n in products else self.scores(anchors[n], float(lengths[n]), places)
+                for n, places in enumerate(found)]
+
+
 class Best:
     """The first ``k`` hits of one search, and the score that a further one needs."""
 
@@ -233,20 +258,26 @@ class Block:
         self.by_anchor = [(int(self.places[g[0]]), [self.best[j] for j in g.tolist()]) for g in parts if len(g)]
 
     def meet(self, bucket: Bucket, focus: int) -> None:
-        for place, best in self.by_anchor:
-            needs = [b.least for b in best]
-            least = 0 if None in needs else min(needs)
-            length = float(self.lengths[place])
-            found = bucket.candidates(self.directions[place], length, least, focus)
-            chosen = slice(None) if found is None else found
-            wanted = (bucket.labels[chosen] == self.labels[place]) == self.same
-            wanted &= bucket.rows[chosen] != self.rows[place]
-            if not wanted.any():
-                continue
-            places = np.flatnonzero(wanted) if found is None else found[wanted]
-            scores = bucket.scores(self.vectors[place], length, places)
-            for b in best:
-                b.add(scores, bucket.ids[places])
+        for first in range(0, len(self.by_anchor), TOGETHER):
+            group = self.by_anchor[first:first + TOGETHER]
+            anchors = [place for place, _ in group]
+            bounds = [None if any(b.least is None for b in best) else min(b.least for b in best) for _, best in group]
+            found = [self._candidates(bucket, place, least, focus) for place, least in zip(anchors, bounds, strict=True)]
+            scored = bucket.all_scores(self.vectors[anchors], self.lengths[anchors], found)
+            for (place, best), least, places, scores in zip(group, bounds, found, scored, strict=True):
+                if least is not None:
+                    enough = np.flatnonzero(scores >= least)
+                    places, scores = places[enough], scores[enough]
+                wanted = (bucket.labels[places] == self.labels[place]) == self.same
+                wanted &= bucket.rows[places] != self.rows[place]
+                if wanted.any():
+                    scores, ids = scores[wanted], bucket.ids[places[wanted]]
+                    for b in best:
+                        b.add(scores, ids)
+
+    def _candidates(self, bucket: Bucket, place: int, least: int | None, focus: int) -> np.ndarray:
+        found = bucket.candidates(self.directions[place], float(self.lengths[place]), least or 0, focus)
+        return np.arange(len(bucket.ids)) if found is None else found
 
     def hits(self) -> pa.RecordBatch:
         many = [len(b.ids) for b in self.best]
@@ -283,11 +314,15 @@ def search(blocks: DataFrame, index: DataFrame, k: int, same: bool, slice_: int
     """The first ``k`` hits (row, anchor, tag, rank, id, score) of each block's searches among the buckets of its group.
 
     ``same`` asks for rows of the anchor's label, else for those of others. A
-    null in ``jobs`` is one search for each anchor, without bounds.
+    null in ``jobs`` is one search for each anchor, without bounds. A task
+    takes at most ``slice_`` buckets, and fewer where the session's tasks would
+    else wait.
     """
     numbered = index.select("grp", "bucket").withColumn("_n", F.row_number().over(Window.partitionBy("grp").orderBy("bucket")) - 1)
-    slices = numbered.select("grp", "bucket", F.floor(F.col("_n") / slice_).alias("slice"))
-    meets = blocks.select("grp", F.col("bucket").alias("block")).join(slices, "grp")
+    pairs = durable(blocks.select("grp", F.col("bucket").alias("block")).join(numbered, "grp"))
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = min(slice_, max(LEAST_SLICE, -(-pairs.count() // tasks)))
+    meets = pairs.select("block", "bucket", F.floor(F.col("_n") / taken).alias("slice"))
     heads = blocks.drop("grp").withColumnRenamed("bucket", "block").join(meets.select("block", "slice").distinct(), "block").select(
         "block", "slice", F.lit(None).cast("bigint").alias("bucket"), *_HELD, "jobs", F.lit(same).alias("same"))
     bodies = index.join(meets.select("block", "slice", "bucket"), "bucket").select(

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from capturelake.llm import bpe, divergence
 from capturelake.llm import hard_negatives as H
@@ -260,3 +261,35 @@ def test_buckets_prune():
         met += len(found)
     assert met < 40 * 4_000 / 4
     assert len(bucket.candidates(own[0], float(lengths[0]), int(2 * lengths[0] * bucket.longest))) == 0
+
+
+def test_crowded_candidates_are_scored_together(monkeypatch):
+    """Vectors that no range tells apart: candidates and scores are the same, whether lists or whole columns find them."""
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-90, 90, (600, 32)).astype(float)
+    lists = np.argsort(H.directions(vectors)[0], axis=0, kind="stable").T.astype(np.int32)
+    ids = np.arange(600)
+    own, lengths = H.directions(vectors)
+    bucket, single = (H.Bucket(ids, ids, ids, vectors, lists) for _ in range(2))
+    bounds = [int(share * lengths[a] * bucket.longest) for a, share in enumerate(rng.uniform(0.05, 0.999, 200))]
+    found = [bucket.candidates(own[a], float(lengths[a]), least) for a, least in enumerate(bounds)]
+    scores = bucket.all_scores(vectors[:200], lengths[:200], found)
+    assert max(map(len, found)) > 150 > min(map(len, found)) and bucket.columns
+    monkeypatch.setattr(H, "CROWDED", 0)
+    for a, least in enumerate(bounds):
+        assert sorted(single.candidates(own[a], float(lengths[a]), least).tolist()) == sorted(found[a].tolist())
+        assert scores[a].tolist() == single.scores(vectors[a], float(lengths[a]), found[a]).tolist()
+    assert not single.columns and bucket.compared == single.compared
+
+
+def test_few_buckets_are_dealt_to_several_tasks(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 2) for i in range(300)], "vec_id long, embedding array<double>, label long")
+    rows = H.prepared(df).select(F.lit(0).cast("bigint").alias("grp"), "*")
+    blocks = H.buckets(rows.filter("id % 50 = 0"), 100, listed=False).withColumn("jobs", F.lit(None).cast(H._JOBS))
+    index = H.buckets(rows, 10)
+    few, all_ = (H.search(blocks, index, 5, False, slice_) for slice_ in (3, 64))
+    taken = [int(re.search(r"FLOOR\(\(cast\(_n#\w+ as double\) / (\d+)", h._jdf.queryExecution().optimizedPlan().toString())[1]) for h in (few, all_)]
+    pairs = blocks.count() * index.count()
+    assert taken == [3, max(H.LEAST_SLICE, -(-pairs // int(spark.conf.get("spark.sql.shuffle.partitions"))))] and taken[1] < index.count()
+    assert sorted(map(tuple, few.drop("tag").collect())) == sorted(map(tuple, all_.drop("tag").collect()))
