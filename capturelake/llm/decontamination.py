@@ -36,16 +36,19 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: Column, masks: Sequence[Sequence[int]]) -> Column:
-    """Hash of the kept words of each mask at every place: all places of the first mask, then of the next."""
-    def one(mask: Sequence[int], n: int) -> Column:
-        return F.transform(hashes, lambda x, i: F.xxhash64(
-            F.lit(n), *[x if o == 0 else F.get(hashes, i + F.lit(o)) for o in mask]))
+def _seeds(df: DataFrame, masks: Sequence[Sequence[int]]) -> DataFrame:
+    """The columns of ``df`` with each place of its ``hashes`` (at), mask (its number) and seed, the hash of the words kept there.
 
-    return F.flatten(F.array(*[one(mask, n) for n, mask in enumerate(masks)]))
+    Places are rows before their seeds are hashed: that runs as compiled code,
+    where functions over whole arrays are interpreted.
+    """
+    seeds = F.array(*[
+        F.xxhash64(F.lit(n), *[F.get("hashes", F.col("at") + F.lit(o)) for o in mask]) for n, mask in enumerate(masks)])
+    places = df.select(*df.columns, F.posexplode_outer("hashes").alias("at", "_"))
+    return places.select(*df.columns, "at", F.posexplode_outer(seeds).alias("mask", "seed"))
 
 
-# Seeds are exploded with posexplode_outer: for the plain form the optimizer adds a filter on the array's size, moves it
+# Places are exploded with posexplode_outer: for the plain form the optimizer adds a filter on the array's size, moves it
 # to the scan, and there splits and hashes the whole text anew for every single word.
 
 
@@ -68,8 +71,8 @@ def benchmark_seeds(items: DataFrame) -> tuple[DataFrame, list[tuple[int, ...]]]
     masks = [*MASKS, *(m for _, m in own_masks)]
     spans = F.array(*[F.lit(SPAN)] * len(MASKS), *[F.lit(n) for n, _ in own_masks])
     at = (
-        sized.select("item", "n", F.posexplode_outer(_seeds(F.col("hashes"), masks)).alias("k", "seed"))
-        .select("item", "n", "seed", (F.col("k") % F.col("n")).alias("item_at"), F.get(spans, F.floor(F.col("k") / F.col("n")).cast("int")).alias("span"))
+        _seeds(sized.select("item", "n", "hashes"), masks)
+        .select("item", "n", "seed", F.col("at").alias("item_at"), F.get(spans, F.col("mask")).alias("span"))
     )
     own = F.when(F.col("n") <= SPAN, F.col("span") == F.col("n")).otherwise(F.col("span") == SPAN)
     return at.filter(own & (F.col("item_at") + F.col("span") <= F.col("n"))).select("seed", "item", "item_at", "n").distinct(), masks
@@ -113,18 +116,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     seeds, masks = benchmark_seeds(items)
     seeds = durable(seeds)
     source = docs.select(F.col(f"`{key}`").alias("doc"), word_hashes(F.col(f"`{text}`")).alias("hashes"))
-    every = source.withColumn("seeds", _seeds(F.col("hashes"), masks))
-    shift = (F.col("k") % F.size("hashes") - F.col("item_at")).cast("int")
+    every, shift = _seeds(source, masks), F.col("at") - F.col("item_at")
     if seeds.count() <= broadcast_rows:
-        hits = (
-            every.select("doc", "hashes", F.posexplode_outer("seeds").alias("k", "seed")).join(F.broadcast(seeds), "seed")
-            .select(*_beside(shift)).distinct().join(F.broadcast(words), "item")
-        )
+        hits = every.join(F.broadcast(seeds), "seed").select(*_beside(shift)).distinct().join(F.broadcast(words), "item")
     else:
-        places = (
-            every.select("doc", F.size("hashes").alias("words"), F.posexplode_outer("seeds").alias("k", "seed")).join(seeds, "seed")
-            .select("doc", "item", (F.col("k") % F.col("words") - F.col("item_at")).cast("int").alias("shift"), "n").distinct()
-        )
+        places = every.select("doc", "at", "seed").join(seeds, "seed").select("doc", "item", shift.alias("shift"), "n").distinct()
         hits = places.join(source, places["doc"].eqNullSafe(source["doc"])).drop(source["doc"]).select(*_beside(F.col("shift"))).distinct().join(words, "item")
     found = _verified(hits, share, window, window_words)
     best = F.max(F.struct("matched", "window_matched", -F.col("first_word"), "item_words"))

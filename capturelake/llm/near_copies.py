@@ -34,7 +34,7 @@ from ..operators.scale import attach
 from ..session import durable, release, sweep
 from .arrow import map_texts
 from .components import components
-from .simhash import MAX_BITS, _link, fingerprint, linked_fingerprints, shingle_hashes
+from .simhash import MAX_BITS, _link, fingerprint, linked_fingerprints, shingle_hashes, word_hashes
 
 SEEDS, WORDS, SIMILARITY = 4, 5, 0.8
 #: Texts of a candidate group that are compared with each other in one task.
@@ -62,7 +62,7 @@ def _mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
 
 def word_fingerprints(text: bytes | None, seeds: int = SEEDS) -> list[int]:
     """Fingerprints of the distinct words, one for each seed, as signed numbers."""
-    words = np.unique(shingle_hashes(text, 1))
+    words = word_hashes(text)
     return [int(np.uint64(fingerprint(_mixed(words, s))).astype(np.int64)) for s in range(seeds)]
 
 
@@ -73,8 +73,8 @@ _FLIPS, _FACTORS = _TURNS[:BANDS * ROWS], _TURNS[BANDS * ROWS:] | np.uint64(1)
 def least_hashes(hashes: np.ndarray) -> np.ndarray:
     """The least of the hashes under each of 64 hash functions, 32 bits of it; of no hashes, the largest number."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4_096):
-        least = np.minimum(least, ((hashes[i:i + 4_096, None] ^ _FLIPS) * _FACTORS).min(0))
+    for i in range(0, len(hashes), 512):
+        least = np.minimum(least, ((hashes[i:i + 512, None] ^ _FLIPS) * _FACTORS).min(0))
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 

@@ -9,7 +9,7 @@ never read, so clashing names are harmless; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +50,23 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1]])
     count = max(1, len(found) - words + 1)
     last = ends[min(words, len(found)) - 1:] - 1
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(
-        (digest(joined[i:j], 42) for i, j in zip(starts[:count].tolist(), last.tolist(), strict=True)), np.uint64, count)
+    shingles = map(joined.__getitem__, map(slice, starts[:count].tolist(), last.tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, count)
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """The different ``shingle_hashes`` of single words, sorted; each word is hashed once."""
+    found = set((text or b"").lower().split())
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(42)), np.uint64, len(found)))
 
 
 def fingerprint(hashes: np.ndarray) -> int:
     """A bit is set where over half of the hashes have it."""
     votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 65_536):
-        part = np.ascontiguousarray(hashes[i:i + 65_536])
-        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    # So many votes fit 16 bits.
+    for i in range(0, len(hashes), 65_535):
+        part = np.ascontiguousarray(hashes[i:i + 65_535])
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
 
 

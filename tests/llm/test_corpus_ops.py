@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from capturelake.llm import archives, chat_format, decontamination, near_copies, quality_rules, secret_scan, simhash, url_filter
@@ -99,6 +100,20 @@ def test_a_hit_holds_no_whole_document(spark):
             *((1, i, 40 * i, 30) for i in range(100)), (2, 0, 0, 30), (None, 3, 0, 30)}
 
 
+def test_seeds_are_hashed_place_by_place(spark):
+    """No interpreted function runs over a document's words for each mask, and seeds are those of the words kept at a place."""
+    df = spark.createDataFrame([(1, [11, 12, 13, 14]), (2, [])], "doc long, hashes array<long>")
+    masks = [(0, 2), (0, 1, 2)]
+    found = decontamination._seeds(df, masks)
+    assert not re.search(r"lambdafunction|transform", found._jdf.queryExecution().optimizedPlan().toString())
+    want = [(1, at, m) for at in range(4) for m in range(2)]
+    got = found.filter("doc = 1").select("doc", "at", "mask", "seed").orderBy("at", "mask").collect()
+    assert [tuple(r[:3]) for r in got] == want
+    kept = [[11 + at + o for o in masks[m] if at + o < 4] for _, at, m in want]
+    assert [r.seed for r in got] == [
+        spark.range(1).select(F.xxhash64(F.lit(m), *[F.lit(x).cast("bigint") for x in k])).first()[0] for (_, _, m), k in zip(want, kept, strict=True)]
+
+
 def plain_overlaps(docs, items):
     """Every shift of every item over every document."""
     split = lambda t: [w for w in re.split(r"[^\w]+", (t or "").lower()) if w]
